@@ -1,0 +1,471 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
+
+import json
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+from granary.llm import components, counts, decontam, langid, licenses, packing, quality, queries, rans, simhash, tokens, topk, unitdedup
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    (0, None, "x"),
+    (1, "", "y"),
+    (2, "   \n\t ", None),
+    (3, "one", "z"),
+    (4, "same words in this line here. And more of the same words follow here now.", "a"),
+    (4, "same words in this line here. And more of the same words follow here now.", "a"),
+    (5, "same words in this line here. And more of the same words follow here now.", None),
+    (None, "an id is missing here", "b"),
+    (7, "word " * 5000, "c"),
+    (8, "日本語 のテキスト。  and\r\n 12 <|endoftext|> é́ \x1c tail ", "d"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(a, b, c, c) for a, b, c in ODD], "doc_id long, text string, fp string, shard string")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x or "", add_special_tokens=False)
+
+
+def texts_of(spark, sf):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def crc(ids):
+    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_encoder_is_exact(library, spark, sf):
+    enc = tokens.Encoder(tokens.definition(PATH), keep=50)
+    held = [b or "" for _, b, _ in ODD] + ["a  b", "\n\nx", " lead", "tail ", "x.. y!\n- z\n", "a \n b"] + list(texts_of(spark, sf).values())
+    for k in range(0, len(held), 7):
+        for x, ids in zip(held[k : k + 7], enc.encode(held[k : k + 7])):
+            assert ids.tolist() == library(x).ids
+
+
+def check_packing(rows, docs, library):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    assert set(by_doc) == set(docs)
+    for doc, pieces in by_doc.items():
+        ids = library(docs[doc]).ids + [0]
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == crc(ids[at : at + r["length"]])
+            at += r["length"]
+        assert at == len(ids)
+    fills = []
+    for pieces in by_seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert at <= 1024
+        fills.append(at)
+    return sorted(fills)
+
+
+def test_packing(spark, sf, library):
+    fills = check_packing(queries.op1_packing(spark, sf).collect(), texts_of(spark, sf), library)
+    assert fills[1] == 1024 if len(fills) > 1 else True
+
+
+def test_packing_many_partitions(spark, sf, library, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7, "doc_id")
+    fills = check_packing(packing.digests(packing.pack(docs, tokens.definition(PATH))).collect(), texts_of(spark, sf), library)
+    assert fills[1] == 1024
+
+
+def test_packing_odd(odd, empty, library):
+    rows = packing.pack(odd, tokens.definition(PATH)).collect()
+    assert sum(r["length"] for r in rows) == sum(len(library(b).ids) + 1 for _, b, _ in ODD)
+    assert packing.pack(empty, tokens.definition(PATH)).count() == 0
+
+
+def test_packer_bounds():
+    p = packing.Packer(16, 3)
+    rng = np.random.default_rng(1)
+    for k in range(200):
+        n = int(rng.integers(1, 40))
+        p.add((k, 0, n, np.arange(n, dtype=np.uint32)))
+        assert len(p.open) <= 3
+    assert all(sum(len(x[3]) for x in w) == 16 for w in p.finished)
+
+
+def test_unit_dedup_against_brute_force(spark, sf):
+    docs = texts_of(spark, sf)
+    find = unitdedup.UNITS["sentence"].finditer
+    seen, expected = {}, set()
+    norm = lambda s: " ".join(s.lower().split())
+    for doc in sorted(docs):
+        for m in find(docs[doc]):
+            seen.setdefault(norm(m.group()), (doc, m.start()))
+    for doc in docs:
+        run = []
+        for m in [*find(docs[doc]), None]:
+            if m and seen[norm(m.group())] != (doc, m.start()):
+                run.append(m)
+                continue
+            words = sum(len(x.group().split()) for x in run)
+            if words >= 8:
+                expected.add((doc, run[0].start(), run[-1].end(), words))
+            run = []
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = unitdedup.repeats(source).collect()
+    assert {(r["doc_id"], r["begin"], r["end"], r["words"]) for r in rows} == expected and expected
+    cut = {r["doc_id"]: r["text"] for r in unitdedup.dedup(source).collect()}
+    spans = defaultdict(list)
+    for doc, a, b, _ in expected:
+        spans[doc].append((a, b))
+    for doc, text in docs.items():
+        for a, b in sorted(spans[doc], reverse=True):
+            text = text[:a] + text[b:]
+        assert cut[doc] == text
+
+
+def test_unit_dedup_finds_a_passage_inside_lines(spark):
+    passage = "The first part has seven words here. Then a second part of this shared passage goes on and on. It ends."
+    rows = [(k, f"Own words number {k} come before {passage} And own {k} words after.", 0) for k in range(4)]
+    found = unitdedup.repeats(spark.createDataFrame(rows, "doc_id long, text string, keeper int")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3] and all(r["words"] >= 13 and r["kept_doc_ids"] == [0] for r in found)
+
+
+def test_unit_dedup_odd(odd, empty):
+    assert {r["doc_id"] for r in unitdedup.repeats(odd).collect()} == {5}
+    kept = unitdedup.dedup(odd)
+    assert kept.count() == len(ODD) and kept.columns == odd.columns
+    assert unitdedup.dedup(empty).count() == unitdedup.repeats(empty).count() == 0
+    for unit in ("line", "paragraph"):
+        assert {r["doc_id"] for r in unitdedup.repeats(odd, unit).collect()} == {5}
+
+
+def containment(item, text, width=5):
+    words = decontam._words.findall(item.lower())
+    w = min(width, len(words))
+    own = {tuple(words[k : k + w]) for k in range(len(words) - w + 1)}
+    held = decontam._words.findall(text.lower())
+    there = {tuple(held[k : k + w]) for k in range(len(held) - w + 1)}
+    return len(own & there) / len(own)
+
+
+def test_decontamination_against_brute_force(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    known = {r["item_id"]: r["text"] for r in items.collect()}
+    expected = {(d, i) for d, t in texts_of(spark, sf).items() for i, x in known.items() if containment(x, t) >= 0.8}
+    for size in (4_000_000, 2_000):
+        found = decontam.matches(docs, items, block_chars=size).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == expected and expected
+    kept = decontam.clean(docs, items)
+    assert {r["doc_id"] for r in kept.collect()} == set(texts_of(spark, sf)) - {d for d, _ in expected} and kept.columns == docs.columns
+
+
+def test_decontamination_partial_and_large():
+    rng = np.random.default_rng(3)
+    word = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(word, rng.integers(6, 60)))) for k in range(60)]
+    index = decontam.Index([*items, (99, "short one"), (98, ""), (97, None)])
+    for k in range(60):
+        parts = [items[i][1].split() for i in rng.choice(60, rng.integers(1, 40), replace=False)]
+        for p in parts:
+            if rng.random() < 0.5:
+                p[rng.integers(len(p))] = "changed"
+        text = " ".join(" ".join([*p, *rng.choice(word, 3)]) for p in parts) + (" a Short, one." if k % 2 else "")
+        expected = {i for i, x in [*items, (99, "short one")] if containment(x, text) >= 0.8}
+        assert {m[0] for m in index.find(text)} == expected
+
+
+def test_decontamination_odd(spark, odd, empty):
+    items = spark.createDataFrame([(1, "an id is missing here"), (1, "an id is missing here"), (2, None), (3, ""), (4, "word word word word word word")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(odd, items).collect()}
+    assert found == {(None, 1), (7, 4)}
+    assert decontam.clean(odd, items).count() == len(ODD) - 2
+    assert decontam.matches(empty, items).count() == decontam.matches(odd, items.limit(0)).count() == 0
+
+
+def brute_fingerprint(text):
+    import re
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    ones = Counter()
+    for s in shingles:
+        h = xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if ones[b] * 2 > len(shingles))
+
+
+def brute_components(ids, fps, distance):
+    parent = dict(zip(ids, ids))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                a, b = sorted((root(ids[i]), root(ids[j])))
+                parent[b] = a
+    return {x: root(x) for x in ids}
+
+
+def test_simhash_against_brute_force(spark, sf):
+    docs = texts_of(spark, sf)
+    fps = {d: brute_fingerprint(t) for d, t in docs.items()}
+    want = brute_components(list(fps), list(fps.values()), 4)
+    rows = queries.op4_simhash(spark, sf).collect()
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in rows} == {d: (fps[d], want[d]) for d in docs}
+    assert all(len(r["fingerprint"]) == 16 for r in rows) and len(rows) == len(docs)
+
+
+def test_simhash_links_are_exact_with_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    rng = np.random.default_rng(2)
+    fps = set(rng.integers(-(2**63), 2**63, 150, dtype=np.int64).tolist())
+    centre = 0x0123456789ABCDEF
+    fps |= {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (120, 2))}
+    for f in list(fps)[:100]:
+        for _ in range(int(rng.integers(1, 7))):
+            f ^= 1 << int(rng.integers(0, 62))
+        fps.add(f)
+    fps = sorted(fps)
+    links = simhash.links(spark.createDataFrame(list(enumerate(fps)), "rep long, fp long"))
+    found = {r["node"]: r["component"] for r in components.components(links).collect()}
+    want = brute_components(list(range(len(fps))), [f & (2**64 - 1) for f in fps], 4)
+    assert {k: found.get(k, k) for k in range(len(fps))} == want
+
+
+def test_simhash_odd(odd, empty):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) - 1
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (7, 7), (8, 8)}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(1000, 1300)] + [(5, 5)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 100 for k in range(100, 141)} | {k: 7 for k in [7, *range(1000, 1300)]}
+
+
+def test_rans_round_trip():
+    rng = np.random.default_rng(4)
+    for n, size in ((1, 5), (3, 5), (1024, 2), (1025, 300), (700_000, 5000)):
+        ids = np.minimum(rng.geometric(0.01, n) - 1, size - 1).astype(np.uint32)
+        coder = rans.Coder(rans.shares(np.bincount(ids, minlength=size)))
+        payload = coder.encode(ids)
+        assert (coder.decode(payload) == ids).all()
+        parts = [coder.decode(payload, k) for k in range(coder.spans(payload))]
+        assert (np.concatenate(parts) == ids).all()
+    assert len(parts) > 1 and len(payload) < 700_000 * 1.3
+    broken = bytearray(payload)
+    broken[-5] ^= 1
+    with pytest.raises(ValueError):
+        coder.decode(bytes(broken))
+
+
+def test_token_files(spark, sf, library):
+    docs, at = texts_of(spark, sf), 0
+    rows = {r["doc_id"]: r for r in queries.op5_token_files(spark, sf).collect()}
+    assert set(rows) == set(docs)
+    for doc in sorted(docs):
+        ids = library(docs[doc]).ids + [2]
+        assert (rows[doc]["start"], rows[doc]["n_tokens"], rows[doc]["ids_crc32"]) == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
+def test_token_files_odd(odd, empty, library, tmp_path):
+    rows = rans.read(*rans.write(odd, tokens.definition(PATH), path=(tmp_path / "blocks").as_uri())).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((a, len(library(b).ids) + 1) for a, b, _ in ODD)
+    assert rans.read(*rans.write(empty, tokens.definition(PATH))).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["first", "last"])
+def test_token_counts(spark, sf, odd, library, rule):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
+        want = Counter()
+        for r in docs.collect():
+            text = r["text"] or ""
+            lines = text.splitlines(keepends=True) if "\r" not in text and "\x1c" not in text else [x + "\n" for x in text.split("\n")]
+            ends = np.cumsum([len(x) for x in lines]) if lines else np.array([0])
+            for a, b in library(text).offsets:
+                want[r["doc_id"], int(np.searchsorted(ends, a if rule == "first" else b - 1, side="right"))] += 1
+        got = Counter()
+        for r in counts.attribute(docs, tokens.definition(PATH), rule=rule).collect():
+            got[r["doc_id"], r["section"]] += r["n_tokens"]
+        assert +got == want
+
+
+def test_token_counts_of_fields(spark, empty, library):
+    text = "title here\nbody of the text"
+    rows = [(1, text, [{"name": "title", "begin": 0, "end": 7}, {"name": "body", "begin": 11, "end": 27}]), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<name:string,begin:int,end:int>>")
+    got = {(r["doc_id"], r["name"]): r["n_tokens"] for r in counts.attribute(docs, tokens.definition(PATH), "parts").collect()}
+    assert sum(got.values()) == len(library(text).ids) and got[1, "title"] >= 1 and got[1, "body"] == len(library("body of the text").ids)
+    assert counts.attribute(empty, tokens.definition(PATH)).count() == 0
+
+
+def test_license_scan(spark, odd, empty):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
+    words = mit.split()
+    changed = " ".join(w for k, w in enumerate(words) if k % 13)
+    rows = [(1, f"Some words first. {mit} And after."), (2, f"Before. {changed} After."), (3, "Released under the MIT License."), (4, "the of and to this software license is a word"), (5, "x licensed under cc by nc 4 0 y")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == {(1, "MIT"), (2, "MIT"), (3, "MIT-line"), (5, "CC-BY-NC-4.0-line")}
+    one = next(r for r in found if r["doc_id"] == 1)
+    assert rows[0][1][one["begin"] : one["end"]] == mit.rstrip(".") and one["coverage"] == 1
+    assert licenses.scan(odd).count() == licenses.scan(empty).count() == 0
+
+
+def test_license_scan_finds_every_line(spark, sf):
+    lines = {"Released under the MIT License.": "MIT-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-line", "All rights reserved.": "all-rights-reserved"}
+    want = {(d, name) for d, t in texts_of(spark, sf).items() for line, name in lines.items() if line in t.split("\n")}
+    got = {(r["doc_id"], r["license"]) for r in queries.op7_license_scan(spark, sf).collect()}
+    assert want <= got and {g for g in got if g[1] in lines.values()} == want
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in queries.op8_quality(spark, sf).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(rows[d]["score"], q) for d, q in labels.items() if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 for r in rows.values())
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert auc > 0.95 and np.mean([(s >= 0.3) == q for s, q in held]) > 0.95
+
+
+def test_quality_odd(spark, odd, empty):
+    model = quality.fit(spark.createDataFrame([(k, "good words in a row", 1) if k % 2 else (k, "$$$ ### !!!", 0) for k in range(20)], "doc_id long, text string, quality int"), neighbours=3)
+    rows = quality.score(odd, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["score"] for r in rows if r["doc_id"] in (0, 1)} == {0.5}
+    assert quality.score(empty, model).count() == 0
+    none = quality.fit(empty.withColumn("quality", empty["doc_id"]))
+    assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
+
+
+def brute_top(rows, k=5, every=50):
+    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, v in good:
+        if i % every == 0:
+            found = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def test_topk_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op9_topk(spark, sf).collect())
+    assert got == brute_top(rows)
+
+
+def test_topk_odd(spark):
+    nan = float("nan")
+    rows = [(0, [0.5, -0.25]), (50, [0.5, -0.25]), (1, [0.5, -0.25]), (2, None), (3, [nan, 0.0]), (4, [None, 0.5]), (5, [0.0, 0.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (4096, 1):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame, query_block=block).collect())
+        assert got == brute_top(rows)
+    assert topk.search(frame.limit(0)).count() == 0
+
+
+def test_topk_many_blocks_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 6) / 256]) for k in range(301)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect())
+    assert got == brute_top(rows)
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in queries.op10_language(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = [(rows[r["doc_id"]]["lang_pred"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(rows) == 1000 and np.mean([a == b for a, b in held]) > 0.97
+
+
+def test_language_mixture(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[r["lang"]].append(r["text"])
+    half = max(by["en"], key=len)[:4000] + "\n" + max(by["de"], key=len)[:4000]
+    _, score, found, foreign = langid.infer(model, half)
+    assert {a for a, _ in found} == {"en", "de"} and 0.3 < score < 0.75 and not foreign
+    # The maximum of the likelihood, by a grid.
+    p = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])
+    n = np.array([10.0, 7.0, 12.0])
+    share, value = langid.mixture(p, n, steps=5000, close=1e-12)
+    grid = [float(n @ np.log(np.array([a, 1 - a]) @ p)) for a in np.linspace(0, 1, 10001)]
+    assert abs(value - max(grid)) < 1e-6
+
+
+def test_language_odd(spark, odd, empty):
+    model = langid.fit(spark.createDataFrame([("one two three words", "en"), ("eins zwei drei worte", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
+    rows = langid.predict(odd, model).collect()
+    assert len(rows) == len(ODD) and {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2)} == {"und"}
+    assert langid.accepted(odd, model).count() <= len(ODD) - 3 and langid.accepted(empty, model).count() == 0
+    nothing = langid.fit(empty)
+    assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_pipeline(spark, sf, library):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    columns = docs.columns
+    kept = stages["language"](spark, docs, sf)
+    assert kept.columns == columns and kept.count() == docs.count()
+    with_junk = docs.unionByName(spark.createDataFrame([(10**6, "12 34 !!", "en", "s", 8), (10**6 + 1, None, "en", "s", 0)], docs.schema))
+    assert stages["language"](spark, with_junk, sf).count() == docs.count()
+    alone = stages["near_duplicates"](spark, docs, sf)
+    texts = texts_of(spark, sf)
+    fps = {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
+    groups = brute_components(list(fps), list(fps.values()), 4)
+    assert {r["doc_id"] for r in alone.collect()} == set(groups.values()) and alone.columns == columns
+    cut = stages["repeated_passages"](spark, docs, sf)
+    assert cut.columns == columns and all(len(r["text"]) == r["n_chars"] for r in cut.collect())
+    assert cut.schema == docs.schema
+    clean = stages["benchmark_leaks"](spark, docs, sf)
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, t in texts.items() if not any(containment(x, t) >= 0.8 for x in items)}
+    whole = corpus_pipeline.run(spark, sf).collect()
+    assert whole and {r["doc_id"] for r in whole} <= set(groups.values())
+    assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
+
+
+def test_no_query_has_sql_without_being_registered():
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+    assert json.dumps(sorted(queries.queries()))
