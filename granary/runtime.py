@@ -46,7 +46,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/granary-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    # Small row groups: a writer holds one in memory.
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     with _lock:
         _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
