@@ -38,9 +38,18 @@ def _depth(t: Column) -> Column:
     return F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(3)))
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: inside a lambda nothing else shares subexpressions."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def promoted_level(text: Column) -> Column:
     """Level 1 to 3 of a paragraph that is a title in all but name, else null. Years and dates are no numbers of chapters."""
-    t = trimmed(text)
+    return promoted(trimmed(text))
+
+
+def promoted(t: Column) -> Column:
+    """``promoted_level`` of a trimmed text."""
     number = F.regexp_extract(t, NUMERIC, 1)
     date = (F.length(F.element_at(F.split(number, r"\."), 1)) >= 4) | t.rlike(r"^\d+(?:\.\d+){0,2}(?:\s|$)\s*[年月日]")
     first = F.lit(False)

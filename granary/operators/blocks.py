@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.structure import promoted_level
+from granary.functions.structure import let, promoted
+from granary.functions.text import trimmed
 
 RUNS = "array<struct<type:string,content:string,text:string>>"
 PAGES = (
@@ -30,8 +31,8 @@ def _block(page: Column, kind: Column, **values: Column) -> Column:
 
 
 def _paragraph(page: Column, text: Column) -> Column:
-    level = promoted_level(text)
-    return _block(page, F.when(level.isNotNull(), "title").otherwise("paragraph"), level=level, text=text)
+    made = lambda level: _block(page, F.when(level.isNotNull(), "title").otherwise("paragraph"), level=level, text=text)
+    return let(trimmed(text), lambda t: let(promoted(t), made))
 
 
 def from_pages(docs: DataFrame, json_col: str = "json", id_col: str = "doc_id") -> DataFrame:
