@@ -92,21 +92,27 @@ class Model:
         return np.where(total > 0, (w * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12), self.mean)
 
 
-def fit(labelled: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = 2000, dimensions: int = 64, neighbours: int = 15, seed: int = 5) -> Model:
-    """Fit on at most ``per_label`` rows of each of the labels 0 and 1, chosen by the hash of their id."""
-    runtime.ship(labelled.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = 2000, dimensions: int = 64, neighbours: int = 15, seed: int = 5) -> Model:
+    """Fit on at most ``per_label`` rows of each of the labels 0 and 1, chosen by the hash of their id.
+
+    The sample is drawn from the labels, so it is bounded before it is broadcast to meet the texts.
+    """
+    runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in tokens.portions(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms(x).astype(np.float16).tobytes() for x in held], pa.binary())], names=["label", "hash", "terms"])
 
-    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("long")).alias("hash"), F.col(text_col).alias("text"))
-    x, labels = [], []
+    marked = labels.select(F.col(label_col).cast("int").alias("label"), F.col(id_col).cast("long").alias("id")).where("id is not null").withColumn("hash", F.xxhash64("id"))
+    sample = None
     for label in (0, 1):
-        some = rows.where(F.col("label") == label).orderBy("hash").limit(per_label)
-        held = sorted(some.mapInArrow(run, "label int, hash long, terms binary").collect(), key=lambda r: (r["hash"], r["terms"]))
-        x += [np.frombuffer(r["terms"], np.float16).astype(np.float32) for r in held]
-        labels += [label] * len(held)
+        some = marked.where(F.col("label") == label).orderBy("hash").limit(per_label)
+        sample = some if sample is None else sample.unionByName(some)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").select("label", "hash", "text")
+    held = rows.mapInArrow(run, "label int, hash long, terms binary").orderBy("hash", "terms").limit(2 * per_label).collect()
+    x = [np.frombuffer(r["terms"], np.float16).astype(np.float32) for r in held]
+    labels = [r["label"] for r in held]
     if not x:
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours)
     x = np.stack(x)

@@ -52,7 +52,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(f"not ({HELD_OUT})").select("doc_id", "quality")
-    scored = quality.score(docs, quality.fit(docs.select("doc_id", "text").join(labels, "doc_id")))
+    scored = quality.score(docs, quality.fit(docs, labels))
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
