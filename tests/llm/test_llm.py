@@ -256,7 +256,7 @@ def test_simhash_links_are_exact_with_tiles(spark, monkeypatch):
             f ^= 1 << int(rng.integers(0, 62))
         fps.add(f)
     fps = sorted(fps)
-    links = simhash.links(spark.createDataFrame(list(enumerate(fps)), "rep long, fp long"))
+    links = simhash.links(spark.createDataFrame([(k, bytearray(struct.pack("<q", f))) for k, f in enumerate(fps)], "rep long, sig binary"))
     found = {r["node"]: r["component"] for r in components.components(links).collect()}
     want = brute_components(list(range(len(fps))), [f & (2**64 - 1) for f in fps], 4)
     assert {k: found.get(k, k) for k in range(len(fps))} == want
@@ -269,6 +269,62 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def similar_groups(texts):
+    """Components by brute force over signatures: a shared block, and the compared words within the bound."""
+    plan = simhash.SIMILAR
+    sigs = {d: np.frombuffer(simhash.signature(t or ""), "<u8") for d, t in texts.items()}
+    blocks = {d: [int(x) >> (k * plan.width) & (1 << plan.width) - 1 for x in s for k in range(plan.blocks)] for d, s in sigs.items()}
+    parent = {d: d for d in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if j < i and (np.bitwise_count(sigs[i][: plan.compared] ^ sigs[j][: plan.compared]).sum() <= plan.distance) and any(a == b for a, b in zip(blocks[i], blocks[j])):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {d: root(d) for d in texts}
+
+
+def jaccard(a, b, width=5):
+    sets = []
+    for text in (a, b):
+        w = (text or "").lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    rows, family = [], {}
+    for k in range(60):
+        words = rng.choice(vocabulary, int(rng.integers(80, 400))).tolist()
+        rows.append((k, " ".join(words)))
+        for n in range(3):
+            changed = list(words)
+            for p in rng.choice(len(words), max(1, int(len(words) * rng.choice([0.005, 0.01, 0.015, 0.1]))), replace=False):
+                changed[p] = f"new{rng.integers(10**9)}"
+            rows.append((1000 + 10 * k + n, " ".join(changed).upper() if n == 2 else " ".join(changed)))
+            family[1000 + 10 * k + n] = k
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    near = [(d, k) for d, k in family.items() if jaccard(texts[d], texts[k]) >= 0.8]
+    assert len(near) > 80 and np.mean([found[d] == found[k] for d, k in near]) > 0.99
+    assert all(found[d] in (d, family.get(d, d), *range(1000 + 10 * family.get(d, -1000), 1003 + 10 * family.get(d, -1000))) for d in found)
+    far = [(d, k) for d, k in family.items() if jaccard(texts[d], texts[k]) < 0.45]
+    assert far and not any(found[d] == found[k] for d, k in far)
+    assert found == similar_groups(texts)
+
+
+def test_similar_documents_odd(odd, empty):
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(odd).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (7, 7), (8, 8)}
+    assert simhash.similar_documents(empty).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(1000, 1300)] + [(5, 5)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -363,12 +419,13 @@ def test_quality_held_out(spark):
 
 
 def test_quality_odd(spark, odd, empty):
-    model = quality.fit(spark.createDataFrame([(k, "good words in a row", 1) if k % 2 else (k, "$$$ ### !!!", 0) for k in range(20)], "doc_id long, text string, quality int"), neighbours=3)
+    taught = spark.createDataFrame([(k, "good words in a row", 1) if k % 2 else (k, "$$$ ### !!!", 0) for k in range(20)], "doc_id long, text string, quality int")
+    model = quality.fit(taught, taught, neighbours=3)
     rows = quality.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in rows if r["doc_id"] in (0, 1)} == {0.5}
     assert quality.score(empty, model).count() == 0
-    none = quality.fit(empty.withColumn("quality", empty["doc_id"]))
+    none = quality.fit(empty, empty.withColumn("quality", empty["doc_id"]))
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
 
 
@@ -452,8 +509,7 @@ def test_pipeline(spark, sf, library):
     assert stages["language"](spark, with_junk, sf).count() == docs.count()
     alone = stages["near_duplicates"](spark, docs, sf)
     texts = texts_of(spark, sf)
-    fps = {d: simhash.fingerprint(t, 5) for d, t in texts.items()}
-    groups = brute_components(list(fps), list(fps.values()), 4)
+    groups = similar_groups(texts)
     assert {r["doc_id"] for r in alone.collect()} == set(groups.values()) and alone.columns == columns
     cut = stages["repeated_passages"](spark, docs, sf)
     assert cut.columns == columns and all(len(r["text"]) == r["n_chars"] for r in cut.collect())
