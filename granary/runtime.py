@@ -24,8 +24,8 @@ _shipped: set[str] = set()
 _tables: dict[str, list[str]] = {}
 _lock = threading.Lock()
 
-#: Arrow batches towards Python hold at most so many rows, so that a batch of very long texts stays small.
-BATCH_ROWS = 256
+#: Arrow batches towards Python hold at most so many rows and bytes, so that a batch of very long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -76,6 +76,7 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.sparkContext.addPyFile(_zipped())
             _shipped.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -89,6 +90,13 @@ def _zipped() -> str:
     return path
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the session asks of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
