@@ -4,29 +4,47 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-# A piece is a word with the space before it, or a run of white space. In a text whose only white space
-# is single spaces and single line feeds between words, byte-level BPE never merges across these cuts,
-# so a piece always gets the same ids. Other texts go to the library whole.
-_pieces = re.compile(r" ?\S+|\s+").findall
-
 _encoders: dict[str, "Encoder"] = {}
 
 
+# Words of at most so many bytes are kept; a text with a longer one goes to the library whole.
+_WIDE = 4
+_LONGEST = 8 * _WIDE
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _other_space(raw: np.ndarray) -> np.ndarray:
+    """Bytes that begin white space other than a space and a line feed, ASCII or not. The buffer ends in 4 spare bytes."""
+    found = np.flatnonzero(_ODD[raw[:-4]])
+    lead = np.flatnonzero((raw[:-4] == 0xC2) | ((raw[:-4] >= 0xE1) & (raw[:-4] <= 0xE3)))
+    if len(lead):
+        a, b, c = raw[lead], raw[lead + 1], raw[lead + 2]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+        rare = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        found = np.concatenate([found, lead[two | general | rare]])
+    return found
+
+
 class Encoder:
     """Ids of whole texts, exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Ids of words are kept between calls, at most ``keep`` of them; words met once are the first to go.
-    Strings of special tokens in a text count as ordinary text.
+    Byte-level BPE never merges across the cuts between words, so a word with the space before it always
+    gets the same ids. Words are found by array operations on the bytes of many texts at once, and the
+    library encodes each only when it is new; their ids are kept in a hash table of arrays, of at most
+    ``keep`` words, and those met once are the first to go. A text with other white space than single
+    spaces and line feeds, or with a word of more than 32 bytes, goes to the library whole. Strings of
+    special tokens in a text count as ordinary text.
     """
 
-    def __init__(self, definition: str, keep: int = 300_000):
+    def __init__(self, definition: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,39 +55,81 @@ class Encoder:
         # The short cut needs byte-level BPE without a normaliser, and one id for a line feed that no word has.
         self.by_word = '"type":"ByteLevel"' in definition.replace(" ", "") and self.tokenizer.normalizer is None and len(self.newline) == 1
         self.by_word = self.by_word and '"add_prefix_space":true' not in definition.replace(" ", "").partition('"decoder"')[0]
-        self.index: dict[str, int] = {}
-        self._fill([], np.empty(0, np.uint32), np.empty(0, np.int64))
-
-    def _fill(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.index = {"\n": 0} | dict(zip(words, range(1, len(words) + 1)))
-        self.ids = np.concatenate([np.asarray(self.newline, np.uint32), ids])
-        self.ends = np.concatenate([[0, len(self.newline)], len(self.newline) + np.cumsum(lengths)]).astype(np.int64)
-        self.seen = np.zeros(len(words) + 1, np.int64)
+        self._fill(np.zeros((0, _WIDE), np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _fill(self, rows: np.ndarray, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.n = 0
+        self.rows = np.zeros((self.keep + 1024, _WIDE), np.uint64)
+        self.ends = np.zeros(self.keep + 1025, np.int64)
+        self.ids = np.zeros(4 * self.keep + 4096, np.uint32)
+        self.seen = np.zeros(self.keep + 1024, np.int32)
+        self.bits = max(12, int(2 * max(self.keep, 1)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.slot_hash = np.zeros(1 << self.bits, np.uint64)
+        self._insert(rows, hashes, ids, lengths)
+
+    def _insert(self, rows: np.ndarray, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, top = self.n + len(rows), int(self.ends[self.n]) + len(ids)
+        if n > len(self.rows):
+            more = n + n // 8
+            self.rows = np.concatenate([self.rows[: self.n], np.zeros((more - self.n, _WIDE), np.uint64)])
+            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros(more - self.n, np.int64)])
+            self.seen = np.concatenate([self.seen[: self.n], np.zeros(more - self.n, np.int32)])
+        if top > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.ends[self.n]], np.zeros(top + top // 8 - int(self.ends[self.n]), np.uint32)])
+        self.rows[self.n : n] = rows
+        self.ids[self.ends[self.n] : top] = ids
+        self.ends[self.n + 1 : n + 1] = self.ends[self.n] + np.cumsum(lengths)
+        entry = np.arange(self.n, n, dtype=np.int32)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.n = n
+        last = len(self.slots) - 1
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            lost = self.slots[slot] != entry
+            won = ~lost
+            self.slot_hash[slot[won]] = hashes[won]
+            entry, hashes, slot = entry[lost], hashes[lost], (slot[lost] + 1) & last
+
+    def _find(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out = np.full(len(rows), -1, np.int64)
+        at = np.arange(len(rows))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        last = len(self.slots) - 1
+        while len(at):
+            entry = self.slots[slot]
+            hit = (entry >= 0) & (self.slot_hash[slot] == hashes[at])
+            same = hit.copy()
+            same[hit] = (self.rows[entry[hit]] == rows[at[hit]]).all(axis=1)
+            out[at[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            at, slot = at[on], (slot[on] + 1) & last
+        return out
 
     def _forget(self) -> None:
         """Keep the words met more than once since the last time, at most half of what is allowed."""
-        words = list(self.index)
-        often = np.flatnonzero(self.seen[1:] > 1) + 1
-        often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: self.keep // 2]])
-        lengths = np.diff(self.ends)[often]
-        self._fill([words[i] for i in often.tolist()], self.ids[_ranges(self.ends[often], lengths)], lengths)
-
-    def _learn(self, words: list[str]) -> None:
+        seen = self.seen[: self.n]
+        often = np.flatnonzero(seen > 1)
+        often = np.sort(often[np.argsort(-seen[often], kind="stable")[: self.keep // 2]])
+        lengths = np.diff(self.ends[: self.n + 1])[often]
+        rows = self.rows[often]
+        self._fill(rows, _mixed(rows), self.ids[_ranges(self.ends[often], lengths)], lengths)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, end to end, and how many each has."""
         found, lengths = [], []
-        joined = ["\n".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        joined = [b"\n".join(words[k : k + 500]).decode() for k in range(0, len(words), 500)]
         for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.asarray(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.newline[0])
             lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             found.append(np.delete(ids, cuts))
-        lengths = np.concatenate(lengths)
-        if len(lengths) != len(words):
+        counts = np.concatenate(lengths)
+        if len(counts) != len(words):
             raise ValueError("a word holds a line feed")
-        base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words))))
-        self.ids = np.concatenate([self.ids, *found])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        return np.concatenate(found), counts
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -78,36 +138,81 @@ class Encoder:
         """Ids of each text, uint32."""
         if not self.by_word:
             return [self.whole(x) for x in texts]
-        if len(self.index) > self.keep:
+        if self.n > self.keep:
             self._forget()
-        pieces = [_pieces(x) for x in texts]
-        flat = list(chain.from_iterable(pieces))
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        # Texts lie end to end, each before a byte that UTF-8 does not have.
+        coded = [x.encode("utf-8", "replace") for x in texts]
+        data = b"\xff".join(coded) + b"\xff" + b"\0" * _LONGEST
+        raw = np.frombuffer(data, np.uint8)
+        size = len(data) - _LONGEST
+        text_ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) + 1) - 1
+        space, feed = raw == 32, raw == 10
+        mark = raw == 0xFF
+        cut = space | feed | mark
+        begins = cut.copy()
+        begins[1:] |= (feed | mark)[:-1]
+        begins[0] = True
+        start = np.flatnonzero(begins[:size])
+        length = np.diff(np.append(start, size))
+        # A space must lead a word, and a line feed must not follow white space.
+        bad = (space[:-1] & cut[1:]) | (feed[:-1] & feed[1:])
+        odd = np.concatenate([np.flatnonzero(bad[:size]), _other_space(raw[: size + 4]), start[length > _LONGEST]])
+        words = np.minimum(length, _LONGEST)
+        rows = np.empty((len(start), _WIDE), np.uint64)
+        loads = np.lib.stride_tricks.as_strided(np.frombuffer(data, "<u8", 1), (len(data) - 7,), (1,))
+        rows[:, 0] = loads[start] & _LOW[np.minimum(words, 8)]
+        rows[:, 1:] = 0
+        for k in range(1, _WIDE):
+            long = np.flatnonzero(words > 8 * k)
+            rows[long, k] = loads[start[long] + 8 * k] & _LOW[np.clip(words[long] - 8 * k, 0, 8)]
+        hashes = _mixed(rows)
+        at = self._find(rows, hashes)
+        marks = np.flatnonzero(mark[start])
         missing = np.flatnonzero(at < 0)
+        first = raw[start[missing]]
+        missing = missing[(first != 0xFF) & (first != 10) & (length[missing] <= _LONGEST)]
+        single = np.flatnonzero(space[start] & (length == 1))
+        missing = np.setdiff1d(missing, single, assume_unique=True) if len(single) else missing
         if len(missing):
-            lost = [flat[i] for i in missing.tolist()]
-            if fresh := [x for x in dict.fromkeys(lost) if not x[-1].isspace()]:
-                self._learn(fresh)
-            at[missing] = np.fromiter(map(self.index.get, lost, repeat(-1)), np.int64, len(lost))
-        odd = at < 0  # white space other than one line feed
-        use = np.where(odd, 0, at)
-        self.seen += np.bincount(use, minlength=len(self.seen))
-        start, n = self.ends[use], self.ends[use + 1] - self.ends[use]
-        ids = self.ids[_ranges(start, n)]
-        piece_ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        id_ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], piece_ends])]
-        out = [ids[id_ends[k] : id_ends[k + 1]] for k in range(len(texts))]
-        # A line feed beside a space is one run of white space, so it is odd already.
-        for k in set(np.searchsorted(piece_ends, np.flatnonzero(odd), side="right").tolist()):
+            _, one, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            fresh = missing[one]
+            clash = missing[(rows[missing] != rows[fresh[back]]).any(axis=1)]
+            odd = np.concatenate([odd, start[clash]])
+            base = self.n
+            self._insert(rows[fresh], hashes[fresh], *self._learn([data[a:b] for a, b in zip(start[fresh].tolist(), (start[fresh] + length[fresh]).tolist())]))
+            at[missing] = base + back
+        feeds = feed[start]
+        use = np.maximum(at, 0)
+        n = np.where(at >= 0, self.ends[use + 1] - self.ends[use], 0)
+        self._count(at)
+        n[feeds] = 1
+        n[marks] = 0
+        ids = self.ids[_ranges(np.where(feeds, 0, self.ends[use]), n)]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids[total[:-1][feeds]] = self.newline[0]
+        stops = total[marks]
+        out = np.split(ids, stops[:-1])
+        for k in set(np.searchsorted(text_ends, odd, side="left").tolist()):
             out[k] = self.whole(texts[k])
         return out
 
+    def _count(self, at: np.ndarray) -> None:
+        self.seen[: self.n] += np.bincount(at[at >= 0], minlength=self.n).astype(np.int32)
+
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for; byte-level vocabularies write a byte as one character."""
         size = self.tokenizer.get_vocab_size()
         return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
 
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(_WIDE):
+        h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
     ends = np.cumsum(n)
@@ -129,7 +234,7 @@ def definition(path: str) -> str:
         return f.read()
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def portions(batches: Iterator[pa.RecordBatch], text: str, chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut to about so many characters of text each, with the texts; null counts as empty."""
     for batch in batches:
         texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
