@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary import runtime
@@ -32,7 +32,7 @@ BITS, LOW = 20, 31
 LANES, EVERY = 1024, 256
 BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4sIQQI")
-BLOCKS = "shard int, block int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
+BLOCKS = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -172,17 +172,17 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
     ids, kind = tokenize(docs, definition, end_id, id_col, text_col)
     share = shares(frequencies(ids, kind, max(end_id + 1, tokens.encoder(definition).tokenizer.get_vocab_size())))
     shared = spark.sparkContext.broadcast(share)
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, block = Coder(shared.value), TaskContext.get().partitionId(), 0
         names: list = []
         held: list[np.ndarray] = []
-        size = 0
+        size = before = 0
 
         def flush() -> pa.RecordBatch:
             payload = coder.encode(np.concatenate(held).astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, block, names, [len(x) for x in held], size, payload), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, block, before, names, [len(x) for x in held], size, payload), schema)], schema=schema)
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -191,7 +191,7 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield flush()
-                    names, held, size, block = [], [], 0, block + 1
+                    names, held, before, size, block = [], [], before + size, 0, block + 1
         if held:
             yield flush()
 
@@ -205,29 +205,26 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
 def read(blocks: DataFrame, share: np.ndarray) -> DataFrame:
     """Decode the files: doc_id, start, n_tokens, ids (little-endian uint32) of every document.
 
-    Only one total for each shard reaches the driver; starts within a shard come from a window over it.
+    A block knows how many ids lie before it in its shard; only one total for each shard reaches the driver. No shuffle.
     """
     spark = runtime.ship(blocks.sparkSession)
     totals = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
-    before, at = {}, 0
+    first, at = {}, 0
     for shard in sorted(totals):
-        before[shard] = at
+        first[shard] = at
         at += totals[shard]
-    first = spark.createDataFrame([(k, v) for k, v in before.items()], "shard int, before long")
-    order = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("within")).join(F.broadcast(first), "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("start"))
-    shared = spark.sparkContext.broadcast(share)
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    shared = spark.sparkContext.broadcast((share, first))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        share, first = shared.value
+        coder = Coder(share)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, block, docs, lengths, _, payload = (batch.column(c)[i].as_py() for c in range(6))
+                shard, _, before, docs, lengths, _, payload = (batch.column(c)[i].as_py() for c in range(7))
                 ids = coder.decode(payload).astype("<u4")
                 ends = np.cumsum(lengths)
                 parts = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int32()), pa.array([block] * len(docs), pa.int32()), pa.array(ends - lengths, pa.int64()), pa.array(docs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - lengths + before + first[shard], pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], schema=schema)
 
-    docs = blocks.mapInArrow(run, "shard int, block int, at long, doc_id long, n_tokens long, ids binary")
-    return docs.join(offsets, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
