@@ -72,6 +72,8 @@ def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col:
     """Spans to remove: doc_id, begin, end, words, units, kept_doc_ids (documents that keep the same units)."""
     every = units(docs, unit, id_col, text_col)
     kept = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keeper")
+    # Stored, so that both sides of the join are plain exchanges and a digest with very many occurrences can be split.
+    kept = runtime.materialize(kept, "repeated-units")
     again = every.join(kept, ["h1", "h2"]).where("not (doc_id = keeper and first)").select("doc_id", "no", "begin", "end", "words", "keeper")
     order = Window.partitionBy("doc_id").orderBy("no")
     runs = again.withColumn("run", F.col("no") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.array_sort(F.collect_set("keeper")).alias("kept_doc_ids"))
