@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from granary import runtime
 from granary.llm import counts, decontam, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
 
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+#: A row without an id is never held out.
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

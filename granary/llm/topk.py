@@ -10,7 +10,7 @@ from them exactly.
 Queries are taken in blocks of ``query_block`` rows, each broadcast at that bound and run over all rows.
 
 Defined results: a vector that is null, or has a null or non-finite component, takes no part; neither does one without
-an id; vectors of another length than the commonest raise an error; with fewer than k candidates all are returned; rows of
+an id, or of another length than the commonest (of equals the longest); with fewer than k candidates all are returned; rows of
 equal id are candidates each, and none of them for a query of that id; an empty table gives no row; extra columns are ignored.
 """
 
@@ -153,6 +153,8 @@ def search(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5, s
     """(query_id, rank, vec_id, score): the k best candidates of each row whose id satisfies ``query_ids``."""
     spark = runtime.ship(vectors.sparkSession)
     rows = runtime.materialize(quantized(vectors, scale, id_col, vector_col), "quantized")
+    commonest = rows.groupBy(F.size("q").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    rows = rows.where(F.size("q") == (commonest["size"] if commonest and commonest["size"] > 0 else -1))
     queries = rows.where(query_ids)
     n = queries.count()
     blocks = -(-n // query_block)

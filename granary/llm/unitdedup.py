@@ -15,6 +15,7 @@ extra columns are passed through by ``dedup`` whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,34 @@ UNITS = {
     "line": re.compile(r"\S[^\n]*"),
     "paragraph": re.compile(r"\S[^\n]*(?:\n(?![ \t]*(?:\n|\Z))[^\n]*)*"),
 }
+#: A unit of more words is cut further, after words that a hash picks (one of eight), so that what two long units share
+#: falls into the same parts.
+LONG = 24
+_word = re.compile(r"\S+")
 LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, h1 long, h2 long, no int, begin int, end int, words int, first boolean"
 
 
+def split(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
+    """(begin, end, normalised words) of the units of a text."""
+    for m in pattern.finditer(text):
+        words = m.group().lower().split()
+        if len(words) <= LONG:
+            yield m.start(), m.end(), words
+            continue
+        held: list[str] = []
+        begin = end = m.start()
+        for w in _word.finditer(text, m.start(), m.end()):
+            begin = begin if held else w.start()
+            end = w.end()
+            held.append(w.group().lower())
+            if zlib.crc32(held[-1].encode("utf-8", "replace")) % 8 == 0:
+                yield begin, end, held
+                held = []
+        if held:
+            yield begin, end, held
+
+
 def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every unit of every text with its digest; ``first``: no earlier unit of the same text has that digest."""
     runtime.ship(docs.sparkSession)
@@ -42,18 +67,17 @@ def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
-        find = re.compile(pattern).finditer
+        find = re.compile(pattern)
         for batch, held in tokens.portions(batches, "text", 400_000):
             docs, counts, no, begin, end, words, raw, first = batch.column(0).to_pylist(), [], [], [], [], [], [], []
             for text in held:
                 seen: set[bytes] = set()
                 n = 0
-                for m in find(text):
-                    w = m.group().lower().split()
+                for a, b, w in split(text, find):
                     d = digest(" ".join(w).encode("utf-8", "replace"))
                     no.append(n)
-                    begin.append(m.start())
-                    end.append(m.end())
+                    begin.append(a)
+                    end.append(b)
                     words.append(len(w))
                     raw.append(d)
                     first.append(d not in seen)
@@ -82,10 +106,11 @@ def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col:
 
 def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated spans cut from their texts; all rows and columns stay."""
-    spans = repeats(docs, unit, min_words, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("granary_spans")).withColumnRenamed("doc_id", "granary_id")
-    ends = F.concat(F.array(F.lit(0)), F.transform("granary_spans", lambda s: s["end"]))
-    begins = F.concat(F.transform("granary_spans", lambda s: s["begin"]), F.array(F.length(text_col)))
+    own, key = runtime.fresh("granary_spans", docs), runtime.fresh("granary_id", docs)
+    spans = repeats(docs, unit, min_words, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(own)).withColumnRenamed("doc_id", key)
+    ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["end"]))
+    begins = F.concat(F.transform(own, lambda s: s["begin"]), F.array(F.length(text_col)))
     pieces = F.transform(F.arrays_zip(ends.alias("b"), begins.alias("e")), lambda p: F.substring(F.col(text_col), p["b"] + 1, p["e"] - p["b"]))
-    cut = F.when(F.col("granary_spans").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
-    joined = docs.join(spans, docs[id_col].cast("long") == spans["granary_id"], "left")
+    cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
+    joined = docs.join(spans, docs[id_col].cast("long") == spans[key], "left")
     return joined.withColumn(text_col, cut).select(*docs.columns)

