@@ -9,14 +9,12 @@ cuts the lineage outlives the executors that wrote it.
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import threading
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -73,20 +71,24 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     with _lock:
         if app not in _shipped:
-            spark.sparkContext.addPyFile(_zipped())
+            spark.sparkContext.addPyFile(_zipped(spark))
             _shipped.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
-def _zipped() -> str:
+def _zipped(spark: SparkSession) -> str:
+    """The package as an archive in the shared folder."""
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
-    path = os.path.join(tempfile.mkdtemp(prefix="granary-code-"), "granary_code.zip")
-    Path(path).write_bytes(held.getvalue())
+    path = f"{scratch_root(spark)}/granary-code-{uuid.uuid4().hex}.zip"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm_path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
     return path
 
 
@@ -100,7 +102,3 @@ def fresh(name: str, df: DataFrame) -> str:
 def partitions(spark: SparkSession) -> int:
     """How many partitions the session asks of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def context() -> SparkContext:
-    return SparkContext._active_spark_context
