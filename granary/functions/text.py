@@ -235,3 +235,34 @@ def sanitize_html(html: Column) -> Column:
     c = F.regexp_replace(c, r"(?is)</?(?:script|style|iframe|object|embed|noscript|template|link|meta|base)\b[^>]*>", "")
     c = F.regexp_replace(c, r"(?is)\s+on[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
     return F.regexp_replace(c, r"(?is)(href|src)\s*=\s*([\"'])\s*javascript:[^\"']*\2", "$1=$2#$2")
+
+
+def plain_text(b: Column) -> Column:
+    """A block as plain text: a title marked by its level, a table as what it shows, an image by its caption."""
+    kind = b["block_type"]
+    level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(b["level"], F.lit(2))))
+    return F.when(kind == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), b["text"])).when(kind == "table", strip_tags(b["table_html"])).when(kind == "image", F.coalesce(b["image_caption"], F.lit(""))).otherwise(F.coalesce(b["text"], F.lit("")))
+
+
+def now_text() -> Column:
+    """The time as the ledger writes it, in UTC if the session is."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
+def profile_entries(value: Column) -> Column:
+    """Entries of a crawl profile: a JSON list or lines of ``URL<TAB>label``, as structs; blank ones go."""
+    listed = F.from_json(value, "array<string>")
+    raw = F.when(F.ltrim(value).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.split(F.coalesce(value, F.lit("")), "\n"))
+    entry = lambda e: F.struct(F.btrim(F.element_at(F.split(e, "\t", 2), 1)).alias("url"), F.coalesce(F.btrim(F.get(F.split(e, "\t", 2), F.lit(1))), F.lit("")).alias("label"))
+    return F.filter(F.transform(raw, entry), lambda e: e["url"] != "")
+
+
+def within(base: Column, path: Column) -> Column:
+    """Whether a path lies in a folder, part by part: neither a sibling's longer name nor dots lead out of it."""
+    root = F.regexp_replace(base, "/+$", "")
+    return ~F.array_contains(F.split(path, "/"), "..") & ((path == root) | F.startswith(path, F.concat(root, F.lit("/"))))
+
+
+def active_profile(active: Column, kind: Column, old: Column) -> Column:
+    """The active profile of a type, else the single one of older files."""
+    return F.coalesce(F.element_at(active, kind), old)

@@ -230,3 +230,45 @@ def verify_key(keys: DataFrame, tenants: DataFrame) -> DataFrame:
     t = tenants.where("status = 'active'").select("tenant_id", "api_key_hash")
     hashed = keys.withColumn("api_key_hash", F.sha2("api_key", 256))
     return hashed.join(t, "api_key_hash", "left").select(*keys.columns, F.when(F.col("api_key").isNull(), "default").otherwise(F.col("tenant_id")).alias("tenant_id"))
+
+
+def keyword_rows(rows: DataFrame, keyword: str, columns: list[str]) -> DataFrame:
+    """Rows of which some column holds the keyword, without case; no keyword keeps all."""
+    if not keyword.strip():
+        return rows
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(keyword.strip().lower()))
+    return rows.where(hit)
+
+
+def list_segments(segments: DataFrame, order: list[str], keyword: str = "", status: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of segments by keyword and status, in their order."""
+    rows = keyword_rows(segments, keyword, ["content"])
+    rows = rows.where(F.col("status") == status) if status else rows
+    return rows.orderBy(*order).offset(max(0, page - 1) * limit).limit(limit)
+
+
+def not_persisted(created: DataFrame, current: DataFrame, key: str = "segment_id") -> DataFrame:
+    """What was created and is not there any more."""
+    return created.join(current.select(key), key, "left_anti")
+
+
+def landing(items: DataFrame, confirmed: DataFrame, known: DataFrame) -> DataFrame:
+    """Confirmed items of a crawl and what becomes of them: failed, unchanged, or landed."""
+    last = latest(known, ["url"], ["id"]).select("url", F.col("content_hash").alias("prev_hash"))
+    rows = items.join(confirmed.select("url").distinct(), "url", "left_semi").join(last, "url", "left")
+    return rows.withColumn("action", F.when(~F.col("ok"), "FAILED").when(F.col("content_hash") == F.col("prev_hash"), "UNCHANGED").otherwise("LANDED")).drop("prev_hash")
+
+
+def record_status(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Crawl records with their state in the ledger: error before ingested before parsed before landed."""
+    m = manifest.select("stem", F.col("status").alias("ledger_status"), F.col("remote_id"), F.col("parse"))
+    state = F.when(F.col("ledger_status") == "error", "error").when(F.length(F.coalesce("remote_id", F.lit(""))) > 0, "ingested").when(F.length(F.coalesce("parse", F.lit(""))) > 0, "parsed").when(F.col("ledger_status").isNotNull(), "landed").otherwise(F.col("status"))
+    return records.join(m, "stem", "left").withColumn("status", state).drop("ledger_status", "remote_id", "parse")
+
+
+def listed_directories(chunks: DataFrame, output: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Directories of two listings, each path once, of the wanted stems if they are named."""
+    rows = chunks.unionByName(output).dropDuplicates(["path"])
+    return rows if wanted is None else rows.join(wanted.select("stem").distinct(), "stem", "left_semi")

@@ -316,10 +316,41 @@ def events_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOUR_SQL = "select date_trunc('hour', ts) as hour, event_type, count(*) as n, arg_max(event_id, (ts, event_id)) as last_event, round(avg(value), 4) as mean_value from events group by 1, 2"
 
 
+def segment_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of user turns that hold a word."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("status"), F.col("text").alias("content"))
+    return L.list_segments(rows, ["conv_id", "turn"], keyword=" The ", status="user", page=2, limit=10).select("conv_id", "turn", F.length("content").alias("chars"))
+
+
+LISTING_SQL = "select conv_id, turn, cast(length(text) as integer) as chars from conversations where role = 'user' and contains(lower(text), 'the') order by conv_id, turn limit 10 offset 10"
+
+
+def crawl_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed pages against what was ingested, and segments that did not last."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("content_hash"), (F.col("page_id") % 9 != 0).alias("ok"))
+    known = pages.where("page_id % 4 = 0").select("url", F.col("page_id").alias("id"), F.when(F.col("page_id") % 8 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
+    return L.landing(pages, pages.where("page_id % 2 = 0"), known).groupBy("action").agg(F.count("*").alias("n"))
+
+
+LANDING_SQL = "select case when page_id % 9 = 0 then 'FAILED' when page_id % 8 = 0 then 'UNCHANGED' else 'LANDED' end as action, count(*) as n from pages where page_id % 2 = 0 group by 1"
+
+
+def profile_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of profiles written as lines or as JSON."""
+    value = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("http://"), "n_name", F.lit("/\t"), "n_name", F.lit("\n\n http://b/ "))).otherwise(F.concat(F.lit('["http://'), "n_name", F.lit('/", " "]')))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(X.profile_entries(value)).alias("e")).select("n_nationkey", "e.url", "e.label")
+
+
+ENTRIES_SQL = """
+select n_nationkey, 'http://' || n_name || '/' as url, case when n_nationkey % 2 = 0 then n_name else '' end as label from nation
+union all select n_nationkey, 'http://b/', '' from nation where n_nationkey % 2 = 0
+"""
+
+
 def queries() -> dict:
     found = (
         upsert_orders, updated_ledger, preserved_upsert, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions,
-        stage_actions, scan_report, resolved_files, directory_match, stem_cascade, stage_status, report_split, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour,
+        stage_actions, scan_report, resolved_files, directory_match, stem_cascade, stage_status, report_split, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
     )
     return {f.__name__: f for f in found}
 
@@ -329,5 +360,5 @@ def oracle_sql() -> dict[str, str]:
         "upsert_orders": UPSERT_SQL, "updated_ledger": UPDATED_SQL, "preserved_upsert": PRESERVED_SQL, "ledger_page": PAGE_SQL, "recent_runs": RECENT_SQL, "latest_per_user": LATEST_SQL, "status_histogram": HISTOGRAM_SQL, "report_rollup": ROLLUP_SQL,
         "directory_sizes": RETENTION_SQL, "merged_metadata": MERGED_SQL, "metadata_operations": OPERATIONS_SQL, "unlabelled": UNLABELLED_SQL, "numbered_additions": NUMBERED_SQL, "stage_actions": STAGE_SQL, "scan_report": SCAN_SQL,
         "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "similar_names": SIMILAR_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
-        "nested_tasks": NESTED_SQL, "tenant_keys": KEYS_SQL, "unique_names": UNIQUE_SQL, "events_per_hour": HOUR_SQL,
+        "nested_tasks": NESTED_SQL, "tenant_keys": KEYS_SQL, "unique_names": UNIQUE_SQL, "events_per_hour": HOUR_SQL, "segment_listing": LISTING_SQL, "crawl_landing": LANDING_SQL, "profile_entries": ENTRIES_SQL,
     }

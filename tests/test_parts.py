@@ -139,6 +139,20 @@ def test_missing_images_and_choice(spark):
     assert one(spark, segments.image_address(F.lit(""), F.lit(None).cast("string"), F.lit("up"), F.lit("rel")))[0] == "up"
 
 
+def test_small_ledger_operations(spark):
+    rows = lambda schema, *x: spark.createDataFrame(list(x), schema)
+    assert [r["segment_id"] for r in L.not_persisted(rows("segment_id string", ("a",), ("b",)), rows("segment_id string", ("a",))).collect()] == ["b"]
+    manifest = rows("stem string, status string, remote_id string, parse string", ("a", "error", "r", "p"), ("b", "done", "r", "p"), ("c", "x", "", "p"), ("d", "x", None, None))
+    got = L.record_status(rows("stem string, status string", *[(k, "new") for k in "abcde"]), manifest).collect()
+    assert {r["stem"]: r["status"] for r in got} == {"a": "error", "b": "ingested", "c": "parsed", "d": "landed", "e": "new"}
+    both = L.listed_directories(rows("path string, stem string", ("c/a", "a"), ("c/b", "b")), rows("path string, stem string", ("c/a", "a"), ("o/a", "a")), rows("stem string", ("a",)))
+    assert sorted(r["path"] for r in both.collect()) == ["c/a", "o/a"]
+    assert L.keyword_rows(manifest, " ", ["stem"]).count() == 4 and L.keyword_rows(manifest, "ERR", ["stem", "status"]).count() == 1
+    block = F.struct(F.lit("table").alias("block_type"), F.lit(None).cast("int").alias("level"), F.lit("").alias("text"), F.lit("<td>a</td> b").alias("table_html"), F.lit(None).cast("string").alias("image_caption"))
+    got = one(spark, X.plain_text(block), X.within(F.lit("/a/b/"), F.lit("/a/b/c")), X.within(F.lit("/a/b"), F.lit("/a/bc")), X.within(F.lit("/a/b"), F.lit("/a/b/../c")), X.active_profile(F.create_map(F.lit("x"), F.lit("1")), F.lit("y"), F.lit("old")), F.length(X.now_text()))
+    assert list(got) == ["a b", True, False, False, "old", 19]
+
+
 def test_crawl_order_depth_and_cap(spark):
     edges = spark.createDataFrame([("http://x/a", "http://x/a/1", 0), ("http://x/a", "http://x/f.pdf", 1), ("http://x/a", "http://y/z", 2), ("http://x/a/1", "http://x/a/1/d", 0), ("http://x/a/1", "http://x/a", 1), ("http://x/a/1/d", "http://x/a/9", 0)], "url string, link string, ord int")
     seeds = spark.createDataFrame([("http://X/a", 0)], "seed string, ord int")
