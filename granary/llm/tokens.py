@@ -17,6 +17,8 @@ _WIDE = 4
 _LONGEST = 8 * _WIDE
 _ODD = np.zeros(256, bool)
 _ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_POINT = np.isin(np.arange(256), [44, 46])
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
@@ -36,15 +38,15 @@ def _other_space(raw: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts, exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    Byte-level BPE never merges across the cuts between words, so a word with the space before it always
-    gets the same ids. Words are found by array operations on the bytes of many texts at once, and the
+    Byte-level BPE never merges across the cuts between words, nor between a letter and a stop or comma
+    before white space, so a word with the space before it always gets the same ids. Words are found by array operations on the bytes of many texts at once, and the
     library encodes each only when it is new; their ids are kept in a hash table of arrays, of at most
     ``keep`` words, and those met once are the first to go. A text with other white space than single
     spaces and line feeds, or with a word of more than 32 bytes, goes to the library whole. Strings of
     special tokens in a text count as ordinary text.
     """
 
-    def __init__(self, definition: str, keep: int = 500_000):
+    def __init__(self, definition: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,6 +153,11 @@ class Encoder:
         cut = space | feed | mark
         begins = cut.copy()
         begins[1:] |= (feed | mark)[:-1]
+        # A stop or comma between a Latin letter and white space is a token of its own.
+        point = np.flatnonzero(_POINT[raw[2:size]]) + 2
+        a, b = raw[point - 2], raw[point - 1]
+        after = _LETTER[b] | ((a == 0xC3) & (b >= 0x80) & (b < 0xC0) & (b != 0x97) & (b != 0xB7))
+        begins[point[after & cut[point + 1]]] = True
         begins[0] = True
         start = np.flatnonzero(begins[:size])
         length = np.diff(np.append(start, size))
