@@ -5,7 +5,8 @@ rows the caller trains on. For a document, expectation-maximisation finds the pr
 languages that maximise the likelihood of its trigrams. The set of languages is chosen by likelihood
 less ``penalty * log(trigrams)`` for each further language. The prediction is the language with the
 largest share of the chosen set, its share the score. A document that even the best language explains
-worse than the uniform distribution is ``foreign``.
+worse than the uniform distribution, by three standard errors, is ``foreign``; a short text with a key
+or a number in it is not.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no languages; without any training row every
 document is ``und``; ties go to the language first in the alphabet; null document ids stay null; repeated rows give repeated
@@ -111,7 +112,9 @@ def infer(model: Model, text: str, penalty: float = 3.0) -> tuple[str, float, li
                 chosen, share, value = trial.tolist(), s, likelihood
     top = int(np.argmax(share))
     ranked = sorted(((model.languages[c], float(x)) for c, x in zip(chosen, share)), key=lambda x: (-x[1], x[0]))
-    return model.languages[chosen[top]], min(1.0, float(share[top])), ranked, bool(single[best] < -total * np.log(BUCKETS))
+    mean = single[best] / total
+    error = np.sqrt(max(0.0, float(log_p[best] ** 2 @ n / total - mean**2)) / total)
+    return model.languages[chosen[top]], min(1.0, float(share[top])), ranked, bool(mean + 3 * error < -np.log(BUCKETS))
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
