@@ -36,9 +36,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+        # Checkpointed, so that the join gets an exchange of its own on either side and a node of very many links can be split.
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")).checkpoint()
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = large.checkpoint()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = small.distinct().checkpoint()
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
