@@ -170,13 +170,13 @@ def next_numbers(base: DataFrame, fresh: DataFrame, key: str, seq: str) -> DataF
     Numbers follow the order of keys: per-range counts first, then positions within a range, so no one task numbers them all.
     """
     new = fresh.join(base.select(key), key, "left_anti")
-    top = base.agg(F.coalesce(F.max(seq), F.lit(0)).alias("top"))
+    top = base.agg(F.max(seq)).first()[0] or 0
     bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4)
     w = Window.partitionBy("bucket").orderBy(key)
     placed = new.withColumn("bucket", bucket).withColumn("at", F.row_number().over(w))
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))  # at most 65,536 rows
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(before), "bucket").crossJoin(F.broadcast(top)).withColumn(seq, F.col("top") + F.col("before") + F.col("at")).drop("bucket", "at", "before", "top")
+    return placed.join(F.broadcast(before), "bucket").withColumn(seq, F.lit(top) + F.col("before") + F.col("at")).drop("bucket", "at", "before")
 
 
 def pipeline_status(outcomes: DataFrame, key: str) -> DataFrame:

@@ -134,9 +134,30 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.crawl(spark, seeds, edges, max_depth=2, max_pages=20, scope="host")
 
 
+_STEP = r"""
+  select url, 'x' as x, arg_min(seed, (src, place)) as seed, min((src, place)) as m
+  from (select e.link as url, f.seed, f.ord as src, e.ord as place, regexp_extract(f.seed, '^[^:]+://[^/?#]*([^?#]*)', 1) as sp, regexp_extract(e.link, '^[^:]+://[^/?#]*([^?#]*)', 1) as lp
+        from {frontier} f join edges e using (url)
+        where regexp_extract(f.seed, '^[^:]+://([^/?#]*)', 1) = regexp_extract(e.link, '^[^:]+://([^/?#]*)', 1))
+  where (not ends_with(sp, '/') or rtrim(sp, '/') = '' or starts_with(lp, rtrim(sp, '/') || '/')) and url not in (select url from {visited}) group by url
+"""
+CRAWL_SQL = rf"""
+with links as ({LINKS_SQL}),
+p as (select page_id, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || case when regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) end || case when regexp_extract(url, '\?([^#]*)', 1) <> '' then '?' || regexp_extract(url, '\?([^#]*)', 1) else '' end as url from pages),
+edges as (select p.url, l.link, l.ord from links l join p using (page_id)),
+v0 as (select url, 0 as depth, url as seed, min(page_id) as ord from (select * from p order by page_id limit 3) group by url),
+s1 as ({_STEP.format(frontier="v0", visited="v0")}),
+v1 as (select url, 1 as depth, seed, (select count(*) from v0) + row_number() over (order by m, url) as ord from s1 qualify row_number() over (order by m, url) <= 20 - (select count(*) from v0)),
+b1 as (select * from v0 union all select * from v1),
+s2 as ({_STEP.format(frontier="v1", visited="b1")}),
+v2 as (select url, 2 as depth, seed, (select count(*) from b1) + row_number() over (order by m, url) as ord from s2 qualify row_number() over (order by m, url) <= 20 - (select count(*) from b1))
+select url, depth, seed, ord from b1 union all select url, depth, seed, ord from v2
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, crawl)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL}
+    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "crawl": CRAWL_SQL}
