@@ -125,8 +125,8 @@ def pack(docs: DataFrame, definition: str, size: int = 1024, end_id: int = 0, wi
         return merged
 
     out = runtime.materialize(texts.mapInArrow(first, SCHEMA), "pack")
-    groups = max(1, texts.rdd.getNumPartitions())
     done, left, level = [out.where("done")], out.where("not done"), 0
+    groups = (left.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         groups, level = -(-groups // FAN), level + 1
         merged = left.groupBy(F.expr(f"part div {FAN}")).applyInArrow(again(level, groups == 1), SCHEMA)
