@@ -31,9 +31,9 @@ UNITS = {
     "line": re.compile(r"\S[^\n]*"),
     "paragraph": re.compile(r"\S[^\n]*(?:\n(?![ \t]*(?:\n|\Z))[^\n]*)*"),
 }
-#: A unit of more words is cut further, after words that a hash picks (one of eight), so that what two long units share
-#: falls into the same parts.
-LONG = 24
+#: A unit of more words is cut further, after words that a hash picks (one of four), so that what two long units share
+#: falls into the same parts. A part has at least SHORT words, but for the last.
+LONG, SHORT = 24, 3
 _word = re.compile(r"\S+")
 LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, h1 long, h2 long, no int, begin int, end int, words int, first boolean"
@@ -52,7 +52,7 @@ def split(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[str]]
             begin = begin if held else w.start()
             end = w.end()
             held.append(w.group().lower())
-            if zlib.crc32(held[-1].encode("utf-8", "replace")) % 8 == 0:
+            if len(held) >= SHORT and zlib.crc32(held[-1].encode("utf-8", "replace")) % 4 == 0:
                 yield begin, end, held
                 held = []
         if held:
