@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary import runtime
+
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links between integers, as many as join the same components: from each node to its least."""
@@ -32,6 +34,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node in ``links(a, b)``; component is the least node reachable."""
     spark = links.sparkSession
+    runtime.scratch_root(spark)
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     mark = None
     for _ in range(rounds):
