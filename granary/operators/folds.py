@@ -68,3 +68,17 @@ def merged_title(titles: Column) -> Column:
     """Title of merged groups: none, the one, two or three joined by `` ~ ``, or the first and last."""
     held = F.filter(titles, lambda t: t.isNotNull() & (t != ""))
     return F.when(F.size(held) <= 3, F.array_join(held, " ~ ")).otherwise(F.concat(F.element_at(held, 1), F.lit(" ~ ... ~ "), F.element_at(held, -1)))
+
+
+def slices(items: Column, groups: Column) -> Column:
+    """The items of each group as an array of arrays, from ascending group numbers: no row leaves its partition for it."""
+    n = F.size(groups)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(groups, i) != F.get(groups, i - 1))))
+    bounds = F.concat(starts, F.array(n))
+    return _cut(items, bounds)
+
+
+def _cut(items: Column, bounds: Column) -> Column:
+    """Items between neighbouring bounds; the bounds are computed once."""
+    cut = lambda b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda s, k: F.slice(items, s + 1, F.get(b, k + 1) - s))
+    return F.element_at(F.transform(F.array(bounds), cut), 1)

@@ -31,10 +31,9 @@ def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines merged to 1500 characters, numbered, with the hash of the body."""
     docs = _lines(table(spark, sf_dir, "documents"))
     sizes = F.transform("parts", lambda p: F.struct(F.length(p).alias("chars"), F.lit(0).alias("images")))
-    rows = docs.withColumn("g", folds.greedy_groups(sizes, CONFIG.target_chars)).select("doc_id", F.posexplode(F.arrays_zip("parts", "g")).alias("ord", "x"))
-    # A document's rows come from one row and stay in their partition, so this aggregate is the only exchange.
-    groups = rows.groupBy("doc_id", F.col("x.g").alias("g")).agg(F.sum(F.length("x.parts")).alias("char_count"), F.count("*").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("ord", F.col("x.parts").alias("t")))).alias("body"))
-    return groups.select("doc_id", (F.col("g") + 1).alias("chunk_no"), F.format_string("chunk_%03d", F.col("g") + 1).alias("chunk_id"), "char_count", "n_blocks", F.md5(F.array_join(F.transform("body", lambda b: b["t"]), "\n").cast("binary")).alias("body_md5"))
+    chunks = docs.withColumn("g", folds.greedy_groups(sizes, CONFIG.target_chars)).select("doc_id", F.posexplode(folds.slices(F.col("parts"), F.col("g"))).alias("k", "lines"))
+    size = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p))
+    return chunks.select("doc_id", (F.col("k") + 1).alias("chunk_no"), F.format_string("chunk_%03d", F.col("k") + 1).alias("chunk_id"), size.alias("char_count"), F.size("lines").cast("bigint").alias("n_blocks"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("body_md5"))
 
 
 _FOLD = """
@@ -79,11 +78,13 @@ def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences to 800 characters; the overlap is the tail of all the text before, 100 characters at most."""
     sizes = F.transform("p", lambda s: F.struct(F.length(s).alias("chars"), F.lit(0).alias("images")))
-    rows = _atoms(spark, sf_dir).withColumn("g", folds.sized_groups(sizes, CONFIG.fixed_size)).select("doc_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    groups = rows.groupBy("doc_id", F.col("x.g").alias("g")).agg(F.sum(F.length("x.p")).alias("own"), F.count("*").alias("atoms"))
-    before = F.sum("own").over(Window.partitionBy("doc_id").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
-    overlap = F.least(F.lit(CONFIG.fixed_overlap), F.coalesce(before, F.lit(0)))
-    return groups.select("doc_id", (F.col("g") + 1).alias("chunk_no"), "atoms", overlap.cast("long").alias("overlap"), (F.col("own") + overlap).cast("long").alias("char_count"))
+    docs = _atoms(spark, sf_dir).withColumn("g", folds.sized_groups(sizes, CONFIG.fixed_size))
+    rows = docs.select("doc_id", F.posexplode(folds.slices(F.col("p"), F.col("g"))).alias("k", "atoms"))
+    own = rows.select("doc_id", "k", F.size("atoms").cast("bigint").alias("atoms"), F.aggregate("atoms", F.lit(0).cast("bigint"), lambda n, s: n + F.length(s)).alias("own"))
+    # The texts stay where they are; only these numbers meet by document.
+    before = F.sum("own").over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    overlap = F.least(F.lit(CONFIG.fixed_overlap).cast("bigint"), F.coalesce(before, F.lit(0)))
+    return own.select("doc_id", (F.col("k") + 1).alias("chunk_no"), "atoms", overlap.alias("overlap"), (F.col("own") + overlap).alias("char_count"))
 
 
 FIXED_SQL = f"""
@@ -103,8 +104,8 @@ select doc_id, cast(g + 1 as integer) as chunk_no, atoms, cast(ov as bigint) as
 def sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed to 1200 characters with up to 100 carried over."""
     docs = _atoms(spark, sf_dir).withColumn("g", folds.packed_groups(F.transform("p", lambda s: F.length(s)), CONFIG.split_target, CONFIG.overlap))
-    rows = docs.select("doc_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
-    return rows.groupBy("doc_id", (F.col("x.g") + 1).alias("chunk_no")).agg(F.count("*").alias("sentences"), F.sum(F.length("x.p")).cast("long").alias("own_chars"))
+    rows = docs.select("doc_id", F.posexplode(folds.slices(F.col("p"), F.col("g"))).alias("k", "s"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("chunk_no"), F.size("s").cast("bigint").alias("sentences"), F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("own_chars"))
 
 
 PACKING_SQL = f"""
@@ -326,8 +327,8 @@ STRATEGY_SQL = "select unnest(['structure', 'recursive', 'fixed', 'sentence', 's
 def turn_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation packed to 2000 characters in their order."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("chars"), F.lit(0).alias("images")))).alias("t"))
-    rows = turns.select("conv_id", F.explode(F.arrays_zip("t", folds.greedy_groups(F.col("t"), 2000).alias("g"))).alias("x"))
-    return rows.groupBy("conv_id", (F.col("x.g") + 1).alias("chunk_no")).agg(F.count("*").alias("turns"), F.sum("x.t.chars").alias("chars"))
+    rows = turns.withColumn("g", folds.greedy_groups(F.col("t"), 2000)).select("conv_id", F.posexplode(folds.slices(F.col("t"), F.col("g"))).alias("k", "held"))
+    return rows.select("conv_id", (F.col("k") + 1).alias("chunk_no"), F.size("held").cast("bigint").alias("turns"), F.aggregate("held", F.lit(0).cast("bigint"), lambda n, x: n + x["chars"]).alias("chars"))
 
 
 TURNS_SQL = """
@@ -361,8 +362,8 @@ def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir).where("vec_id % 64 <> 0").select("vec_id", (X.cosine(F.col("before"), F.col("embedding")) < 0.3).alias("brk"))
     all_rows = table(spark, sf_dir, "embeddings").select("vec_id").join(pairs, "vec_id", "left").select(F.floor(F.col("vec_id") / 64).alias("doc"), "vec_id", F.coalesce("brk", F.lit(False)).alias("brk"))
     docs = all_rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.lit(100).alias("chars"), F.lit(0).alias("images"), "brk"))).alias("a"))
-    rows = docs.select("doc", F.explode(F.arrays_zip("a", folds.sized_groups(F.col("a"), CONFIG.target_chars, breaks=True).alias("g"))).alias("x"))
-    return rows.groupBy("doc", (F.col("x.g") + 1).alias("chunk_no")).agg(F.count("*").alias("sentences"), F.min("x.a.vec_id").alias("first_vec"))
+    rows = docs.withColumn("g", folds.sized_groups(F.col("a"), CONFIG.target_chars, breaks=True)).select("doc", F.posexplode(folds.slices(F.col("a"), F.col("g"))).alias("k", "held"))
+    return rows.select("doc", (F.col("k") + 1).alias("chunk_no"), F.size("held").cast("bigint").alias("sentences"), F.element_at("held", 1)["vec_id"].alias("first_vec"))
 
 
 SEMANTIC_SQL = """
