@@ -17,7 +17,8 @@ CONFIG = ChunkConfig()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return runtime.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = runtime.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return runtime.spread(df) if name in ("documents", "pages") else df
 
 
 def _lines(docs: DataFrame) -> DataFrame:

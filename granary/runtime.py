@@ -92,6 +92,12 @@ def _zipped(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores is dealt out evenly; any larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that ``df`` does not have."""
     while name.lower() in {c.lower() for c in df.columns}:
