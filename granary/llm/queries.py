@@ -14,7 +14,8 @@ HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return runtime.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = runtime.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return runtime.spread(df) if name == "documents" else df
 
 
 def vocabulary() -> str:
