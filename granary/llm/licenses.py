@@ -7,8 +7,8 @@ kept hash. Template hashes are an inverted index of (template, position). A docu
 as a longest common subsequence of words. A match reports the covered share of the template and the
 characters from its first to its last matched word. Of overlapping matches that with most words stays.
 
-Defined results: null and empty texts and templates match nothing; a template of fewer words than GRAM + WINDOW - 1 is matched
-only whole; null document ids stay null; repeated rows give repeated rows; an empty table gives no row; extra columns are ignored.
+Defined results: null and empty texts and templates match nothing; a template of fewer words than GRAM + WINDOW - 1 has
+too few for a window, so it is looked up at every word and matched only whole; null document ids stay null; repeated rows give repeated rows; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +69,13 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(n) + WINDOW - 1 - windows.argmin(axis=1))
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
     """Matched (template, text) positions of a longest common subsequence within the band around text - template = diagonal."""
     m, width = len(template), 2 * band + 1
@@ -101,6 +108,8 @@ class Scanner:
         self.vocabulary: dict[str, int] = {}
         self.templates: list[tuple[str, np.ndarray]] = []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        #: Templates that are one run of words shorter than a window, by its hash.
+        self.short: dict[int, list[int]] = defaultdict(list)
         for name, text in templates:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _words.findall((text or "").lower())], np.int64)
             if not len(ids):
@@ -110,9 +119,13 @@ class Scanner:
             if len(ids) < GRAM:
                 raise ValueError(f"a template of fewer than {GRAM} words: {name}")
             h = grams(ids)
+            if len(ids) < GRAM + WINDOW - 1:
+                self.short[int(h[0])].append(t)
+                continue
             for p in winnow(h).tolist():
                 self.index[int(h[p])].append((t, p))
         self.hashes = np.array(sorted(self.index), np.uint64)
+        self.short_hashes = np.array(sorted(self.short), np.uint64)
 
     def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, begin, end) in the order of the text."""
@@ -127,14 +140,18 @@ class Scanner:
         # Hashes of runs with a word that no template has are in no window inside a shared passage.
         kept = winnow(h)
         kept = kept[whole[kept]]
-        if not len(self.hashes) or not len(kept):
-            return []
-        where = np.minimum(np.searchsorted(self.hashes, h[kept]), len(self.hashes) - 1)
         votes: dict[tuple[int, int], int] = defaultdict(int)
-        for p in kept[self.hashes[where] == h[kept]].tolist():
+        for p in kept[_among(h[kept], self.hashes)].tolist():
             for t, q in self.index[int(h[p])]:
                 votes[t, p - q] += 1
         found, spans = [], None
+        every = np.flatnonzero(whole)
+        for p in every[_among(h[every], self.short_hashes)].tolist():
+            for t in self.short[int(h[p])]:
+                name, template = self.templates[t]
+                last = p + len(template) - 1
+                if np.array_equal(ids[p : last + 1], template):
+                    found.append((len(template), p, last, name, 1.0))
         tried: dict[int, list[int]] = defaultdict(list)
         for (t, diagonal), _ in sorted(votes.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
             name, template = self.templates[t]

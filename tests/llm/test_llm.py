@@ -416,6 +416,18 @@ def test_license_scan_finds_every_line(spark, sf):
     assert want <= got and {g for g in got if g[1] in lines.values()} == want
 
 
+def test_license_scan_finds_a_short_notice_anywhere():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    notice = "All rights reserved."
+    for name, line in licenses.TEMPLATES:
+        for before in ("", f"{line} ", f"Plain words. {line} ", f"{line} And all. "):
+            for after in ("", " Ordinary text follows.", f" {line}"):
+                text = before + notice + after
+                want = text.lower().count("all rights reserved")
+                assert sum(m[0] == "all-rights-reserved" for m in scanner.find(text)) == want, text
+    assert [m[0] for m in licenses.Scanner([("only", notice)], 0.8).find("x All, all rights reserved")] == ["only"]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op8_quality(spark, sf).collect()}
