@@ -12,9 +12,13 @@ of its links only as many as join the same components.
 
 ``similar_documents`` finds texts with a Jaccard similarity of 0.8 or more over sets of five-word
 shingles. Such texts differ in about 15 % of the bits of a SimHash, which no block of a 64-bit one
-isolates, so it takes 512 bits: forty blocks of 12 bits, of which a pair at 0.8 shares one with a
-probability of 99.8 %, searched at radius 0, and a bound of 52 bits of 256 on what is compared, which is 2.3
-standard deviations above the mean of pairs at 0.8 and 9 below that of unrelated texts.
+isolates, so candidates are searched by 1,024 bits: eighty blocks of 12 bits at radius 0, and a bound of
+72 bits of 256 on what is compared. By calculation a pair at 0.8 shares no block with a probability of
+6e-6 and is beyond the bound, 5.5 standard deviations above its mean, with less. Of short texts those
+of four and five shingles differ most, in 19 % of the bits: 1e-3 and 1e-4. Candidates only group
+documents: within a group, texts are linked whose sets of shingles have a similarity of 0.8 or more, and
+components are those of such links. A large group is cut into tiles like a leaf, and each pair of tiles is
+a unit of its own; pairs that verified links of the unit join already are not compared again.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other; rows of
 equal document id count as one document for each text; null document ids are left out; an empty table gives no row; extra
@@ -23,8 +27,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -55,9 +60,14 @@ class Plan:
 
 EXACT = Plan(words=1, blocks=4, width=16, radius=1, compared=1, distance=4)
 SIMILAR = Plan(words=8, blocks=5, width=12, radius=0, compared=4, distance=52)
+#: Looser and longer than SIMILAR, for candidates that are verified.
+CANDIDATES = replace(SIMILAR, words=16, distance=72)
+JACCARD = 0.8
 TILE = 4096
+#: Characters of a tile of texts, and how many of its texts are compared with one at once.
+TILE_CHARS, SOME = 16_000_000, 16
 SEED = 42
-_ODDS = np.random.default_rng(11).integers(1, 1 << 62, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ODDS = np.random.default_rng(11).integers(1, 1 << 62, 24, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -82,12 +92,30 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the set of a lower-cased text's shingles; none without a word."""
+    held = text.lower().encode("utf-8", "replace").split()
+    return np.unique(shingle_hashes(held, width)) if held else np.empty(0, np.uint64)
+
+
+def set_digest(h: np.ndarray) -> bytes:
+    """128 bits that tell sets of shingles apart."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(h.astype("<u8").tobytes())
+
+
 def signature(text: str, width: int = 5, words: int = 8) -> bytes:
     """SimHash of ``words`` times 64 bits over the set of a lower-cased text's shingles; zeros without a word."""
-    held = text.lower().encode("utf-8", "replace").split()
-    if not held:
+    return set_signature(shingle_set(text, width), words)
+
+
+def set_signature(h: np.ndarray, words: int) -> bytes:
+    """SimHash of a set; of an even number of shingles, the least breaks ties, or short texts would have too few bits set."""
+    if not len(h):
         return bytes(8 * words)
-    h = np.unique(shingle_hashes(held, width))
+    if len(h) % 2 == 0:
+        h = np.append(h, h[0])
     out = np.empty(words, "<u8")
     for k in range(words):
         x = h * _ODDS[k]
@@ -257,7 +285,7 @@ def links(points: DataFrame, plan: Plan = EXACT) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"shard": pa.array(there, pa.int32()), "n": pa.array(total[there], pa.int64())})
 
-    # There are plan.shards shards, under 300,000 whatever the input, so this list is bounded.
+    # There are plan.shards shards, under 400,000 whatever the input, so this list is bounded.
     large = points.select("sig").mapInArrow(count, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
     tiles = np.ones(plan.shards, np.int64)
     for r in large.collect():
@@ -301,18 +329,83 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     return _named(fps, points, "fp", EXACT).select("doc_id", "fp", "component_id")
 
 
+def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a unit by exact similarity, as many as join the same components: side 0 meets itself or, where there is one, side 1.
+
+    Rows come by side. Texts of equal sets are not in one unit twice but for ids that rows share.
+    """
+    sets = [shingle_set(x, width) for x in texts]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    sigs = np.frombuffer(b"".join(set_signature(x, CANDIDATES.compared) for x in sets), "<u8").reshape(-1, CANDIDATES.compared)
+    flat, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    group, out = np.arange(len(sets)), []
+    half = int((side == 0).sum())
+    for i in range(half if half < len(sets) else 1, len(sets)):
+        top = half if half < len(sets) else i
+        near = np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= CANDIDATES.distance
+        todo = np.flatnonzero(near & (np.minimum(sizes[:top], sizes[i]) >= JACCARD * np.maximum(sizes[:top], sizes[i])))
+        while len(todo := todo[group[todo] != group[i]]):
+            some, todo = todo[:SOME], todo[SOME:]
+            shared = np.zeros(len(some), np.int64)
+            if sizes[i]:
+                held = flat[tokens._ranges(begin[some], sizes[some])]
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], held), sizes[i] - 1)] == held
+                ends = np.cumsum(sizes[some])
+                total = np.concatenate([[0], np.cumsum(hit)])
+                shared = total[ends] - total[ends - sizes[some]]
+            # In integers up to the one product; two sets without a shingle are equal.
+            for j in some[shared >= JACCARD * (sizes[some] + sizes[i] - shared) - 1e-9].tolist():
+                if group[j] != group[i]:
+                    out.append((reps[i], reps[j]))
+                    group[group == group[j]] = group[i]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def verified(docs: DataFrame, points: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(a, b): links by exact similarity within candidate groups; ``docs(doc_id, text)``, ``points(key, rep)``, ``groups(node, component)``."""
+    spark = runtime.ship(docs.sparkSession)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one document id may have several texts; a point's is that of its digest.
+        for batch in batches:
+            yield batch.filter(pa.array([set_digest(shingle_set(x or "", width)) == k for x, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in itertools.chain((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), [None]):
+            if held and (row is None or row[:3] != held[0][:3]):
+                a, b = _verify([r[5] or "" for r in held], np.array([r[4] for r in held], np.int64), np.array([r[3] for r in held], np.int8), width)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                held = []
+            held.append(row)
+
+    members = points.join(groups, points["rep"] == groups["node"]).select("rep", "key", "component")
+    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("rep", "component", "text", "key").mapInArrow(own, "rep long, component long, text string, key binary")
+    texts = runtime.materialize(texts.select("rep", "component", "text"), "candidates")
+    t = F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.coalesce(F.length("text"), F.lit(0))) / TILE_CHARS)).cast("int")
+    tiles = texts.groupBy("component").agg(F.greatest(t, F.lit(1)).alias("tiles"))
+    cut = texts.join(tiles, "component").withColumn("lot", F.expr("cast(pmod(xxhash64(rep), tiles) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    unit = cut.select("component", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), F.when(F.col("lot") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "text")
+    return unit.repartition(runtime.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rep").mapInArrow(check, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts that are equal but for case and white space, or similar by 0.8 or more."""
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in tokens.portions(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(x, width, SIMILAR.words) for x in held], pa.binary())], names=["doc_id", "sig"])
+            sets = [shingle_set(x, width) for x in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_digest, sets), pa.binary()), pa.array([set_signature(x, CANDIDATES.words) for x in sets], pa.binary())], names=["doc_id", "key", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    marked = runtime.materialize(rows.mapInArrow(run, "doc_id long, sig binary"), "signatures")
-    points = runtime.materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("rep")), "points")
-    return _named(marked, points, "sig", SIMILAR).select("doc_id", "component_id")
+    marked = runtime.materialize(rows.mapInArrow(run, "doc_id long, key binary, sig binary"), "signatures")
+    points = runtime.materialize(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "points")
+    groups = runtime.materialize(components(runtime.materialize(links(points, CANDIDATES), "links")), "groups")
+    found = components(runtime.materialize(verified(rows, points, groups, width), "verified"))
+    named = points.join(found, points["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(named, "key").select("doc_id", "component_id")
 
 
 def digests(found: DataFrame) -> DataFrame:

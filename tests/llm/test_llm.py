@@ -334,6 +334,48 @@ def test_similar_documents_odd(odd, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def exact_groups(texts):
+    """Components of brute-force Jaccard of 0.8 or more."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in texts.items() for w in [(t or "").lower().split()]}
+    parent = {d: d for d in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if j < i and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {d: root(d) for d in texts}
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_near_duplicates_stage_against_brute_force_jaccard(spark, sf, monkeypatch, tile):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows, near = list(texts_of(spark, sf).items()), 10**6
+    for k in range(60):
+        shared = words(int(rng.integers(60, 300)))
+        for n in range(3):  # texts that share one passage: similar by 0.55 to 0.95
+            rows.append((near + 10 * k + n, " ".join(shared + words(int(len(shared) * rng.uniform(0.02, 0.3))))))
+    for k in range(60):  # short texts: one word more
+        short = words(int(rng.integers(1, 12)))
+        rows += [(2 * near + 10 * k, " ".join(short)), (2 * near + 10 * k + 1, " ".join(short + words(1))), (2 * near + 10 * k + 2, " ".join(short).upper())]
+    template = words(120)
+    rows += [(3 * near + k, " ".join(template + words(int(rng.integers(1, 40))))) for k in range(60)]
+    want = exact_groups(dict(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == want
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert kept == {d for d, c in want.items() if d == c}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(1000, 1300)] + [(5, 5)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
