@@ -94,18 +94,21 @@ def clean_stem(stem: Column) -> Column:
 def resolve_directories(wanted: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
     """wanted name -> existing directory: exact, without tags, without copy numbers, else 70 % of the shorter clean name (6 at least) as a prefix.
 
-    The prefix step joins on the first six characters and then compares.
+    The prefix step is an equi-join: the prefix that the shorter name asks for, with every prefix of the longer one that may be asked for.
     """
     w, e = wanted.select(F.col(name).alias("wanted")).distinct(), existing.select(F.col(name).alias("found")).distinct()
     tagless = lambda c: F.regexp_replace(F.btrim(c), r"\s*\[[^\]]*\]\s*$", "")
     exact = w.join(e, w["wanted"] == e["found"]).select("wanted", "found", F.lit(0).alias("rule"))
     tags = w.join(e, tagless(w["wanted"]) == tagless(e["found"])).select("wanted", "found", F.lit(1).alias("rule"))
     copies = w.join(e, clean_stem(w["wanted"]) == clean_stem(e["found"])).select("wanted", "found", F.lit(2).alias("rule"))
-    a, b = clean_stem(F.col("wanted")), clean_stem(F.col("found"))
-    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    need = F.greatest(F.lit(6), F.floor(F.lit(0.7) * F.length(shorter))).cast("int")
-    near = w.join(e, F.substring(clean_stem(w["wanted"]), 1, 6) == F.substring(clean_stem(e["found"]), 1, 6)).where((F.length(shorter) >= 6) & F.startswith(longer, F.substring(shorter, F.lit(1), need))).select("wanted", "found", F.lit(3).alias("rule"))
+    need = lambda c: F.greatest(F.lit(6), F.floor(F.lit(0.7) * F.length(c))).cast("int")
+    prefix = lambda c, n: F.substring(c, F.lit(1), n)
+    clean = lambda df, c, clean_c: df.select(c, clean_stem(F.col(c)).alias(clean_c)).where(F.length(clean_c) >= 6)
+    a, b = clean(w, "wanted", "a"), clean(e, "found", "b")
+    one = lambda df, c: df.withColumn("key", prefix(F.col(c), need(F.col(c))))
+    every_prefix = lambda df, c: df.withColumn("key", F.explode(F.transform(F.sequence(F.lit(6), need(F.col(c))), lambda n: prefix(F.col(c), n))))
+    near = one(a, "a").join(every_prefix(b, "b"), "key").where("length(a) <= length(b)").unionByName(one(b, "b").join(every_prefix(a, "a"), "key").where("length(b) < length(a)"))
+    near = near.select("wanted", "found", F.lit(3).alias("rule"))
     every = exact.unionByName(tags).unionByName(copies).unionByName(near)
     return every.groupBy("wanted").agg(F.min(F.struct("rule", "found")).alias("m")).select("wanted", F.col("m.found").alias("found"), F.col("m.rule").alias("rule"))
 

@@ -197,6 +197,13 @@ select case k % 4 when 1 then base || ' [vlm]' when 2 then base || '(2)' else ba
 """
 
 
+def directory_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories for the wanted names of all parts, by all four rules; a test holds it against brute force."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("directory "), F.sha1(F.col("p_partkey").cast("string")).substr(1, 12)).alias("base"), "p_partkey")
+    wanted = parts.select(F.when(F.col("p_partkey") % 4 == 1, F.concat("base", F.lit(" [vlm]"))).when(F.col("p_partkey") % 4 == 2, F.concat("base", F.lit("(2)"))).when(F.col("p_partkey") % 4 == 3, F.concat("base", F.lit(" final"))).otherwise(F.col("base")).alias("name"))
+    return L.resolve_directories(wanted, parts.where("p_partkey % 5 <> 0").select(F.col("base").alias("name")))
+
+
 def stem_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories to ledger rows by the first of three rules that matches."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("out/"), "c_name").alias("chunks"), F.concat(F.regexp_replace("c_name", "#", "-"), F.lit(".pdf")).alias("filename"))
@@ -350,7 +357,7 @@ union all select n_nationkey, 'http://b/', '' from nation where n_nationkey % 2
 def queries() -> dict:
     found = (
         upsert_orders, updated_ledger, preserved_upsert, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions,
-        stage_actions, scan_report, resolved_files, directory_match, stem_cascade, stage_status, report_split, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
+        stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
     )
     return {f.__name__: f for f in found}
 

@@ -116,6 +116,33 @@ def test_ledger_cases(spark):
     assert got == {"a report": ("a report", 0), "b report [vlm]": ("b report", 1), "c report (2)": ("c report", 2), "long document name 2024": ("long document name 2023 final", 3)}
 
 
+def test_directories_of_all_parts_against_brute_force(spark, sf):
+    import hashlib
+    import re
+
+    from granary.plans import relational
+
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
+    base = {k: "directory " + hashlib.sha1(str(k).encode()).hexdigest()[:12] for k in keys}
+    wanted = {base[k] + ("", " [vlm]", "(2)", " final")[k % 4] for k in keys}
+    odd = ["short", "sixsix", "sixsix and on", "sixsix and so on", "sixsix ano", "a b", "directory"]
+    cases = [(relational.directory_match_all(spark, sf), wanted, {base[k] for k in keys if k % 5}), (L.resolve_directories(*(spark.createDataFrame([(x,) for x in n], "name string") for n in (odd, odd[::-1][:5]))), set(odd), set(odd[::-1][:5]))]
+    for found, left, right in cases:
+        tagless = lambda x: re.sub(r"\s*\[[^\]]*\]\s*$", "", x.strip())
+        clean = lambda x: re.sub(r"\s*[(（]\d+[)）]\s*$", "", tagless(x))
+        want = {}
+        for w in left:
+            hits = []
+            for e in right:
+                a, b = sorted((clean(w), clean(e)), key=len)
+                rules = (w == e, tagless(w) == tagless(e), clean(w) == clean(e), len(a) >= 6 and b.startswith(a[: max(6, int(0.7 * len(a)))]))
+                hits += [(rules.index(True), e)] if True in rules else []
+            if hits:
+                want[w] = min(hits)
+        assert {r["wanted"]: (r["rule"], r["found"]) for r in found.collect()} == want
+        assert any(rule == 3 for rule, _ in want.values())
+
+
 def test_pipeline_stages(spark):
     ledger = spark.createDataFrame([("a", "a.pdf", "t", "", "", "", "pending", ""), ("b", "b.pdf", "t", "x", "", "", "parsed", ""), ("c", "c.pdf", "default", "x", "y", "", "chunked", ""), ("d", "d.pdf", "u", "x", "y", "", "error", "old")], "stem string, filename string, tenant_id string, parse string, chunks string, remote_id string, status string, error_msg string").withColumn("update_time", F.lit(""))
     pending = spark.createDataFrame([("a.pdf", 20)], "filename string, pages int")
