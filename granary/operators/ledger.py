@@ -158,7 +158,7 @@ def merged_metadata(manifest: DataFrame, documents: DataFrame, key: str, fields:
 def metadata_operations(values: DataFrame, fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Operation lists: each value that is not blank with its field's id; a document without one has no row."""
     long = values.unpivot(key, names, "name", "value").where("value is not null and trim(value) <> ''")
-    return long.join(F.broadcast(fields.limit(1000)), "name").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", F.col("field_id").alias("id"), "value"))).alias("operations"))
+    return long.join(fields, "name").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", F.col("field_id").alias("id"), "value"))).alias("operations"))
 
 
 def batches(rows: DataFrame, order: list[str], size: int, group: str) -> DataFrame:

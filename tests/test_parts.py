@@ -143,6 +143,13 @@ def test_directories_of_all_parts_against_brute_force(spark, sf):
         assert any(rule == 3 for rule, _ in want.values())
 
 
+def test_every_field_has_operations(spark):
+    names = [f"f{k}" for k in range(1200)]
+    fields = spark.createDataFrame([(n, f"id-{n}") for n in names], "name string, field_id string")
+    values = spark.range(2).select("id", *(F.lit("v").alias(n) for n in names))
+    assert [len(r["operations"]) for r in L.metadata_operations(values, fields, "id", names).collect()] == [1200, 1200]
+
+
 def test_pipeline_stages(spark):
     ledger = spark.createDataFrame([("a", "a.pdf", "t", "", "", "", "pending", ""), ("b", "b.pdf", "t", "x", "", "", "parsed", ""), ("c", "c.pdf", "default", "x", "y", "", "chunked", ""), ("d", "d.pdf", "u", "x", "y", "", "error", "old")], "stem string, filename string, tenant_id string, parse string, chunks string, remote_id string, status string, error_msg string").withColumn("update_time", F.lit(""))
     pending = spark.createDataFrame([("a.pdf", 20)], "filename string, pages int")
