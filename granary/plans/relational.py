@@ -243,6 +243,19 @@ from orders o left join f on f.stem = o.o_orderkey where o.o_orderkey % 2 = 0 gr
 """
 
 
+def report_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on every order."""
+    actions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stem"), F.col("l_returnflag").alias("stage"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("ord"), F.col("l_linestatus").alias("action"), (F.col("l_quantity") > 48).alias("failed"))
+    return L.report_by_stem(actions, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stem"))).select("stem", F.size("stages").alias("stages"), "status")
+
+
+SPLIT_ALL_SQL = """
+with f as (select l_orderkey as stem, l_returnflag as stage, arg_min(l_quantity > 48, (l_linenumber, l_partkey, l_suppkey, l_quantity)) as failed from lineitem group by 1, 2)
+select o.o_orderkey as stem, cast(count(f.stage) as integer) as stages, case when bool_or(f.failed) then 'partial' when count(f.stage) = 0 then 'none' else 'ok' end as status
+from orders o left join f on f.stem = o.o_orderkey group by 1
+"""
+
+
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations whose names share a keyword."""
     return L.similar_names(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), ["_1", "_2", "4"])
@@ -357,7 +370,7 @@ union all select n_nationkey, 'http://b/', '' from nation where n_nationkey % 2
 def queries() -> dict:
     found = (
         upsert_orders, updated_ledger, preserved_upsert, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions,
-        stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
+        stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, report_split_all, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
     )
     return {f.__name__: f for f in found}
 
@@ -366,6 +379,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "upsert_orders": UPSERT_SQL, "updated_ledger": UPDATED_SQL, "preserved_upsert": PRESERVED_SQL, "ledger_page": PAGE_SQL, "recent_runs": RECENT_SQL, "latest_per_user": LATEST_SQL, "status_histogram": HISTOGRAM_SQL, "report_rollup": ROLLUP_SQL,
         "directory_sizes": RETENTION_SQL, "merged_metadata": MERGED_SQL, "metadata_operations": OPERATIONS_SQL, "unlabelled": UNLABELLED_SQL, "numbered_additions": NUMBERED_SQL, "stage_actions": STAGE_SQL, "scan_report": SCAN_SQL,
-        "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "similar_names": SIMILAR_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
+        "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "report_split_all": SPLIT_ALL_SQL, "similar_names": SIMILAR_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
         "nested_tasks": NESTED_SQL, "tenant_keys": KEYS_SQL, "unique_names": UNIQUE_SQL, "events_per_hour": HOUR_SQL, "segment_listing": LISTING_SQL, "crawl_landing": LANDING_SQL, "profile_entries": ENTRIES_SQL,
     }

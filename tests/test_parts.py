@@ -150,6 +150,14 @@ def test_every_field_has_operations(spark):
     assert [len(r["operations"]) for r in L.metadata_operations(values, fields, "id", names).collect()] == [1200, 1200]
 
 
+def test_report_on_all_orders(spark, sf):
+    from granary.plans import relational
+
+    assert relational.report_split_all(spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    actions = spark.createDataFrame([(1, "a", 1, "x", False)], "stem int, stage string, ord int, action string, failed boolean")
+    assert {(r["stem"], r["status"], len(r["stages"])) for r in L.report_by_stem(actions, spark.createDataFrame([(1,), (2,)], "stem int")).collect()} == {(1, "ok", 1), (2, "none", 0)}
+
+
 def test_pipeline_stages(spark):
     ledger = spark.createDataFrame([("a", "a.pdf", "t", "", "", "", "pending", ""), ("b", "b.pdf", "t", "x", "", "", "parsed", ""), ("c", "c.pdf", "default", "x", "y", "", "chunked", ""), ("d", "d.pdf", "u", "x", "y", "", "error", "old")], "stem string, filename string, tenant_id string, parse string, chunks string, remote_id string, status string, error_msg string").withColumn("update_time", F.lit(""))
     pending = spark.createDataFrame([("a.pdf", 20)], "filename string, pages int")
