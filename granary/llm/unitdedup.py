@@ -7,7 +7,8 @@ that document the first. Removed are runs of successive repeated units that toge
 sentence that documents share by chance stays. Offsets are those of the original text. Sentences are
 the default unit because a shared passage may stand amid a line.
 
-Defined results: null and empty texts have no units; a null document id ranks after all others; rows of equal document
+Defined results: null and empty texts have no units; a null document id ranks after all others, and ``dedup`` takes each row
+without one as a document of its own (the highest ids, from 2^62 on, are kept for such rows); rows of equal document
 id count as one document, which is not compared with itself beyond its first occurrences; an empty table gives no row;
 extra columns are passed through by ``dedup`` whatever their names.
 """
@@ -107,10 +108,15 @@ def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col:
 def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated spans cut from their texts; all rows and columns stay."""
     own, key = runtime.fresh("granary_spans", docs), runtime.fresh("granary_id", docs)
-    spans = repeats(docs, unit, min_words, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(own)).withColumnRenamed("doc_id", key)
+    row = runtime.fresh("granary_row", docs)
+    id_ = F.col(id_col).cast("long")
+    # Rows without an id are numbered down from the end, and stored, so that both reads see the same numbers.
+    nameless = runtime.materialize(docs.where(id_.isNull()).withColumn(row, F.lit(LAST - 1) - F.monotonically_increasing_id()), "rows-without-id")
+    docs = docs.where(id_.isNotNull()).withColumn(row, id_).unionByName(nameless)
+    spans = repeats(docs, unit, min_words, row, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(own)).withColumnRenamed("doc_id", key)
     ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["end"]))
     begins = F.concat(F.transform(own, lambda s: s["begin"]), F.array(F.length(text_col)))
     pieces = F.transform(F.arrays_zip(ends.alias("b"), begins.alias("e")), lambda p: F.substring(F.col(text_col), p["b"] + 1, p["e"] - p["b"]))
     cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
-    joined = docs.join(spans, docs[id_col].cast("long") == spans[key], "left")
-    return joined.withColumn(text_col, cut).select(*docs.columns)
+    joined = docs.join(spans, docs[row] == spans[key], "left")
+    return joined.withColumn(text_col, cut).select(*(c for c in docs.columns if c != row))

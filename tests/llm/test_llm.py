@@ -170,6 +170,17 @@ def test_unit_dedup_odd(odd, empty):
         assert {r["doc_id"] for r in unitdedup.repeats(odd, unit).collect()} == {5}
 
 
+def test_unit_dedup_cuts_rows_without_an_id(spark):
+    passage = "The first part has seven words here. Then a second part of this shared passage goes on and on. It ends."
+    other = "Only rows that have no id at all hold this other passage of some more words."
+    rows = [(7, f"{passage} Own.", "a"), (None, passage, "b"), (None, f"Mine first. {passage} {other}", "c"), (None, other, "d"), (None, None, "e"), (9, passage, "f")]
+    for parts in (1, 3):
+        cut = {r["name"]: r["text"] for r in unitdedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(parts)).collect()}
+        assert len(cut) == 6 and cut["a"] == rows[0][1] and cut["b"] == cut["f"] == "" and cut["e"] is None
+        assert passage not in cut["c"] and cut["c"].startswith("Mine first.")
+        assert sorted([other in cut["c"], cut["d"] == other]) == [False, True]
+
+
 def containment(item, text, width=5):
     words = decontam._words.findall(item.lower())
     w = min(width, len(words))
