@@ -12,6 +12,7 @@ import io
 import tempfile
 import threading
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _tables: dict[str, list[str]] = {}
+_paths: dict[int, str] = {}
 _lock = threading.Lock()
 
 #: Arrow batches towards Python hold at most so many rows and bytes, so that a batch of very long texts stays small.
@@ -30,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = Path(tempfile.mkdtemp(prefix="granary-")).as_uri()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,7 +53,19 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     with _lock:
         _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete one scratch table: iterations do so with what the next round replaces."""
+    path, spark = _paths.pop(id(df), None), df.sparkSession
+    if path:
+        with _lock:
+            _tables[spark.sparkContext.applicationId].remove(path)
+        delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
