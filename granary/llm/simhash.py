@@ -1,36 +1,38 @@
-"""SimHash near-duplicates: fingerprints linked within a Hamming distance, by vantage-point trees.
-
-A vantage-point tree over whole 64-bit fingerprints prunes next to nothing at a distance of 4: almost
-all fingerprints lie 32 +- 8 bits from any vantage point, so most searches go both ways at each node.
-The trees here measure distance in a block of 16 bits. Fingerprints within distance 4 are within 1 in
-at least one of the four blocks, so a search of radius 1 in each block's tree loses no pair, and its
-triangle bounds do prune. A tree's leaves are the shards: a fingerprint lives in its own leaf and is
-sent as a query to every later leaf that its ball overlaps. Within a leaf all pairs that share a home
-or a visit are compared over all bits. Leaves are dealt over tasks; a leaf with more than ``TILE``
-fingerprints is cut into tiles, and each pair of tiles is a unit of work of its own. Each task keeps
-of its links only as many as join the same components.
+"""SimHash near-duplicates: 64-bit fingerprints linked within a Hamming distance, by vantage-point trees.
+
+A vantage-point tree is built over a bounded sample of the fingerprints: each node has a vantage point, and
+the median distance parts what lies near from what lies far. Its leaves are the shards. A fingerprint lives
+in the leaf that its distances lead to, and is sent as a query to every later leaf that a ball of the
+radius around it overlaps: the triangle bound rules out all others. In a shard, a tree over its residents
+answers them and the visitors: a node is passed by if the ball lies outside of it, and joined as a whole
+if it lies inside the ball; leaves are compared bit by bit. So no pair within the radius is lost, whatever
+the sample. A shard with more than ``RESIDENTS`` fingerprints is cut into tiles, its queries into parts,
+and each (shard, tile, part) is a unit of work of its own; queries stream past the tree. Of the links in a
+unit only as many are kept as join the same components.
+
+Hamming distances of unlike fingerprints are 32 +- 4, so at a radius of 4 about 84 % of the queries at a node's
+level go on to each side: a query meets about N^0.75 of N fingerprints.
 
 ``similar_documents`` finds texts with a Jaccard similarity of 0.8 or more over sets of five-word
-shingles. Such texts differ in about 15 % of the bits of a SimHash, which no block of a 64-bit one
-isolates, so candidates are searched by 1,024 bits: eighty blocks of 12 bits at radius 0, and a bound of
-72 bits of 256 on what is compared. By calculation a pair at 0.8 shares no block with a probability of
-6e-6 and is beyond the bound, 5.5 standard deviations above its mean, with less. Of short texts those
+shingles. Such texts differ in about 15 % of the bits of a SimHash, a distance at which triangle bounds rule out
+nothing, so candidates are searched by 1,024 bits: those that agree in one of eighty blocks of 12 bits,
+and differ in 45 of 128 bits at most. By calculation a pair at 0.8 shares no block with a probability of
+6e-6 and is beyond the bound, 6 standard deviations above its mean, with less. Of short texts those
 of four and five shingles differ most, in 19 % of the bits: 1e-3 and 1e-4. Candidates only group
 documents: within a group, texts are linked whose sets of shingles have a similarity of 0.8 or more, and
-components are those of such links. A large group is cut into tiles like a leaf, and each pair of tiles is
-a unit of its own; pairs that verified links of the unit join already are not compared again.
+components are those of such links. A block or a group with more than ``TILE`` members is cut into tiles, and
+each pair of tiles is a unit of its own; pairs that verified links of the unit join already are not compared
+again.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other; rows of
-equal document id count as one document for each text; null document ids are left out; an empty table gives no row; extra
-columns are ignored.
+equal document id are documents of their own; a null document id ranks after all others, and is the component of rows
+that reach no other; an empty table gives no row; extra columns are ignored, and passed through by ``distinct_documents``.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,34 +43,24 @@ from granary import runtime
 from granary.llm import tokens
 from granary.llm.components import components, spanning
 
-
-@dataclass(frozen=True)
-class Plan:
-    """How signatures of ``words`` times 64 bits are searched."""
-
-    words: int  # 64-bit words of a signature
-    blocks: int  # blocks of a word
-    width: int  # bits of a block
-    radius: int  # of the search in a block
-    compared: int  # words that are compared in the end
-    distance: int  # bits by which they may differ
-
-    @property
-    def shards(self) -> int:
-        return self.words * self.blocks << self.width
-
-
-EXACT = Plan(words=1, blocks=4, width=16, radius=1, compared=1, distance=4)
-SIMILAR = Plan(words=8, blocks=5, width=12, radius=0, compared=4, distance=52)
-#: Looser and longer than SIMILAR, for candidates that are verified.
-CANDIDATES = replace(SIMILAR, words=16, distance=72)
+SEED = 42
+DISTANCE = 4
+#: Fingerprints of a shard, on average; shards at least (if there are as many fingerprints for each) and at most.
+RESIDENTS, SHARDS, MOST_SHARDS = 65_536, 64, 4096
+#: Fingerprints of the sample for each shard; queries of a unit; queries that are answered at once; values of a tree's leaf.
+SAMPLE, QUERIES, AT_ONCE, LEAF = 32, 4_000_000, 65_536, 32
+
+#: The signatures of similar documents: their 64-bit words, blocks of a word, bits of a block, words compared, bits by which those may differ.
+WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 2, 45
 JACCARD = 0.8
 TILE = 4096
 #: Characters of a tile of texts, and how many of its texts are compared with one at once.
 TILE_CHARS, SOME = 16_000_000, 16
-SEED = 42
 _ODDS = np.random.default_rng(11).integers(1, 1 << 62, 24, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+# --- fingerprints ----------------------------------------------------------------------------------
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -84,18 +76,297 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes."""
-    n = len(hashes)
-    raw = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
-    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0) if n < 256 else np.concatenate([np.bincount(raw[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+def majority(rows: np.ndarray) -> bytes:
+    """Of n rows of 64-bit words, the bits that are set in over half."""
+    n = len(rows)
+    raw = rows.astype("<u8").view(np.uint8).reshape(n, -1)
+    ones = np.zeros(8 * raw.shape[1], np.int64)
+    for k in range(0, n, 255):  # so many rows add up in a byte
+        ones += np.unpackbits(raw[k : k + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """Unsigned 64-bit fingerprint of the shingles of ``width`` words of an ASCII-lower-cased text."""
+    words = text.encode("utf-8", "replace").lower().split()
+    return int.from_bytes(majority(shingle_hashes(words, width)), "little") if words else 0
+
+
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long."""
+    runtime.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, held in tokens.portions(batches, "text"):
+            fps = np.array([fingerprint(x, width) for x in held], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+# --- vantage-point trees ---------------------------------------------------------------------------
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+class Tree:
+    """A vantage-point tree over distinct 64-bit values. A node's vantage point is one of its values, no value of it lies farther away
+    than ``far``, those at most ``limit`` away are on its left. Leaves are numbered from left to right."""
+
+    def __init__(self, values: np.ndarray, leaf: int, radius: int = 0):
+        self.vantage: list[np.uint64] = []
+        self.far: list[int] = []
+        self.limit: list[int] = []
+        self.sides: list[list[int]] = []
+        self.number: dict[int, int] = {}
+        self.members: list[np.ndarray] = []  # of the leaves
+        self.whole: list[np.ndarray] = []  # of nodes within the radius of their vantage points, but not in such a node: the values
+        todo: list[tuple[np.ndarray, int, int, bool]] = [(values, -1, 0, False)]
+        while todo:
+            held, parent, side, inner = todo.pop()
+            node = len(self.vantage)
+            if parent >= 0:
+                self.sides[parent][side] = node
+            point = self._point(held)
+            d = apart(held, point)
+            far = int(d.max()) if len(d) else 0
+            self.vantage.append(point)
+            self.far.append(far)
+            self.sides.append([-1, -1])
+            tight = 0 < far <= radius
+            if tight and not inner:
+                self.whole.append(held)
+            if len(held) <= leaf or far == 0:
+                self.limit.append(far)
+                self.number[node] = len(self.members)
+                self.members.append(held)
+                continue
+            limit = min(int(np.median(d)), far - 1)
+            self.limit.append(limit)
+            todo.append((held[d > limit], node, 1, inner or tight))
+            todo.append((held[d <= limit], node, 0, inner or tight))
+
+    @staticmethod
+    def _point(values: np.ndarray) -> np.uint64:
+        """Of a few of the values, that from which the distances vary most."""
+        if len(values) <= LEAF:
+            return values[0] if len(values) else np.uint64(0)
+        some, seen = values[:: -(-len(values) // 8)], values[:: -(-len(values) // 256)]
+        return some[int(apart(some[:, None], seen).std(axis=1).argmax())]
+
+    def route(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which value, leaf, whether it is home there): the home of each, and the later leaves that its ball overlaps. Values may be new to the tree."""
+        which, leaf, own = [], [], []
+        todo = [(0, np.arange(len(values)), np.ones(len(values), bool))]
+        while todo:
+            node, rows, home = todo.pop()
+            if node in self.number:
+                which.append(rows)
+                leaf.append(np.full(len(rows), self.number[node]))
+                own.append(home)
+                continue
+            if not len(rows):
+                continue
+            d, limit = apart(values[rows], self.vantage[node]), self.limit[node]
+            near = d <= limit
+            right = np.where(home, ~near | (d + radius > limit), d + radius > limit)
+            left = np.where(home, near, d - radius <= limit)
+            todo.append((self.sides[node][1], rows[right], (home & ~near)[right]))
+            todo.append((self.sides[node][0], rows[left], home[left]))
+        return np.concatenate(which), np.concatenate(leaf), np.concatenate(own)
+
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links (value, query) within the radius that the tree was built for. Of a node that lies in a query's ball as a whole only the vantage point is linked; ``whole`` links the rest to it."""
+        todo = [(0, np.arange(len(queries)))]
+        while todo:
+            node, rows = todo.pop()
+            d, far = apart(queries[rows], self.vantage[node]), self.far[node]
+            if far <= radius:
+                inside = d + far <= radius
+                yield np.full(int(inside.sum()), self.vantage[node]), queries[rows[inside]]
+                rows, d = rows[~inside], d[~inside]
+            close = d - far <= radius
+            rows, d = rows[close], d[close]
+            if not len(rows):
+                continue
+            if node in self.number:
+                held = self.members[self.number[node]]
+                for k in range(0, len(rows), 1 << 15):
+                    some = queries[rows[k : k + (1 << 15)]]
+                    i, j = np.nonzero(np.bitwise_count(some[:, None] ^ held) <= radius)
+                    yield held[j], some[i]
+                continue
+            todo.append((self.sides[node][1], rows[d + radius > self.limit[node]]))
+            todo.append((self.sides[node][0], rows[d - radius <= self.limit[node]]))
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(unit, side, columns after those two) of rows that come by unit and side, in portions as they arrive."""
+    for batch in batches:
+        unit, side, *rest = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+        cuts = np.flatnonzero((unit[1:] != unit[:-1]) | (side[1:] != side[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
+            if b > a:
+                yield int(unit[a]), int(side[a]), [c[a:b] for c in rest]
+
+
+class _Unit:
+    """Residents, then queries, of one unit; keeps a spanning set of the links found."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.residents: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
+        self.tree: Tree | None = None
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, side: int, fps: np.ndarray) -> None:
+        if side == 0:
+            self.residents.append(fps)
+            return
+        self.waiting.append(fps)
+        self.n += len(fps)
+        if self.n >= AT_ONCE:
+            self.answer()
+
+    def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
+        other = a != b
+        self.links.append((a[other].view(np.int64), b[other].view(np.int64)))
+        self.size += len(self.links[-1][0])
+        if self.size > 1_000_000:
+            self.links = [self.spanned()]
+            self.size = len(self.links[0][0])
+
+    def spanned(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        return spanning(*(np.concatenate([none, *(x[k] for x in self.links)]) for k in (0, 1)))
+
+    def answer(self) -> None:
+        if self.n and self.residents:
+            if self.tree is None:
+                self.tree = Tree(np.concatenate(self.residents), LEAF, self.radius)
+                for held in self.tree.whole:
+                    self._keep(np.full(len(held), Tree._point(held)), held)
+            for a, b in self.tree.search(np.concatenate(self.waiting), self.radius):
+                self._keep(a, b)
+        self.waiting, self.n = [], 0
+
+
+def links(points: DataFrame, radius: int = DISTANCE) -> DataFrame:
+    """(a, b) between distinct fingerprints of ``points(fp long)``: they join the same components as all pairs within the radius."""
+    spark = runtime.ship(points.sparkSession)
+    n = points.count()
+    shards = max(1, min(MOST_SHARDS, max(n // RESIDENTS, min(SHARDS, n // SAMPLE))))
+    # At most SAMPLE * MOST_SHARDS values of 8 bytes, chosen by hash; every later step is exact whatever they are.
+    some = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE * shards).collect()]
+    top = Tree(np.array(some, np.int64).view(np.uint64), SAMPLE)
+    shared = spark.sparkContext.broadcast(top)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = visits = 0
+        for batch in batches:
+            _, leaf, own = shared.value.route(batch.column(0).to_numpy().view(np.uint64), radius)
+            home = home + np.bincount(leaf[own], minlength=len(shared.value.members))
+            visits = visits + np.bincount(leaf[~own], minlength=len(shared.value.members))
+        if np.ndim(home):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(home)), pa.int32()), pa.array(home), pa.array(visits)], names=["shard", "home", "visits"])
+
+    # One row for each shard: at most SAMPLE * MOST_SHARDS, whatever the input.
+    tiles, parts = np.ones(len(top.members), np.int64), np.ones(len(top.members), np.int64)
+    for r in points.select("fp").mapInArrow(count, "shard int, home long, visits long").groupBy("shard").agg(F.sum("home").alias("home"), F.sum("visits").alias("visits")).collect():
+        tiles[r["shard"]] = max(1, -(-r["home"] // (4 * RESIDENTS)))
+        parts[r["shard"]] = max(1, -(-(r["home"] + r["visits"]) // QUERIES))
+    cut = spark.sparkContext.broadcast((tiles, parts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles, parts = cut.value
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            which, leaf, own = shared.value.route(fps, radius)
+            lot = ((fps * _FOLD) >> np.uint64(33)).astype(np.int64)[which]
+            # Residents go to their tile of every part, every value is a query to its part of every tile.
+            at = np.flatnonzero(own)
+            first, part = np.repeat(at, parts[leaf[at]]), tokens._ranges(np.zeros(len(at), np.int64), parts[leaf[at]])
+            second, tile = np.repeat(np.arange(len(which)), tiles[leaf]), tokens._ranges(np.zeros(len(which), np.int64), tiles[leaf])
+            row = np.concatenate([first, second])
+            t = np.concatenate([lot[first] % tiles[leaf[first]], tile])
+            p = np.concatenate([part, (lot[second] // 65_537) % parts[leaf[second]]])
+            unit = (leaf[row].astype(np.int64) << 32) | (t << 16) | p
+            side = np.concatenate([np.zeros(len(first), np.int8), np.ones(len(second), np.int8)])
+            value = fps[which[row]].view(np.int64)
+            for k in range(0, len(row), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (unit, side, value)], names=["unit", "side", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = -1, _Unit(radius)
+
+        def done() -> pa.RecordBatch:
+            now.answer()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in now.spanned()], names=["a", "b"])
+
+        for unit, side, (fps,) in _by_unit(batches):
+            if unit != at:
+                yield done()
+                at, now = unit, _Unit(radius)
+            now.add(side, fps.view(np.uint64))
+        yield done()
+
+    units = points.select("fp").mapInArrow(deal, "unit long, side byte, fp long")
+    return units.repartition(runtime.partitions(spark), "unit").sortWithinPartitions("unit", "side").mapInArrow(search, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): the smallest document id that links of at most 4 bits reach."""
+    fps = runtime.materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    points = runtime.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    groups = runtime.materialize(components(runtime.materialize(links(points), "links")), "groups")
+    linked = runtime.materialize(groups.join(points, groups["node"] == points["fp"]).select("node", "component", "least"), "linked")
+    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
+    named = linked.join(tops, "component").select("node", "top")
+    every = points.join(named, points["fp"] == named["node"], "left").select("fp", F.coalesce("top", "least").alias("component_id"))
+    return fps.join(every, "fp").select("doc_id", "fp", "component_id")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """The fingerprint as 16 lowercase hex digits."""
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similar documents -----------------------------------------------------------------------------
+
+
+class _Words(dict):
+    """Hashes of words; a worker keeps at most a million of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word, SEED)
+        return found
+
+
+_known = _Words()
 
 
 def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """Sorted hashes of the set of a lower-cased text's shingles; none without a word."""
+    """Sorted hashes of the set of a lower-cased text's shingles; of fewer words than ``width``, of all of them; none without a word."""
     held = text.lower().encode("utf-8", "replace").split()
-    return np.unique(shingle_hashes(held, width)) if held else np.empty(0, np.uint64)
+    if not held:
+        return np.empty(0, np.uint64)
+    words = np.fromiter(map(_known.__getitem__, held), np.uint64, len(held))
+    w = min(width, len(words))
+    n = len(words) - w + 1
+    out = np.full(n, w, np.uint64)
+    for k in range(w):
+        out = (out ^ words[k : k + n]) * _FOLD
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def set_digest(h: np.ndarray) -> bytes:
@@ -105,244 +376,144 @@ def set_digest(h: np.ndarray) -> bytes:
     return xxh3_128_digest(h.astype("<u8").tobytes())
 
 
-def signature(text: str, width: int = 5, words: int = 8) -> bytes:
-    """SimHash of ``words`` times 64 bits over the set of a lower-cased text's shingles; zeros without a word."""
-    return set_signature(shingle_set(text, width), words)
-
-
 def set_signature(h: np.ndarray, words: int) -> bytes:
-    """SimHash of a set; of an even number of shingles, the least breaks ties, or short texts would have too few bits set."""
+    """SimHash of a set, of ``words`` times 64 bits; of an even number of shingles, the least breaks ties, or short texts would have too few bits set."""
     if not len(h):
         return bytes(8 * words)
     if len(h) % 2 == 0:
         h = np.append(h, h[0])
-    out = np.empty(words, "<u8")
-    for k in range(words):
-        x = h * _ODDS[k]
-        x ^= x >> np.uint64(32)
-        x *= _ODDS[k + 8]
-        out[k] = majority(x ^ (x >> np.uint64(29)))
-    return out.tobytes()
+    x = h[:, None] * _ODDS[:words]
+    x ^= x >> np.uint64(32)
+    x *= _ODDS[8 : 8 + words]
+    return majority(x ^ (x >> np.uint64(29)))
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """Unsigned 64-bit fingerprint of the shingles of ``width`` words of an ASCII-lower-cased text."""
-    words = text.encode("utf-8", "replace").lower().split()
-    return majority(shingle_hashes(words, width)) if words else 0
+@dataclass
+class _Shares:
+    """How the blocks with many members are cut into tiles."""
 
+    tiles: np.ndarray  # by block and value
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    runtime.ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, held in tokens.portions(batches, "text"):
-            fps = np.array([fingerprint(x, width) for x in held], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+    def deal(self, sig: np.ndarray, rep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which row, unit, side) for each block in turn. Of t tiles, tile i meets tiles i to t - 1: unit (i, j) holds those of i and, on side 1, of j."""
+        lot = ((rep.view(np.uint64) * _FOLD) >> np.uint64(33)).astype(np.int64)
+        for first, value in _values(sig):
+            block = first + value
+            t = self.tiles[block]
+            mine = lot % t
+            row, other = np.repeat(np.arange(len(sig)), t), tokens._ranges(np.zeros(len(sig), np.int64), t)
+            i, j = np.minimum(mine[row], other), np.maximum(mine[row], other)
+            yield row, (block[row] << 32) | (i << 16) | j, (mine[row] > other).astype(np.int8)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
 
+def _values(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first value, value of each signature) for each block."""
+    for w in range(WORDS):
+        for b in range(BLOCKS):
+            value = (sig[:, w] >> np.uint64(b * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+            yield (w * BLOCKS + b) << WIDTH, value.astype(np.int64)
 
-@lru_cache(2)
-def tree(width: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vantage-point tree of one block: the leaf of each value, and its later leaves within the radius (bounds, leaves).
 
-    A node's vantage point is a value that lies in it, its threshold the median distance; values at most
-    that far go left. A search of radius r passes a node by if d - r exceeds the distance of its farthest value,
-    goes left if d - r <= threshold, and right if d + r > threshold.
-    """
-    count = np.bitwise_count(np.arange(1 << width, dtype=np.uint32)).astype(np.int64)
-    home = np.zeros(1 << width, np.int64)
-    visits: list[np.ndarray] = []
-    everything = np.arange(1 << width)
-    todo = [(everything, everything)]  # of a node: the values in it, the values whose balls overlap it
-    leaves = 0
-    while todo:
-        inside, queries = todo.pop()
-        vantage = inside[0]
-        d = count[inside ^ vantage]
-        queries = queries[count[queries ^ vantage] - radius <= d.max()]
-        if len(inside) > 1:
-            dq = count[queries ^ vantage]
-            limit = min(int(np.median(d)), int(d.max()) - 1)
-            todo.append((inside[d > limit], queries[dq + radius > limit]))
-            todo.append((inside[d <= limit], queries[dq - radius <= limit]))
-            continue
-        home[inside] = leaves
-        visits.append(queries)
-        leaves += 1
-    leaf = np.repeat(np.arange(leaves), [len(v) for v in visits])
-    value = np.concatenate(visits)
-    later = leaf > home[value]
-    leaf, value = leaf[later], value[later]
-    order = np.argsort(value, kind="stable")
-    return home, np.searchsorted(value[order], np.arange((1 << width) + 1)), leaf[order]
-
-
-def _values(sig: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
-    """(first shard, value of each signature) for each block."""
-    for w in range(plan.words):
-        for b in range(plan.blocks):
-            value = (sig[:, w] >> np.uint64(b * plan.width)) & np.uint64((1 << plan.width) - 1)
-            yield (w * plan.blocks + b) << plan.width, value.astype(np.int64)
-
-
-def _deal(sig: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature's rows: which of them, the shard, and whether the shard is its home."""
-    home, bounds, later = tree(plan.width, plan.radius)
-    which, shard, own = [], [], []
-    everyone = np.arange(len(sig))
-    for first, value in _values(sig, plan):
-        n = bounds[value + 1] - bounds[value]
-        which += [everyone, np.repeat(everyone, n)]
-        shard += [home[value] + first, later[tokens._ranges(bounds[value], n)] + first]
-        own += [np.ones(len(sig), bool), np.zeros(int(n.sum()), bool)]
-    return np.concatenate(which), np.concatenate(shard), np.concatenate(own)
-
-
-def _tile(shard: np.ndarray, own: np.ndarray, lot: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which row, unit, side) of the units of work of each row.
-
-    A resident of tile i of t meets tiles i to t - 1, a visitor every tile. Unit (i, j) holds the residents
-    of i, and on side 1 those of j and, if i is j, the visitors.
-    """
-    t = tiles[shard]
-    lot = lot % t
-    at, out = np.flatnonzero(own), np.flatnonzero(~own)
-    first, j = np.repeat(at, t[at] - lot[at]), tokens._ranges(lot[at], t[at] - lot[at])
-    second, i = np.repeat(at, lot[at]), tokens._ranges(np.zeros(len(at), np.int64), lot[at])
-    third, k = np.repeat(out, t[out]), tokens._ranges(np.zeros(len(out), np.int64), t[out])
-    which = np.concatenate([first, second, third])
-    unit = (shard[which].astype(np.int64) << 32) | (np.concatenate([lot[first], i, k]) << 16) | np.concatenate([j, lot[second], k])
-    side = np.concatenate([np.zeros(len(first), np.int8), np.ones(len(second) + len(third), np.int8)])
-    return which, unit, side
-
-
-def _search(unit: np.ndarray, side: np.ndarray, sig: np.ndarray, reps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within units: in each, side 0 meets side 0 and side 1."""
-    order = np.lexsort((side, unit))
-    unit, side, sig, reps = unit[order], side[order], sig[order], reps[order]
-    if not len(unit):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _compare(unit: np.ndarray, side: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within whole units, which come one after the other and by side: side 0 meets itself or, where there is one, side 1."""
     first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     ends = np.append(first[1:], len(unit))
-    own = np.add.reduceat(side == 0, first)
-    size = np.repeat(ends, ends - first)
-    mine = np.flatnonzero(np.arange(len(unit)) < np.repeat(first + own, ends - first))
-    partners = size[mine] - mine - 1
+    half = np.add.reduceat(side == 0, first)
+    size = ends - first
+    two = np.repeat(half < size, size)
+    at = np.arange(len(unit))
+    mine = np.flatnonzero(side == 0)
+    begin = np.where(two, np.repeat(first + half, size), at + 1)[mine]
+    partners = np.repeat(ends, size)[mine] - begin
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    begin, total = 0, np.concatenate([[0], np.cumsum(partners)])
-    while begin < len(mine):
-        stop = max(begin + 1, int(np.searchsorted(total, total[begin] + 2_000_000, side="right")) - 1)
-        n = partners[begin:stop]
-        i, j = np.repeat(mine[begin:stop], n), tokens._ranges(mine[begin:stop] + 1, n)
-        apart = np.zeros(len(i), np.int64)
-        for w in range(sig.shape[1]):
-            apart += np.bitwise_count(sig[i, w] ^ sig[j, w])
-            if w + 1 < sig.shape[1]:  # most pairs are told apart by the first words
-                near = apart <= distance
-                i, j, apart = i[near], j[near], apart[near]
-        near = apart <= distance
-        found_a.append(reps[i[near]])
-        found_b.append(reps[j[near]])
+    k, total = 0, np.concatenate([[0], np.cumsum(partners)])
+    while k < len(mine):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + 2_000_000, side="right")) - 1)
+        n = partners[k:stop]
+        i, j = np.repeat(mine[k:stop], n), tokens._ranges(begin[k:stop], n)
+        d = np.bitwise_count(sig[i, 0] ^ sig[j, 0])
+        near = d <= APART
+        i, j, d = i[near], j[near], d[near].astype(np.int64)
+        for w in range(1, sig.shape[1]):
+            d += np.bitwise_count(sig[i, w] ^ sig[j, w])
+        near = d <= APART
+        found_a.append(rep[i[near]])
+        found_b.append(rep[j[near]])
         if sum(map(len, found_a)) > 1_000_000:
             a, b = spanning(np.concatenate(found_a), np.concatenate(found_b))
             found_a, found_b = [a], [b]
-        begin = stop
+        k = stop
     return spanning(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _matrix(column: pa.Array, words: int) -> np.ndarray:
-    """Equal binaries of ``words`` times 8 bytes as rows of integers, without a copy."""
-    if not len(column):
-        return np.empty((0, words), np.uint64)
-    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
-    return np.frombuffer(column.buffers()[2], "<u8", len(column) * words, start).reshape(-1, words)
-
-
-def _binaries(rows: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(rows)
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (8 * rows.shape[1])
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-
-
-def _longs(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
-
-
-def links(points: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """(a, b) between the ``rep`` of ``points(rep long, sig binary)``, distinct in both: they join what the plan finds near."""
-    if plan.radius and plan.distance > plan.blocks * plan.words * (plan.radius + 1) - 1:
-        raise ValueError("the blocks' radius does not prove this distance")
+def candidates(points: DataFrame) -> DataFrame:
+    """(a, b) between the ``rep`` of ``points(rep long, sig binary)``: they group what shares a block and differs little."""
     spark = runtime.ship(points.sparkSession)
+    blocks = WORDS * BLOCKS << WIDTH
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(plan.shards, np.int64)
-        home = tree(plan.width, plan.radius)[0]
+        total = np.zeros(blocks, np.int64)
         for batch in batches:
-            for first, value in _values(_matrix(batch.column(0), plan.words), plan):
-                total += np.bincount(home[value] + first, minlength=plan.shards)
+            for first, value in _values(matrix(batch.column(0))):
+                total[first : first + (1 << WIDTH)] += np.bincount(value, minlength=1 << WIDTH)
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array(there, pa.int32()), "n": pa.array(total[there], pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["block", "n"])
 
-    # There are plan.shards shards, under 400,000 whatever the input, so this list is bounded.
-    large = points.select("sig").mapInArrow(count, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > TILE)
-    tiles = np.ones(plan.shards, np.int64)
-    for r in large.collect():
-        tiles[r["shard"]] = -(-r["n"] // TILE)
-    shared = spark.sparkContext.broadcast(tiles)
+    # At most one row for each block and value, 327,680 whatever the input.
+    tiles = np.ones(blocks, np.int64)
+    for r in points.select("sig").mapInArrow(count, "block int, n long").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > TILE).collect():
+        tiles[r["block"]] = -(-r["n"] // TILE)
+    shared = spark.sparkContext.broadcast(_Shares(tiles))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, sig = _longs(batch.column(0)), _matrix(batch.column(1), plan.words)
-            which, shard, own = _deal(sig, plan)
-            lot = ((rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-            row, unit, side = _tile(shard, own, lot[which], shared.value)
-            which = which[row]
-            for k in range(0, len(which), 100_000):
-                w = which[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(unit[k : k + 100_000]), pa.array(side[k : k + 100_000]), pa.array(rep[w]), _binaries(sig[w, : plan.compared])], names=["unit", "side", "rep", "sig"])
+            rep, sig = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for row, unit, side in shared.value.deal(sig, rep):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit, side, rep[row], *(sig[row, w].view(np.int64) for w in range(COMPARED)))], names=["unit", "side", "rep", "s0", "s1"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(_longs(b.column(0)), np.asarray(b.column(1).to_numpy(zero_copy_only=False)), _matrix(b.column(3), plan.compared), _longs(b.column(2))) for b in batches]
-        if held:
-            a, b = _search(*(np.concatenate(c) for c in zip(*held)), plan.distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    units = points.select("rep", "sig").mapInArrow(deal, "unit long, side byte, rep long, sig binary")
-    return units.repartition(runtime.partitions(spark), "unit").mapInArrow(search, "a long, b long")
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def answer(stop: int | None) -> pa.RecordBatch:
+            """The rows of whole units; those of the last, which may go on, are held back."""
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = len(columns[0]) if stop is None else int(np.searchsorted(columns[0], columns[0][-1]))
+            unit, side, rep, *sig = (c[:cut] for c in columns)
+            held[:] = [[c[cut:] for c in columns]] if cut < len(columns[0]) else []
+            a, b = _compare(unit, side, rep, np.stack(sig, axis=1).view(np.uint64)) if cut else (unit[:0], unit[:0])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        for batch in batches:
+            held.append([np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+            n += batch.num_rows
+            if n >= 200_000:
+                yield answer(0)
+                n = sum(len(c[0]) for c in held)
+        if any(len(c[0]) for c in held):
+            yield answer(None)
 
-def _named(marked: DataFrame, points: DataFrame, key: str, plan: Plan) -> DataFrame:
-    """``marked(doc_id, key, ...)`` with the component of each key's point."""
-    found = components(runtime.materialize(links(points, plan), "links"))
-    named = points.join(found, points["rep"] == found["node"], "left").select(key, F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, key)
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest document id that links of at most 4 bits reach."""
-    fps = runtime.materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    # The eight bytes of the fingerprint, least significant first.
-    octets = [F.substring(F.lpad(F.hex("fp"), 16, "0"), k, 2) for k in range(15, 0, -2)]
-    points = runtime.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", "rep", F.unhex(F.concat(*octets)).alias("sig")), "points")
-    return _named(fps, points, "fp", EXACT).select("doc_id", "fp", "component_id")
+    units = points.select("rep", "sig").mapInArrow(deal, "unit long, side byte, rep long, s0 long, s1 long")
+    return units.repartition(runtime.partitions(spark), "unit").sortWithinPartitions("unit", "side").mapInArrow(search, "a long, b long")
 
 
 def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a unit by exact similarity, as many as join the same components: side 0 meets itself or, where there is one, side 1.
 
-    Rows come by side. Texts of equal sets are not in one unit twice but for ids that rows share.
+    Rows come by side.
     """
     sets = [shingle_set(x, width) for x in texts]
     sizes = np.array([len(x) for x in sets], np.int64)
-    sigs = np.frombuffer(b"".join(set_signature(x, CANDIDATES.compared) for x in sets), "<u8").reshape(-1, CANDIDATES.compared)
+    sigs = np.frombuffer(b"".join(set_signature(x, COMPARED) for x in sets), "<u8").reshape(-1, COMPARED)
     flat, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
     group, out = np.arange(len(sets)), []
     half = int((side == 0).sum())
     for i in range(half if half < len(sets) else 1, len(sets)):
         top = half if half < len(sets) else i
-        near = np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= CANDIDATES.distance
+        near = np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= APART
         todo = np.flatnonzero(near & (np.minimum(sizes[:top], sizes[i]) >= JACCARD * np.maximum(sizes[:top], sizes[i])))
         while len(todo := todo[group[todo] != group[i]]):
             some, todo = todo[:SOME], todo[SOME:]
@@ -362,27 +533,26 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) ->
     return found[:, 0], found[:, 1]
 
 
-def verified(docs: DataFrame, points: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """(a, b): links by exact similarity within candidate groups; ``docs(doc_id, text)``, ``points(key, rep)``, ``groups(node, component)``."""
-    spark = runtime.ship(docs.sparkSession)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one document id may have several texts; a point's is that of its digest.
-        for batch in batches:
-            yield batch.filter(pa.array([set_digest(shingle_set(x or "", width)) == k for x, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
+def verified(rows: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(a, b): links by exact similarity within candidate groups; ``rows(row, text)``, ``groups(node, component)``."""
+    spark = runtime.ship(rows.sparkSession)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for row in itertools.chain((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), [None]):
-            if held and (row is None or row[:3] != held[0][:3]):
-                a, b = _verify([r[5] or "" for r in held], np.array([r[4] for r in held], np.int64), np.array([r[3] for r in held], np.int8), width)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def done() -> pa.RecordBatch:
+            a, b = _verify([r[5] or "" for r in held], np.array([r[4] for r in held], np.int64), np.array([r[3] for r in held], np.int8), width)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+            if held and row[:3] != held[0][:3]:
+                yield done()
                 held = []
             held.append(row)
+        if held:
+            yield done()
 
-    members = points.join(groups, points["rep"] == groups["node"]).select("rep", "key", "component")
-    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("rep", "component", "text", "key").mapInArrow(own, "rep long, component long, text string, key binary")
-    texts = runtime.materialize(texts.select("rep", "component", "text"), "candidates")
+    texts = runtime.materialize(rows.join(groups, rows["row"] == groups["node"]).select("component", F.col("row").alias("rep"), "text"), "candidates")
     t = F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.coalesce(F.length("text"), F.lit(0))) / TILE_CHARS)).cast("int")
     tiles = texts.groupBy("component").agg(F.greatest(t, F.lit(1)).alias("tiles"))
     cut = texts.join(tiles, "component").withColumn("lot", F.expr("cast(pmod(xxhash64(rep), tiles) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -390,24 +560,43 @@ def verified(docs: DataFrame, points: DataFrame, groups: DataFrame, width: int)
     return unit.repartition(runtime.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rep").mapInArrow(check, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): groups of texts that are equal but for case and white space, or similar by 0.8 or more."""
-    runtime.ship(docs.sparkSession)
+def _similar(rows: DataFrame, width: int) -> DataFrame:
+    """(row, doc_id, best): of ``rows(row, doc_id, text)``, whose ``row`` is distinct, each with the first row of its group by document id, then row."""
+    runtime.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in tokens.portions(batches, "text"):
             sets = [shingle_set(x, width) for x in held]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_digest, sets), pa.binary()), pa.array([set_signature(x, CANDIDATES.words) for x in sets], pa.binary())], names=["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()), pa.array([set_signature(x, WORDS) for x in sets], pa.binary())], names=["row", "doc_id", "key", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    marked = runtime.materialize(rows.mapInArrow(run, "doc_id long, key binary, sig binary"), "signatures")
-    points = runtime.materialize(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "points")
-    groups = runtime.materialize(components(runtime.materialize(links(points, CANDIDATES), "links")), "groups")
-    found = components(runtime.materialize(verified(rows, points, groups, width), "verified"))
-    named = points.join(found, points["rep"] == found["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "key").select("doc_id", "component_id")
+    marked = runtime.materialize(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, sig binary"), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    # Equal sets are one point, named by its first row.
+    points = runtime.materialize(marked.groupBy("key").agg(F.min(order).alias("best"), F.first("sig").alias("sig")).select("key", "best", F.col("best.row").alias("rep"), "sig"), "points")
+    groups = runtime.materialize(components(runtime.materialize(candidates(points), "links")), "groups")
+    found = components(runtime.materialize(verified(rows, groups, width), "verified"))
+    linked = runtime.materialize(found.join(points.select("rep", "best"), found["node"] == F.col("rep")).select("node", "component", "best"), "linked")
+    named = linked.join(linked.groupBy("component").agg(F.min("best").alias("top")), "component").select("node", "top")
+    every = points.join(named, points["rep"] == named["node"], "left").select("key", F.coalesce("top", "best").alias("best"))
+    return marked.select("row", "doc_id", "key").join(every, "key").select("row", "doc_id", "best")
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """The fingerprint as 16 lowercase hex digits."""
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows stored with a number for each, so that every later read sees the same numbers."""
+    row = runtime.fresh("granary_row", docs)
+    return runtime.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def similar_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts that are equal but for case and white space, or similar by 0.8 or more."""
+    rows, row = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return _similar(rows.withColumnRenamed(row, "row"), width).select("doc_id", F.col("best.doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each group of similar texts, by document id and then as the rows come, with all its columns."""
+    rows, row = _numbered(docs)
+    found = _similar(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width)
+    loser = runtime.fresh("granary_loser", rows)
+    losers = found.where("row <> best.row").select(F.col("row").alias(loser))
+    return rows.join(losers, rows[row] == losers[loser], "left_anti").drop(row)

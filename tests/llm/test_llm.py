@@ -265,48 +265,60 @@ def test_simhash_against_brute_force(spark, sf):
     assert all(len(r["fingerprint"]) == 16 for r in rows) and len(rows) == len(docs)
 
 
-def test_simhash_links_are_exact_with_tiles(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 16)
-    rng = np.random.default_rng(2)
-    fps = set(rng.integers(-(2**63), 2**63, 150, dtype=np.int64).tolist())
+def close_values(rng, n, wide=62):
+    """Distinct values, some of them near each other."""
+    fps = set(rng.integers(-(2**63), 2**63, n, dtype=np.int64).tolist())
     centre = 0x0123456789ABCDEF
-    fps |= {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (120, 2))}
-    for f in list(fps)[:100]:
+    fps |= {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, wide, (n, 2))}
+    for f in list(fps)[: n // 2]:
         for _ in range(int(rng.integers(1, 7))):
-            f ^= 1 << int(rng.integers(0, 62))
+            f ^= 1 << int(rng.integers(0, wide))
         fps.add(f)
-    fps = sorted(fps)
-    links = simhash.links(spark.createDataFrame([(k, bytearray(struct.pack("<q", f))) for k, f in enumerate(fps)], "rep long, sig binary"))
-    found = {r["node"]: r["component"] for r in components.components(links).collect()}
-    want = brute_components(list(range(len(fps))), [f & (2**64 - 1) for f in fps], 4)
-    assert {k: found.get(k, k) for k in range(len(fps))} == want
+    return np.array(sorted(fps), np.int64)
 
 
-def test_simhash_odd(odd, empty):
-    rows = simhash.near_duplicates(odd).collect()
-    assert len(rows) == len(ODD) - 1
-    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (7, 7), (8, 8)}
-    assert simhash.near_duplicates(empty).count() == 0
+@pytest.mark.parametrize("bounds", [{}, {"SAMPLE": 4, "LEAF": 2}, {"SAMPLE": 4, "RESIDENTS": 5, "QUERIES": 40, "AT_ONCE": 7}])
+def test_simhash_links_are_exact(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(simhash, name, value)
+    fps = close_values(np.random.default_rng(2), 150).tolist()
+    links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3))
+    for few in (10**6, 0):
+        found = {r["node"]: r["component"] for r in components.components(links, few).collect()}
+        place = {f: k for k, f in enumerate(fps)}
+        want = brute_components(list(range(len(fps))), [f & (2**64 - 1) for f in fps], 4)
+        assert {place[f]: place[found.get(f, f)] for f in fps} == want
 
 
-def similar_groups(texts):
-    """Components by brute force over signatures: a shared block, and the compared words within the bound."""
-    plan = simhash.SIMILAR
-    sigs = {d: np.frombuffer(simhash.signature(t or ""), "<u8") for d, t in texts.items()}
-    blocks = {d: [int(x) >> (k * plan.width) & (1 << plan.width) - 1 for x in s for k in range(plan.blocks)] for d, s in sigs.items()}
-    parent = {d: d for d in texts}
+def test_vantage_point_tree_loses_nothing_and_prunes():
+    rng = np.random.default_rng(3)
+    values = close_values(rng, 400).view(np.uint64)
+    for leaf, radius in ((1, 4), (8, 4), (32, 2), (4, 9)):
+        tree = simhash.Tree(values, leaf, radius)
+        which, shard, own = tree.route(values, radius)
+        home = dict(zip(which[own].tolist(), shard[own].tolist()))
+        there = set(zip(which.tolist(), shard.tolist()))
+        assert len(home) == len(values) == own.sum()
+        near = simhash.apart(values[:, None], values) <= radius
+        for i, j in zip(*np.nonzero(near)):
+            assert (int(i), home[j]) in there or (int(j), home[i]) in there
+        assert leaf > 8 or radius > 4 or len(there) < 0.7 * len(values) * len(tree.members)
+        found = [(int(a), int(b)) for x in tree.search(values, radius) for a, b in zip(*x)] + [(int(simhash.Tree._point(w)), int(v)) for w in tree.whole for v in w]
+        assert all((a ^ b).bit_count() <= radius for a, b in found)
+        joined = brute_components(range(len(values)), [int(v) for v in values], radius)
+        at = {int(v): k for k, v in enumerate(values)}
+        a, b = components.spanning(*np.array([(at[x], at[y]) for x, y in found]).T)
+        least = dict(zip(a.tolist(), b.tolist()))
+        assert {k: least.get(k, k) for k in joined} == joined
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i in texts:
-        for j in texts:
-            if j < i and (np.bitwise_count(sigs[i][: plan.compared] ^ sigs[j][: plan.compared]).sum() <= plan.distance) and any(a == b for a, b in zip(blocks[i], blocks[j])):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return {d: root(d) for d in texts}
+def test_simhash_odd(odd, empty):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD)
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (None, None), (7, 7), (8, 8)}
+    copies = odd.sparkSession.createDataFrame([(None, "the same four words"), (9, "the same four words"), (3, "another"), (3, "text")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(copies).collect()) == Counter([(None, 9), (9, 9), (3, 3), (3, 3)])
+    assert simhash.near_duplicates(empty).count() == 0
 
 
 def jaccard(a, b, width=5):
@@ -337,12 +349,17 @@ def test_similar_documents(spark):
     assert all(found[d] in (d, family.get(d, d), *range(1000 + 10 * family.get(d, -1000), 1003 + 10 * family.get(d, -1000))) for d in found)
     far = [(d, k) for d, k in family.items() if jaccard(texts[d], texts[k]) < 0.45]
     assert far and not any(found[d] == found[k] for d, k in far)
-    assert found == similar_groups(texts)
+    assert found == exact_groups(texts)
 
 
 def test_similar_documents_odd(odd, empty):
-    assert {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(odd).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (7, 7), (8, 8)}
-    assert simhash.similar_documents(empty).count() == 0
+    rows = simhash.similar_documents(odd).collect()
+    assert len(rows) == len(ODD) and {(r["doc_id"], r["component_id"]) for r in rows} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (None, None), (7, 7), (8, 8)}
+    assert simhash.similar_documents(empty).count() == simhash.distinct_documents(empty).count() == 0
+    kept = simhash.distinct_documents(odd)
+    assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 3, 4, None, 7, 8])
+    twice = odd.sparkSession.createDataFrame([(None, "a b c d e f g", 1), (None, "a b c d e f g", 2), (2, "h i", 3), (2, "j k", 4), (1, "J k", 5)], "doc_id long, text string, granary_row int")
+    assert sorted(r["granary_row"] for r in simhash.distinct_documents(twice).collect()) in ([1, 3, 5], [2, 3, 5])
 
 
 def exact_groups(texts):
@@ -588,7 +605,7 @@ def test_pipeline(spark, sf, library):
     assert stages["language"](spark, with_junk, sf).count() == docs.count()
     alone = stages["near_duplicates"](spark, docs, sf)
     texts = texts_of(spark, sf)
-    groups = similar_groups(texts)
+    groups = exact_groups(texts)
     assert {r["doc_id"] for r in alone.collect()} == set(groups.values()) and alone.columns == columns
     cut = stages["repeated_passages"](spark, docs, sf)
     assert cut.columns == columns and all(len(r["text"]) == r["n_chars"] for r in cut.collect())
