@@ -40,6 +40,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``release`` deletes what is there."""
+    path = f"{scratch_root(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    with _lock:
+        _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -47,12 +55,10 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     follows may read it more than once. ``release`` deletes it.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/granary-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     # Small row groups: a writer holds one in memory.
     writer = df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    with _lock:
-        _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
