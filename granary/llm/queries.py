@@ -39,7 +39,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rans.read(*rans.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
+    found = rans.read(spark, rans.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

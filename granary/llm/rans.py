@@ -6,11 +6,14 @@ states and the position in the words, so a block can be decoded from several pla
 span between checkpoints has a crc32 of its ids.
 
 Block layout (little-endian): magic ``GRB1``, lanes u32, ids u64, words u64, checkpoints u32; then for
-each checkpoint its first word u64, crc32 u32 and ``lanes`` states u64; then the words u32. The table is
-stored with the blocks: for each id its share of 2**20; 0 if it never occurs.
+each checkpoint its first word u64, crc32 u32 and ``lanes`` states u64; then the words u32.
+
+Files: a folder with ``blocks``, the blocks as rows of Parquet files (executors reach a remote store only through Spark's writers), and
+``table``, one row with the frequency table, for each id its share of 2**20 as u32 (0 if it never occurs), and its crc32. ``read`` needs
+nothing but the folder.
 
 Defined results: a null or empty text is the end id alone; null document ids come first; rows of equal
-document id lie in the order of their ids; an empty table gives no block; extra columns are ignored.
+document id lie in the order of their token ids; an empty table gives no block; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
@@ -32,6 +35,7 @@ BITS, LOW = 20, 31
 LANES, EVERY = 1024, 256
 BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4sIQQI")
+TABLE = "shares binary, crc long"
 BLOCKS = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 
 
@@ -162,8 +166,8 @@ def frequencies(ids: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Write all ids in ascending document order; returns the blocks as read from the files, and the table of shares.
+def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write all ids in ascending document order; returns the folder of the files.
 
     Shard k holds the k-th range of document ids, a block some whole documents of it. Without a path the
     files go to the shared scratch folder.
@@ -195,19 +199,26 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
         if held:
             yield flush()
 
-    blocks = ids.repartitionByRange(runtime.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS)
-    if path is None:
-        return runtime.materialize(blocks, "blocks"), share
-    blocks.write.parquet(path)
-    return spark.read.schema(BLOCKS).parquet(path), share
+    # The first ids part rows of one document id, or of none, into ranges too.
+    first = F.substring("ids", 1, 32)
+    blocks = ids.repartitionByRange(runtime.partitions(spark), "doc_id", first).sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS)
+    path = path or runtime.scratch_path(spark, "token-files")
+    blocks.write.parquet(f"{path}/blocks")
+    raw = share.astype("<u4").tobytes()
+    spark.createDataFrame([(bytearray(raw), zlib.crc32(raw))], TABLE).coalesce(1).write.parquet(f"{path}/table")
+    return path
 
 
-def read(blocks: DataFrame, share: np.ndarray) -> DataFrame:
-    """Decode the files: doc_id, start, n_tokens, ids (little-endian uint32) of every document.
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Decode the files of a folder: doc_id, start, n_tokens, ids (little-endian uint32) of every document.
 
     A block knows how many ids lie before it in its shard; only one total for each shard reaches the driver. No shuffle.
     """
-    spark = runtime.ship(blocks.sparkSession)
+    runtime.ship(spark)
+    blocks, table = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.schema(TABLE).parquet(f"{path}/table").first()
+    if zlib.crc32(table["shares"]) != table["crc"]:
+        raise ValueError("checksum of the frequency table does not match")
+    share = np.frombuffer(table["shares"], "<u4")
     totals = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
     first, at = {}, 0
     for shard in sorted(totals):

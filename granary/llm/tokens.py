@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,8 @@ class Encoder:
     before white space, so a word with the space before it always gets the same ids. Words are found by array operations on the bytes of many texts at once, and the
     library encodes each only when it is new; their ids are kept in a hash table of arrays, of at most
     ``keep`` words, and those met once are the first to go. A text with other white space than single
-    spaces and line feeds, or with a word of more than 32 bytes, goes to the library whole. Strings of
-    special tokens in a text count as ordinary text.
+    spaces and line feeds, with a word of more than 32 bytes, or with the string of an added token (which the library takes for that token) goes to the
+    library whole, and so does every text of a tokenizer that is not plain byte-level BPE.
     """
 
     def __init__(self, definition: str, keep: int = 1_000_000):
@@ -51,12 +53,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.words = Tokenizer.from_str(definition)  # for new words, none of which is an added token
+        self.words.encode_special_tokens = True
         self.keep = keep
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        # The short cut needs byte-level BPE without a normaliser, and one id for a line feed that no word has.
-        self.by_word = '"type":"ByteLevel"' in definition.replace(" ", "") and self.tokenizer.normalizer is None and len(self.newline) == 1
-        self.by_word = self.by_word and '"add_prefix_space":true' not in definition.replace(" ", "").partition('"decoder"')[0]
+        self.newline = self.words.encode("\n", add_special_tokens=False).ids
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {i: t.content for i, t in added.items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added.values())))) if self.added else None
+        # The short cut needs byte-level BPE and nothing else, and one id for a line feed that no word has.
+        self.by_word = plain_bytes(json.loads(definition)) and len(self.newline) == 1 and all(t.special for t in added.values())
         self._fill(np.zeros((0, _WIDE), np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def _fill(self, rows: np.ndarray, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -123,7 +128,7 @@ class Encoder:
         """Ids of new words, end to end, and how many each has."""
         found, lengths = [], []
         joined = [b"\n".join(words[k : k + 500]).decode() for k in range(0, len(words), 500)]
-        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+        for e in self.words.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.asarray(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.newline[0])
             lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
@@ -199,7 +204,10 @@ class Encoder:
         ids[total[:-1][feeds]] = self.newline[0]
         stops = total[marks]
         out = np.split(ids, stops[:-1])
-        for k in set(np.searchsorted(text_ends, odd, side="left").tolist()):
+        again = set(np.searchsorted(text_ends, odd, side="left").tolist())
+        if self.marks:
+            again.update(k for k, x in enumerate(texts) if self.marks.search(x))
+        for k in again:
             out[k] = self.whole(texts[k])
         return out
 
@@ -209,7 +217,16 @@ class Encoder:
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for; byte-level vocabularies write a byte as one character."""
         size = self.tokenizer.get_vocab_size()
-        return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        return np.array([len(self.added[i].encode()) if i in self.added else len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+
+
+def plain_bytes(parts: dict) -> bool:
+    """Whether a tokenizer's definition is byte-level BPE that cuts words by its own pattern alone: no normaliser, no other cut, nothing random or truncated."""
+    cut, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    by_bytes = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    whole = not any(parts.get(k) for k in ("normalizer", "truncation", "padding"))
+    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(by_bytes and whole and model.get("type", "BPE") == "BPE" and bare)
 
 
 def _mixed(rows: np.ndarray) -> np.ndarray:

@@ -7,10 +7,11 @@ From the slices of the sum the top rows are chosen from the most significant sli
 at the boundary are ordered by their ids. Each block gives its own k best, so the global k best follow
 from them exactly.
 
-Queries are taken in blocks of ``query_block`` rows, each broadcast at that bound and run over all rows.
+The index is a stored table of such blocks, dealt over groups of at most ``GROUP`` blocks. Queries are a table too, packed ``query_block`` to a row; every group
+gets every row of it, after its own blocks, and answers them as they stream past. Nothing of either reaches the driver.
 
-Defined results: a vector that is null, or has a null or non-finite component, takes no part; neither does one without
-an id, or of another length than the commonest (of equals the longest); with fewer than k candidates all are returned; rows of
+Defined results: a vector that is null, or has a null or non-finite component, takes no part, and neither does one without
+an id or a component; vectors of different lengths have no inner product, so each length is searched by itself; with fewer than k candidates all are returned; rows of
 equal id are candidates each, and none of them for a query of that id; an empty table gives no row; extra columns are ignored.
 """
 
@@ -20,12 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import runtime
 
-ROWS = 1 << 16
+#: Rows of an index block, components of a block of either kind, blocks that one task holds.
+ROWS, CELLS, GROUP = 1 << 16, 1 << 22, 16
+BLOCK = "part int, side byte, dims int, ids binary, low binary, payload binary"
+NAMES = ["part", "side", "dims", "ids", "low", "payload"]
 
 
 def quantized(vectors: DataFrame, scale: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -36,25 +42,29 @@ def quantized(vectors: DataFrame, scale: float, id_col: str = "vec_id", vector_c
 
 
 class Slices:
-    """The bit-sliced index of one block of rows."""
+    """The bit-sliced index of one block of rows: ids, least values, and slices of dims x bits x words."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, q = ids[order], q[order]
-        self.n, self.dims = q.shape
-        self.low = q.min(axis=0)
-        x = (q - self.low).astype(np.uint64)
-        self.bits = max(1, int(x.max()).bit_length())
-        words = -(-self.n // 64)
-        self.slices = np.zeros((self.dims, self.bits, words), np.uint64)
-        for s in range(self.bits):
-            plane = np.zeros((self.dims, words * 64), np.uint8)
-            plane[:, : self.n] = ((x >> np.uint64(s)) & np.uint64(1)).T
-            self.slices[:, s] = np.packbits(plane, axis=1, bitorder="little").view("<u8")
-        self.full = np.zeros(words, np.uint64)
+    def __init__(self, ids: np.ndarray, low: np.ndarray, slices: np.ndarray):
+        self.ids, self.low, self.slices = ids, low, slices
+        self.n, (self.dims, self.bits, words) = len(ids), slices.shape
         filled = np.zeros(words * 64, np.uint8)
         filled[: self.n] = 1
-        self.full[:] = np.packbits(filled, bitorder="little").view("<u8")
+        self.full = np.packbits(filled, bitorder="little").view("<u8")
+
+    @classmethod
+    def of(cls, ids: np.ndarray, q: np.ndarray) -> "Slices":
+        order = np.argsort(ids, kind="stable")
+        ids, q = ids[order], q[order]
+        n, dims = q.shape
+        low = q.min(axis=0)
+        x = (q - low).astype(np.uint64)
+        bits = max(1, int(x.max()).bit_length())
+        slices = np.zeros((dims, bits, -(-n // 64)), np.uint64)
+        for s in range(bits):
+            plane = np.zeros((dims, slices.shape[2] * 64), np.uint8)
+            plane[:, :n] = ((x >> np.uint64(s)) & np.uint64(1)).T
+            slices[:, s] = np.packbits(plane, axis=1, bitorder="little").view("<u8")
+        return cls(ids, low, slices)
 
     def scores(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Bitmaps of the score less a constant, least significant first, and that constant."""
@@ -74,9 +84,11 @@ class Slices:
                 w >>= 1
                 shift += 1
         columns: dict[int, list[np.ndarray]] = {}
-        # Stacks of equal height are added three to two, all their slices at once.
+        # Stacks of equal height are added three to two, all their slices at once, until none is carried on.
         carried: list[np.ndarray] = []
-        for shift in range(max(by_shift, default=-1) + 12):
+        shift, last = -1, max(by_shift, default=-1)
+        while shift < last or carried:
+            shift += 1
             stack, carried = by_shift.get(shift, []) + carried, []
             while len(stack) > 2:
                 left = []
@@ -149,47 +161,67 @@ def _members(bitmap: np.ndarray) -> np.ndarray:
     return words[w] * 64 + b
 
 
-def search(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5, scale: float = 256.0, query_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _blocks(rows: DataFrame, most: int, index: bool) -> DataFrame:
+    """Rows of each length, at most ``most`` (and about ``CELLS`` components) of them to a block: part, side, dims, ids, low, payload; low is null where the payload is the vectors themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def block(dims: int) -> pa.RecordBatch:
+            ids, q = (np.concatenate(x) for x in zip(*held.pop(dims)))
+            made = Slices.of(ids, q) if index else None
+            raw = [made.ids, made.low, made.slices] if made else [ids, None, q]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0 if index else 1], pa.int8()), pa.array([dims], pa.int32()), *(pa.array([x if x is None else np.ascontiguousarray(x).astype(x.dtype.newbyteorder("<")).tobytes()], pa.binary()) for x in raw)], names=NAMES)
+
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), batch.column(1)
+            sizes = pc.list_value_length(q).to_numpy()
+            flat, ends = q.flatten().to_numpy(), np.cumsum(sizes)
+            for dims in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dims)
+                held.setdefault(dims, []).append((ids[at], flat[(ends[at] - dims)[:, None] + np.arange(dims)]))
+                if sum(len(x) for x, _ in held[dims]) >= min(most, max(64, CELLS // dims)):
+                    yield block(dims)
+        for dims in list(held):
+            yield block(dims)
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _answers(k: int):
+    """Of rows that come by part, its index blocks before the queries: (query_id, vec_id, score), the k best of each block for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = -1, []
+        for batch in batches:
+            for part, side, dims, ids, low, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    at, index = part, []
+                names = np.frombuffer(ids, "<i8")
+                if side == 0:
+                    words = -(-len(names) // 64)
+                    index.append(Slices(names, np.frombuffer(low, "<i8"), np.frombuffer(payload, "<u8").reshape(dims, -1, words)))
+                    continue
+                weights = np.frombuffer(payload, "<i8").reshape(-1, dims)
+                for block in (b for b in index if b.dims == dims):
+                    found = [(int(q), *hit) for q, w in zip(names, weights) for hit in block.top(w, k, int(q))]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def search(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5, scale: float = 256.0, query_block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row whose id satisfies ``query_ids``."""
     spark = runtime.ship(vectors.sparkSession)
-    rows = runtime.materialize(quantized(vectors, scale, id_col, vector_col), "quantized")
-    commonest = rows.groupBy(F.size("q").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    rows = rows.where(F.size("q") == (commonest["size"] if commonest and commonest["size"] > 0 else -1))
-    queries = rows.where(query_ids)
-    n = queries.count()
-    blocks = -(-n // query_block)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    rows = runtime.materialize(quantized(vectors, scale, id_col, vector_col).where(F.size("q") > 0), "quantized")
     total = rows.count()
-    spread = rows.repartition(max(1, -(-total // ROWS), min(runtime.partitions(spark), -(-total // 8192))))
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for b in range(blocks):
-        # Blocks by hash: each is near query_block rows, as n and the hash decide, before it is collected.
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), np.array([r["q"] for r in some], np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, weights = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def answer() -> pa.RecordBatch:
-                index = Slices(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-                found = [(int(q), *hit) for q, w in zip(names, weights) for hit in index.top(w, k, int(q))]
-                return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], schema=schema)
-
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if len(ids):
-                    q = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-                    held.append((ids, q))
-                    size += len(ids)
-                if size >= ROWS:
-                    yield answer()
-                    held, size = [], 0
-            if held:
-                yield answer()
-
-        if some:
-            out = out.unionByName(spread.mapInArrow(run, "query_id long, vec_id long, score long"))
+    index = _blocks(rows.repartition(max(1, -(-total // ROWS), min(runtime.partitions(spark), -(-total // 8192)))), ROWS, index=True)
+    index = runtime.materialize(index, "index")
+    last = index.agg(F.max("part")).first()[0]
+    groups = 1 if last is None else -(-(last + 1) // max(1, min(GROUP, (last + 1) // runtime.partitions(spark))))
+    asked = _blocks(rows.where(query_ids), query_block, index=False).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*NAMES)
+    dealt = index.withColumn("part", F.pmod("part", F.lit(groups))).unionByName(asked)
+    out = dealt.repartition(groups, "part").sortWithinPartitions("part", "side").mapInArrow(_answers(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,14 @@
 """Substring dedup by hashing units of text: sentences within lines, lines, or paragraphs.
 
 A unit is normalised (lower case, single spaces) and hashed to 128 bits. Digests are grouped over all
-documents by partial aggregates; the occurrence in the document of the smallest id stays, and within
-that document the first. Removed are runs of successive repeated units that together have at least
+documents by partial aggregates; the occurrence in the row of the lowest rank stays, and within
+that row the first. Rows rank by document id, then as they come. Removed are runs of successive repeated units that together have at least
 ``min_words`` words, so a long passage goes whole though some of its sentences are short, and a short
 sentence that documents share by chance stays. Offsets are those of the original text. Sentences are
 the default unit because a shared passage may stand amid a line.
 
-Defined results: null and empty texts have no units; a null document id ranks after all others, and ``dedup`` takes each row
-without one as a document of its own (the highest ids, from 2^62 on, are kept for such rows); rows of equal document
-id count as one document, which is not compared with itself beyond its first occurrences; an empty table gives no row;
+Defined results: null and empty texts have no units; a null document id ranks after all others; every row is a document of its
+own, whether its id is null or that of other rows: of repeated rows the first stays whole; an empty table gives no row;
 extra columns are passed through by ``dedup`` whatever their names.
 """
 
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import runtime
@@ -36,8 +35,8 @@ UNITS = {
 #: falls into the same parts. A part has at least SHORT words, but for the last.
 LONG, SHORT = 24, 3
 _word = re.compile(r"\S+")
-LAST = (1 << 63) - 1
-SCHEMA = "doc_id long, h1 long, h2 long, no int, begin int, end int, words int, first boolean"
+#: Rows without an id rank from here on; where ids are repeated or as high, a rank is the id and the row's number in one decimal.
+NAMELESS = 1 << 62
 
 
 def split(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
@@ -60,17 +59,46 @@ def split(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, list[str]]
             yield begin, end, held
 
 
-def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _big(n: int, digits: int = 38) -> Column:
+    """An integer that a long may not hold."""
+    return F.lit(str(n)).cast(f"decimal({digits},0)")
+
+
+def ranked(docs: DataFrame, rank: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows with a distinct rank: the id if all ids differ, else the id and the number of the row, of rows stored so that every read sees the same numbers."""
+    id_ = F.col(id_col).cast("long")
+    ids = docs.select(id_.alias("id")).groupBy("id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("id").isNull(), F.col("n"))).alias("nameless"), F.max(F.when(F.col("id").isNotNull(), F.col("n"))).alias("n"), F.max("id").alias("top")).first()
+    plain = (ids["n"] or 0) <= 1 and (ids["top"] or 0) < NAMELESS
+    if plain and not ids["nameless"]:
+        return docs.withColumn(rank, id_)
+    row = F.monotonically_increasing_id()
+    if not plain:
+        big = lambda c: c.cast("decimal(38,0)")
+        row = (F.coalesce(big(id_) + _big(1 << 63), _big(1 << 64)) * _big(NAMELESS, 19) + big(row)).cast("decimal(38,0)")
+        return runtime.materialize(docs.withColumn(rank, row), "ranked")
+    return runtime.materialize(docs.withColumn(rank, F.coalesce(id_, F.lit(NAMELESS) + row)), "ranked")
+
+
+def _id_of(rank: Column, kind: str) -> Column:
+    """The document id in a rank."""
+    if kind == "bigint":
+        return F.when(rank < NAMELESS, rank)
+    high = F.floor(rank / _big(NAMELESS, 19)).cast("decimal(38,0)")
+    return F.when(high < _big(1 << 64), (high - _big(1 << 63)).cast("long"))
+
+
+def units(rows: DataFrame, unit: str, rank: str, text_col: str) -> DataFrame:
     """Every unit of every text with its digest; ``first``: no earlier unit of the same text has that digest."""
-    runtime.ship(docs.sparkSession)
+    runtime.ship(rows.sparkSession)
     pattern = UNITS[unit].pattern
+    kind = rows.schema[rank].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
         find = re.compile(pattern)
         for batch, held in tokens.portions(batches, "text", 400_000):
-            docs, counts, no, begin, end, words, raw, first = batch.column(0).to_pylist(), [], [], [], [], [], [], []
+            counts, no, begin, end, words, raw, first = [], [], [], [], [], [], []
             for text in held:
                 seen: set[bytes] = set()
                 n = 0
@@ -86,37 +114,40 @@ def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_
                     n += 1
                 counts.append(n)
             h = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-            who = pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(docs)), counts)))
-            yield pa.RecordBatch.from_arrays([who, pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(x, pa.int32()) for x in (no, begin, end, words)), pa.array(first, pa.bool_())], names=["doc_id", "h1", "h2", "no", "begin", "end", "words", "first"])
+            who = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+            yield pa.RecordBatch.from_arrays([who, pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(x, pa.int32()) for x in (no, begin, end, words)), pa.array(first, pa.bool_())], names=["rank", "h1", "h2", "no", "begin", "end", "words", "first"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.select(F.col(rank).alias("rank"), F.col(text_col).alias("text")).mapInArrow(run, f"rank {kind}, h1 long, h2 long, no int, begin int, end int, words int, first boolean")
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans to remove: doc_id, begin, end, words, units, kept_doc_ids (documents that keep the same units)."""
-    every = units(docs, unit, id_col, text_col)
-    kept = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keeper")
+def spans(rows: DataFrame, unit: str, min_words: int, rank: str, text_col: str) -> DataFrame:
+    """Spans to remove: rank, begin, end, words, units, keepers (the ranks of the rows that keep the same units)."""
+    every = units(rows, unit, rank, text_col)
+    kept = every.groupBy("h1", "h2").agg(F.min("rank").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keeper")
     # Stored, so that both sides of the join are plain exchanges and a digest with very many occurrences can be split.
     kept = runtime.materialize(kept, "repeated-units")
-    again = every.join(kept, ["h1", "h2"]).where("not (doc_id = keeper and first)").select("doc_id", "no", "begin", "end", "words", "keeper")
-    order = Window.partitionBy("doc_id").orderBy("no")
-    runs = again.withColumn("run", F.col("no") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.array_sort(F.collect_set("keeper")).alias("kept_doc_ids"))
-    return runs.where(F.col("words") >= min_words).select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "begin", "end", "words", "units", "kept_doc_ids")
+    again = every.join(kept, ["h1", "h2"]).where("not (rank = keeper and first)").select("rank", "no", "begin", "end", "words", "keeper")
+    order = Window.partitionBy("rank").orderBy("no")
+    runs = again.withColumn("run", F.col("no") - F.row_number().over(order)).groupBy("rank", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    return runs.where(F.col("words") >= min_words).drop("run")
+
+
+def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spans to remove: doc_id, begin, end, words, units, kept_doc_ids (documents that keep the same units)."""
+    rank = runtime.fresh("granary_rank", docs)
+    rows = ranked(docs.select(id_col, text_col), rank, id_col)
+    kind = rows.schema[rank].dataType.simpleString()
+    found = spans(rows, unit, min_words, rank, text_col)
+    return found.select(_id_of(F.col("rank"), kind).alias("doc_id"), "begin", "end", "words", "units", F.transform("keepers", lambda k: _id_of(k, kind)).alias("kept_doc_ids"))
 
 
 def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated spans cut from their texts; all rows and columns stay."""
-    own, key = runtime.fresh("granary_spans", docs), runtime.fresh("granary_id", docs)
-    row = runtime.fresh("granary_row", docs)
-    id_ = F.col(id_col).cast("long")
-    # Rows without an id are numbered down from the end, and stored, so that both reads see the same numbers.
-    nameless = runtime.materialize(docs.where(id_.isNull()).withColumn(row, F.lit(LAST - 1) - F.monotonically_increasing_id()), "rows-without-id")
-    docs = docs.where(id_.isNotNull()).withColumn(row, id_).unionByName(nameless)
-    spans = repeats(docs, unit, min_words, row, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(own)).withColumnRenamed("doc_id", key)
+    own, key, rank = (runtime.fresh(f"granary_{n}", docs) for n in ("spans", "key", "rank"))
+    rows = ranked(docs, rank, id_col)
+    found = spans(rows, unit, min_words, rank, text_col).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(own)).withColumnRenamed("rank", key)
     ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["end"]))
     begins = F.concat(F.transform(own, lambda s: s["begin"]), F.array(F.length(text_col)))
     pieces = F.transform(F.arrays_zip(ends.alias("b"), begins.alias("e")), lambda p: F.substring(F.col(text_col), p["b"] + 1, p["e"] - p["b"]))
     cut = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
-    joined = docs.join(spans, docs[row] == spans[key], "left")
-    return joined.withColumn(text_col, cut).select(*(c for c in docs.columns if c != row))
+    return rows.join(found, rows[rank] == found[key], "left").withColumn(text_col, cut).select(*docs.columns)

@@ -41,7 +41,6 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False)
 
 
@@ -55,7 +54,7 @@ def crc(ids):
 
 def test_encoder_is_exact(library, spark, sf):
     enc = tokens.Encoder(tokens.definition(PATH), keep=50)
-    held = [b or "" for _, b, _ in ODD] + ["a  b", "\n\nx", " lead", "tail ", "x.. y!\n- z\n", "a \n b"] + list(texts_of(spark, sf).values())
+    held = [b or "" for _, b, _ in ODD] + ["a  b", "\n\nx", " lead", "tail ", "x.. y!\n- z\n", "a \n b", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>\n<|endoftext|>"] + list(texts_of(spark, sf).values())
     for k in range(0, len(held), 7):
         for x, ids in zip(held[k : k + 7], enc.encode(held[k : k + 7])):
             assert ids.tolist() == library(x).ids
@@ -114,34 +113,101 @@ def test_packer_bounds():
     assert all(sum(len(x[3]) for x in w) == 16 for w in p.finished)
 
 
-def test_unit_dedup_against_brute_force(spark, sf):
-    docs = texts_of(spark, sf)
-    seen, expected, found = {}, set(), {}
-    for doc in sorted(docs):
-        found[doc] = [(a, b, " ".join(w), len(w)) for a, b, w in unitdedup.split(docs[doc], unitdedup.UNITS["sentence"])]
-        for a, _, unit, _ in found[doc]:
-            seen.setdefault(unit, (doc, a))
-    for doc in docs:
+def test_only_plain_byte_level_bpe_goes_by_word(library):
+    whole = json.loads(tokens.definition(PATH))
+    assert tokens.Encoder(json.dumps(whole), keep=50).by_word and library("a <|endoftext|> b").ids == [64, 220, 50256, 275]
+    cut = {"type": "Split", "pattern": {"Regex": "\\d"}, "behavior": "Isolated", "invert": False}
+    bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    for other in ({"type": "Sequence", "pretokenizers": [cut, bytes_only]}, bytes_only, {**bytes_only, "use_regex": True, "add_prefix_space": True}):
+        definition = json.dumps({**whole, "pre_tokenizer": other})
+        enc, plain = tokens.Encoder(definition, keep=50), Tokenizer.from_str(definition)
+        texts = ["room 101 has 2,500 seats. And 12 <|endoftext|> more\nlines"]
+        assert not enc.by_word and [x.tolist() for x in enc.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def own_units(text):
+    """Sentences, read letter by letter: a stop ends one where no other letter follows at once; long ones are cut at words that crc32 picks."""
+    out, begin = [], None
+    stops = ".!?。！？"
+    for k, c in enumerate(text + "\n"):
+        if c == "\n" or (begin is not None and c.isspace() and text[k - 1] in stops):
+            if begin is not None:
+                out.append((begin, k))
+            begin = None
+        elif begin is None and not c.isspace():
+            begin = k
+    for a, b in out:
+        words, at = [], a
+        for w in text[a:b].split():
+            at = text.index(w, at)
+            words.append((at, at + len(w), w.lower()))
+            at += len(w)
+        if len(words) <= 24:
+            yield a, b, [w for _, _, w in words]
+            continue
+        held = []
+        for n, w in enumerate(words):
+            held.append(w)
+            if (len(held) >= 3 and zlib.crc32(w[2].encode()) % 4 == 0) or n == len(words) - 1:
+                yield held[0][0], held[-1][1], [x for _, _, x in held]
+                held = []
+
+
+def brute_spans(rows):
+    """Spans of rows (id, text), which rank by id and then as they come; ids that are null come last."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    keeper, found = {}, {}
+    for k in order:
+        found[k] = list(own_units(rows[k][1] or ""))
+        for n, (_, _, w) in enumerate(found[k]):
+            keeper.setdefault(" ".join(w), (k, n))
+    out = {}
+    for k, own in found.items():
         run = []
-        for x in [*found[doc], None]:
-            if x and seen[x[2]] != (doc, x[0]):
-                run.append(x)
+        for n, u in enumerate([*own, None]):
+            if u and keeper[" ".join(u[2])] != (k, n):
+                run.append(u)
                 continue
-            words = sum(u[3] for u in run)
-            if words >= 8:
-                expected.add((doc, run[0][0], run[-1][1], words))
+            if sum(len(x[2]) for x in run) >= 8:
+                out.setdefault(k, []).append((run[0][0], run[-1][1], sum(len(x[2]) for x in run)))
             run = []
+    return out
+
+
+def without(text, spans):
+    for a, b, _ in sorted(spans, reverse=True):
+        text = text[:a] + text[b:]
+    return text
+
+
+def test_unit_dedup_against_brute_force(spark, sf):
+    docs = sorted(texts_of(spark, sf).items())
+    expected = brute_spans(docs)
     source = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = unitdedup.repeats(source).collect()
-    assert {(r["doc_id"], r["begin"], r["end"], r["words"]) for r in rows} == expected and expected
+    got = defaultdict(list)
+    for r in unitdedup.repeats(source).collect():
+        got[r["doc_id"]].append((r["begin"], r["end"], r["words"]))
+    assert {d: sorted(x) for d, x in got.items()} == {docs[k][0]: sorted(x) for k, x in expected.items()} and expected
     cut = {r["doc_id"]: r["text"] for r in unitdedup.dedup(source).collect()}
-    spans = defaultdict(list)
-    for doc, a, b, _ in expected:
-        spans[doc].append((a, b))
-    for doc, text in docs.items():
-        for a, b in sorted(spans[doc], reverse=True):
-            text = text[:a] + text[b:]
-        assert cut[doc] == text
+    assert cut == {d: without(t, expected.get(k, [])) for k, (d, t) in enumerate(docs)}
+
+
+SIX = "One short line is here. Two more words go there. A third one says little. Four is the next of them. Five comes after that one. Six ends it all now."
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (1, 2, 2), (2, 2, 1, 2), (1, None, None), (None, None), (2, None, 2, 1, None), (3, 1 << 62, 1 << 62), (-5, -5, None, 7)])
+def test_unit_dedup_repeated_rows_and_ids(spark, ids):
+    other = "Only some of the rows have this longer sentence at their very end."
+    rows = [(i, f"{SIX} {other}" if k % 2 else SIX, k) for k, i in enumerate(ids)]
+    rows += [(i, f"Own words number {k} stand first. {SIX} {other}", 100 + k) for k, i in enumerate(ids)] + [(8, other, 200), (None, None, 201), (8, "", 202)]
+    want = brute_spans([r[:2] for r in rows])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, granary_rank int").coalesce(1)
+    got = {r["granary_rank"]: r["text"] for r in unitdedup.dedup(frame).collect()}
+    assert got == {name: text and without(text, want.get(k, [])) for k, (_, text, name) in enumerate(rows)}
+    found = Counter((r["doc_id"], r["begin"], r["end"], r["words"]) for r in unitdedup.repeats(frame).collect())
+    assert found == Counter((rows[k][0], *x) for k, spans in want.items() for x in spans) and found
+    kept = {i for r in unitdedup.repeats(frame).collect() for i in r["kept_doc_ids"]}
+    assert kept <= {r[0] for r in rows}
 
 
 def test_unit_dedup_finds_a_passage_inside_lines(spark):
@@ -162,12 +228,12 @@ def test_unit_dedup_finds_a_passage_inside_a_long_sentence(spark):
 
 
 def test_unit_dedup_odd(odd, empty):
-    assert {r["doc_id"] for r in unitdedup.repeats(odd).collect()} <= {5, 7}
+    assert Counter(r["doc_id"] for r in unitdedup.repeats(odd).collect()) == Counter(ODD[k][0] for k, x in brute_spans([r[:2] for r in ODD]).items() for _ in x)
     kept = unitdedup.dedup(odd)
     assert kept.count() == len(ODD) and kept.columns == odd.columns
     assert unitdedup.dedup(empty).count() == unitdedup.repeats(empty).count() == 0
     for unit in ("line", "paragraph"):
-        assert {r["doc_id"] for r in unitdedup.repeats(odd, unit).collect()} == {5}
+        assert sorted(r["doc_id"] for r in unitdedup.repeats(odd, unit).collect()) == [4, 5]
 
 
 def test_unit_dedup_cuts_rows_without_an_id(spark):
@@ -437,9 +503,33 @@ def test_token_files(spark, sf, library):
 
 
 def test_token_files_odd(odd, empty, library, tmp_path):
-    rows = rans.read(*rans.write(odd, tokens.definition(PATH), path=(tmp_path / "blocks").as_uri())).collect()
+    path = rans.write(odd, tokens.definition(PATH), path=(tmp_path / "files").as_uri())
+    rows = rans.read(odd.sparkSession.newSession(), path).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((a, len(library(b).ids) + 1) for a, b, _ in ODD)
-    assert rans.read(*rans.write(empty, tokens.definition(PATH))).count() == 0
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in rows) == Counter((a, struct.pack(f"<{len(library(b).ids) + 1}I", *library(b).ids, 2)) for a, b, _ in ODD)
+    assert rans.read(odd.sparkSession, rans.write(empty, tokens.definition(PATH))).count() == 0
+
+
+def test_token_files_of_many_rows_without_an_id(spark, library):
+    texts = [f"text {k % 7} of no id" for k in range(60)]
+    rows = sorted(rans.read(spark, rans.write(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), tokens.definition(PATH))).collect(), key=lambda r: r["start"])
+    assert Counter(bytes(r["ids"]) for r in rows) == Counter(struct.pack(f"<{len(library(t).ids) + 1}I", *library(t).ids, 2) for t in texts)
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])])[:-1].tolist()
+
+
+def test_token_files_can_be_decoded_without_the_writer(spark, sf, library, tmp_path):
+    import subprocess
+    import sys
+
+    path = rans.write(spark.read.parquet(f"{sf}/documents.parquet"), tokens.definition(PATH), path=(tmp_path / "files").as_uri())
+    code = (
+        "import sys\nfrom pyspark.sql import SparkSession, functions as F\nfrom granary.llm import rans\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "r = rans.read(s, sys.argv[1]).agg(F.count('*'), F.sum('n_tokens'), F.sum(F.crc32('ids'))).first()\nprint('found', *r)"
+    )
+    said = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, timeout=300)
+    ids = [library(t).ids + [2] for t in texts_of(spark, sf).values()]
+    assert f"found {len(ids)} {sum(map(len, ids))} {sum(map(crc, ids))}" in said.stdout, said.stderr[-2000:]
 
 
 @pytest.mark.parametrize("rule", ["first", "last"])
@@ -544,13 +634,27 @@ def test_topk_odd(spark):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame, query_block=block).collect())
         assert got == brute_top(rows)
     assert topk.search(frame.limit(0)).count() == 0
-    other = spark.createDataFrame([*rows, (100, [1.0]), (150, [])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in topk.search(other).select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows)
+    # Each length is searched by itself.
+    short = [(100, [1.0]), (150, []), (7, [0.5]), (8, [-0.5])]
+    other = spark.createDataFrame([*rows, *short], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.search(other).select("query_id", "rank", "vec_id", "score").collect()) == sorted([*brute_top(rows), *brute_top(short[:1] + short[2:])])
     assert topk.search(spark.createDataFrame([(0, [])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_carries_every_digit():
+    rng = np.random.default_rng(5)
+    for dims, low, high in ((20_000, -9, 9), (20_000, 511, 513), (3, -(2**30), 2**30), (1, 0, 2)):
+        q = rng.integers(low, high, (70, dims))
+        weights = rng.integers(low, high, dims)
+        index = topk.Slices.of(np.arange(70), q)
+        exact = q @ weights
+        want = sorted(((-int(v), k) for k, v in enumerate(exact) if k != 3))[:6]
+        assert index.top(weights, 6, 3) == [(k, -v) for v, k in want]
+
+
 def test_topk_many_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "GROUP", 2)
     rng = np.random.default_rng(6)
     rows = [(k, [float(x) for x in rng.integers(-2, 3, 6) / 256]) for k in range(301)]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect())
