@@ -16,8 +16,8 @@ level go on to each side: a query meets about N^0.75 of N fingerprints.
 ``similar_documents`` finds texts with a Jaccard similarity of 0.8 or more over sets of five-word
 shingles. Such texts differ in about 15 % of the bits of a SimHash, a distance at which triangle bounds rule out
 nothing, so candidates are searched by 1,024 bits: those that agree in one of eighty blocks of 12 bits,
-and differ in 45 of 128 bits at most. By calculation a pair at 0.8 shares no block with a probability of
-6e-6 and is beyond the bound, 6 standard deviations above its mean, with less. Of short texts those
+and differ in 72 of 256 bits at most. By calculation a pair at 0.8 shares no block with a probability of
+6e-6 and is beyond the bound, 5.5 standard deviations above its mean, with less; unlike texts meet the bound with 1e-12. Of short texts those
 of four and five shingles differ most, in 19 % of the bits: 1e-3 and 1e-4. Candidates only group
 documents: within a group, texts are linked whose sets of shingles have a similarity of 0.8 or more, and
 components are those of such links. A block or a group with more than ``TILE`` members is cut into tiles, and
@@ -51,7 +51,7 @@ RESIDENTS, SHARDS, MOST_SHARDS = 65_536, 64, 4096
 SAMPLE, QUERIES, AT_ONCE, LEAF = 32, 4_000_000, 65_536, 32
 
 #: The signatures of similar documents: their 64-bit words, blocks of a word, bits of a block, words compared, bits by which those may differ.
-WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 2, 45
+WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 4, 72
 JACCARD = 0.8
 TILE = 4096
 #: Characters of a tile of texts, and how many of its texts are compared with one at once.
@@ -468,11 +468,13 @@ def candidates(points: DataFrame) -> DataFrame:
         tiles[r["block"]] = -(-r["n"] // TILE)
     shared = spark.sparkContext.broadcast(_Shares(tiles))
 
+    parts = [f"s{w}" for w in range(COMPARED)]
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, sig = batch.column(0).to_numpy(), matrix(batch.column(1))
             for row, unit, side in shared.value.deal(sig, rep):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit, side, rep[row], *(sig[row, w].view(np.int64) for w in range(COMPARED)))], names=["unit", "side", "rep", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit, side, rep[row], *(sig[row, w].view(np.int64) for w in range(COMPARED)))], names=["unit", "side", "rep", *parts])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -496,7 +498,7 @@ def candidates(points: DataFrame) -> DataFrame:
         if any(len(c[0]) for c in held):
             yield answer(None)
 
-    units = points.select("rep", "sig").mapInArrow(deal, "unit long, side byte, rep long, s0 long, s1 long")
+    units = points.select("rep", "sig").mapInArrow(deal, ", ".join(["unit long, side byte, rep long", *(f"{p} long" for p in parts)]))
     return units.repartition(runtime.partitions(spark), "unit").sortWithinPartitions("unit", "side").mapInArrow(search, "a long, b long")
 
 
