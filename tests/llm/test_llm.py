@@ -287,6 +287,8 @@ def test_decontamination_odd(spark, odd, empty):
     found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(odd, items).collect()}
     assert found == {(None, 1), (7, 4)}
     assert decontam.clean(odd, items).count() == len(ODD) - 2
+    twice = spark.createDataFrame([(5, "x y z an id is missing here"), (5, "an id is missing here"), (5, "an id is missing")], "doc_id long, text string")
+    assert [(r["doc_id"], r["begin"], r["end"]) for r in decontam.matches(twice.repartition(3), items).collect()] == [(5, 0, 21)]
     assert decontam.matches(empty, items).count() == decontam.matches(odd, items.limit(0)).count() == 0
 
 
@@ -588,6 +590,75 @@ def test_license_scan_finds_a_short_notice_anywhere():
     assert [m[0] for m in licenses.Scanner([("only", notice)], 0.8).find("x All, all rights reserved")] == ["only"]
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, cell by cell."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+        best = row
+    return best[-1]
+
+
+def test_alignment_against_the_whole_table():
+    rng = np.random.default_rng(21)
+    for _ in range(200):
+        a, b = rng.integers(1, 6, rng.integers(1, 25)), rng.integers(0, 6, rng.integers(1, 40))
+        matched = licenses.align(a, b, int(rng.integers(-3, 4)), len(a) + len(b))
+        assert len(matched) == longest_common(a.tolist(), b.tolist())
+        assert all(a[i] == b[j] for i, j in matched) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(matched, matched[1:]))
+
+
+def brute_coverage(template, words, slack):
+    """The best (matched words, first, last) of a template over all stretches of a text near its length."""
+    best = (0, 0, 0)
+    for first in range(len(words)):
+        if words[first] not in template:
+            continue
+        for last in range(min(len(words), first + len(template) + slack), first, -1):
+            if words[last - 1] in template and (n := longest_common(template, words[first:last])) >= 0.8 * (last - first):
+                best = max(best, (n, -first, last))
+                break
+    return best
+
+
+def test_license_scan_against_all_stretches():
+    rng = np.random.default_rng(22)
+    some = [t for t in licenses.TEMPLATES if t[0] in ("MIT-line", "ISC", "EPL-2.0", "CC0-1.0", "GPL-3.0-line", "all-rights-reserved")]
+    scanner = licenses.Scanner(some, 0.8)
+    for k in range(60):
+        name, text = some[k % len(some)]
+        words = licenses._words.findall(text.lower())
+        drop = rng.random() * 0.3 if len(words) > 8 else 0
+        changed = [w if rng.random() > drop else str(rng.choice(["", "changed", "of"])) for w in words]
+        held = " ".join([*(f"word{n}" for n in rng.integers(0, 99, 12)), *(w for w in changed if w), *(f"word{n}" for n in rng.integers(0, 99, 12))])
+        at = licenses._words.findall(held)
+        found = {m[0]: m for m in scanner.find(held)}
+        n, _, _ = brute_coverage(words, at, len(words) // 8)
+        if n < 0.78 * len(words):
+            assert name not in found
+        elif n >= 0.85 * len(words):
+            assert name in found and found[name][2] >= 0.8 * len(words) and found[name][2] <= n
+            assert held[found[name][3] : found[name][4]].split()[0] in words
+
+
+def test_quality_votes_against_all_cosines():
+    rng = np.random.default_rng(23)
+    vectors = rng.standard_normal((300, 8)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 300).astype(np.float64)
+    x = rng.standard_normal((50, 8)).astype(np.float32)
+    model = quality.Model(np.ones(8, np.float32), np.eye(8, dtype=np.float32), vectors, labels, 15)
+    got = model.score(x)
+    for row, score in zip(x.astype(np.float64), got):
+        cosines = sorted(((float(row @ v) / np.linalg.norm(row), y) for v, y in zip(vectors.astype(np.float64), labels)), reverse=True)[:15]
+        total = sum(max(c, 0) for c, _ in cosines)
+        assert abs(score - sum(max(c, 0) * y for c, y in cosines) / total) < 1e-5
+    few = quality.Model(np.ones(8, np.float32), np.eye(8, dtype=np.float32), vectors[:3], labels[:3], 15)
+    assert ((few.score(x) >= 0) & (few.score(x) <= 1)).all()
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op8_quality(spark, sf).collect()}
@@ -688,6 +759,33 @@ def test_language_mixture(spark, sf):
     assert abs(value - max(grid)) < 1e-6
 
 
+def test_language_sets_against_all_of_them(spark, sf):
+    """The chosen set has the best penalised likelihood of all sets of languages, each fitted by many steps."""
+    from itertools import combinations
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[r["lang"]].append(r["text"])
+    names, rng, penalty = sorted(by), np.random.default_rng(24), 3.0
+    for k in range(40):
+        parts = [str(rng.choice(by[str(x)]))[: int(rng.integers(20, 900))] for x in rng.choice(names, 1 + k % 4, replace=False)]
+        text = " ".join(parts)
+        counts = np.bincount(langid.grams(text), minlength=langid.BUCKETS)
+        there = np.flatnonzero(counts)
+        n = counts[there].astype(float)
+        value = {}
+        for size in range(1, len(names) + 1):
+            for some in combinations(range(len(names)), size):
+                _, likelihood = langid.mixture(np.exp(model.log_p[list(some)][:, there]), n, steps=2000, close=1e-9)
+                value[frozenset(names[c] for c in some)] = likelihood - penalty * np.log(n.sum() + 1) * (size - 1)
+        lang, score, chosen, _ = langid.infer(model, text, penalty)
+        best = max(value.values())
+        assert value[frozenset(a for a, _ in chosen)] > best - 0.5, (text, chosen, value)
+        assert lang == chosen[0][0] and abs(sum(s for _, s in chosen) - 1) < 1e-6
+
+
 def test_language_odd(spark, odd, empty):
     model = langid.fit(spark.createDataFrame([("one two three words", "en"), ("eins zwei drei worte", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
     rows = langid.predict(odd, model).collect()
