@@ -53,6 +53,7 @@ SAMPLE, QUERIES, AT_ONCE, LEAF = 32, 4_000_000, 65_536, 32
 #: The signatures of similar documents: their 64-bit words, blocks of a word, bits of a block, words compared, bits by which those may differ.
 WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 4, 72
 JACCARD = 0.8
+KEPT_WORDS = 100_000
 TILE = 4096
 #: Characters of a tile of texts, and how many of its texts are compared with one at once.
 TILE_CHARS, SOME = 16_000_000, 16
@@ -340,12 +341,12 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 class _Words(dict):
-    """Hashes of words; a worker keeps at most a million of them."""
+    """Hashes of words; a worker keeps at most so many of them."""
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 1_000_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = found = xxh64_intdigest(word, SEED)
         return found

@@ -53,10 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.words = Tokenizer.from_str(definition)  # for new words, none of which is an added token
-        self.words.encode_special_tokens = True
         self.keep = keep
-        self.newline = self.words.encode("\n", add_special_tokens=False).ids
+        self.newline = self.whole("\n").tolist()
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {i: t.content for i, t in added.items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.added.values())))) if self.added else None
@@ -128,7 +126,10 @@ class Encoder:
         """Ids of new words, end to end, and how many each has."""
         found, lengths = [], []
         joined = [b"\n".join(words[k : k + 500]).decode() for k in range(0, len(words), 500)]
-        for e in self.words.encode_batch_fast(joined, add_special_tokens=False):
+        self.tokenizer.encode_special_tokens = True  # words of texts that go to the library whole are learned too, as ordinary text
+        found_words = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = False
+        for e in found_words:
             ids = np.asarray(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.newline[0])
             lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
