@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions import headings as H
 from granary.functions.text import trimmed
 
-# The patterns that headings are known by.
-CHAPTER = r"^第\s*[一二三四五六七八九十百千零0-9]+\s*[章部分]"
-NUMERAL = r"^[一二三四五六七八九十百]+\s*[、，]\s*\S"
-ARTICLE = r"^第\s*[一二三四五六七八九十百千零0-9]+\s*条"
-APPENDIX = r"^附\s*录\s*(?:[A-J]|[一二三四五六七八九十百千0-9]+|（[一二三四五六七八九十百千0-9]+）|\([A-J0-9]+\))"
-REFERENCE = r"(?i)^\s*(?:参考文献|参考书目|参考资料|Reference)"
-PREFACE = r"^\s*(?:前\s*言|序\s*言|序\s*$)\s*$"
-TOC = r"^\s*(?:目\s*录|目\s*次)\s*$"
-NUMERIC = r"^(\d+(?:\.\d+){0,2})(?:\s|$)"
-IDENTIFIER_LINE = r"(?is)^\s*(?:Reference|Ref|PII|DOI|Article\s+ID|Article\s+No)[ #:.].*$"
-ENGLISH_REFERENCE = r"(?i)^\s*(?:REFERENCES?|BIBLIOGRAPHY)\s*$"
-ENGLISH_PREFACE = r"(?i)^\s*(?:ACKNOWLEDGEMENTS?|ACKNOWLEDGMENTS?|PREFACE|FOREWORD|PROLOGUE)\s*$"
-ENGLISH_APPENDIX = r"(?i)^\s*APPENDIX\s+[A-Z0-9]+\s*$"
-ENGLISH_LEVEL_1 = (
-    r"(?i)^\s*(?:ABSTRACT|INTRODUCTION|CONCLUSIONS?|DISCUSSION|METHODS?|RESULTS?|MATERIALS?\s+AND\s+METHODS?|BACKGROUND|OBJECTIVES?|PURPOSE|AIMS?|REFERENCES?|BIBLIOGRAPHY"
-    r"|ACKNOWLEDGEMENTS?|ACKNOWLEDGMENTS?|APPENDIX[A-Z]?|CONTENTS|TABLE\s+OF\s+CONTENTS|LIST\s+OF\s+FIGURES|LIST\s+OF\s+TABLES|ABBREVIATIONS|GLOSSARY|PREFACE|FORWARD|PROLOGUE"
-    r"|EXECUTIVE\s+SUMMARY|RECOMMENDATIONS?|KEY\s+RECOMMENDATIONS?|SCOPE|NORMATIVE\s+REFERENCES?|TERMS\s+AND\s+DEFINITIONS|DEFINITIONS|ABBREVIATIONS\s+AND\s+ACRONYMS)\s*$"
-)
-PAPER_HEADER = (
-    r"(?i)^\s*(?:Accepted\s+Manuscript|Original\s+Article|Review\s+Article|Case\s+Report|Brief\s+Communication|Letter\s+to\s+the\s+Editor|Manuscript|PREPRINT|Page\s+\d+|©\s*\d{4}"
-    r"|Copyright|Confidential|Draft|Working\s+Paper|Technical\s+Report)\s*$"
-)
-SENTENCE_MARKS = r"[;。，；：、!?,:.]"
-
-
 def _depth(t: Column) -> Column:
     """Level of a numbered heading, by the dots of its number; null if there is none."""
-    number = F.regexp_extract(t, NUMERIC, 1)
+    number = F.regexp_extract(t, H.NUMERIC, 1)
     return F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(3)))
 
 
@@ -50,17 +28,17 @@ def promoted_level(text: Column) -> Column:
 
 def promoted(t: Column) -> Column:
     """``promoted_level`` of a trimmed text."""
-    number = F.regexp_extract(t, NUMERIC, 1)
+    number = F.regexp_extract(t, H.NUMERIC, 1)
     date = (F.length(F.element_at(F.split(number, r"\."), 1)) >= 4) | t.rlike(r"^\d+(?:\.\d+){0,2}(?:\s|$)\s*[年月日]")
     first = F.lit(False)
-    for p in (TOC, PREFACE, REFERENCE, APPENDIX, CHAPTER, NUMERAL):
+    for p in (H.TOC, H.PREFACE, H.REFERENCE, H.APPENDIX, H.CHAPTER, H.NUMERAL):
         first = first | t.rlike(p)
-    return F.when(first, 1).when(t.rlike(ARTICLE), 2).when((number != "") & ~date, _depth(t)).cast("int")
+    return F.when(first, 1).when(t.rlike(H.ARTICLE), 2).when((number != "") & ~date, _depth(t)).cast("int")
 
 
 def inferred_level(text: Column) -> Column:
     t = trimmed(text)
-    return F.when(t.rlike(CHAPTER) | t.rlike(NUMERAL), 1).when(t.rlike(ARTICLE), 2).otherwise(_depth(t)).cast("int")
+    return F.when(t.rlike(H.CHAPTER) | t.rlike(H.NUMERAL), 1).when(t.rlike(H.ARTICLE), 2).otherwise(_depth(t)).cast("int")
 
 
 def effective_level(block_type: Column, text: Column, declared: Column) -> Column:
@@ -68,26 +46,28 @@ def effective_level(block_type: Column, text: Column, declared: Column) -> Colum
     return F.when(block_type == "title", F.coalesce(inferred_level(text), declared)).cast("int")
 
 
+def _any(t: Column, patterns) -> Column:
+    return reduce(Column.__or__, (t.rlike(p) for p in patterns))
+
+
 def region_kind(text: Column) -> Column:
-    """Kind of region that a title opens, or ''."""
+    """Kind of region that a title opens, or ''. A line that only gives an identifier opens none."""
     t = trimmed(text)
-    return (
-        F.when(t.rlike(IDENTIFIER_LINE), "").when(t.rlike(APPENDIX), "appendix").when(t.rlike(REFERENCE), "reference").when(t.rlike(PREFACE), "preface").when(t.rlike(TOC), "toc")
-        .when(t.rlike(ENGLISH_REFERENCE), "reference").when(t.rlike(ENGLISH_PREFACE), "preface").when(t.rlike(ENGLISH_APPENDIX), "appendix").otherwise("")
-    )
+    found = [F.when(_any(t, patterns), kind) for kind, patterns in H.KINDS.items()]
+    return F.when(t.rlike(H.IDENTIFIER_LINE), "").otherwise(F.coalesce(*found, F.lit("")))
 
 
 def chapter_like(text: Column) -> Column:
     """A short text that is numbered or named like a chapter."""
     t = trimmed(text)
-    named = t.rlike(CHAPTER) | t.rlike(ARTICLE) | t.rlike(r"^\d+\s+\S") | t.rlike(r"^\d+\.\S*") | t.rlike(ENGLISH_LEVEL_1) | (t.rlike(r"^[一二三四五六七八九十]+[、，]\s*\S") & (F.length(t) <= 40))
-    return (F.length(t) > 0) & (F.length(t) <= 60) & ~t.rlike(PAPER_HEADER) & named
+    counted = t.rlike(H.COUNTED) & (F.length(t) <= 40)
+    return F.length(t).between(1, 60) & ~t.rlike(H.PAPER_HEADER) & (counted | _any(t, H.CHAPTER_FORMS))
 
 
 def level_1_like(text: Column) -> Column:
     """A title that may open a chapter: short, without the marks of a sentence, unless its number says so."""
     t = trimmed(text)
-    return F.when(F.length(t) == 0, False).when(t.rlike(NUMERAL) & (F.length(t) <= 40), True).when(F.length(t) > 30, False).when(t.rlike(r"^\d+(?:\s|$)"), True).otherwise(~t.rlike(SENTENCE_MARKS))
+    return F.when(F.length(t) == 0, False).when(t.rlike(H.NUMERAL) & (F.length(t) <= 40), True).when(F.length(t) > 30, False).when(t.rlike(r"^\d+(?:\s|$)"), True).otherwise(~t.rlike(H.SENTENCE_MARKS))
 
 
 def toc_like(text: Column) -> Column:
@@ -96,4 +76,4 @@ def toc_like(text: Column) -> Column:
 
 
 def english_level_1(text: Column) -> Column:
-    return trimmed(text).rlike(ENGLISH_LEVEL_1)
+    return trimmed(text).rlike(H.ENGLISH_LEVEL_1)

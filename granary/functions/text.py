@@ -266,3 +266,10 @@ def within(base: Column, path: Column) -> Column:
 def active_profile(active: Column, kind: Column, old: Column) -> Column:
     """The active profile of a type, else the single one of older files."""
     return F.coalesce(F.element_at(active, kind), old)
+
+
+def env_entry(line: Column) -> Column:
+    """(key, exported) of a line of settings, null for a comment, a blank line and whatever is no assignment."""
+    bare = trimmed(line)
+    key = F.regexp_extract(bare, r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1)
+    return F.when((key != "") & ~F.startswith(bare, F.lit("#")), F.struct(key.alias("key"), bare.rlike(r"^export\s").alias("exported")))
