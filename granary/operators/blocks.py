@@ -96,6 +96,18 @@ def from_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return docs.select(F.col(id_col).alias("doc_id"), F.transform(lines, lambda p: _paragraph(F.lit(1), p)).alias("blocks"))
 
 
+def text_layer_block(page: Column, text: Column) -> Column:
+    """A block of a page's text layer. The openings and endings that make it a title whatever else it says."""
+    titled = (F.startswith(text, F.lit("第")) & (F.contains(text, F.lit("章")) | F.contains(text, F.lit("条")))) | F.endswith(text, F.lit("通知")) | F.startswith(text, F.lit("济政发"))
+    return F.when(titled, _block(page, F.lit("title"), level=F.lit(1), text=text)).otherwise(_paragraph(page, text))
+
+
+def from_text_layer(docs: DataFrame, pages_col: str = "pages", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, blocks) of text layers, ``pages array<array<string>>``: what a reader of the file found on each page, in order."""
+    pages = F.transform(pages_col, lambda held, n: F.transform(F.coalesce(held, F.array().cast("array<string>")), lambda t: text_layer_block(n + 1, t)))
+    return docs.select(F.col(id_col).alias("doc_id"), F.flatten(pages).alias("blocks"))
+
+
 def exploded(docs: DataFrame) -> DataFrame:
     """One row for each block with its place in the document."""
     return docs.select("doc_id", F.posexplode("blocks").alias("ord", "b")).select("doc_id", "ord", "b.*")

@@ -1,7 +1,7 @@
 """The ledger: upserts, lookups, matches, set operations, pages and reports, all as joins and aggregates.
 
 Tables have no update in place: an upsert is a new version of the table. Match cascades are equi-joins
-of a fixed priority; the only joins on containment broadcast a side of a checked size.
+of a fixed priority, and so are matches by prefix and by containment.
 """
 
 from __future__ import annotations
@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of a side that is broadcast for a join on containment.
-SMALL_ROWS = 20_000
-
 
 def last_write(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key: that written last."""
@@ -113,31 +110,51 @@ def resolve_directories(wanted: DataFrame, existing: DataFrame, name: str = "nam
     return every.groupBy("wanted").agg(F.min(F.struct("rule", "found")).alias("m")).select("wanted", F.col("m.found").alias("found"), F.col("m.rule").alias("rule"))
 
 
-def by_extension(names: DataFrame, files: DataFrame, order: list[str], name: str = "name") -> DataFrame:
-    """A file for each name: exact, else the same stem with the extension that comes first in ``order``."""
+def by_extension(names: DataFrame, files: DataFrame, order: list[str], name: str = "name", within: tuple[str, ...] = ()) -> DataFrame:
+    """A file for each name: exact, else the same stem with the extension that comes first in ``order``; ``within`` names columns, such as the tenant, that must agree."""
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     ext = F.lower(F.regexp_extract("file", r"(\.[^.]*)$", 1))
-    n = names.select(F.col(name).alias("wanted"))
-    f = files.select(F.col(name).alias("file"))
+    n = names.select(*within, F.col(name).alias("wanted"))
+    f = files.select(*within, F.col(name).alias("file"))
     rank = F.nullif(F.array_position(F.array(*map(F.lit, order)), ext), F.lit(0))
-    exact = n.join(f, n["wanted"] == f["file"]).select("wanted", F.struct(F.lit(0).cast("long").alias("rank"), F.col("file")).alias("m"))
-    other = n.join(f, stem(n["wanted"]) == stem(f["file"])).select("wanted", F.struct(F.coalesce(rank, F.lit(1000)).cast("long").alias("rank"), F.col("file")).alias("m"))
-    return exact.unionByName(other).groupBy("wanted").agg(F.min("m").alias("m")).select("wanted", F.col("m.file").alias("file"))
+    match = lambda kind: n.withColumn("key", kind(F.col("wanted"))).join(f.withColumn("key", kind(F.col("file"))), [*within, "key"])
+    exact = match(lambda c: c).select(*within, "wanted", F.struct(F.lit(0).cast("long").alias("rank"), F.col("file")).alias("m"))
+    other = match(stem).select(*within, "wanted", F.struct(F.coalesce(rank, F.lit(1000)).cast("long").alias("rank"), F.col("file")).alias("m"))
+    return exact.unionByName(other).groupBy(*within, "wanted").agg(F.min("m").alias("m")).select(*within, "wanted", F.col("m.file").alias("file"))
+
+
+def listing(files: DataFrame, base: DataFrame) -> DataFrame:
+    """Files with their hash and state in the ledger, in the order of their names without case."""
+    known = base.select(F.col("filename").alias("name"), "md5", "status")
+    return files.join(known, "name", "left").orderBy(F.lower("name"), "name")
+
 
+def missing_files(names: DataFrame, staged: DataFrame, name: str = "name") -> DataFrame:
+    """Names without a staged file: none of that name, and none whose name holds theirs or is held by it."""
+    left = names.select(F.col(name).alias("wanted")).distinct()
+    rest = left.join(staged.select(F.col(name).alias("wanted")), "wanted", "left_anti")
+    return rest.join(contained_names(rest.withColumnRenamed("wanted", name), staged, name), "wanted", "left_anti")
 
-def small(df: DataFrame) -> DataFrame:
-    """A side for broadcasting, after a check of its size."""
-    n = df.limit(SMALL_ROWS + 1).count()
-    if n > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} rows: match them by an equi-join key instead")
-    return F.broadcast(df)
+
+def metadata_sync(documents: DataFrame, manifest: DataFrame, own: DataFrame, fields: DataFrame, names: list[str], size: int = 50) -> DataFrame:
+    """Operations for documents(document_id, name) from the ledger(filename, chunks, ...), matched by stem or by the last part of ``chunks``, and from own metadata(filename, ...), which goes first; in batches."""
+    stem, last = F.regexp_replace("filename", r"\.[^.]*$", ""), F.regexp_replace("chunks", "^.*/", "")
+    found = cascade(documents, manifest, [(F.col("name"), stem), (F.col("name"), last)], "document_id", "filename", "filename").select(F.col("left_key").alias("document_id"), F.col("right_key").alias("filename"))
+    values = merged_metadata(found.join(manifest.select("filename", *names), "filename").drop("filename"), found.join(own.select("filename", *names), "filename").drop("filename"), "document_id", names)
+    return batches(metadata_operations(values, fields, "document_id", names).withColumn("granary_group", F.pmod(F.xxhash64("document_id"), F.lit(16))), ["document_id"], size, "granary_group").drop("granary_group")
 
 
 def contained_names(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs of names of which one contains the other, without case or punctuation; the first by name for each left one. The right side is small."""
+    """Pairs of names of which one contains the other, without case or punctuation; the first by name for each left one.
+
+    A name holds another if that is one of its substrings, so both ways are equi-joins on the substrings of a name.
+    """
     norm = lambda c: F.regexp_replace(F.lower(c), r"[\s_\-()（）\[\]【】.,，。]+", "")
-    a, b = left.select(F.col(name).alias("wanted"), norm(F.col(name)).alias("a")), right.select(F.col(name).alias("found"), norm(F.col(name)).alias("b"))
-    hit = a.join(small(b), (F.length("a") > 0) & (F.length("b") > 0) & (F.contains("a", "b") | F.contains("b", "a")))
+    a = left.select(F.col(name).alias("wanted"), norm(F.col(name)).alias("text")).where("text <> ''").distinct()
+    b = right.select(F.col(name).alias("found"), norm(F.col(name)).alias("text")).where("text <> ''").distinct()
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(F.sequence(F.lit(1), F.length("text") - i + 1), lambda n: F.substring(F.col("text"), i, n))))
+    held = lambda df, c: df.select(c, F.explode(F.array_distinct(cuts)).alias("text"))
+    hit = held(a, "wanted").join(b, "text").select("wanted", "found").unionByName(a.join(held(b, "found"), "text").select("wanted", "found"))
     return hit.groupBy("wanted").agg(F.min("found").alias("found"))
 
 
@@ -149,6 +166,12 @@ def similar_names(names: DataFrame, words: list[str], name: str = "name") -> Dat
     return one.join(two, "word").where("a < b").groupBy("a", "b").agg(F.min("word").alias("word"))
 
 
+def shared_words(names: DataFrame, words: list[str], name: str = "name") -> DataFrame:
+    """(word, names, first, last): the same groups without their pairs, whose number grows with the square of a group."""
+    key = F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(name), w)))
+    return names.select(F.col(name).alias("a"), key.alias("word")).distinct().groupBy("word").agg(F.count("*").alias("names"), F.min("a").alias("first"), F.max("a").alias("last"))
+
+
 def merged_metadata(manifest: DataFrame, documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Values of two sources: a document's own, else the manifest's; blanks do not count."""
     value = lambda c: F.coalesce(F.nullif(F.btrim(F.col(f"d.{c}")), F.lit("")), F.nullif(F.btrim(F.col(f"m.{c}")), F.lit("")))
@@ -275,3 +298,69 @@ def listed_directories(chunks: DataFrame, output: DataFrame, wanted: DataFrame |
     """Directories of two listings, each path once, of the wanted stems if they are named."""
     rows = chunks.unionByName(output).dropDuplicates(["path"])
     return rows if wanted is None else rows.join(wanted.select("stem").distinct(), "stem", "left_semi")
+
+
+# --- tenants, reuse of documents, staging of output -------------------------------------------------
+
+TENANT_ID = "^[a-z0-9][a-z0-9_-]{0,62}$"
+
+
+def created_tenants(tenants: DataFrame, wanted: DataFrame, now: str) -> DataFrame:
+    """What becomes of each wanted tenant(tenant_id, name, dataset_id, api_key): the row to add with the key's hash, or why there is none in ``denied``."""
+    id_ = F.lower(F.btrim("tenant_id"))
+    there = tenants.select(F.col("tenant_id").alias("there"))
+    rows = wanted.withColumn("tenant_id", id_).join(there, F.col("tenant_id") == F.col("there"), "left")
+    denied = F.when(~F.col("tenant_id").rlike(TENANT_ID), "malformed").when(F.col("tenant_id") == "default", "built in").when(F.length(F.btrim(F.coalesce("dataset_id", F.lit("")))) == 0, "no dataset").when(F.col("there").isNotNull(), "exists")
+    return rows.select("tenant_id", "name", F.btrim("dataset_id").alias("dataset_id"), F.sha2("api_key", 256).alias("api_key_hash"), F.lit("active").alias("status"), F.lit(now).alias("create_time"), F.lit(now).alias("update_time"), denied.alias("denied"))
+
+
+def updated_tenants(tenants: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """Tenants with the values of ``changes(tenant_id, name, dataset_id, status, api_key)`` that are not null; a new key replaces the old one at once."""
+    c = changes.select("tenant_id", *(F.col(x).alias(f"new_{x}") for x in ("name", "dataset_id", "status")), F.sha2("api_key", 256).alias("new_api_key_hash"))
+    fields = ("name", "dataset_id", "status", "api_key_hash")
+    touched = F.coalesce(*(F.col(f"new_{f}") for f in fields)).isNotNull()
+    rows = tenants.join(c, "tenant_id", "left").withColumn("update_time", F.when(touched, now).otherwise(F.col("update_time")))
+    return rows.select(*((F.coalesce(f"new_{x}", x).alias(x) if x in fields else F.col(x)) for x in tenants.columns))
+
+
+def removed_tenants(tenants: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tenants without those named; the default tenant stays."""
+    return tenants.join(ids.where("tenant_id <> 'default'").select("tenant_id").distinct(), "tenant_id", "left_anti")
+
+
+def reused_documents(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """wanted(name) against documents(document_id, name, indexing_status, ord): CREATE, or REUSE the first of that name; CLEAR tells whether its segments go first."""
+    first = documents.groupBy("name").agg(F.min_by(F.struct("document_id", "indexing_status"), "ord").alias("d"))
+    rows = wanted.join(first, "name", "left")
+    return rows.select(*wanted.columns, F.col("d.document_id").alias("document_id"), F.when(F.col("d").isNull(), "CREATE").otherwise("REUSE").alias("action"), F.coalesce(F.col("d.indexing_status") == "completed", F.lit(False)).alias("clear"))
+
+
+def cleared_segments(segments: DataFrame, reused: DataFrame) -> DataFrame:
+    """Segments without those of documents that are reused and cleared."""
+    return segments.join(reused.where("clear").select("document_id").distinct(), "document_id", "left_anti")
+
+
+def staged_output(chunks: DataFrame, output: DataFrame) -> DataFrame:
+    """chunks(tenant_id, stem, root) before an upload: whether a copy goes to the output folder. What is there already, or does not come from the chunk folder, is not copied."""
+    there = output.select("tenant_id", "stem", F.lit(True).alias("there")).distinct()
+    rows = chunks.join(there, ["tenant_id", "stem"], "left")
+    return rows.withColumn("copied", (F.col("root") == "chunks") & F.col("there").isNull()).drop("there")
+
+
+def cleaned_output(staged: DataFrame, results: DataFrame) -> DataFrame:
+    """After the upload, results(tenant_id, stem, ok): where a copied document's folder stays, and which one is deleted."""
+    rows = staged.join(results, ["tenant_id", "stem"], "left")
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    home = F.when(F.col("copied") & ok, "output").otherwise(F.col("root"))
+    return rows.select(*staged.columns, F.concat_ws("/", home, "stem").alias("chunks"), F.when(F.col("copied") & ok, F.concat_ws("/", "root", "stem")).when(F.col("copied"), F.concat(F.lit("output/"), "stem")).alias("deleted"))
+
+
+def crawl_groups(items: DataFrame) -> DataFrame:
+    """Confirmed items of a crawl by (profile_id, dataset_id), and those that cannot go in with the reason: url, profile_id, dataset_id, group_size, denied."""
+    denied = (
+        F.when(~F.coalesce(F.col("ok"), F.lit(False)), "not fetched").when(~F.coalesce(F.col("confirmed"), F.lit(False)) | (F.coalesce("stem", F.lit("")) == ""), "not confirmed")
+        .when(F.col("ingest_status") == "ok", "already in").when((F.coalesce("profile_id", F.lit("")) == "") | (F.coalesce("dataset_id", F.lit("")) == ""), "no target")
+    )
+    rows = items.select("url", "profile_id", "dataset_id", denied.alias("denied"))
+    sizes = rows.where("denied is null").groupBy("profile_id", "dataset_id").agg(F.count("*").alias("group_size"))
+    return rows.join(sizes, ["profile_id", "dataset_id"], "left").select("url", "profile_id", "dataset_id", F.when(F.col("denied").isNull(), F.col("group_size")).alias("group_size"), "denied")

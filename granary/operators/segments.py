@@ -36,10 +36,16 @@ def prepare(segments: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFra
     """Payload rows: doc_id, ord, piece_no, content, answer, keywords, attachment_ids, batch_no. What is said of a segment goes with its first piece only."""
     cut = segments.withColumn("p", segment_pieces("content", F.lit(config.segment_chars))).select("*", F.posexplode("p").alias("piece_no", "piece"))
     first = lambda c: F.when(F.col("piece_no") == 0, F.col(c))
-    rows = cut.select("doc_id", "ord", "piece_no", F.col("piece").alias("content"), first("answer").alias("answer"), first("keywords").alias("keywords"), F.slice(first("attachment_ids"), 1, 10).alias("attachment_ids"))
+    rows = cut.select("doc_id", "ord", "piece_no", F.col("piece").alias("content"), first("answer").alias("answer"), first("keywords").alias("keywords"), first("attachment_ids").alias("attachment_ids"))
     return batches(rows, ["ord", "piece_no"], config.segment_batch, "doc_id")
 
 
+def retried(payload: DataFrame, refused: DataFrame, most: int = 10) -> DataFrame:
+    """The rows of batches that were refused, ``refused(doc_id, batch_no)``, with at most ``most`` attachments each for another try."""
+    again = payload.join(refused.select("doc_id", "batch_no").distinct(), ["doc_id", "batch_no"], "left_semi")
+    return again.withColumn("attachment_ids", F.slice("attachment_ids", 1, most))
+
+
 def keywords(chunk_type: Column, table_name: Column) -> Column:
     """Keywords of a table's chunk: that it is one, and its name."""
     return F.when(chunk_type == "table", F.filter(F.array(F.lit("table"), table_name), lambda k: k.isNotNull() & (k != "")))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+
 # What a zone looks like.
 _TABLE = re.compile(r"(?:^|\n)(?:\|[^\n]*\|[ \t]*\n)+(?:\|?[\s:|-]+\|?[ \t]*\n)(?:\|[^\n]*\|[ \t]*\n?)+")
 _BLOCK = re.compile(r"\$\$(.+?)\$\$", re.S)
@@ -51,3 +55,34 @@ def overlap_tail(text: str, most: int) -> str:
     tail = text[-most:] if most > 0 else ""
     held = zones(tail)
     return tail[: held[0][0]] if held else tail
+
+
+# --- the same as Arrow functions of columns ---------------------------------------------------------
+
+_SPANS = ArrayType(StructType().add("begin", IntegerType()).add("end", IntegerType()))
+_PARTS = ArrayType(StructType().add("atomic", BooleanType()).add("text", StringType()))
+
+
+@F.pandas_udf(_SPANS)
+def zone_spans(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"begin": a, "end": b} for a, b in zones(t)] for t in text], dtype=object)
+
+
+@F.pandas_udf(_PARTS)
+def zone_parts(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"atomic": a, "text": x} for a, x in segments(t or "", zones(t))] for t in text], dtype=object)
+
+
+@F.pandas_udf(IntegerType())
+def safe_position(text: pd.Series, position: pd.Series) -> pd.Series:
+    return pd.Series([safe_cut(int(p), zones(t)) for t, p in zip(text, position)])
+
+
+@F.pandas_udf(StringType())
+def safe_tail(text: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([overlap_tail(t or "", int(n)) for t, n in zip(text, most)], dtype=object)
+
+
+def in_zone(position, spans):
+    """Whether a position lies in one of the spans, as a column."""
+    return F.exists(spans, lambda z: (z["begin"] <= position) & (position < z["end"]))

@@ -10,7 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from granary.operators.tables import markdown
 
@@ -80,6 +80,37 @@ def result_images(rows: DataFrame, result: str = "result", key: str = "doc_id")
     return rows.select(key, F.explode(F.col(result)["images"]).alias("path", "b64")).select(key, "path", F.unbase64(F.regexp_replace("b64", "^data:[^,]*,", "")).alias("data"))
 
 
+# What a remote parser calls its files, and how they are called here, after the document's stem.
+RENAMED = {"full.md": ".md", "layout.json": "_middle.json"}
+RENAMED_ENDS = {"_model.json": "_model.json", "_content_list.json": "_content_list_v2.json"}
+
+
+def canonical_name(path: Column, stem: Column) -> Column:
+    """A parser's path with the name that later stages look for; other names stay."""
+    name, folder = file_name(path), F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
+    low = F.lower(name)
+    whole = [F.when(low == k, F.concat(stem, F.lit(v))) for k, v in RENAMED.items()]
+    ends = [F.when(F.endswith(low, F.lit(k)), F.concat(stem, F.lit(v))) for k, v in RENAMED_ENDS.items()]
+    return F.concat(folder, F.coalesce(*whole, *ends, name))
+
+
+_ENTRIES = ArrayType(StructType().add("path", T_STRING).add("data", BinaryType()))
+
+
+def zip_entries(data: bytes | None) -> list[dict] | None:
+    """Files of an archive without their top folder; null if it is none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+            return [{"path": n.split("/", 1)[1] if "/" in n else n, "data": z.read(n)} for n in z.namelist() if not n.endswith("/")]
+    except zipfile.BadZipFile:
+        return None
+
+
+@F.pandas_udf(_ENTRIES)
+def unzipped(data: pd.Series) -> pd.Series:
+    return pd.Series([zip_entries(d) for d in data], dtype=object)
+
+
 # --- office documents: zip archives of XML ----------------------------------------------------------
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

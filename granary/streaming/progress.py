@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,12 @@ def progress(events: DataFrame, key: str = "task_id", time: str = "ts", expiry:
     return events.withWatermark(time, expiry).groupBy(F.session_window(time, expiry), key).agg(F.max_by("state", time).alias("state"), F.max(time).alias("last_seen"), F.count("*").alias("updates"))
 
 
+def latest_progress(events: DataFrame, now: Column, key: str = "task_id", time: str = "ts", expiry: str = "30 seconds") -> DataFrame:
+    """What a reader sees at a time: the latest state of each task that is not older than the expiry. One row for each task, however long it was silent before."""
+    held = events.where(F.col(time) <= now).groupBy(key).agg(F.max_by("state", time).alias("state"), F.max(time).alias("last_seen"), F.count("*").alias("updates"))
+    return held.where(F.col("last_seen") >= now - F.expr(f"interval {expiry}"))
+
+
 def windowed_counts(events: DataFrame, time: str, group: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.window(time, window), group).agg(F.count("*").alias("n"))
 
