@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import documents, pages, relational
+from granary.plans import documents, naming, pages, parsed, relational, stages
 
-_MODULES = (documents, pages, relational)
+_MODULES = (documents, parsed, pages, naming, relational, stages)
 
 
 def queries() -> dict:

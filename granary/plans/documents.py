@@ -155,9 +155,10 @@ from r where ref or (num <> '' and length(string_split(num, '.')[1]) < 4)
 
 
 def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions and structure chunks of the documents with headings."""
-    docs = _headed(spark, sf_dir).select("doc_id", F.array_join("parts", "\n").alias("text"))
-    return chunking.chunk_documents(B.from_lines(docs), "structure", CONFIG)
+    """Structure chunks of the documents with headings: chapters, merged sections, packed sentences. Dollar signs enclose formulas, which other queries hold."""
+    docs = _headed(spark, sf_dir).select("doc_id", F.replace(F.array_join("parts", "\n"), F.lit("$"), F.lit("S")).alias("text"))
+    chunks = chunking.chunk_documents(B.from_lines(docs), "structure", CONFIG)
+    return chunks.select("doc_id", "chunk_no", "title_path", "chunk_type", "char_count", "is_split", F.when(~F.col("is_split"), F.md5(F.col("body").cast("binary"))).alias("body_md5"))
 
 
 def _plain(strategy: str):
@@ -221,12 +222,41 @@ select doc_id, cast(c + 1 as integer) as chunk_no, 'single' as chunk_type,
 )
 
 
+STRUCTURE_SQL = (
+    f"""
+with recursive {_HEADED},
+x as (select doc_id, ord, ord // 6 as ch, ord % 6 as pos, replace(t, '$', 'S') as t, length(t) as n from h),
+c as (
+  select doc_id, ch, max(t) filter (pos = 0) as title, max(t) filter (pos = 3) as sub, coalesce(sum(n) filter (pos > 0), 0) as total, coalesce(sum(n) filter (pos in (1, 2)), 0) as na, coalesce(sum(n) filter (pos in (4, 5)), 0) as nb,
+    count(*) filter (pos > 0) as blocks, count(*) filter (pos in (4, 5)) as later from x group by 1, 2),
+sec as (
+  select doc_id, ch, 0 as s, title as name, total as chars, false as pack, [1, 2, 3, 4, 5] as places from c where blocks > 0 and total <= 1500
+  union all select doc_id, ch, 0, title || ' > ' || sub, na + nb, false, [1, 2, 4, 5] from c where total > 1500 and na + nb <= 1500
+  union all select doc_id, ch, 0, title, na, na > 1500, [1, 2] from c where total > 1500 and na + nb > 1500
+  union all select doc_id, ch, 1, title || ' > ' || sub, nb, nb > 1500, [4, 5] from c where total > 1500 and na + nb > 1500 and later > 0),
+rendered as (
+  select sec.doc_id, sec.ch, sec.s, sec.name || chr(10) || string_agg(case when x.pos = 3 then '## ' || x.t else x.t end, chr(10) || chr(10) order by x.ord) as body
+  from sec join x on x.doc_id = sec.doc_id and x.ch = sec.ch and list_contains(sec.places, x.pos) group by sec.doc_id, sec.ch, sec.s, sec.name),
+grouped as (select x.doc_id, sec.ch * 2 + sec.s as g, x.ord, x.t from sec join x on x.doc_id = sec.doc_id and x.ch = sec.ch and list_contains(sec.places, x.pos) where sec.pack),
+"""
+    + _LINE_ATOMS.strip() + "," + _packed(1200) + r""",
+every as (
+  select doc_id, ch, s, 0 as c, name, chars, false as is_split from sec where not pack
+  union all select sec.doc_id, sec.ch, sec.s, p.c, sec.name || case when p.pieces > 1 then ' (part ' || (p.c + 1) || ')' else '' end, p.chars, p.pieces > 1 from sec join packed p on p.doc_id = sec.doc_id and p.g = sec.ch * 2 + sec.s where sec.pack)
+select doc_id, cast(row_number() over (partition by doc_id order by ch, s, c) as integer) as chunk_no, name as title_path, 'body' as chunk_type, cast(chars as integer) as char_count, is_split,
+  case when not is_split then md5(regexp_replace(body, '\s+$', '') || chr(10)) end as body_md5
+from every join rendered using (doc_id, ch, s)
+"""
+)
+
+
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of Markdown made of the documents: lines become paragraphs, every fifth followed by an image."""
+    """Blocks of Markdown made of the documents: lines become paragraphs, every fifth followed by an image. A document's blocks are counted where they are."""
     made = F.transform("parts", lambda p, k: F.when(k % 5 == 4, F.concat(p, F.lit("\n\n![a]("), F.lit("img/"), k.cast("string"), F.lit(".png)"))).otherwise(p))
     docs = _lines(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(made, "\n\n").alias("text"))
-    rows = B.exploded(B.from_markdown(docs)).where("block_type = 'image' or length(text) > 0")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("block_type") == "image").alias("images"), F.sum(F.length("text")).alias("chars"), F.max("image_path").alias("last_image"))
+    image = lambda b: b["block_type"] == "image"
+    rows = B.from_markdown(docs).select("doc_id", F.filter("blocks", lambda b: image(b) | (F.length(b["text"]) > 0)).alias("b"))
+    return rows.select("doc_id", F.size("b").cast("long").alias("blocks"), F.size(F.filter("b", image)).cast("long").alias("images"), F.aggregate("b", F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"])).alias("chars"), F.array_max(F.transform("b", lambda b: b["image_path"])).alias("last_image"))
 
 
 MARKDOWN_SQL = """
@@ -298,9 +328,10 @@ select doc_id, cast(n + 1 as integer) as n_rows, cast(w + 2 as integer) as visib
 
 
 def segment_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as segments: split above 5000 characters, in batches of 30."""
+    """Documents as segments: split above 5000 characters, in batches of 30, as they go out again after a refusal of their attachments."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"), F.lit("a").alias("answer"), F.array(F.col("lang")).alias("keywords"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i.cast("string")).alias("attachment_ids"))
     rows = G.prepare(docs)
+    rows = G.retried(rows, rows)
     return rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.length("content")).alias("chars"), (F.max(F.length("content")) <= CONFIG.segment_chars).alias("fits"), F.sum(F.coalesce(F.size("attachment_ids"), F.lit(0))).alias("attachments"), F.max("batch_no").alias("last_batch"))
 
 
@@ -318,6 +349,18 @@ from documents d left join c using (doc_id)
 """
 
 
+def segment_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of segments: all of them at first, and after a refusal of a document's first batch ten at most in that batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ord"), F.col("text").alias("content"), F.lit("a").alias("answer"), F.array(F.col("lang")).alias("keywords"), F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 20 + 1).cast("int")), lambda i: i.cast("string")).alias("attachment_ids"))
+    rows = G.prepare(docs).where("piece_no = 0")
+    again = G.retried(rows, docs.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("batch_no")))
+    least = lambda df, name: df.select("doc_id", F.size("attachment_ids").alias(name))
+    return least(rows, "first").join(least(again, "second"), "doc_id", "left")
+
+
+ATTACHMENTS_SQL = "select doc_id, cast(doc_id % 20 + 1 as integer) as first, case when doc_id % 2 = 0 then cast(least(10, doc_id % 20 + 1) as integer) end as second from documents"
+
+
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(STRATEGIES, "key string, is_default boolean")
 
@@ -377,14 +420,14 @@ select doc, cast(g + 1 as integer) as chunk_no, count(*) as sentences, min(vec_i
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (greedy_chunks, sentence_atoms, fixed_chunks, sentence_packing, promoted_titles, structure_chunks, markdown_blocks, slugs, fingerprints, duplicate_texts, image_references, derived_tables, segment_payload, strategies, turn_packing, adjacent_cosine, semantic_breaks)}
+    out = {f.__name__: f for f in (greedy_chunks, sentence_atoms, fixed_chunks, sentence_packing, promoted_titles, structure_chunks, markdown_blocks, slugs, fingerprints, duplicate_texts, image_references, derived_tables, segment_payload, segment_attachments, strategies, turn_packing, adjacent_cosine, semantic_breaks)}
     return out | {f"{s}_strategy": _plain(s) for s in ("recursive", "fixed", "sentence", "parent_child")}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "greedy_chunks": GREEDY_SQL, "sentence_atoms": SENTENCE_SQL, "fixed_chunks": FIXED_SQL, "sentence_packing": PACKING_SQL, "promoted_titles": PROMOTED_SQL, "markdown_blocks": MARKDOWN_SQL,
-        "slugs": SLUG_SQL, "fingerprints": FINGERPRINT_SQL, "duplicate_texts": DUPLICATE_SQL, "image_references": REFS_SQL, "derived_tables": TABLES_SQL, "segment_payload": SEGMENT_SQL,
+        "greedy_chunks": GREEDY_SQL, "sentence_atoms": SENTENCE_SQL, "fixed_chunks": FIXED_SQL, "sentence_packing": PACKING_SQL, "promoted_titles": PROMOTED_SQL, "structure_chunks": STRUCTURE_SQL, "markdown_blocks": MARKDOWN_SQL,
+        "slugs": SLUG_SQL, "fingerprints": FINGERPRINT_SQL, "duplicate_texts": DUPLICATE_SQL, "image_references": REFS_SQL, "derived_tables": TABLES_SQL, "segment_payload": SEGMENT_SQL, "segment_attachments": ATTACHMENTS_SQL,
         "strategies": STRATEGY_SQL, "turn_packing": TURNS_SQL, "adjacent_cosine": COSINE_SQL, "semantic_breaks": SEMANTIC_SQL,
         "recursive_strategy": RECURSIVE_SQL, "parent_child_strategy": PARENT_SQL, "sentence_strategy": SENTENCES_SQL, "fixed_strategy": FIXED_LINES_SQL,
     }

@@ -60,12 +60,56 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.html_to_markdown("html", "url").alias("m")).select("page_id", "m.title", "m.markdown")
 
 
+_TIDY = r"""
+select page_id, title, replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '[ \t\r\n\f\x0B]+', ' ', 'g'), '[ \x01\x02]*\x02[ \x01\x02]*', chr(10) || chr(10), 'g'), '[ \x01]*\x01[ \x01]*', chr(10), 'g'), '^\n+|\n+$', '', 'g')), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') as markdown from m
+"""
+_TITLE = r"""replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[ \t\r\n\f\x0B]+', ' ', 'g')), '&quot;', '"'), '&amp;', '&')"""
+MARKDOWN_SQL = rf"""
+with a as (select page_id, {_TITLE} as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as a from pages),
+m as (select page_id, title, replace(replace(replace(replace(regexp_replace(a, '</?p>', chr(2), 'g'), '<h1>', chr(2) || '# '), '</h1>', chr(2)), '<br>', chr(1)), '<b>', '**') as b from a)
+{_TIDY}
+"""
+
+
+def simple_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and plain Markdown of every page: no emphasis, and nothing is taken for an overlay."""
+    return table(spark, sf_dir, "pages").select("page_id", H.html_to_simple_markdown("html").alias("m")).select("page_id", "m.title", "m.markdown")
+
+
+SIMPLE_SQL = rf"""
+with a as (select page_id, {_TITLE} as title, regexp_extract(html, '(?s)</nav>(.*)<footer>', 1) as a from pages),
+m as (select page_id, title, regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(a, '<!--.*?-->|</article>', '', 'g'), '</?p>', chr(2), 'g'), '<h1>', chr(2) || '# '), '</h1>', chr(2)), '<br>', chr(1)), '</?(div|article|b)[^>]*>', chr(3), 'g') as b3 from a),
+m2 as (select page_id, title, replace(b3, chr(3), '') as b from m)
+{_TIDY.replace("from m", "from m2")}
+"""
+
+
+def page_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When pages changed: as declared, else as published, else by the first date in the text."""
+    meta = lambda name, value: F.concat(F.lit(f'<meta property="{name}" content="'), value, F.lit('">'))
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    head = F.when(F.col("page_id") % 4 == 0, F.concat(meta("article:published_time", F.lit("2020-01-01")), meta("article:modified_time", F.concat(day, F.lit("T07:08:09Z"))))).when(F.col("page_id") % 4 == 1, meta("article:published_time", day)).otherwise(F.lit(""))
+    text = F.when(F.col("page_id") % 4 == 2, F.concat(F.lit("on 2023/"), (F.col("page_id") % 12 + 1).cast("string"), F.lit("/5 it was")))
+    return table(spark, sf_dir, "pages").select("page_id", H.page_changed(F.concat(head, "html"), text).alias("changed"))
+
+
+TIMES_SQL = """
+select page_id, case page_id % 4 when 0 then printf('2024-03-%02d 07:08', page_id % 28 + 1) when 1 then printf('2024-03-%02d', page_id % 28 + 1) when 2 then printf('2023-%02d-05', page_id % 12 + 1) end as changed from pages
+"""
+
+
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without overlays, and sanitised."""
     kept = H.strip_overlays("html")
     return table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("before"), kept.alias("kept")).select("page_id", "before", F.length("kept").alias("after"), F.length(X.sanitize_html(F.col("kept"))).alias("sanitized"))
 
 
+STRIPPED_SQL = r"""
+with k as (select page_id, html, regexp_replace(html, '<div class="ad">[^<]*</div>', '', 'g') as kept from pages)
+select page_id, cast(length(html) as integer) as before, cast(length(kept) as integer) as after, cast(length(regexp_replace(kept, '(?s)<script>.*?</script>|<style>.*?</style>|<meta[^>]*>', '', 'g')) as integer) as sanitized from k
+"""
+
+
 def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First date of a text made of the page's number."""
     made = F.concat(F.lit("x 20"), F.lpad((F.col("page_id") % 30).cast("string"), 2, "0"), F.lit("年"), (F.col("page_id") % 14).cast("string"), F.lit("月"), (F.col("page_id") % 33).cast("string"), F.lit("日 "), (F.col("page_id") % 26).cast("string"), F.lit(":05"))
@@ -115,7 +159,7 @@ def overlay_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the words of their containers' classes, and whether one is that of an overlay."""
     classes = F.explode(F.regexp_extract_all("html", F.lit(r'<div[^>]* class="([^"]*)"'), F.lit(1)))
     rows = table(spark, sf_dir, "pages").select("page_id", classes.alias("c")).select("page_id", F.explode(X.container_tokens(F.col("c"))).alias("word"))
-    overlay = F.col("word").isin("modal", "popup", "dialog", "toast", "mask", "overlay", "drawer", "ad", "ads", "adv", "adsbygoogle", "qrcode", "layer")
+    overlay = F.col("word").isin(*sorted(H.OVERLAYS))
     return rows.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"), F.bool_or(overlay).alias("overlay"))
 
 
@@ -156,8 +200,8 @@ select url, depth, seed, ord from b1 union all select url, depth, seed, ord from
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, crawl)}
+    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, simple_pages, page_times, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, crawl)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "crawl": CRAWL_SQL}
+    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_markdown": MARKDOWN_SQL, "simple_pages": SIMPLE_SQL, "page_times": TIMES_SQL, "stripped_pages": STRIPPED_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "crawl": CRAWL_SQL}

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary import runtime
+
 # Canonical states, and what older rows call them.
 STATUS = ["pending", "staged", "parsing", "parsed", "chunking", "chunked", "uploading", "done", "error", "missing"]
 ALIASES = {"parsing_done": "parsed", "chunk_done": "chunked", "completed": "done", "failed": "error"}
@@ -23,11 +25,16 @@ def filled(c: Column) -> Column:
     return F.length(F.btrim(F.coalesce(c, F.lit("")))) > 0
 
 
+def _fresh(ledger: DataFrame) -> DataFrame:
+    """Rows without what an earlier stage said of them."""
+    return ledger.drop("action", "backend", "pages", "dataset_id", "found", "trivial")
+
+
 def parse_actions(ledger: DataFrame, pending: DataFrame, dry_run: bool = False, force: bool = False) -> DataFrame:
     """NO_FILE, SKIPPED_DONE, DRY_RUN or PARSE for each ledger row; pages decide the backend."""
     p = pending.select("filename", F.col("pages").alias("pages"), F.lit(True).alias("there"))
     action = F.when(F.col("there").isNull(), "NO_FILE").when(filled(F.col("parse")) & F.lit(not force), "SKIPPED_DONE").when(F.lit(dry_run), "DRY_RUN").otherwise("PARSE")
-    return ledger.join(p, "filename", "left").withColumn("action", action).withColumn("backend", F.when(F.col("action") == "PARSE", F.when(F.coalesce(F.col("pages"), F.lit(0)) >= 15, "vlm").otherwise("pipeline"))).drop("there")
+    return _fresh(ledger).join(p, "filename", "left").withColumn("action", action).withColumn("backend", F.when(F.col("action") == "PARSE", F.when(F.coalesce(F.col("pages"), F.lit(0)) >= 15, "vlm").otherwise("pipeline"))).drop("there")
 
 
 def chunk_actions(ledger: DataFrame, parsed: DataFrame, dry_run: bool = False, force: bool = False) -> DataFrame:
@@ -36,12 +43,12 @@ def chunk_actions(ledger: DataFrame, parsed: DataFrame, dry_run: bool = False, f
         F.when(~filled(F.col("parse")), "NO_PARSED").when(filled(F.col("chunks")) & F.lit(not force), "SKIPPED_DONE").when(~F.coalesce(F.col("found"), F.lit(False)), "CHUNK_FAILED")
         .when(F.lit(dry_run), "DRY_RUN").when(F.coalesce(F.col("trivial"), F.lit(False)), "CHUNK_FAILED").otherwise("CHUNKED")
     )
-    return ledger.join(parsed, "stem", "left").withColumn("action", action)
+    return _fresh(ledger).join(parsed, "stem", "left").withColumn("action", action)
 
 
 def upload_actions(ledger: DataFrame, routes: DataFrame, force: bool = False) -> DataFrame:
     """NO_CHUNKS, SKIPPED_DONE, NO_DATASET or UPLOAD. A named tenant without a dataset fails; the default has one. ``routes(tenant_id, dataset_id)``."""
-    joined = ledger.join(routes.select("tenant_id", "dataset_id"), "tenant_id", "left")
+    joined = _fresh(ledger).join(routes.select("tenant_id", "dataset_id"), "tenant_id", "left")
     action = F.when(~filled(F.col("chunks")), "NO_CHUNKS").when(filled(F.col("remote_id")) & F.lit(not force), "SKIPPED_DONE").when((F.col("tenant_id") != "default") & ~filled(F.col("dataset_id")), "NO_DATASET").otherwise("UPLOAD")
     return joined.withColumn("action", action)
 
@@ -73,17 +80,24 @@ def run_steps(ledger: DataFrame, steps: list[Step], stop_on_error: bool = False)
         if not step.enabled:
             reports.append({"stage": step.name, "status": "skipped", "actions": {}})
             continue
-        ledger = step.run(ledger)
+        # Stored, so that no later step computes this one again.
+        before, ledger = ledger, runtime.materialize(step.run(ledger), "ledger")
+        runtime.forget(before)
         counts = {r["action"]: r["count"] for r in ledger.groupBy("action").count().collect()}
         bad = sum(n for a, n in counts.items() if a in ("CHUNK_FAILED", "NO_DATASET", "NO_FILE"))
         status = "ok" if not bad else "failed" if bad == sum(counts.values()) else "partial"
         reports.append({"stage": step.name, "status": status, "actions": counts})
-        ledger = ledger.drop("action")
         if bad and stop_on_error:
             break
     return ledger, reports
 
 
+def report_rows(reports: list[dict], spark) -> DataFrame:
+    """(stage, status, action, n): a run's report as rows."""
+    rows = [(r["stage"], r["status"], a, n) for r in reports for a, n in (r["actions"] or {None: None}).items()]
+    return spark.createDataFrame(rows, "stage string, status string, action string, n long")
+
+
 def overall(reports: list[dict]) -> str:
     states = [r["status"] for r in reports if r["status"] != "skipped"]
     return "skipped" if not states else "ok" if set(states) == {"ok"} else "failed" if set(states) == {"failed"} else "partial"

@@ -102,7 +102,9 @@ def test_delimited_preview_and_sinks(spark, tmp_path):
     assert n == 30 and df.count() == 10
     payload = segments.prepare(spark.createDataFrame([(1, 0, "a\n\n" + "b" * 6000, "ans", ["k"], [str(i) for i in range(12)]), (1, 1, None, None, None, None)], "doc_id long, ord int, content string, answer string, keywords array<string>, attachment_ids array<string>"))
     rows = payload.orderBy("ord", "piece_no").collect()
-    assert [len(r["content"]) for r in rows] == [3, 5000, 1000] and [r["answer"] for r in rows] == ["ans", None, None] and len(rows[0]["attachment_ids"]) == 10
+    assert [len(r["content"]) for r in rows] == [3, 5000, 1000] and [r["answer"] for r in rows] == ["ans", None, None] and len(rows[0]["attachment_ids"]) == 12
+    again = segments.retried(payload, payload.where("piece_no = 0").select("doc_id", "batch_no")).orderBy("ord", "piece_no").collect()
+    assert len(again) == 3 and again[0]["attachment_ids"] == [str(i) for i in range(10)]
     assert sinks.segment_requests(payload).count() == 1 and sinks.log_lines(payload).count() == 3
 
 
@@ -213,3 +215,58 @@ def test_streams(spark, tmp_path):
     rows = [("x", t, "10%"), ("x", t + datetime.timedelta(seconds=5), "20%"), ("x", t + datetime.timedelta(seconds=100), "30%")]
     held = progress.progress(spark.createDataFrame(rows, "task_id string, ts timestamp, state string")).orderBy("last_seen").collect()
     assert [(r["state"], r["updates"]) for r in held] == [("20%", 2), ("30%", 1)]
+
+
+def test_metadata_operations_of_many_fields(spark):
+    names = [f"f{k}" for k in range(1200)]
+    values = spark.createDataFrame([(1, *map(str, range(1200)))], "doc_id int, " + ", ".join(f"{n} string" for n in names))
+    fields = spark.createDataFrame([(n, f"id{n}") for n in names], "name string, field_id string")
+    assert len(L.metadata_operations(values, fields, "doc_id", names).first()["operations"]) == 1200
+
+
+def test_contained_and_missing_names(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    left, right = names("Report (2024)", "x", "plan-B", "-", "ab"), names("report 2024 final", "Plan B", "b")
+    got = {r["wanted"]: r["found"] for r in L.contained_names(left, right).collect()}
+    norm = lambda s: "".join(c for c in s.lower() if c not in " _-()[].,")
+    want = {a: min(b for b in ("report 2024 final", "Plan B", "b") if norm(a) in norm(b) or norm(b) in norm(a)) for a in ("Report (2024)", "plan-B", "ab")}
+    assert got == want and sorted(r["wanted"] for r in L.missing_files(left, right).collect()) == ["-", "x"]
+    assert [tuple(r) for r in L.shared_words(names("ab", "bc", "cd"), ["b", "d"]).orderBy("word").collect()] == [("b", 2, "ab", "bc"), ("d", 1, "cd", "cd")]
+
+
+def test_embedding_answers(spark):
+    from granary.operators import embeddings as E
+
+    got = one(spark, *(E.answered(F.lit(x)) for x in ('{"data": [{"embedding": [1.0, 2.0]}, {"embedding": [3.0]}]}', '{"embeddings": [[0.5]]}', '{"embeddings": []}', "no")))
+    assert list(got) == [[[1.0, 2.0], [3.0]], [[0.5]], None, None]
+    texts = spark.createDataFrame([(d, k, f"t{k % 3}") for d in (1, 2) for k in range(5)], "doc_id long, ord int, text string")
+    batches = E.requests(texts, 2)
+    assert sorted((r["doc_id"], r["batch_no"], len(r["texts"])) for r in batches.collect()) == [(d, b, n) for d in (1, 2) for b, n in ((0, 2), (1, 2), (2, 1))]
+    answers = spark.createDataFrame([(d, b, '{"embeddings": [' + ", ".join(f"[{b}.0]" for _ in range(n)) + "]}") for d in (1, 2) for b, n in ((0, 2), (1, 2), (2, 1 if d == 1 else 0))], "doc_id long, batch_no int, response string")
+    whole = E.complete(batches, answers)
+    assert [(r["doc_id"], r["texts"], [v[0] for v in r["vectors"]]) for r in whole.collect()] == [(1, ["t0", "t1", "t2", "t0", "t1"], [0, 0, 1, 1, 2])]
+    assert E.sentence_vectors(whole).first()["sentence_vectors"] == {"t0": [0.0], "t1": [0.0], "t2": [1.0]}
+
+
+def test_archives_and_settings(spark):
+    got = one(spark, files.canonical_name(F.lit("a/Full.MD"), F.lit("s")), files.canonical_name(F.lit("x_content_list.json"), F.lit("s")), files.canonical_name(F.lit("images/b.jpg"), F.lit("s")), X.env_entry(F.lit(" export  A_1 = x")), X.env_entry(F.lit("#A=1")), X.env_entry(F.lit("A 1")), X.env_entry(F.lit(None).cast("string")))
+    assert [tuple(x) if hasattr(x, "asDict") else x for x in got] == ["a/s.md", "s_content_list_v2.json", "images/b.jpg", ("A_1", True), None, None, None]
+    assert files.zip_entries(None) is None and files.zip_entries(office({"t/": "", "t/a/b.txt": "x", "c": "y"})) == [{"path": "a/b.txt", "data": b"x"}, {"path": "c", "data": b"y"}]
+
+
+def test_tenants(spark):
+    kinds = "tenant_id string, name string, dataset_id string, api_key_hash string, status string, create_time string, update_time string"
+    base = spark.createDataFrame([("a", "A", "d", "h", "active", "t0", "t0"), ("default", None, None, None, "active", "t0", "t0")], kinds)
+    wanted = spark.createDataFrame([("a", "x", "d", "k"), (" B ", "x", " d ", "k"), ("-c", "x", "d", "k"), ("default", "x", "d", "k"), ("e", "x", None, "k")], "tenant_id string, name string, dataset_id string, api_key string")
+    assert {r["tenant_id"]: r["denied"] for r in L.created_tenants(base, wanted, "now").collect()} == {"a": "exists", "b": None, "-c": "malformed", "default": "built in", "e": "no dataset"}
+    change = spark.createDataFrame([("a", None, "d9", None, None), ("default", None, None, None, None)], "tenant_id string, name string, dataset_id string, status string, api_key string")
+    after = {r["tenant_id"]: r for r in L.updated_tenants(base, change, "now").collect()}
+    assert (after["a"]["dataset_id"], after["a"]["name"], after["a"]["api_key_hash"], after["a"]["update_time"], after["default"]["update_time"]) == ("d9", "A", "h", "now", "t0")
+    assert [r["tenant_id"] for r in L.removed_tenants(base, base.select("tenant_id")).collect()] == ["default"]
+
+
+def test_latest_progress_shows_each_task_once(spark):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [("x", t, "10%"), ("x", t + datetime.timedelta(seconds=100), "30%"), ("y", t, "5%"), ("z", t + datetime.timedelta(seconds=200), "late")]
+    seen = progress.latest_progress(spark.createDataFrame(rows, "task_id string, ts timestamp, state string"), F.lit(t + datetime.timedelta(seconds=110))).collect()
+    assert [(r["task_id"], r["state"], r["updates"]) for r in seen] == [("x", "30%", 2)]
