@@ -22,9 +22,15 @@ def segment_pieces(content: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series(made, dtype=object)
 
 
-@F.pandas_udf(_STRINGS)
-def table_parts(html: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([[] if h is None else T.split_rows(h, n) for h, n in zip(html, most)], dtype=object)
+def table_parts(html: Column, most: int) -> Column:
+    """Parts of at most ``most`` body rows, each with the opening tag and the head of the whole table, as ``tables.split_rows`` cuts them; none of a null."""
+    head, opening = F.regexp_extract(html, r"(?is)<thead\b[^>]*>.*?</thead\s*>", 0), F.regexp_extract(html, r"(?i)<table\b[^>]*>", 0)
+    rows = F.regexp_extract_all(F.regexp_replace(html, r"(?is)^(.*?)<thead\b[^>]*>.*?</thead\s*>", "$1"), F.lit(r"(?is)<tr[\s>/].*?</tr\s*>"), F.lit(0))
+    start = F.concat(F.when(opening == "", "<table>").otherwise(opening), head)
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.ceil(F.size(r) / most).cast("int") - 1), lambda i: F.concat(start, F.array_join(F.slice(r, i * most + 1, most), ""), F.lit("</table>")))
+    # The rows are found once.
+    parts = F.element_at(F.transform(F.array(rows), lambda r: F.when(F.size(r) <= most, F.array(html)).otherwise(cut(r))), 1)
+    return F.when(html.isNull(), F.array().cast("array<string>")).otherwise(parts)
 
 
 @F.pandas_udf(T_STRING)

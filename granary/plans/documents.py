@@ -317,7 +317,7 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML tables of the documents' lines: rows, visible characters, parts of at most 20 rows, and Markdown."""
     cells = F.transform("parts", lambda p, k: F.concat(F.lit("<tr><td>"), k.cast("string"), F.lit("</td><td>"), F.length(p).cast("string"), F.lit("</td></tr>")))
     docs = _lines(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("<table><thead><tr><th>k</th><th>n</th></tr></thead>"), F.array_join(cells, ""), F.lit("</table>")).alias("html"))
-    return docs.select("doc_id", X.table_rows(F.col("html")).alias("n_rows"), F.length(X.strip_tags(F.col("html"))).alias("visible"), F.size(G.table_parts("html", F.lit(20))).alias("parts"), F.length(G.table_markdown("html")).alias("markdown_chars"))
+    return docs.select("doc_id", X.table_rows(F.col("html")).alias("n_rows"), F.length(X.strip_tags(F.col("html"))).alias("visible"), F.size(G.table_parts(F.col("html"), 20)).alias("parts"), F.length(G.table_markdown("html")).alias("markdown_chars"))
 
 
 TABLES_SQL = """

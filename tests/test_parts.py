@@ -270,3 +270,14 @@ def test_latest_progress_shows_each_task_once(spark):
     rows = [("x", t, "10%"), ("x", t + datetime.timedelta(seconds=100), "30%"), ("y", t, "5%"), ("z", t + datetime.timedelta(seconds=200), "late")]
     seen = progress.latest_progress(spark.createDataFrame(rows, "task_id string, ts timestamp, state string"), F.lit(t + datetime.timedelta(seconds=110))).collect()
     assert [(r["task_id"], r["state"], r["updates"]) for r in seen] == [("x", "30%", 2)]
+
+
+def test_table_parts_are_those_of_the_text_function(spark):
+    from granary.operators import tables as T
+
+    row = lambda n: f"<TR class='x'><td>{n}</td>\n</TR >"
+    made = [None, "", "<table></table>", "no table", *(f"<p>a</p><table border=1>{h}{''.join(map(row, range(n)))}</table> tail" for n in (0, 1, 4, 5, 6, 11) for h in ("", "<thead><tr><th>$1 \\</th></tr></thead>", "<THEAD a='b'>\n<tr><th>x</th></tr></THEAD ><thead><tr><td>second</td></tr></thead>"))]
+    frame = spark.createDataFrame([(k, h) for k, h in enumerate(made)], "k int, html string")
+    for most in (1, 5):
+        got = {r["k"]: r["p"] for r in frame.select("k", segments.table_parts(F.col("html"), most).alias("p")).collect()}
+        assert got == {k: [] if h is None else T.split_rows(h, most) for k, h in enumerate(made)}
