@@ -1,13 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
 
 Documents are the domains, benchmark items the queries: an item is found in a document if at least
-``threshold`` of its shingles of ``width`` words occur there. Sketches of whole long documents would lose items: of an item
-of 20 shingles in a document of 2,000 the Jaccard similarity is 0.008, which 256 hashes miss in 13 % of cases. So a document's set is first restricted to
-shingles that some item has, which changes no containment and leaves long documents with sets of an
-item's size. Documents fall into classes by the size of that set, items by theirs (powers of two). For
-each pair of classes, containment becomes a Jaccard bound, and the widest band that misses a true pair
-with a probability below ``miss`` is chosen; where even single hashes would miss more, every item that
-shares a shingle is a candidate. Candidates are verified by exact containment.
+``threshold`` of its shingles of ``width`` words occur there. Shingles are hashed, and an item's sketch is its
+``m`` least hashes, where m - 1 is the number of shingles it may lack: of any m shingles a document that contains the item has
+at least one, so sketches lose nothing, however long the document is. (Banded signatures of fixed length would: of an item of 20 shingles in a document of
+2,000 the Jaccard similarity is 0.008, which 256 hashes miss in 13 % of cases.) Items are partitioned by size, in
+powers of two. Each partition has the sketches of its items and their greatest hash; a document's sketch for a partition is
+its hashes up to that. Items that share a hash of the sketches are candidates, verified by exact containment over all shingles of both.
 
 Items are broadcast in blocks of at most ``block_chars`` characters of text on average; a larger
 benchmark takes more blocks, and the documents are scanned once for each.
@@ -22,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -32,16 +32,30 @@ from pyspark.sql import functions as F
 from granary import runtime
 from granary.llm import tokens
 
-HASHES = 256
 _words = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, containment double, shared int, item_shingles int, begin int, end int"
 
 
+@dataclass
+class Partition:
+    """Items of one size class and width of shingles: hashes of their sketches, ascending, and the items of each."""
+
+    width: int
+    hashes: np.ndarray
+    items: list[list[int]]
+
+    def candidates(self, own: np.ndarray) -> set[int]:
+        """Items whose sketches share a hash with a document's; of the document's hashes those up to the greatest here are its sketch."""
+        sketch = own[own <= self.hashes[-1]]
+        at = np.searchsorted(self.hashes, sketch)
+        return {k for i in np.unique(at[self.hashes[at] == sketch]).tolist() for k in self.items[i]}
+
+
 class Index:
-    """Items of one block: shingles numbered over the block, MinHash bands by size class."""
+    """Items of one block: shingles numbered over the block, and the partitions of their sketches."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = 5, threshold: float = 0.8, miss: float = 1e-9, seed: int = 7):
-        self.threshold, self.miss = threshold, miss
+    def __init__(self, items: list[tuple[int, str]], width: int = 5, threshold: float = 0.8, seed: int = 7):
+        self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
         grams: dict[tuple, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
@@ -53,107 +67,73 @@ class Index:
                 self.items.append((item, np.array(sorted(own), np.int64)))
         rng = np.random.default_rng(seed)
         self.mix = rng.integers(1, 1 << 62, width, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        self.a, self.b = (rng.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-        #: For each width: sorted codes, and in their order the numbers and words of the shingles.
+        #: For each width: sorted hashes, and in their order the numbers and words of the shingles.
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.hash = np.zeros(len(grams), np.uint64)
+        widths = np.zeros(len(grams), np.int64)
         by_width = defaultdict(list)
         for g, n in grams.items():
             by_width[len(g)].append((g, n))
         for w, known in by_width.items():
-            rows = np.array([g for g, _ in known], np.int64)
-            codes = self._codes(rows.T)
-            order = np.argsort(codes, kind="stable")
-            if len(np.unique(codes)) < len(codes):
-                raise ValueError("two shingles share a code; choose another seed")
-            self.tables[w] = codes[order], np.array([n for _, n in known], np.int64)[order], rows[order]
-        self.sizes = [len(s) for _, s in self.items]
-        self.classes = sorted({n.bit_length() for n in self.sizes})
-        self.holders: dict[int, list[int]] = defaultdict(list)
-        self.bands: dict[tuple[int, int], dict[tuple[int, bytes], list[int]]] = {}
-        self.signatures = [self.signature(s) for _, s in self.items]
-        for k, (_, s) in enumerate(self.items):
-            for x in s.tolist():
-                self.holders[x].append(k)
-
-    def _codes(self, columns: np.ndarray) -> np.ndarray:
+            rows, numbers = np.array([g for g, _ in known], np.int64), np.array([n for _, n in known], np.int64)
+            hashes = self._hashes(rows.T)
+            order = np.argsort(hashes, kind="stable")
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("two shingles share a hash; choose another seed")
+            self.tables[w] = hashes[order], numbers[order], rows[order]
+            self.hash[numbers], widths[numbers] = hashes, w
+        sketches: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, own) in enumerate(self.items):
+            needed = int(np.ceil(threshold * len(own) - 1e-9))
+            part = sketches[int(widths[own[0]]), len(own).bit_length()]
+            for h in np.sort(self.hash[own])[: len(own) - needed + 1].tolist():
+                part[h].append(k)
+        self.partitions = [Partition(w, np.array(sorted(part), np.uint64), [part[h] for h in sorted(part)]) for (w, _), part in sorted(sketches.items())]
+
+    def _hashes(self, columns: np.ndarray) -> np.ndarray:
         out = np.zeros(columns.shape[1], np.uint64)
         for k, c in enumerate(columns):
             out += c.astype(np.uint64) * self.mix[k]
             out ^= out >> np.uint64(29)
-        return out
-
-    def signature(self, own: np.ndarray) -> np.ndarray:
-        """MinHash of a set of shingle numbers."""
-        x = (own.astype(np.uint64) + np.uint64(1))[:, None] * self.a + self.b
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        return x.min(axis=0)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(31))
 
-    def present(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles of items in a text: their numbers, the words they begin with and the words they end with."""
+    def shingles(self, text: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each width the hashes of a text's shingles, the words they begin with and their words; of those without a word that no item has, as the others are in no sketch."""
         ids = np.fromiter(map(self.vocabulary.get, _words.findall(text.lower()), repeat(0)), np.int64)
-        numbers, first, last = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        known = ids > 0
-        for w, (codes, number, rows) in self.tables.items():
-            if len(ids) < w:
-                continue
+        known, out = ids > 0, {}
+        for w in self.tables:
             n = len(ids) - w + 1
+            if n < 1:
+                continue
             whole = known[:n].copy()
             for k in range(1, w):
                 whole &= known[k : k + n]
             at = np.flatnonzero(whole)
-            if not len(at):
-                continue
-            columns = np.stack([ids[at + k] for k in range(w)])
-            code = self._codes(columns)
-            where = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            same = (codes[where] == code) & (rows[where] == columns.T).all(axis=1)
-            numbers.append(number[where[same]])
-            first.append(at[same])
-            last.append(at[same] + w - 1)
-        return np.concatenate(numbers), np.concatenate(first), np.concatenate(last)
-
-    def band_width(self, item_class: int, document: int) -> int:
-        """Rows of a band for items of a class and documents up to a size; 0: none is safe enough."""
-        least = 1 << (item_class - 1)
-        jaccard = self.threshold / (max(document, least) / least + 1 - self.threshold)
-        for r in (8, 4, 2, 1):
-            if (1 - jaccard**r) ** (HASHES // r) <= self.miss:
-                return r
-        return 0
-
-    def _banded(self, item_class: int, r: int) -> dict[tuple[int, bytes], list[int]]:
-        if (item_class, r) not in self.bands:
-            table = defaultdict(list)
-            for k, sig in enumerate(self.signatures):
-                if self.sizes[k].bit_length() == item_class:
-                    for b in range(HASHES // r):
-                        table[b, sig[b * r : (b + 1) * r].tobytes()].append(k)
-            self.bands[item_class, r] = table
-        return self.bands[item_class, r]
-
-    def candidates(self, own: np.ndarray) -> set[int]:
-        """Items that may be contained in a document with these shingles."""
-        signature, out = self.signature(own), set()
-        upper = (1 << len(own).bit_length()) - 1
-        for c in self.classes:
-            r = self.band_width(c, upper)
-            if r:
-                table = self._banded(c, r)
-                for b in range(HASHES // r):
-                    out.update(table.get((b, signature[b * r : (b + 1) * r].tobytes()), ()))
-            else:
-                out.update(k for x in own.tolist() for k in self.holders[x] if self.sizes[k].bit_length() == c)
+            if len(at):
+                columns = np.stack([ids[at + k] for k in range(w)])
+                out[w] = self._hashes(columns), at, columns.T
         return out
 
+    def exact(self, held: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text's shingles those that items have, word for word: their numbers, the words they begin with and the words they end with."""
+        parts = [(np.empty(0, np.int64),) * 3]
+        for w, (hashes, at, words) in held.items():
+            table, number, rows = self.tables[w]
+            where = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+            same = (table[where] == hashes) & (rows[where] == words).all(axis=1)
+            parts.append((number[where[same]], at[same], at[same] + w - 1))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
     def find(self, text: str) -> list[tuple[int, float, int, int, int, int]]:
         """Items in a text: id, containment, shared and all shingles of the item, characters begin to end of what it matches."""
-        numbers, first, last = self.present(text)
-        if not len(numbers):
+        held = self.shingles(text)
+        candidates = {k for p in self.partitions if p.width in held for k in p.candidates(held[p.width][0])}
+        if not candidates:
             return []
+        numbers, first, last = self.exact(held)
         own, out, spans = np.unique(numbers), {}, None
-        for k in sorted(self.candidates(own)):
+        for k in sorted(candidates):
             item, needed = self.items[k]
             shared = int(np.isin(needed, own).sum())
             if shared >= self.threshold * len(needed) - 1e-9:

@@ -282,6 +282,27 @@ def test_decontamination_partial_and_large():
         assert {m[0] for m in index.find(text)} == expected
 
 
+def test_decontamination_sketches_lose_no_item():
+    """Long documents that hold many items among much else: candidates are all items that are contained, and few others."""
+    rng = np.random.default_rng(31)
+    word = [f"w{k}" for k in range(30)]  # so few words that unlike texts share shingles
+    items = [(k, " ".join(rng.choice(word, int(n)))) for k, n in enumerate(rng.integers(1, 90, 150))]
+    for width, threshold in ((5, 0.8), (3, 0.5), (2, 1.0)):
+        index, tried, found = decontam.Index(items, width, threshold), 0, 0
+        assert all(len(p.hashes) and (np.diff(p.hashes.astype(object)) > 0).all() for p in index.partitions)
+        for _ in range(15):
+            parts = [" ".join(rng.choice(word, 300))] + [items[i][1] for i in rng.choice(150, 20)]
+            changed = [" ".join(w if rng.random() > 0.05 else "other" for w in p.split()) for p in parts]
+            text = " ".join(rng.permutation(changed))
+            want = {k for k, x in items if containment(x, text, width) >= threshold}
+            assert {m[0] for m in index.find(text)} == want
+            held = index.shingles(text)
+            candidates = {k for p in index.partitions if p.width in held for k in p.candidates(held[p.width][0])}
+            assert want <= candidates
+            tried, found = tried + len(candidates), found + len(want)
+        assert found
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "an id is missing here"), (1, "an id is missing here"), (2, None), (3, ""), (4, "word word word word word word")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.matches(odd, items).collect()}
