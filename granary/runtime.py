@@ -95,8 +95,11 @@ def ship(spark: SparkSession) -> SparkSession:
         if app not in _shipped:
             spark.sparkContext.addPyFile(_zipped(spark))
             _shipped.add(app)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # Lowered where the session allows more, which bounds memory and changes no result; a smaller setting stays.
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -117,7 +120,7 @@ def _zipped(spark: SparkSession) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than the session has cores is dealt out evenly; any larger one is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def fresh(name: str, df: DataFrame) -> str:
