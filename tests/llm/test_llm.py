@@ -841,6 +841,27 @@ def test_pipeline(spark, sf, library):
     assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Null ids, repeated rows, empty texts, clashing names, no n_chars, empty tables: each stage by itself."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    twice = "Some plain English words make up this first sentence here. The second one follows it with a few more words."
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, twice, "en"), (1, twice, "en"), (None, twice.upper(), "en"), (2, f"{twice} But a third is only in this text, and it goes on for quite a while.", None), (None, None, "en"), (3, "", "en"), (4, "12 34 !!", "en"), (None, f"Before it. {item} After it.", "de"), (5, "Words of its own are in this text, and of no other at all.", "en")]
+    docs = spark.createDataFrame([(*r, k, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, rank int, granary_row string, component int")
+    at = lambda df: sorted(r["rank"] for r in df.collect())
+    assert at(stages["language"](spark, docs, sf)) == [0, 1, 2, 3, 7, 8]
+    alone = stages["near_duplicates"](spark, docs, sf)
+    assert alone.columns == docs.columns and at(alone) in ([0, 3, 5, 6, 7, 8], [1, 3, 5, 6, 7, 8])  # 4 is empty as 5 is, without an id
+    cut = {r["rank"]: r["text"] for r in stages["repeated_passages"](spark, docs.coalesce(1), sf).collect()}
+    assert sorted(cut) == [0, 3, 6, 7, 8] and cut[0] == twice and cut[3].strip() == rows[3][1].removeprefix(twice).strip()
+    assert at(stages["benchmark_leaks"](spark, docs, sf)) == [0, 1, 2, 3, 4, 5, 6, 8]
+    assert len({(r["doc_id"], r["doc_tokens"]) for r in stages["packing"](spark, docs, sf).collect()}) >= 5
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_no_query_has_sql_without_being_registered():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert json.dumps(sorted(queries.queries()))
