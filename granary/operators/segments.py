@@ -40,7 +40,10 @@ def table_markdown(html: pd.Series) -> pd.Series:
 
 def prepare(segments: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Payload rows: doc_id, ord, piece_no, content, answer, keywords, attachment_ids, batch_no. What is said of a segment goes with its first piece only."""
-    cut = segments.withColumn("p", segment_pieces("content", F.lit(config.segment_chars))).select("*", F.posexplode("p").alias("piece_no", "piece"))
+    # Only oversize texts leave the JVM.
+    size, most = F.length("content"), config.segment_chars
+    pieces = F.when(size <= most, F.array("content")).otherwise(segment_pieces(F.when(size > most, F.col("content")), F.lit(most)))
+    cut = segments.withColumn("p", pieces).select("*", F.posexplode("p").alias("piece_no", "piece"))
     first = lambda c: F.when(F.col("piece_no") == 0, F.col(c))
     rows = cut.select("doc_id", "ord", "piece_no", F.col("piece").alias("content"), first("answer").alias("answer"), first("keywords").alias("keywords"), first("attachment_ids").alias("attachment_ids"))
     return batches(rows, ["ord", "piece_no"], config.segment_batch, "doc_id")
