@@ -469,6 +469,23 @@ def slug(title: str) -> str:
     return s[:40].rstrip("_") if len(s) > 40 else s
 
 
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[dict], dict, list[str] | None]]:
+    """(doc_id, blocks, sentence vectors, pieces) of each row; blocks are read field by field, which is several times as fast as row by row."""
+    held = batch.column("blocks")
+    flat = held.flatten()
+    names = [f.name for f in flat.type]
+    blocks = [dict(zip(names, values)) for values in zip(*(flat.field(k).to_pylist() for k in range(len(names))))]
+    there = flat.is_valid().to_pylist() if flat.null_count else None
+    more = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("sentence_vectors", "pieces")]
+    at = 0
+    for doc, n, vectors, pieces in zip(batch.column("doc_id").to_pylist(), held.value_lengths().to_pylist(), *more):
+        own = blocks[at : at + (n or 0)]
+        if there:
+            own = [b for b, ok in zip(own, there[at : at + (n or 0)]) if ok]
+        at += n or 0
+        yield doc, own, dict(vectors or []), pieces
+
+
 def chunk_documents(docs: DataFrame, strategy: str | None = None, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks of ``docs(doc_id, blocks)``; with a column ``sentence_vectors map<string,array<float>>`` for the strategies that
     compare vectors, and ``pieces array<string>`` for those an outside model chose. Null or empty blocks give no chunk."""
@@ -481,12 +498,11 @@ def chunk_documents(docs: DataFrame, strategy: str | None = None, config: ChunkC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                vectors = dict(r.get("sentence_vectors") or [])
+            for doc, held, vectors, pieces in _documents(batch):
                 embed = (lambda texts, vectors=vectors: [vectors[t] for t in texts] if all(t in vectors for t in texts) else None) if vectors else None
-                for k, (n, d) in enumerate(chunk([b for b in r["blocks"] or [] if b], name, config, embed, r.get("pieces")), 1):
+                for k, (n, d) in enumerate(chunk(held, name, config, embed, pieces), 1):
                     size = d.chars if d.chars is not None else sum(map(chars, d.blocks))
-                    rows.append((r["doc_id"], k, f"chunk_{k:03d}", f"chunk_{k:03d}_{slug(d.title)}.md", n, d.title, d.kind, size, refs(d.blocks), d.split, body(d), d.table_name, d.table_type, d.parent, name))
+                    rows.append((doc, k, f"chunk_{k:03d}", f"chunk_{k:03d}_{slug(d.title)}.md", n, d.title, d.kind, size, refs(d.blocks), d.split, body(d), d.table_name, d.table_type, d.parent, name))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=columns)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *known[1:]).mapInArrow(run, CHUNKS)
