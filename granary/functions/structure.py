@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from granary.functions import headings as H
 from granary.functions.text import trimmed
 
+#: What the patterns of ``promoted`` begin with.
+OPENINGS = "^[第附目前序参一二三四五六七八九十百Rr0-9]"
+
+
 def _depth(t: Column) -> Column:
     """Level of a numbered heading, by the dots of its number; null if there is none."""
     number = F.regexp_extract(t, H.NUMERIC, 1)
@@ -33,7 +37,9 @@ def promoted(t: Column) -> Column:
     first = F.lit(False)
     for p in (H.TOC, H.PREFACE, H.REFERENCE, H.APPENDIX, H.CHAPTER, H.NUMERAL):
         first = first | t.rlike(p)
-    return F.when(first, 1).when(t.rlike(H.ARTICLE), 2).when((number != "") & ~date, _depth(t)).cast("int")
+    level = F.when(first, 1).when(t.rlike(H.ARTICLE), 2).when((number != "") & ~date, _depth(t)).cast("int")
+    # Most paragraphs begin with a letter that begins no heading, and are asked nothing more.
+    return F.when(t.rlike(OPENINGS), level)
 
 
 def inferred_level(text: Column) -> Column:
