@@ -170,6 +170,23 @@ select word, count(*) as n, count(distinct page_id) as pages, word in ('modal',
 """
 
 
+# Elements, whether their text is part of a page's Markdown, and whether they stay when overlays go.
+_ELEMENTS = [
+    ('<div style="Position : fixed">inner</div>', False, False), ('<section style="display: NONE">inner</section>', False, True), ('<div style="visibility:hidden">inner</div>', False, True), ('<div style="color:red">inner</div>', True, True),
+    ('<div id="aiModal">inner</div>', False, False), ('<ul class="site-nav"><li>inner</li></ul>', False, True), ('<div class="badge">inner</div>', True, True), ('<span class="ad">inner</span>', True, True), ('<div class="x popup_box"><p>inner</p></div>', False, False),
+]
+
+
+def noise_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that are overlays or hidden by their names or style, in Markdown and in stripped pages."""
+    made = F.concat(F.lit("<p>a</p>"), F.element_at(F.array(*(F.lit(e) for e, _, _ in _ELEMENTS)), (F.col("page_id") % len(_ELEMENTS) + 1).cast("int")), F.lit("<p>b</p>"))
+    rows = table(spark, sf_dir, "pages").select("page_id", H.html_to_markdown(made, "url")["markdown"].alias("markdown"), H.strip_overlays(made).alias("kept"))
+    return rows.select("page_id", F.contains("markdown", F.lit("inner")).alias("shown"), F.contains("kept", F.lit("inner")).alias("stays"), F.contains("markdown", F.lit("b")).alias("goes_on"))
+
+
+NOISE_SQL = f"select page_id, {[s for _, s, _ in _ELEMENTS]}[page_id % {len(_ELEMENTS)} + 1] as shown, {[k for _, _, k in _ELEMENTS]}[page_id % {len(_ELEMENTS)} + 1] as stays, true as goes_on from pages"
+
+
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl from the first page over the links of all pages, two levels deep."""
     pages = table(spark, sf_dir, "pages")
@@ -200,8 +217,8 @@ select url, depth, seed, ord from b1 union all select url, depth, seed, ord from
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, simple_pages, page_times, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, crawl)}
+    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, simple_pages, page_times, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, noise_containers, crawl)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_markdown": MARKDOWN_SQL, "simple_pages": SIMPLE_SQL, "page_times": TIMES_SQL, "stripped_pages": STRIPPED_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "crawl": CRAWL_SQL}
+    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_markdown": MARKDOWN_SQL, "simple_pages": SIMPLE_SQL, "page_times": TIMES_SQL, "stripped_pages": STRIPPED_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "noise_containers": NOISE_SQL, "crawl": CRAWL_SQL}
