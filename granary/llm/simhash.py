@@ -55,6 +55,8 @@ WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 4, 72
 JACCARD = 0.8
 KEPT_WORDS = 100_000
 TILE = 4096
+#: Pairs that are compared at once.
+PAIRS = 500_000
 #: Characters of a tile of texts, and how many of its texts are compared with one at once.
 TILE_CHARS, SOME = 16_000_000, 16
 _ODDS = np.random.default_rng(11).integers(1, 1 << 62, 24, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -429,7 +431,7 @@ def _compare(unit: np.ndarray, side: np.ndarray, rep: np.ndarray, sig: np.ndarra
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     k, total = 0, np.concatenate([[0], np.cumsum(partners)])
     while k < len(mine):
-        stop = max(k + 1, int(np.searchsorted(total, total[k] + 2_000_000, side="right")) - 1)
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS, side="right")) - 1)
         n = partners[k:stop]
         i, j = np.repeat(mine[k:stop], n), tokens._ranges(begin[k:stop], n)
         d = np.bitwise_count(sig[i, 0] ^ sig[j, 0])
