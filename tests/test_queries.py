@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB; the others for their rows and invariants."""
+"""Every query against its SQL in DuckDB."""
 
 import pytest
 from oracle import compare, connect
@@ -20,13 +20,8 @@ def test_against_sql(spark, sf, con, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_rows(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
-def test_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry(spark):
