@@ -17,8 +17,9 @@ level go on to each side: a query meets about N^0.75 of N fingerprints.
 shingles. Such texts differ in about 15 % of the bits of a SimHash, a distance at which triangle bounds rule out
 nothing, so candidates are searched by 1,024 bits: those that agree in one of eighty blocks of 12 bits,
 and differ in 72 of 256 bits at most. By calculation a pair at 0.8 shares no block with a probability of
-6e-6 and is beyond the bound, 5.5 standard deviations above its mean, with less; unlike texts meet the bound with 1e-12. Of short texts those
-of four and five shingles differ most, in 19 % of the bits: 1e-3 and 1e-4. Candidates only group
+1e-5 and is beyond the bound, 5.5 standard deviations above its mean, with less; unlike texts meet the bound with 1e-12. Texts of at most ``SHORT``
+shingles have too few for that (of four and five shingles 19 % of the bits differ), so they, and those a quarter longer, are found by their least hashes instead: as
+many as a similar text may lack and one more, of which two similar texts share one for certain. Candidates only group
 documents: within a group, texts are linked whose sets of shingles have a similarity of 0.8 or more, and
 components are those of such links. A block or a group with more than ``TILE`` members is cut into tiles, and
 each pair of tiles is a unit of its own; pairs that verified links of the unit join already are not compared
@@ -53,6 +54,8 @@ SAMPLE, QUERIES, AT_ONCE, LEAF = 32, 4_000_000, 65_536, 32
 #: The signatures of similar documents: their 64-bit words, blocks of a word, bits of a block, words compared, bits by which those may differ.
 WORDS, BLOCKS, WIDTH, COMPARED, APART = 16, 5, 12, 4, 72
 JACCARD = 0.8
+#: Shingles of a short text, and of the longest that is similar to one.
+SHORT, SHORT_PARTNER = 16, 20
 KEPT_WORDS = 100_000
 TILE = 4096
 #: Pairs that are compared at once.
@@ -449,6 +452,20 @@ def _compare(unit: np.ndarray, side: np.ndarray, rep: np.ndarray, sig: np.ndarra
     return spanning(np.concatenate(found_a), np.concatenate(found_b))
 
 
+def least_hashes(h: np.ndarray) -> list[int]:
+    """The least of a short set's sorted hashes, one more than a similar set may lack; none of a longer or an empty set."""
+    n = len(h) if len(h) <= SHORT_PARTNER else 0
+    return h[: n - int(np.ceil(JACCARD * n - 1e-9)) + 1].view(np.int64).tolist() if n else []
+
+
+def short_links(points: DataFrame) -> DataFrame:
+    """(a, b): short texts that share one of their least hashes, each with the first of those; ``points(rep, least array<long>)``."""
+    keys = points.select("rep", F.explode("least").alias("hash"))
+    # Stored, so that both sides of the join are plain exchanges and a hash of very many texts can be split.
+    first = runtime.materialize(keys.groupBy("hash").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "least-hashes")
+    return keys.join(first, "hash").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+
+
 def candidates(points: DataFrame) -> DataFrame:
     """(a, b) between the ``rep`` of ``points(rep long, sig binary)``: they group what shares a block and differs little."""
     spark = runtime.ship(points.sparkSession)
@@ -518,7 +535,7 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) ->
     half = int((side == 0).sum())
     for i in range(half if half < len(sets) else 1, len(sets)):
         top = half if half < len(sets) else i
-        near = np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= APART
+        near = (np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= APART) | (np.minimum(sizes[:top], sizes[i]) <= SHORT)
         todo = np.flatnonzero(near & (np.minimum(sizes[:top], sizes[i]) >= JACCARD * np.maximum(sizes[:top], sizes[i])))
         while len(todo := todo[group[todo] != group[i]]):
             some, todo = todo[:SOME], todo[SOME:]
@@ -572,13 +589,15 @@ def _similar(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in tokens.portions(batches, "text"):
             sets = [shingle_set(x, width) for x in held]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()), pa.array([set_signature(x, WORDS) for x in sets], pa.binary())], names=["row", "doc_id", "key", "sig"])
+            sigs = [set_signature(x, WORDS) if len(x) > SHORT else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()), pa.array(sigs, pa.binary()), pa.array(map(least_hashes, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "key", "sig", "least"])
 
-    marked = runtime.materialize(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, sig binary"), "signatures")
+    marked = runtime.materialize(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, sig binary, least array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     # Equal sets are one point, named by its first row.
-    points = runtime.materialize(marked.groupBy("key").agg(F.min(order).alias("best"), F.first("sig").alias("sig")).select("key", "best", F.col("best.row").alias("rep"), "sig"), "points")
-    groups = runtime.materialize(components(runtime.materialize(candidates(points), "links")), "groups")
+    points = runtime.materialize(marked.groupBy("key").agg(F.min(order).alias("best"), F.first("sig").alias("sig"), F.first("least").alias("least")).select("key", "best", F.col("best.row").alias("rep"), "sig", "least"), "points")
+    found = candidates(points.where("sig is not null")).unionByName(short_links(points))
+    groups = runtime.materialize(components(runtime.materialize(found, "links")), "groups")
     found = components(runtime.materialize(verified(rows, groups, width), "verified"))
     linked = runtime.materialize(found.join(points.select("rep", "best"), found["node"] == F.col("rep")).select("node", "component", "best"), "linked")
     named = linked.join(linked.groupBy("component").agg(F.min("best").alias("top")), "component").select("node", "top")

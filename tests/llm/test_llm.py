@@ -481,8 +481,8 @@ def test_near_duplicates_stage_against_brute_force_jaccard(spark, sf, monkeypatc
         shared = words(int(rng.integers(60, 300)))
         for n in range(3):  # texts that share one passage: similar by 0.55 to 0.95
             rows.append((near + 10 * k + n, " ".join(shared + words(int(len(shared) * rng.uniform(0.02, 0.3))))))
-    for k in range(60):  # short texts: one word more
-        short = words(int(rng.integers(1, 12)))
+    for k in range(200):  # short texts: one word more
+        short = words(int(rng.integers(1, 25)))
         rows += [(2 * near + 10 * k, " ".join(short)), (2 * near + 10 * k + 1, " ".join(short + words(1))), (2 * near + 10 * k + 2, " ".join(short).upper())]
     template = words(120)
     rows += [(3 * near + k, " ".join(template + words(int(rng.integers(1, 40))))) for k in range(60)]
