@@ -21,9 +21,9 @@ and differ in 72 of 256 bits at most. By calculation a pair at 0.8 shares no blo
 shingles have too few for that (of four and five shingles 19 % of the bits differ), so they, and those a quarter longer, are found by their least hashes instead: as
 many as a similar text may lack and one more, of which two similar texts share one for certain. Candidates only group
 documents: within a group, texts are linked whose sets of shingles have a similarity of 0.8 or more, and
-components are those of such links. A block or a group with more than ``TILE`` members is cut into tiles, and
-each pair of tiles is a unit of its own; pairs that verified links of the unit join already are not compared
-again.
+components are those of such links. Each text of a group first meets the group's first text; only those unlike it meet the
+others. A block, or what is left of a group, with more than ``TILE`` members is cut into tiles, and
+each pair of tiles is a unit of its own; pairs that links join already are not compared again.
 
 Defined results: a null or empty text, or one of white space, has fingerprint 0 and links like any other; rows of
 equal document id are documents of their own; a null document id ranks after all others, and is the component of rows
@@ -522,8 +522,16 @@ def candidates(points: DataFrame) -> DataFrame:
     return units.repartition(runtime.partitions(spark), "unit").sortWithinPartitions("unit", "side").mapInArrow(search, "a long, b long")
 
 
-def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a unit by exact similarity, as many as join the same components: side 0 meets itself or, where there is one, side 1.
+def _similar_sets(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of JACCARD or more, in integers up to the one product; two empty ones are equal."""
+    if min(len(a), len(b)) < JACCARD * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= JACCARD * (len(a) + len(b) - shared) - 1e-9
+
+
+def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int, joined: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a unit by exact similarity, as many as join the same components: side 0 meets itself or, where there is one, side 1, which is ``joined`` if links beyond the unit join it.
 
     Rows come by side.
     """
@@ -533,6 +541,8 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) ->
     flat, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
     group, out = np.arange(len(sets)), []
     half = int((side == 0).sum())
+    if joined:
+        group[half:] = half
     for i in range(half if half < len(sets) else 1, len(sets)):
         top = half if half < len(sets) else i
         near = (np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= APART) | (np.minimum(sizes[:top], sizes[i]) <= SHORT)
@@ -546,7 +556,6 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) ->
                 ends = np.cumsum(sizes[some])
                 total = np.concatenate([[0], np.cumsum(hit)])
                 shared = total[ends] - total[ends - sizes[some]]
-            # In integers up to the one product; two sets without a shingle are equal.
             for j in some[shared >= JACCARD * (sizes[some] + sizes[i] - shared) - 1e-9].tolist():
                 if group[j] != group[i]:
                     out.append((reps[i], reps[j]))
@@ -556,14 +565,27 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int) ->
 
 
 def verified(rows: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """(a, b): links by exact similarity within candidate groups; ``rows(row, text)``, ``groups(node, component)``."""
+    """(a, b): links by exact similarity within candidate groups; ``rows(row, text)``, ``groups(node, component)``.
+
+    Every text meets the first of its group, which is one comparison each, however large the group is. Only those unlike it meet the others.
+    """
     spark = runtime.ship(rows.sparkSession)
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, top = None, np.empty(0, np.uint64)
+        for batch in batches:
+            like = []
+            for lead, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if lead != last or last is None:
+                    last, top = lead, shingle_set(lead or "", width)
+                like.append(_similar_sets(top, shingle_set(text or "", width)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.bool_())], names=["component", "rep", "like"])
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            a, b = _verify([r[5] or "" for r in held], np.array([r[4] for r in held], np.int64), np.array([r[3] for r in held], np.int8), width)
+            a, b = _verify([r[6] or "" for r in held], np.array([r[5] for r in held], np.int64), np.array([r[3] for r in held], np.int8), width, held[0][4])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for row in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
@@ -575,11 +597,26 @@ def verified(rows: DataFrame, groups: DataFrame, width: int) -> DataFrame:
             yield done()
 
     texts = runtime.materialize(rows.join(groups, rows["row"] == groups["node"]).select("component", F.col("row").alias("rep"), "text"), "candidates")
-    t = F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.coalesce(F.length("text"), F.lit(0))) / TILE_CHARS)).cast("int")
-    tiles = texts.groupBy("component").agg(F.greatest(t, F.lit(1)).alias("tiles"))
-    cut = texts.join(tiles, "component").withColumn("lot", F.expr("cast(pmod(xxhash64(rep), tiles) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    unit = cut.select("component", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), F.when(F.col("lot") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "text")
-    return unit.repartition(runtime.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rep").mapInArrow(check, "a long, b long")
+    leads = texts.where("rep = component").select("component", F.col("text").alias("lead"))
+    met = texts.where("rep <> component").join(leads, "component").select("component", "rep", "lead", "text")
+    met = runtime.materialize(met.mapInArrow(first, "component long, rep long, like boolean"), "met")
+    # Groups of two are settled; so are those where all are like the first.
+    still = met.groupBy("component").agg(F.count("*").alias("n"), F.count_if(~F.col("like")).alias("unlike")).where("n > 1 and unlike > 0").select("component")
+    rest = texts.join(met.drop("component"), "rep").join(still, "component", "left_semi").select("component", "rep", "like", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    rest = runtime.materialize(rest, "unlike")
+    share = lambda on: F.ceil(F.greatest(F.count_if(on) / TILE, F.sum(F.when(on, F.col("chars")).otherwise(0)) / TILE_CHARS)).cast("int")
+    tiles = rest.groupBy("component").agg(share(~F.col("like")).alias("t"), share(F.col("like")).alias("u"))
+    cut = rest.join(tiles, "component").withColumn("lot", F.expr("cast(pmod(xxhash64(rep), if(like, u, t)) as int)"))
+    # The unlike in t tiles meet each other, i with j, and the u tiles of the others, i with t + j.
+    at = lambda i, j, side, across: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), F.lit(across).alias("across"))
+    lot, t, u = F.col("lot"), F.col("t"), F.col("u")
+    own = F.transform(F.sequence(F.lit(0), t - 1), lambda o: at(F.least(lot, o), F.greatest(lot, o), F.when(lot > o, 1).otherwise(0), False))
+    others = F.transform(F.sequence(F.lit(1), F.greatest(u, F.lit(1))), lambda o: at(lot, t + o - 1, F.lit(0), True))
+    mine = F.transform(F.sequence(F.lit(0), t - 1), lambda o: at(o, t + lot, F.lit(1), True))
+    units = F.when(F.col("like"), mine).when(u > 0, F.concat(own, others)).otherwise(own)
+    unit = cut.withColumn("x", F.explode(units)).select("component", "x.i", "x.j", "x.side", "x.across", "rep", "text")
+    found = unit.repartition(runtime.partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "rep").mapInArrow(check, "a long, b long")
+    return found.unionByName(met.where("like").select(F.col("rep").alias("a"), F.col("component").alias("b")))
 
 
 def _similar(rows: DataFrame, width: int) -> DataFrame:
