@@ -45,7 +45,7 @@ class Encoder:
     library encodes each only when it is new; their ids are kept in a hash table of arrays, of at most
     ``keep`` words, and those met once are the first to go. A text with other white space than single
     spaces and line feeds, with a word of more than 32 bytes, or with the string of an added token (which the library takes for that token) goes to the
-    library whole, and so does every text of a tokenizer that is not plain byte-level BPE.
+    library whole and teaches no words, and so does every text of a tokenizer that is not plain byte-level BPE.
     """
 
     def __init__(self, definition: str, keep: int = 1_000_000):
@@ -123,21 +123,20 @@ class Encoder:
         self._fill(rows, _mixed(rows), self.ids[_ranges(self.ends[often], lengths)], lengths)
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words, end to end, and how many each has."""
+        """Ids of new words, end to end, and how many each has. Words that do not come apart again at the line feeds between them are encoded one by one."""
         found, lengths = [], []
-        joined = [b"\n".join(words[k : k + 500]).decode() for k in range(0, len(words), 500)]
-        self.tokenizer.encode_special_tokens = True  # words of texts that go to the library whole are learned too, as ordinary text
-        found_words = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        self.tokenizer.encode_special_tokens = False
-        for e in found_words:
+        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b"\n".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.newline[0])
-            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            found.append(np.delete(ids, cuts))
-        counts = np.concatenate(lengths)
-        if len(counts) != len(words):
-            raise ValueError("a word holds a line feed")
-        return np.concatenate(found), counts
+            if len(cuts) == len(part) - 1:
+                lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                found.append(np.delete(ids, cuts))
+            else:
+                alone = [self.whole(w.decode()) for w in part]
+                lengths.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+                found += alone
+        return np.concatenate(found), np.concatenate(lengths)
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -186,11 +185,17 @@ class Encoder:
         missing = missing[(first != 0xFF) & (first != 10) & (length[missing] <= _LONGEST)]
         single = np.flatnonzero(space[start] & (length == 1))
         missing = np.setdiff1d(missing, single, assume_unique=True) if len(single) else missing
+        # Texts that go to the library whole teach no words: theirs may be white space, or part of an added token.
+        again = set(np.searchsorted(text_ends, odd, side="left").tolist())
+        if self.marks:
+            again.update(k for k, x in enumerate(texts) if self.marks.search(x))
+        if again and len(missing):
+            missing = missing[~np.isin(np.searchsorted(text_ends, start[missing], side="left"), list(again))]
         if len(missing):
             _, one, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             fresh = missing[one]
             clash = missing[(rows[missing] != rows[fresh[back]]).any(axis=1)]
-            odd = np.concatenate([odd, start[clash]])
+            again.update(np.searchsorted(text_ends, start[clash], side="left").tolist())
             base = self.n
             self._insert(rows[fresh], hashes[fresh], *self._learn([data[a:b] for a, b in zip(start[fresh].tolist(), (start[fresh] + length[fresh]).tolist())]))
             at[missing] = base + back
@@ -205,9 +210,6 @@ class Encoder:
         ids[total[:-1][feeds]] = self.newline[0]
         stops = total[marks]
         out = np.split(ids, stops[:-1])
-        again = set(np.searchsorted(text_ends, odd, side="left").tolist())
-        if self.marks:
-            again.update(k for k, x in enumerate(texts) if self.marks.search(x))
         for k in again:
             out[k] = self.whole(texts[k])
         return out

@@ -48,6 +48,11 @@ def texts_of(spark, sf):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
 
 
+#: Every white space of Unicode, and characters that are taken for it here and there.
+SPACES = [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+SPACED = ["Hello world.\n\u00a0\nNext paragraph here.", "0\n\u00a0", *(f"{a}{w}{b}" for w in SPACES for a, b in (("", ""), ("x\n", "\ny"), ("", "\ny"), ("x\n", ""), ("x ", " y"), (" ", "\n"), ("x.", "y")))]
+
+
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
@@ -60,6 +65,16 @@ def test_encoder_is_exact(library, spark, sf):
             assert ids.tolist() == library(x).ids
 
 
+def test_encoder_of_every_white_space(library):
+    rng = np.random.default_rng(11)
+    parts = [*SPACES, *SPACES, "\n", "\n", " ", "a", "word", "12", ".", ",", "é", "日本", "don't", "<|endoftext|>", "x" * 40]
+    held = SPACED + ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 12))) for _ in range(10_000)]
+    enc = tokens.Encoder(tokens.definition(PATH), keep=500)
+    for k in range(0, len(held), 25):
+        for x, ids in zip(held[k : k + 25], enc.encode(held[k : k + 25])):
+            assert ids.tolist() == library(x).ids, repr(x)
+
+
 def check_packing(rows, docs, library):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -580,6 +595,21 @@ def test_token_counts_of_fields(spark, empty, library):
     assert counts.attribute(empty, tokens.definition(PATH)).count() == 0
 
 
+def test_every_white_space_through_the_operators(spark, library):
+    docs = spark.createDataFrame(list(enumerate(SPACED)), "doc_id long, text string").repartition(3)
+    definition, size = tokens.definition(PATH), {k: len(library(x).ids) + 1 for k, x in enumerate(SPACED)}
+    packed = Counter()
+    for r in packing.pack(docs, definition).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == size
+    read = {r["doc_id"]: bytes(r["ids"]) for r in rans.read(spark, rans.write(docs, definition, end_id=2)).collect()}
+    assert read == {k: struct.pack(f"<{size[k]}I", *library(x).ids, 2) for k, x in enumerate(SPACED)}
+    counted = Counter()
+    for r in counts.attribute(docs, definition).collect():
+        counted[r["doc_id"]] += r["n_tokens"]
+    assert +counted == +Counter({k: n - 1 for k, n in size.items()})
+
+
 def test_license_scan(spark, odd, empty):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
     words = mit.split()
