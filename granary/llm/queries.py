@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
-from granary.llm import counts, decontam, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
+from granary.llm import counts, curriculum, decontam, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
 
 #: A row without an id is never held out.
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
@@ -68,6 +68,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", curriculum.words().alias("size"), key.alias("key"))
+    mixed = curriculum.mix(docs, key=F.col("key"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.size("positions").alias("visits"))
+
+
 OP9_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
@@ -81,10 +88,38 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 """
 
 
+OP11_SQL = """
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+    md5(coalesce(cast(doc_id as varchar), text, '')) as key from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source),
+w as (
+  select *, [3, 1, 2][(k - 1) % 3 + 1] as weight, sum(source_size) over () * 1.5 as total, 2 * source_size as cap from s),
+l as (
+  select *, sum(weight) over (order by cap / weight, k rows between current row and unbounded following) as rest,
+    coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0) as used from w),
+c as (select *, cap * rest <= (total - used) * weight as stopped from l),
+t as (
+  select *, case when stopped then cast(cap as double) else cast(total - coalesce(sum(cap) filter (where stopped) over (), 0) as double) * weight / sum(weight) filter (where not stopped) over () end as target from c),
+p as (
+  select d.doc_id, d.size, d.source, t.source_size, t.target, t.weight, least(cast(floor(t.target + 0.5) as bigint), t.cap) as goal,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.size desc rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source),
+v as (
+  select *, cast(greatest(least(goal - before, size), 0) as bigint) as one, cast(greatest(least(goal - source_size - before, size), 0) as bigint) as two from p),
+m as (select *, weight * ((before + one / 2) / goal) as part from v)
+select doc_id, cast(size as bigint) as size, source_size, target, one + two as taken, cast((case when one > 0 then 1 else 0 end) + (case when two > 0 then 1 else 0 end) as integer) as visits,
+  round(case when one = 0 then null when weight = 1 then sqrt(part) when weight = 2 then part / 2 when part <= 2 then part / 4
+    else 0.5 + 2 * (part - 2) / (4 + sqrt(greatest(16 - 16 * (part - 2), 0))) end, 9) as position
+from m
+"""
+
+
 def queries() -> dict:
-    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language)
+    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language, op11_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op9_topk": OP9_SQL, "op11_mixing": OP11_SQL}
