@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
-from granary.llm import counts, curriculum, decontam, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
+from granary.llm import counts, curriculum, decontam, divergence, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
 
 #: A row without an id is never held out.
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
@@ -75,6 +75,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.size("positions").alias("visits"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
@@ -116,10 +120,40 @@ from m
 """
 
 
+OP13_SQL = """
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+o as (select lang, source, r, unnest(terms) as term from d),
+k as (select lang, term from o group by lang, term having count(distinct r) >= 10),
+v as (select lang, count(*) as V from k group by lang),
+c as (select o.lang, o.source, o.term, count(*) as n from o join k on o.lang = k.lang and o.term = k.term group by o.lang, o.source, o.term),
+g as (select distinct lang, source from d),
+x as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join k on g.lang = k.lang
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (
+  select x.lang, x.source, x.term, x.n,
+    1 + (cast(1000000000 as hugeint) * (n + 2)) // (sum(n) over (partition by x.lang, x.source) + 2 * V) as p,
+    1 + (cast(1000000000 as hugeint) * (sum(n) over (partition by x.lang, x.term) + 2)) // (sum(n) over (partition by x.lang) + 2 * V) as q
+  from x join v on x.lang = v.lang),
+f as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q),
+z as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from z where part = 'pair' or rank <= 10
+"""
+
+
 def queries() -> dict:
-    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language, op11_mixing)
+    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language, op11_mixing, op13_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL, "op11_mixing": OP11_SQL}
+    return {"op9_topk": OP9_SQL, "op11_mixing": OP11_SQL, "op13_divergence": OP13_SQL}
