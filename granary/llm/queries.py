@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
-from granary.llm import counts, curriculum, decontam, divergence, langid, licenses, packing, quality, rans, simhash, tokens, topk, unitdedup
+from granary.llm import counts, curriculum, decontam, divergence, langid, licenses, packing, quality, rans, simhash, spelling, tokens, topk, unitdedup
 
 #: A row without an id is never held out.
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
@@ -75,6 +75,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.size("positions").alias("visits"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -151,7 +155,7 @@ select lang, source, part, item, cast(value as bigint) as value, cast(rank as in
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language, op11_mixing, op13_divergence)
+    found = (op1_packing, op2_substring_dedup, op3_decontamination, op4_simhash, op5_token_files, op6_token_counts, op7_license_scan, op8_quality, op9_topk, op10_language, op11_mixing, op12_spelling, op13_divergence)
     return {f.__name__: f for f in found}
 
 
