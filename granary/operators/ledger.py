@@ -1,7 +1,7 @@
 """The ledger: upserts, lookups, matches, set operations, pages and reports, all as joins and aggregates.
 
 Tables have no update in place: an upsert is a new version of the table. Match cascades are equi-joins
-of a fixed priority, and so are matches by prefix and by containment.
+of a fixed priority; matches by prefix and by containment are lookups in an index of prefixes and parts of names.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary import runtime
+
 
 def last_write(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key: that written last."""
@@ -22,10 +24,11 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_preserving(base: DataFrame, updates: DataFrame, keys: list[str], preserved: list[str]) -> DataFrame:
-    """Updates whose ``preserved`` columns keep the value of the row they replace."""
-    old, new = base.alias("o"), updates.alias("n")
+    """Updates whose ``preserved`` columns keep the value of the row they replace, if it is not null; nulls of an update are values like others. ``updates`` has one row for each key, and all columns."""
+    mark = runtime.fresh("granary_seen", base)
+    old, new = base.alias("o"), updates.withColumn(mark, F.lit(True)).alias("n")
     joined = old.join(new, keys, "full_outer")
-    seen = F.col(f"n.{next(c for c in updates.columns if c not in keys)}").isNotNull()
+    seen = F.col(f"n.{mark}").isNotNull()
     return joined.select(*keys, *(F.coalesce(f"o.{c}", f"n.{c}").alias(c) if c in preserved else F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in base.columns if c not in keys))
 
 
@@ -89,24 +92,32 @@ def clean_stem(stem: Column) -> Column:
 
 
 def resolve_directories(wanted: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
-    """wanted name -> existing directory: exact, without tags, without copy numbers, else 70 % of the shorter clean name (6 at least) as a prefix.
+    """wanted name -> existing directory: exact, without tags, without copy numbers, else 70 % of the shorter clean name (6 at least) as a prefix; the least name of the first rule that has one.
 
-    The prefix step is an equi-join: the prefix that the shorter name asks for, with every prefix of the longer one that may be asked for.
+    Directories are reduced to the least name for each key, and for the prefix rule for each prefix and length, before they are joined, so a name
+    meets one row for each of its prefixes however many directories share them.
     """
     w, e = wanted.select(F.col(name).alias("wanted")).distinct(), existing.select(F.col(name).alias("found")).distinct()
     tagless = lambda c: F.regexp_replace(F.btrim(c), r"\s*\[[^\]]*\]\s*$", "")
+
+    def by_key(kind, rule):
+        best = e.groupBy(kind(F.col("found")).alias("key")).agg(F.min("found").alias("found"))
+        return w.withColumn("key", kind(F.col("wanted"))).join(best, "key").select("wanted", "found", F.lit(rule).alias("rule"))
+
     exact = w.join(e, w["wanted"] == e["found"]).select("wanted", "found", F.lit(0).alias("rule"))
-    tags = w.join(e, tagless(w["wanted"]) == tagless(e["found"])).select("wanted", "found", F.lit(1).alias("rule"))
-    copies = w.join(e, clean_stem(w["wanted"]) == clean_stem(e["found"])).select("wanted", "found", F.lit(2).alias("rule"))
     need = lambda c: F.greatest(F.lit(6), F.floor(F.lit(0.7) * F.length(c))).cast("int")
     prefix = lambda c, n: F.substring(c, F.lit(1), n)
-    clean = lambda df, c, clean_c: df.select(c, clean_stem(F.col(c)).alias(clean_c)).where(F.length(clean_c) >= 6)
-    a, b = clean(w, "wanted", "a"), clean(e, "found", "b")
-    one = lambda df, c: df.withColumn("key", prefix(F.col(c), need(F.col(c))))
-    every_prefix = lambda df, c: df.withColumn("key", F.explode(F.transform(F.sequence(F.lit(6), need(F.col(c))), lambda n: prefix(F.col(c), n))))
-    near = one(a, "a").join(every_prefix(b, "b"), "key").where("length(a) <= length(b)").unionByName(one(b, "b").join(every_prefix(a, "a"), "key").where("length(b) < length(a)"))
-    near = near.select("wanted", "found", F.lit(3).alias("rule"))
-    every = exact.unionByName(tags).unionByName(copies).unionByName(near)
+    clean = lambda df, c: df.select(c, clean_stem(F.col(c)).alias("clean")).where("length(clean) >= 6").withColumn("size", F.length("clean"))
+    a, b = clean(w, "wanted"), clean(e, "found")
+    one = lambda df: df.withColumn("key", prefix(F.col("clean"), need(F.col("clean"))))
+    every_prefix = lambda df: df.withColumn("key", F.explode(F.transform(F.sequence(F.lit(6), need(F.col("clean"))), lambda n: prefix(F.col("clean"), n))))
+    # For each prefix the least directory of each length: a few rows, whatever the directories.
+    lengths = lambda df: df.groupBy("key", "size").agg(F.min("found").alias("found")).groupBy("key").agg(F.collect_list(F.struct("size", "found")).alias("by_size"))
+    best = lambda fits: F.array_min(F.transform(F.filter("by_size", fits), lambda x: x["found"])).alias("found")
+    shorter = one(a).join(lengths(every_prefix(b)), "key").select("wanted", best(lambda x: x["size"] >= F.col("size")))
+    longer = every_prefix(a).join(lengths(one(b)), "key").select("wanted", best(lambda x: x["size"] < F.col("size")))
+    near = shorter.unionByName(longer).where("found is not null").select("wanted", "found", F.lit(3).alias("rule"))
+    every = exact.unionByName(by_key(tagless, 1)).unionByName(by_key(clean_stem, 2)).unionByName(near)
     return every.groupBy("wanted").agg(F.min(F.struct("rule", "found")).alias("m")).select("wanted", F.col("m.found").alias("found"), F.col("m.rule").alias("rule"))
 
 
@@ -137,27 +148,64 @@ def missing_files(names: DataFrame, staged: DataFrame, name: str = "name") -> Da
 
 
 def metadata_sync(documents: DataFrame, manifest: DataFrame, own: DataFrame, fields: DataFrame, names: list[str], size: int = 50) -> DataFrame:
-    """Operations for documents(document_id, name) from the ledger(filename, chunks, ...), matched by stem or by the last part of ``chunks``, and from own metadata(filename, ...), which goes first; in batches."""
+    """Operations for documents(document_id, name) from the ledger(filename, chunks, ...), matched by stem or by the last part of ``chunks``, and from own metadata(filename, ...), which goes first; in batches of ``size`` by the order of document ids, numbered from 0 over all."""
     stem, last = F.regexp_replace("filename", r"\.[^.]*$", ""), F.regexp_replace("chunks", "^.*/", "")
     found = cascade(documents, manifest, [(F.col("name"), stem), (F.col("name"), last)], "document_id", "filename", "filename").select(F.col("left_key").alias("document_id"), F.col("right_key").alias("filename"))
     values = merged_metadata(found.join(manifest.select("filename", *names), "filename").drop("filename"), found.join(own.select("filename", *names), "filename").drop("filename"), "document_id", names)
-    return batches(metadata_operations(values, fields, "document_id", names).withColumn("granary_group", F.pmod(F.xxhash64("document_id"), F.lit(16))), ["document_id"], size, "granary_group").drop("granary_group")
+    rows = numbered(metadata_operations(values, fields, "document_id", names), ["document_id"], "batch_no")
+    return rows.withColumn("batch_no", F.floor(F.col("batch_no") / size).cast("int"))
+
+
+#: Fixed: what a name is without, where names are compared.
+NAME_MARKS = r"[\s\-_—（）()\[\]【】《》]"
 
 
-def contained_names(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs of names of which one contains the other, without case or punctuation; the first by name for each left one.
+def contained_names(left: DataFrame, right: DataFrame, name: str = "name", often: int = 64) -> DataFrame:
+    """The least name of ``right`` for each left one that contains it or is contained by it, without case or marks; blank names match nothing.
 
-    A name holds another if that is one of its substrings, so both ways are equi-joins on the substrings of a name.
+    An inverted index of n-grams, n the largest power of two in the contained name, so that one gram covers half of it: a name is looked up by its rarest
+    gram and compared in full. A name whose rarest gram more than ``often`` names have is looked up by all of it instead, in the parts
+    of its length, of which the containing names keep the least for each part. So either way a name makes rows in proportion to its length, however many names share its parts.
     """
-    norm = lambda c: F.regexp_replace(F.lower(c), r"[\s_\-()（）\[\]【】.,，。]+", "")
-    a = left.select(F.col(name).alias("wanted"), norm(F.col(name)).alias("text")).where("text <> ''").distinct()
-    b = right.select(F.col(name).alias("found"), norm(F.col(name)).alias("text")).where("text <> ''").distinct()
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.transform(F.sequence(F.lit(1), F.length("text") - i + 1), lambda n: F.substring(F.col("text"), i, n))))
-    held = lambda df, c: df.select(c, F.explode(F.array_distinct(cuts)).alias("text"))
-    hit = held(a, "wanted").join(b, "text").select("wanted", "found").unionByName(a.join(held(b, "found"), "text").select("wanted", "found"))
+    norm = lambda c: F.regexp_replace(F.lower(c), NAME_MARKS, "")
+    a = runtime.materialize(left.select(F.col(name).alias("wanted"), norm(F.col(name)).alias("text")).where("text <> ''").distinct(), "names-left")
+    b = runtime.materialize(right.select(F.col(name).alias("found"), norm(F.col(name)).alias("text")).where("text <> ''").groupBy("text").agg(F.min("found").alias("found")), "names-right")
+    # The least name that holds a wanted one, and the least one that each wanted name holds.
+    up = _held(a.select("text").distinct(), b, often, lambda rows, key: rows.groupBy(key).agg(F.min("found").alias("found")))
+    down = _held(b, a.select(F.col("text").alias("whole"), "wanted"), often, None)
+    hit = a.join(up, "text").select("wanted", "found").unionByName(down)
     return hit.groupBy("wanted").agg(F.min("found").alias("found"))
 
 
+def _held(short: DataFrame, long: DataFrame, often: int, reduced) -> DataFrame:
+    """Texts of ``short`` in those of ``long``: (text, found) with the least ``found`` of ``long`` if ``reduced`` sums it up, else (wanted, found) with ``found`` of ``short``."""
+    whole = "text" if reduced else "whole"
+    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))
+    grams = short.withColumn("n", F.expr("shiftleft(1, length(bin(length(text))) - 1)"))
+
+    def parts(df, lengths):
+        """Rows with each part of some lengths; the lengths (one number for each that occurs) come through the driver."""
+        ns = F.array(*(F.lit(r[0]) for r in lengths.distinct().collect())).cast("array<int>")
+        fits = F.filter(ns, lambda n: n <= F.length(whole))
+        return df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda n: cut(whole, n))))).alias("part"))
+
+    held = parts(long, grams.select("n"))
+    common = held.groupBy("part").agg(F.count("*").alias("names"))
+    asked = grams.select("text", F.explode(F.array_distinct(cut("text", F.col("n")))).alias("part")).join(common, "part", "left")
+    rarest = asked.groupBy("text").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "part")).alias("r")).select("text", "r.*").where("names > 0")
+    rarest = runtime.materialize(rarest.join(short, "text"), "names-rarest")
+    few = rarest.where(F.col("names") <= often).withColumnRenamed("text", "asked").drop("names")
+    many = rarest.where(F.col("names") > often).drop("names", "part")
+    lengths = many.select(F.length("text"))
+    if reduced:
+        rare = held.select(F.col("text").alias("whole"), "found", "part").join(few, "part").where("contains(whole, asked)").select(F.col("asked").alias("text"), "found")
+        often_held = reduced(parts(long, lengths).select("part", "found"), "part").join(many.select(F.col("text").alias("part")), "part").select(F.col("part").alias("text"), "found")
+        return reduced(rare.unionByName(often_held), "text")
+    rare = held.select("whole", "wanted", "part").join(few, "part").where("contains(whole, asked)").select("wanted", "found")
+    often_held = parts(long, lengths).select("wanted", "part").join(many.select(F.col("text").alias("part"), "found"), "part").select("wanted", "found")
+    return rare.unionByName(often_held)
+
+
 def similar_names(names: DataFrame, words: list[str], name: str = "name") -> DataFrame:
     """Pairs of names that share one of some keywords: an equi-join on the keyword, each pair once."""
     key = F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(name), w)))
@@ -190,19 +238,25 @@ def batches(rows: DataFrame, order: list[str], size: int, group: str) -> DataFra
     return rows.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
-def next_numbers(base: DataFrame, fresh: DataFrame, key: str, seq: str) -> DataFrame:
-    """Rows not in the base, numbered on from its greatest number.
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 0 in the order of some columns, over all rows.
 
-    Numbers follow the order of keys: per-range counts first, then positions within a range, so no one task numbers them all.
+    Rows are dealt to ranges of the order; the sizes of the ranges (one row for each) are summed, and places within a range are
+    counted by itself, so no one task numbers them all. Equal rows of the order are numbered in any way.
     """
+    at, part = runtime.fresh("granary_at", rows), runtime.fresh("granary_part", rows)
+    dealt = runtime.materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(at))
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return dealt.withColumn(name, within).join(before, part).withColumn(name, F.col(at) + F.col(name)).drop(part, at)
+
+
+def next_numbers(base: DataFrame, fresh: DataFrame, key: str, seq: str) -> DataFrame:
+    """Rows not in the base, numbered on from its greatest number in the order of their keys."""
     new = fresh.join(base.select(key), key, "left_anti")
     top = base.agg(F.max(seq)).first()[0] or 0
-    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4)
-    w = Window.partitionBy("bucket").orderBy(key)
-    placed = new.withColumn("bucket", bucket).withColumn("at", F.row_number().over(w))
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))  # at most 65,536 rows
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(before), "bucket").withColumn(seq, F.lit(top) + F.col("before") + F.col("at")).drop("bucket", "at", "before")
+    return numbered(new, [key], seq).withColumn(seq, F.lit(top) + F.col(seq) + 1)
 
 
 def pipeline_status(outcomes: DataFrame, key: str) -> DataFrame:

@@ -216,9 +216,60 @@ select url, depth, seed, ord from b1 union all select url, depth, seed, ord from
 """
 
 
+def crawl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of each site of 40 documents, all at once: lists of four details lead from page to page, details to their neighbours, back, out of the column, and to attachments."""
+    doc = table(spark, sf_dir, "documents").select("doc_id")
+    id_, host = F.col("doc_id"), F.format_string("https://s%d.example.org", F.expr("doc_id div 40"))
+    n = F.expr("doc_id % 40 div 4 + 1")  # the list that names a document
+    list_ = lambda k: F.concat(host, F.lit("/news/"), F.when(k > 1, F.concat(F.lit("?page="), k.cast("string"))).otherwise(F.lit("")))
+    detail = lambda k: F.concat(host, F.lit("/news/d"), k.cast("string"), F.lit(".html"))
+    edge = lambda url, link, place, where="true": doc.where(where).select(url.alias("url"), link.alias("link"), F.lit(place).cast("long").alias("ord") if isinstance(place, int) else place.alias("ord"))
+    edges = (
+        edge(list_(n), detail(id_), (id_ % 4).cast("long") * 2).unionByName(edge(list_(n), list_(n + 1), 3, "doc_id % 4 = 0"))
+        .unionByName(edge(list_(n), F.concat(host, F.lit("/files/l"), n.cast("string"), F.lit(".pdf")), 9, "doc_id % 12 = 0"))
+        .unionByName(edge(detail(id_), detail(id_ + 1), 1, "doc_id % 40 < 39")).unionByName(edge(detail(id_), list_(n), 2)).unionByName(edge(detail(id_), F.concat(host, F.lit("/about")), 3))
+        .unionByName(edge(detail(id_), F.concat(host, F.lit("/files/"), id_.cast("string"), F.lit(".pdf")), 4, "doc_id % 3 = 0"))
+    )
+    edges = runtime.materialize(edges, "edges")
+    seeds = doc.where("doc_id % 40 = 0").select(F.expr("doc_id div 40").cast("string").alias("profile"), F.concat(host, F.lit("/news/")).alias("seed"), F.lit(0).alias("ord"))
+    failed = doc.where("doc_id % 7 = 3").select(detail(id_).alias("url"))
+    out = C.visits(seeds, edges, max_depth=2, max_pages=30, failed=failed)
+    return out.select("profile", "ord", "url", "depth", "hop")
+
+
+_HOP = r"""
+h{k}_all as (
+  select f.profile, e.link as url, f.hop, f.depth, f.url as parent, f.path || [e.ord] as path, ends_with(e.link, '.pdf') as att
+  from h{p} f join edges e on e.url = f.url
+  where f.hop = {p} and not f.att and f.depth < 2 and not contains(e.link, '/about') and e.link not in (select url from failed) and (f.profile, e.link) not in (select (profile, url) from m{p})),
+h{k} as (
+  select profile, url, hop + case when att then 0 else 1 end as hop,
+    depth + case when rtrim(regexp_extract(url, '^[^:]+://[^/]*([^?]*)', 1), '/') = rtrim(regexp_extract(parent, '^[^:]+://[^/]*([^?]*)', 1), '/') then 0 else 1 end as depth, path, att
+  from h{k}_all qualify row_number() over (partition by profile, url order by path) = 1),
+m{k} as (select * from m{p} union all select * from h{k})"""
+_HOPS = 8
+CRAWL_COLUMNS_SQL = (
+    r"""
+with b as (select doc_id, doc_id // 40 as profile, 'https://s' || (doc_id // 40) || '.example.org' as host, doc_id % 40 // 4 + 1 as n from documents),
+l as (select *, host || '/news/' || case when n > 1 then '?page=' || n else '' end as list, host || '/news/d' || doc_id || '.html' as detail from b),
+edges as (
+  select list as url, detail as link, doc_id % 4 * 2 as ord from l union all select list, host || '/news/?page=' || (n + 1), 3 from l where doc_id % 4 = 0
+  union all select list, host || '/files/l' || n || '.pdf', 9 from l where doc_id % 12 = 0
+  union all select detail, host || '/news/d' || (doc_id + 1) || '.html', 1 from l where doc_id % 40 < 39
+  union all select detail, list, 2 from l union all select detail, host || '/about', 3 from l union all select detail, host || '/files/' || doc_id || '.pdf', 4 from l where doc_id % 3 = 0),
+failed as (select detail as url from l where doc_id % 7 = 3),
+h0 as (select cast(profile as varchar) as profile, list as url, 0 as hop, 0 as depth, [cast(0 as bigint)] as path, false as att from l where doc_id % 40 = 0),
+m0 as (select * from h0),"""
+    + ",".join(_HOP.format(k=k, p=k - 1) for k in range(1, _HOPS + 1))
+    + f"""
+select profile, row_number() over (partition by profile order by hop, path) as ord, url, depth, hop from m{_HOPS} qualify row_number() over (partition by profile order by hop, path) <= 30
+"""
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, simple_pages, page_times, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, noise_containers, crawl)}
+    return {f.__name__: f for f in (normalized_urls, visible_text, page_links, page_markdown, simple_pages, page_times, stripped_pages, page_dates, site_scope, changed_pages, overlay_words, noise_containers, crawl, crawl_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_markdown": MARKDOWN_SQL, "simple_pages": SIMPLE_SQL, "page_times": TIMES_SQL, "stripped_pages": STRIPPED_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "noise_containers": NOISE_SQL, "crawl": CRAWL_SQL}
+    return {"normalized_urls": URL_SQL, "visible_text": VISIBLE_SQL, "page_links": LINKS_SQL, "page_markdown": MARKDOWN_SQL, "simple_pages": SIMPLE_SQL, "page_times": TIMES_SQL, "stripped_pages": STRIPPED_SQL, "page_dates": DATES_SQL, "site_scope": SCOPE_SQL, "changed_pages": CHANGED_SQL, "overlay_words": WORDS_SQL, "noise_containers": NOISE_SQL, "crawl": CRAWL_SQL, "crawl_columns": CRAWL_COLUMNS_SQL}

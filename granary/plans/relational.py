@@ -57,6 +57,23 @@ def preserved_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRESERVED_SQL = "select c_custkey as id, case when c_custkey % 4 = 0 then 'again' else c_mktsegment end as state, '2024-01-01' as created_at from customer union all select -c_custkey, 'first', '2025-01-01' from customer where c_custkey % 50 = 1"
 
 
+def preserved_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where updates are null in their first column, or in the column that is kept."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("state"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("created_at"), F.lit("old").alias("note"))
+    change = rows.where("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, "x").alias("state"), F.lit("now").alias("created_at"), F.when(F.col("id") % 12 != 0, "new").alias("note"))
+    fresh = rows.where("id % 50 = 1").select((-F.col("id")).alias("id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("created_at"), F.lit("n3").alias("note"))
+    return L.upsert_preserving(rows, change.unionByName(fresh), ["id"], ["created_at"])
+
+
+PRESERVED_NULLS_SQL = """
+with o as (select o_orderkey as id, o_orderstatus as state, case when o_orderkey % 3 <> 0 then o_orderpriority end as created_at from orders)
+select id, case when id % 8 = 0 then 'x' when id % 4 = 0 then null else state end as state, case when id % 4 = 0 then coalesce(created_at, 'now') else created_at end as created_at,
+  case when id % 4 <> 0 then 'old' when id % 12 <> 0 then 'new' end as note from o
+union all select -id, null, null, 'n3' from o where id % 50 = 1
+"""
+
+
 def ledger_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of 50 rows of the ledger, newest first."""
     return L.page(_ledger(spark, sf_dir), 50, 100)
@@ -137,7 +154,7 @@ UNLABELLED_SQL = "select doc_id, source from documents where doc_id not in (sele
 
 
 def numbered_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled documents get the next numbers of a register; the order of numbers is that of hashes of the keys."""
+    """Unlabelled documents get the next numbers of a register."""
     register = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("seq"))
     out = L.next_numbers(register, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "seq")
     return out.agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_distinct("seq").alias("distinct_seqs"))
@@ -146,6 +163,38 @@ def numbered_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED_SQL = "with n as (select count(*) as n from documents where doc_id not in (select doc_id from labels)), t as (select max(doc_id) as top from labels) select n, top + 1 as first_seq, top + n as last_seq, n as distinct_seqs from n, t"
 
 
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that a register lacks, each with its number: on from the greatest, in the order of their names."""
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("filename"), F.col("o_orderkey").alias("seq"))
+    return L.next_numbers(names.where("seq % 3 = 0"), names.select("filename"), "filename", "seq").select("filename", "seq")
+
+
+NUMBERED_ROWS_SQL = """
+with o as (select 'order-' || o_orderkey || '.pdf' as filename, o_orderkey as k from orders)
+select filename, (select max(k) from o where k % 3 = 0) + row_number() over (order by filename) as seq from o where k % 3 <> 0
+"""
+
+
+def near_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories for names of one long common front, so that each is near to every other: the least that the lengths allow."""
+    k = F.col("o_orderkey")
+    made = F.concat(F.lit("annual report of the department for "), F.lpad(k.cast("string"), 8, "0"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), made.alias("base"))
+    wanted = rows.select(F.concat("base", F.when(F.col("k") % 3 == 0, " [vlm]").otherwise(F.when(F.col("k") % 3 == 1, " x").otherwise(""))).alias("name"))
+    return L.resolve_directories(wanted, rows.where("k % 2 = 0").select(F.concat("base", F.when(F.col("k") % 4 == 0, "(3)").otherwise("")).alias("name")))
+
+
+NEAR_SQL = """
+with p as (select o_orderkey as k, 'annual report of the department for ' || lpad(cast(o_orderkey as varchar), 8, '0') as base from orders),
+w as (select k, base || case k % 3 when 0 then ' [vlm]' when 1 then ' x' else '' end as wanted from p),
+e as (select k, base || case when k % 4 = 0 then '(3)' else '' end as found from p where k % 2 = 0),
+f as (
+  select wanted, found, case when wanted = found then 0 when k % 3 = 0 and k % 4 <> 0 then 1 else 2 end as rule from w join e using (k) where k % 3 <> 1
+  union all select wanted, (select min(found) from e), 3 from w)
+select wanted, arg_min(found, (rule, found)) as found, cast(min(rule) as integer) as rule from f group by wanted
+"""
+
+
 def stage_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staging of parts as files: some are there already, some with other content."""
     files = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("name"), F.md5(F.col("p_type").cast("binary")).alias("md5"), "p_partkey")
@@ -378,7 +427,7 @@ union all select n_nationkey, 'http://b/', '' from nation where n_nationkey % 2
 
 def queries() -> dict:
     found = (
-        upsert_orders, updated_ledger, preserved_upsert, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions,
+        upsert_orders, updated_ledger, preserved_upsert, preserved_nulls, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions, numbered_rows, near_directories,
         stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, report_split_all, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
     )
     return {f.__name__: f for f in found}
@@ -386,7 +435,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "upsert_orders": UPSERT_SQL, "updated_ledger": UPDATED_SQL, "preserved_upsert": PRESERVED_SQL, "ledger_page": PAGE_SQL, "recent_runs": RECENT_SQL, "latest_per_user": LATEST_SQL, "status_histogram": HISTOGRAM_SQL, "report_rollup": ROLLUP_SQL,
+        "upsert_orders": UPSERT_SQL, "updated_ledger": UPDATED_SQL, "preserved_upsert": PRESERVED_SQL, "preserved_nulls": PRESERVED_NULLS_SQL, "numbered_rows": NUMBERED_ROWS_SQL, "near_directories": NEAR_SQL, "ledger_page": PAGE_SQL, "recent_runs": RECENT_SQL, "latest_per_user": LATEST_SQL, "status_histogram": HISTOGRAM_SQL, "report_rollup": ROLLUP_SQL,
         "directory_sizes": RETENTION_SQL, "merged_metadata": MERGED_SQL, "metadata_operations": OPERATIONS_SQL, "unlabelled": UNLABELLED_SQL, "numbered_additions": NUMBERED_SQL, "stage_actions": STAGE_SQL, "scan_report": SCAN_SQL,
         "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "directory_match_all": DIRECTORY_ALL_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "report_split_all": SPLIT_ALL_SQL, "similar_names": SIMILAR_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
         "nested_tasks": NESTED_SQL, "tenant_keys": KEYS_SQL, "unique_names": UNIQUE_SQL, "events_per_hour": HOUR_SQL, "segment_listing": LISTING_SQL, "crawl_landing": LANDING_SQL, "profile_entries": ENTRIES_SQL,

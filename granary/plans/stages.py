@@ -351,6 +351,22 @@ select c_custkey as document_id, 'f1=' || c_mktsegment || case when c_custkey %
 """
 
 
+def metadata_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for orders, with the number of each document's batch of 50."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.col("o_orderpriority").alias("priority"), F.concat(F.lit("o"), k.cast("string"), F.lit(".pdf")).alias("filename"), F.concat(F.lit("out/x"), k.cast("string")).alias("chunks"))
+    manifest = rows.where("o_orderkey % 7 <> 0").select("filename", "chunks", "priority")
+    own = rows.where("o_orderkey % 4 = 0").select("filename", F.lit("own").alias("priority"))
+    documents = rows.select(k.alias("document_id"), F.concat(F.when(k % 2 == 0, "o").otherwise("x"), k.cast("string")).alias("name"))
+    ops = L.metadata_sync(documents, manifest, own, spark.createDataFrame([("priority", "f1")], "name string, field_id string"), ["priority"])
+    return ops.select("document_id", F.element_at("operations", 1)["value"].alias("value"), "batch_no")
+
+
+BATCHES_SQL = """
+select o_orderkey as document_id, case when o_orderkey % 4 = 0 then 'own' else o_orderpriority end as value, cast((row_number() over (order by o_orderkey) - 1) // 50 as integer) as batch_no from orders where o_orderkey % 7 <> 0
+"""
+
+
 def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger names to files of the same tenant: exact, else by the rank of extensions."""
     k = F.col("p_partkey")
@@ -385,6 +401,17 @@ def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 MISSING_SQL = "select 'file-' || lpad(cast(c_custkey as varchar), 7, '0') as wanted from customer where c_custkey % 3 = 2"
 
 
+def missing_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for orders as reports, whose names all begin alike, with a staged name that most of them hold."""
+    k = F.col("o_orderkey")
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("Quarterly report "), F.lpad(k.cast("string"), 9, "0"), F.when(k % 5 == 0, "").otherwise(" of sales")).alias("name"), k)
+    staged = names.where("o_orderkey % 3 = 0").select("name").unionByName(names.where("o_orderkey % 3 = 1").select(F.concat(F.lit("copy of "), F.lower("name"), F.lit(" (2)")).alias("name"))).unionByName(spark.createDataFrame([("OF_SALES",)], "name string"))
+    return L.missing_files(names.select("name"), staged)
+
+
+REPORTS_SQL = "select 'Quarterly report ' || lpad(cast(o_orderkey as varchar), 9, '0') as wanted from orders where o_orderkey % 3 = 2 and o_orderkey % 5 = 0"
+
+
 def segment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of segments by batch, and log lines of them."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.col("text").alias("content"), F.lit(None).cast("string").alias("answer"), F.array(F.col("role")).alias("keywords"), F.lit(None).cast("array<string>").alias("attachment_ids"))
@@ -402,7 +429,7 @@ select 'INFO' as level, cast(conv_id as varchar) as doc_id, cast(n // 2 as varch
 def queries() -> dict:
     found = (
         parse_plan, chunk_plan, upload_plan, stage_ledger, pipeline_run, profiles, tenant_changes, reused_documents, staged_output, crawl_groups, env_lines, unpacked_results, task_progress,
-        record_states, ledger_lookup, listed_folders, missing_images, zipped_segments, required_fields, metadata_sync, pending_files, input_listing, missing_files, segment_requests,
+        record_states, ledger_lookup, listed_folders, missing_images, zipped_segments, required_fields, metadata_sync, metadata_batches, missing_reports, pending_files, input_listing, missing_files, segment_requests,
     )
     return {f.__name__: f for f in found}
 
@@ -411,5 +438,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "parse_plan": PARSE_SQL, "chunk_plan": CHUNK_SQL, "upload_plan": UPLOAD_SQL, "stage_ledger": STAGE_LEDGER_SQL, "pipeline_run": RUN_SQL, "profiles": PROFILES_SQL, "tenant_changes": TENANTS_SQL, "reused_documents": REUSED_SQL, "staged_output": STAGED_SQL,
         "crawl_groups": GROUPS_SQL, "env_lines": ENV_SQL, "unpacked_results": UNPACKED_SQL, "task_progress": PROGRESS_SQL, "record_states": RECORDS_SQL, "ledger_lookup": LOOKUP_SQL, "listed_folders": FOLDERS_SQL, "missing_images": IMAGES_SQL,
-        "zipped_segments": ZIPPED_SQL, "required_fields": FIELDS_SQL, "metadata_sync": SYNC_SQL, "pending_files": PENDING_SQL, "input_listing": LISTING_SQL, "missing_files": MISSING_SQL, "segment_requests": REQUESTS_SQL,
+        "zipped_segments": ZIPPED_SQL, "required_fields": FIELDS_SQL, "metadata_sync": SYNC_SQL, "metadata_batches": BATCHES_SQL, "missing_reports": REPORTS_SQL, "pending_files": PENDING_SQL, "input_listing": LISTING_SQL, "missing_files": MISSING_SQL, "segment_requests": REQUESTS_SQL,
     }
