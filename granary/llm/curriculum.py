@@ -6,7 +6,7 @@ words are reached: as often as they go in whole, and once more as far as the res
 the word. The middle of each visit stands at a part of the source's demand; the moment at which the integral of its schedule
 reaches that part is the visit's position in training. Documents are sorted by position in ranges.
 
-No task holds a source: its documents are dealt to 65,536 buckets by their hash, running sums go through the buckets' totals
+No task holds a source: its documents are dealt to 4,096 buckets by their hash, running sums go through the buckets' totals
 first and within a bucket then. Only a row for each bucket that a source has is summed by source, and only a row for each source by all.
 
 Defined results: a null size is 0, a document of size 0 is never taken; null is a source of its own, which comes last and is unlike the empty
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: Column
         key = F.md5(F.coalesce(*at, F.lit("")).cast("binary"))
     # A source's name as a key without nulls, the bucket as the front of the hash.
     sized = docs.select("*", F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias(n["size"]), key.alias(n["key"]), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias(n["group"]))
-    sized = runtime.materialize(sized.withColumn(n["bucket"], F.substring(n["key"], 1, 4)), "curriculum")
+    sized = runtime.materialize(sized.withColumn(n["bucket"], F.substring(n["key"], 1, 3)), "curriculum")
     sums = sized.groupBy(n["group"], n["bucket"]).agg(F.sum(n["size"]).alias(n["sum"]), F.first(source).alias(n["source"]))
     sums = runtime.materialize(sums, "curriculum-buckets")
     wanted = targets(sums.groupBy(n["group"]).agg(F.sum(n["sum"]).alias("source_size"), F.first(n["source"]).alias("source")), schedules, share, most)
