@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import documents, naming, pages, parsed, relational, stages
+from granary.plans import documents, naming, pages, parsed, relational, stages, stored
 
-_MODULES = (documents, parsed, pages, naming, relational, stages)
+_MODULES = (documents, parsed, pages, naming, relational, stages, stored)
 
 
 def queries() -> dict:

@@ -217,6 +217,32 @@ select doc_id, cast(row_number() over (partition by doc_id order by pos) as inte
 """
 
 
+def repeated_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standards whose cover comes again: before the explanations, which it opens as an appendix, and in the preface, which goes without it."""
+    cover = "中国工程建设标准化协会标准"
+    kind = lambda name, **c: F.struct(F.lit(name).alias("type"), F.struct(*(v.alias(k) for k, v in c.items())).alias("content"))
+    no_runs, m = F.lit(None).cast("array<struct<type:string,content:string>>"), F.md5(F.col("text").cast("binary"))
+    title = lambda t: kind("title", level=F.lit(1), title_content=_runs(t if not isinstance(t, str) else F.lit(t)), paragraph_content=no_runs)
+    para = lambda p: kind("paragraph", level=F.lit(None).cast("int"), title_content=no_runs, paragraph_content=_runs(F.concat(F.lit(p + " "), m)))
+    name = F.concat(F.lit("Name "), m)
+    page = F.array(title(cover), title(name), title("前言"), title(name), para("why"), title("1 总则"), para("body"), title(cover), title(name), para("explained"), title("参考文献"), para("one"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.array(page)).alias("json"))
+    chunks = chunking.chunk_documents(B.from_pages(docs), "structure", CONFIG)
+    return chunks.select("doc_id", "chunk_no", "chunk_type", "title_path", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.contains("body", F.lit("Name ")).alias("named"))
+
+
+COVERS_SQL = """
+with d as (select doc_id, md5(text) as m, chr(10) as n from documents),
+c as (
+  select doc_id, 1 as chunk_no, 'cover' as chunk_type, '封面' as title_path, '# 中国工程建设标准化协会标准' || n || n || '# Name ' || m || n as body from d
+  union all select doc_id, 2, 'preface', '前言', '# 前言' || n || n || 'why ' || m || n from d
+  union all select doc_id, 3, 'body', '1 总则', 'body ' || m || n from d
+  union all select doc_id, 4, 'appendix', '中国工程建设标准化协会标准', '# 中国工程建设标准化协会标准' || n || n || '# Name ' || m || n || n || 'explained ' || m || n from d
+  union all select doc_id, 5, 'reference', '参考文献', 'one ' || m || n from d)
+select doc_id, cast(chunk_no as integer) as chunk_no, chunk_type, title_path, md5(title_path || chr(10) || body) as body_md5, contains(body, 'Name ') as named from c
+"""
+
+
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of the documents' lines as chunks of at most 20 rows beside their chapter's text, with keywords."""
     cells = F.transform("parts", lambda p, k: F.concat(F.lit("<tr><td>"), k.cast("string"), F.lit("</td><td>"), F.length(p).cast("string"), F.lit("</td></tr>")))
@@ -319,12 +345,12 @@ union all select doc_id, 1, 33, false, md5(chr(10) || 'w' || md5(text) || chr(10
 
 
 def queries() -> dict:
-    found = (parsed_pages, flat_list, text_layers, parse_choice, plain_blocks, protected_zones, zone_packing, region_chunks, table_chunks, semantic_strategy, late_strategy, answer_pieces)
+    found = (parsed_pages, flat_list, text_layers, parse_choice, plain_blocks, protected_zones, zone_packing, region_chunks, repeated_covers, table_chunks, semantic_strategy, late_strategy, answer_pieces)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "parsed_pages": PAGES_SQL, "flat_list": FLAT_SQL, "text_layers": LAYERS_SQL, "parse_choice": CHOICE_SQL, "plain_blocks": PLAIN_SQL, "protected_zones": ZONES_SQL, "zone_packing": ZONE_PACKING_SQL, "region_chunks": REGION_SQL,
+        "parsed_pages": PAGES_SQL, "flat_list": FLAT_SQL, "text_layers": LAYERS_SQL, "parse_choice": CHOICE_SQL, "plain_blocks": PLAIN_SQL, "protected_zones": ZONES_SQL, "zone_packing": ZONE_PACKING_SQL, "region_chunks": REGION_SQL, "repeated_covers": COVERS_SQL,
         "table_chunks": TABLE_CHUNKS_SQL, "semantic_strategy": SEMANTIC_STRATEGY_SQL, "late_strategy": LATE_STRATEGY_SQL, "answer_pieces": ANSWER_SQL,
     }

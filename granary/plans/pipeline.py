@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from granary import runtime
+from granary.functions import text as X
+
+#: What the stages do with a row.
+ACTIONS = ("NO_FILE", "SKIPPED_DONE", "DRY_RUN", "PARSE", "NO_PARSED", "CHUNK_FAILED", "CHUNKED", "NO_CHUNKS", "NO_DATASET", "UPLOAD")
 
 # Canonical states, and what older rows call them.
 STATUS = ["pending", "staged", "parsing", "parsed", "chunking", "chunked", "uploading", "done", "error", "missing"]
@@ -80,10 +85,13 @@ def run_steps(ledger: DataFrame, steps: list[Step], stop_on_error: bool = False)
         if not step.enabled:
             reports.append({"stage": step.name, "status": "skipped", "actions": {}})
             continue
-        # Stored, so that no later step computes this one again.
-        before, ledger = ledger, runtime.materialize(step.run(ledger), "ledger")
+        # Stored, so that no later step computes this one again; its actions are counted while it is written.
+        seen, known = Observation(f"{step.name}-{uuid.uuid4().hex}"), F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))
+        before, ledger = ledger, runtime.materialize(step.run(ledger).observe(seen, *(F.count_if(F.col("action") == a).alias(a) for a in ACTIONS), F.count_if(~known).alias("other")), "ledger")
         runtime.forget(before)
-        counts = {r["action"]: r["count"] for r in ledger.groupBy("action").count().collect()}
+        counts = {a: n for a, n in seen.get.items() if n}
+        if counts.pop("other", 0):  # a step with actions of its own
+            counts = {r["action"]: r["count"] for r in ledger.groupBy("action").count().collect()}
         bad = sum(n for a, n in counts.items() if a in ("CHUNK_FAILED", "NO_DATASET", "NO_FILE"))
         status = "ok" if not bad else "failed" if bad == sum(counts.values()) else "partial"
         reports.append({"stage": step.name, "status": status, "actions": counts})
@@ -105,7 +113,12 @@ def overall(reports: list[dict]) -> str:
 
 def run_log(config: dict[str, str], target_stems: list[str], duration_ms: int, spark) -> DataFrame:
     """One row for the log of runs."""
-    return spark.createDataFrame([(config, target_stems, duration_ms)], "config map<string,string>, target_stems array<string>, duration_ms int").withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    return spark.createDataFrame([(config, target_stems, duration_ms)], "config map<string,string>, target_stems array<string>, duration_ms int").withColumn("created_at", X.now_text())
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Runs go behind those that the log at ``path`` has; a failed append leaves it as it was."""
+    runs.write.mode("append").parquet(path)
 
 
 def merged_profile(base: Column, override: Column, known: list[str]) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary import runtime
 from granary.config import ChunkConfig
 from granary.functions import text as X
 from granary.operators import ledger as L
+from granary.operators import profiles as PR
 from granary.operators import segments as G
 from granary.plans import pipeline as P
 from granary.plans.documents import table
@@ -138,6 +141,84 @@ select s_suppkey, case when s_suppkey % 3 <> 0 then 'mode=m' || s_suppkey else '
 """
 
 
+_FIELDS = [PR.Field("mode", "auto"), PR.Field("dataset", "", ("upload",)), PR.Field("depth", "2", ("crawl",))]
+
+
+def profile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as profiles of two types: created, updated, one activated, some deleted; with what is active then."""
+    k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    name = F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit(" p"), k.cast("string")))
+    kind = F.when(k % 5 == 0, "none").when(k % 2 == 0, "upload").otherwise("crawl")
+    wanted = s.select(k.cast("string").alias("profile_id"), name.alias("name"), kind.alias("type"), F.create_map(F.lit("dataset"), F.lit("d"), F.lit("junk"), F.lit("x"), F.lit("depth"), k.cast("string")).alias("config"), k.alias("ord"))
+    none = wanted.limit(0).withColumn("update_time", F.lit(NOW))
+    rows, active, denied = PR.created(none, none.select("type", "profile_id"), wanted, _FIELDS, ["upload", "crawl"], "then")
+    changes = rows.where("ord % 3 = 0").select("profile_id", F.when(F.col("ord") % 6 == 0, "new").alias("name"), F.create_map(F.lit("mode"), F.lit("fast")).alias("config"))
+    rows = PR.updated(rows, changes, _FIELDS, "now")
+    active = PR.activated(rows, active, wanted.where("ord = 7").select("profile_id", "ord"))
+    rows, active = PR.deleted(rows, active, wanted.where("ord % 7 <= 2").select("profile_id"))
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries("config"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    out = rows.join(active.select("profile_id", F.lit(True).alias("is_active")), "profile_id", "left").select("profile_id", "name", "type", flat.alias("config"), "update_time", F.coalesce("is_active", F.lit(False)).alias("is_active"))
+    return out.unionByName(denied.select("profile_id", F.lit(None).cast("string").alias("name"), F.col("denied").alias("type"), F.lit(None).cast("string").alias("config"), F.lit(None).cast("string").alias("update_time"), F.lit(False).alias("is_active")))
+
+
+STORE_SQL = """
+with w as (select s_suppkey as k, case when s_suppkey % 4 = 0 then 'profile then' else 'p' || s_suppkey end as name, case when s_suppkey % 5 = 0 then 'none' when s_suppkey % 2 = 0 then 'upload' else 'crawl' end as type from supplier),
+r as (select *, case when k % 6 = 0 then 'new' else name end as new_name, 'dataset=' || case when type = 'upload' then 'd' else '' end || ';depth=' || case when type = 'crawl' then cast(k as varchar) else '2' end || ';mode=' || case when k % 3 = 0 then 'fast' else 'auto' end as config from w where type <> 'none'),
+l as (select * from r where k % 7 > 2)
+select cast(k as varchar) as profile_id, new_name as name, type, config, case when k % 3 = 0 then 'now' else 'then' end as update_time, k = min(k) over (partition by type) as is_active from l
+union all select cast(k as varchar), null, 'unknown type', null, null, false from w where type = 'none'
+"""
+
+
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of each customer's runs: changes checked by name, bound and kind, then one run's override, which leaves the settings as they are."""
+    k = F.col("c_custkey")
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v) if isinstance(v, str) else v for v in values)), (k % len(values) + 1).cast("int"))
+    changes = F.create_map(F.lit("fixed_size"), pick("20", "900", "much"), F.lit("strategy"), pick("fixed", "magic"), F.lit("colour"), F.lit("red"), F.lit("semantic_threshold"), pick("0.5", "x", "0.25", "1"))
+    checked = PR.validated(changes)
+    override = F.create_map(F.lit("fixed_size"), k.cast("string"), F.lit("other"), F.lit("y"), F.lit("overlap"), F.lit(None).cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", checked.alias("c")).withColumn("run", PR.scoped(F.col("c.settings"), override))
+    names = ("fixed_size", "strategy", "semantic_threshold", "overlap")
+    return rows.select("c_custkey", *(F.col("c.settings")[n].alias(n) for n in names), F.array_join("c.denied", ",").alias("denied"), F.col("run")["fixed_size"].alias("run_size"), F.col("run")["overlap"].alias("run_overlap"), F.size("run").alias("n"))
+
+
+SETTINGS_SQL = f"""
+select c_custkey, case c_custkey % 3 when 0 then '50' when 1 then '900' else '800' end as fixed_size, case when c_custkey % 2 = 0 then 'fixed' else 'structure' end as strategy,
+  case c_custkey % 4 when 0 then '0.5' when 1 then '0.78' when 2 then '0.25' else '1.0' end as semantic_threshold, '100' as overlap,
+  'colour' || case when c_custkey % 3 = 2 then ',fixed_size' else '' end || case when c_custkey % 4 = 1 then ',semantic_threshold' else '' end || case when c_custkey % 2 = 1 then ',strategy' else '' end as denied,
+  cast(c_custkey as varchar) as run_size, '100' as run_overlap, {len(fields(ChunkConfig))} as n from customer
+"""
+
+
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by customer and status appended to a log twice, read back with the times at which they were written."""
+    path = runtime.scratch_path(spark, "runs")
+    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count("*").alias("n"))
+    for half in (0, 1):
+        P.append_runs(runs.where(F.col("o_custkey") % 2 == half).withColumn("created_at", X.now_text()), path)
+    read = spark.read.parquet(path)
+    fresh = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$") & (F.unix_timestamp() - F.unix_timestamp("created_at") < 3600)
+    return read.select("o_custkey", "open", "n", fresh.alias("fresh"))
+
+
+HISTORY_SQL = "select o_custkey, count(*) filter (where o_orderstatus = 'O') as open, count(*) as n, true as fresh from orders group by o_custkey"
+
+
+def image_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where images are found: in the object store, on the public host, uploaded, else by their relative path."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k, F.format_string("images/i%d.jpg", k).alias("path"))
+    of = lambda name, n: part.where(k % n == 0).select("path", F.when(k % (n * 4) == 0, "").otherwise(F.concat(F.lit(f"{name}/"), k.cast("string"))).alias(name))
+    joined = part.join(of("stored", 2), "path", "left").join(of("public", 3), "path", "left").join(of("uploaded", 5), "path", "left")
+    return joined.select("p_partkey", G.image_address(F.col("stored"), F.col("public"), F.col("uploaded"), F.col("path")).alias("address"))
+
+
+ADDRESS_SQL = """
+select p_partkey, case when p_partkey % 2 = 0 and p_partkey % 8 <> 0 then 'stored/' || p_partkey when p_partkey % 3 = 0 and p_partkey % 12 <> 0 then 'public/' || p_partkey
+  when p_partkey % 5 = 0 and p_partkey % 20 <> 0 then 'uploaded/' || p_partkey else 'images/i' || p_partkey || '.jpg' end as address from part
+"""
+
+
 def tenant_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenants that are added, changed, given a new key, removed; each with what became of its wish."""
     k = F.col("s_suppkey")
@@ -428,7 +509,7 @@ select 'INFO' as level, cast(conv_id as varchar) as doc_id, cast(n // 2 as varch
 
 def queries() -> dict:
     found = (
-        parse_plan, chunk_plan, upload_plan, stage_ledger, pipeline_run, profiles, tenant_changes, reused_documents, staged_output, crawl_groups, env_lines, unpacked_results, task_progress,
+        parse_plan, chunk_plan, upload_plan, stage_ledger, pipeline_run, profiles, tenant_changes, reused_documents, staged_output, crawl_groups, env_lines, unpacked_results, task_progress, profile_store, run_settings, run_history, image_addresses,
         record_states, ledger_lookup, listed_folders, missing_images, zipped_segments, required_fields, metadata_sync, metadata_batches, missing_reports, pending_files, input_listing, missing_files, segment_requests,
     )
     return {f.__name__: f for f in found}
@@ -437,6 +518,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "parse_plan": PARSE_SQL, "chunk_plan": CHUNK_SQL, "upload_plan": UPLOAD_SQL, "stage_ledger": STAGE_LEDGER_SQL, "pipeline_run": RUN_SQL, "profiles": PROFILES_SQL, "tenant_changes": TENANTS_SQL, "reused_documents": REUSED_SQL, "staged_output": STAGED_SQL,
-        "crawl_groups": GROUPS_SQL, "env_lines": ENV_SQL, "unpacked_results": UNPACKED_SQL, "task_progress": PROGRESS_SQL, "record_states": RECORDS_SQL, "ledger_lookup": LOOKUP_SQL, "listed_folders": FOLDERS_SQL, "missing_images": IMAGES_SQL,
+        "crawl_groups": GROUPS_SQL, "env_lines": ENV_SQL, "profile_store": STORE_SQL, "run_settings": SETTINGS_SQL, "run_history": HISTORY_SQL, "image_addresses": ADDRESS_SQL, "unpacked_results": UNPACKED_SQL, "task_progress": PROGRESS_SQL, "record_states": RECORDS_SQL, "ledger_lookup": LOOKUP_SQL, "listed_folders": FOLDERS_SQL, "missing_images": IMAGES_SQL,
         "zipped_segments": ZIPPED_SQL, "required_fields": FIELDS_SQL, "metadata_sync": SYNC_SQL, "metadata_batches": BATCHES_SQL, "missing_reports": REPORTS_SQL, "pending_files": PENDING_SQL, "input_listing": LISTING_SQL, "missing_files": MISSING_SQL, "segment_requests": REQUESTS_SQL,
     }

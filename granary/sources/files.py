@@ -6,6 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ def parsed_artefacts(files: DataFrame) -> DataFrame:
 
 def text_of(spark: SparkSession, paths: str) -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def delimited_preview(spark: SparkSession, path: str, rows: int = 1000, columns: int = 80) -> tuple[DataFrame, int]:
@@ -206,3 +207,32 @@ def office_text(data: pd.Series, ext: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(d, e) for d, e in zip(data, ext)], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def workbook_bytes(rows: pd.Series) -> pd.Series:
+    """A workbook of array<struct<sheet,cells>>: its sheets in the order of their first rows, cells as texts, null cells left out."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def letters(k):
+        out = ""
+        while k:
+            k, r = divmod(k - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    def one(held):
+        sheets: dict[str, list] = {}
+        for r in held if held is not None else []:
+            sheets.setdefault(r["sheet"], []).append(r["cells"])
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            names = "".join(f'<sheet name={quoteattr(n)} sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1))
+            z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+            for k, lines in enumerate(sheets.values(), 1):
+                cells = lambda line, n: "".join(f'<c r="{letters(i)}{n}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for i, v in enumerate(line, 1) if v is not None)
+                z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{n}">{cells(line, n)}</row>' for n, line in enumerate(lines, 1)) + "</sheetData></worksheet>")
+        return out.getvalue()
+
+    return pd.Series([one(r) for r in rows], dtype=object)
