@@ -5,8 +5,9 @@ Documents are the domains, benchmark items the queries: an item is found in a do
 ``m`` least hashes, where m - 1 is the number of shingles it may lack: of any m shingles a document that contains the item has
 at least one, so sketches lose nothing, however long the document is. (Banded signatures of fixed length would: of an item of 20 shingles in a document of
 2,000 the Jaccard similarity is 0.008, which 256 hashes miss in 13 % of cases.) Items are partitioned by size, in
-powers of two. Each partition has the sketches of its items and their greatest hash; a document's sketch for a partition is
-its hashes up to that. Items that share a hash of the sketches are candidates, verified by exact containment over all shingles of both.
+powers of two, and the class sets how long its sketches are and what a document's are: none at all where the document has fewer shingles than the least of the class needs, else its hashes
+up to the greatest of the class, and of those the ones whose last bits a sketch of the class has. So a class that cannot match costs a comparison, and the others look up a few hashes in a hundred
+(``pruning`` measures it), however many items there are. Items that share a hash of the sketches are candidates, verified by exact containment over all shingles of both.
 
 Items are broadcast in blocks of at most ``block_chars`` characters of text on average; a larger
 benchmark takes more blocks, and the documents are scanned once for each.
@@ -38,16 +39,35 @@ SCHEMA = "doc_id long, item_id long, containment double, shared int, item_shingl
 
 @dataclass
 class Partition:
-    """Items of one size class and width of shingles: hashes of their sketches, ascending, and the items of each."""
+    """Items of one size class and width of shingles: hashes of their sketches, ascending, the items of each, and the fewest shingles that one of them needs."""
 
     width: int
+    least: int
     hashes: np.ndarray
     items: list[list[int]]
 
+    def __post_init__(self):
+        # One entry for each value of a hash's last bits: whether a sketch has such a hash. At most one in sixteen is set.
+        self.bits = min(24, max(8, (16 * len(self.hashes)).bit_length()))
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self._slot(self.hashes)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def sketch(self, own: np.ndarray) -> np.ndarray:
+        """A document's sketch for this class: none if it has fewer shingles than any item here needs, else its hashes up to the greatest of the class whose last bits the class has."""
+        if len(own) < self.least:
+            return own[:0]
+        own = own[own <= self.hashes[-1]]
+        return own[self.seen[self._slot(own)]]
+
     def candidates(self, own: np.ndarray) -> set[int]:
-        """Items whose sketches share a hash with a document's; of the document's hashes those up to the greatest here are its sketch."""
-        sketch = own[own <= self.hashes[-1]]
-        at = np.searchsorted(self.hashes, sketch)
+        """Items whose sketches share a hash with a document's."""
+        sketch = self.sketch(own)
+        if not len(sketch):
+            return set()
+        at = np.minimum(np.searchsorted(self.hashes, sketch), len(self.hashes) - 1)
         return {k for i in np.unique(at[self.hashes[at] == sketch]).tolist() for k in self.items[i]}
 
 
@@ -65,8 +85,6 @@ class Index:
             if w:
                 own = {grams.setdefault(tuple(ids[k : k + w]), len(grams)) for k in range(len(ids) - w + 1)}
                 self.items.append((item, np.array(sorted(own), np.int64)))
-        rng = np.random.default_rng(seed)
-        self.mix = rng.integers(1, 1 << 62, width, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         #: For each width: sorted hashes, and in their order the numbers and words of the shingles.
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.hash = np.zeros(len(grams), np.uint64)
@@ -74,21 +92,31 @@ class Index:
         by_width = defaultdict(list)
         for g, n in grams.items():
             by_width[len(g)].append((g, n))
+        while not self._numbered(by_width, widths, width, seed):
+            seed += 1
+        sketches: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        least: dict[tuple[int, int], int] = {}
+        for k, (_, own) in enumerate(self.items):
+            needed = int(np.ceil(threshold * len(own) - 1e-9))
+            size = int(widths[own[0]]), len(own).bit_length()
+            least[size] = min(least.get(size, needed), needed)
+            part = sketches[size]
+            for h in np.sort(self.hash[own])[: len(own) - needed + 1].tolist():
+                part[h].append(k)
+        self.partitions = [Partition(w, least[w, c], np.array(sorted(part), np.uint64), [part[h] for h in sorted(part)]) for (w, c), part in sorted(sketches.items())]
+
+    def _numbered(self, by_width: dict[int, list], widths: np.ndarray, width: int, seed: int) -> bool:
+        """Fill the tables of shingles; False if two of one width share a hash, which another seed tells apart."""
+        self.mix = np.random.default_rng(seed).integers(1, 1 << 62, width, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         for w, known in by_width.items():
             rows, numbers = np.array([g for g, _ in known], np.int64), np.array([n for _, n in known], np.int64)
             hashes = self._hashes(rows.T)
             order = np.argsort(hashes, kind="stable")
             if len(np.unique(hashes)) < len(hashes):
-                raise ValueError("two shingles share a hash; choose another seed")
+                return False
             self.tables[w] = hashes[order], numbers[order], rows[order]
             self.hash[numbers], widths[numbers] = hashes, w
-        sketches: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, own) in enumerate(self.items):
-            needed = int(np.ceil(threshold * len(own) - 1e-9))
-            part = sketches[int(widths[own[0]]), len(own).bit_length()]
-            for h in np.sort(self.hash[own])[: len(own) - needed + 1].tolist():
-                part[h].append(k)
-        self.partitions = [Partition(w, np.array(sorted(part), np.uint64), [part[h] for h in sorted(part)]) for (w, _), part in sorted(sketches.items())]
+        return True
 
     def _hashes(self, columns: np.ndarray) -> np.ndarray:
         out = np.zeros(columns.shape[1], np.uint64)
@@ -182,6 +210,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: fl
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.least")).alias("containment"), *(f"m.{c}" for c in ("shared", "item_shingles", "begin", "end")))
 
 
+def pruning(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """What each size class looks up: block, width, least (shingles needed), sketch_hashes, shingles (of documents, with words of items only), under_bound, looked_up, found."""
+    spark = runtime.ship(docs.sparkSession)
+    out = None
+    for block, items in enumerate(blocks(benchmark, block_chars, item_col, "text")):
+        shared = spark.sparkContext.broadcast(Index(items, width, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            sums = np.zeros((len(index.partitions), 4), np.int64)
+            for _, texts in tokens.portions(batches, "text"):
+                for text in texts:
+                    held = index.shingles(text)
+                    for k, p in enumerate(index.partitions):
+                        own = held[p.width][0] if p.width in held else np.empty(0, np.uint64)
+                        sketch = p.sketch(own)
+                        sums[k] += (len(own), int((own <= p.hashes[-1]).sum()), len(sketch), int(np.isin(sketch, p.hashes).sum()))
+            names = ["block", "width", "least", "sketch_hashes", "shingles", "under_bound", "looked_up", "found"]
+            rows = [(block, p.width, p.least, len(p.hashes), *sums[k].tolist()) for k, p in enumerate(index.partitions)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
+
+        found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block long, width long, least long, sketch_hashes long, shingles long, under_bound long, looked_up long, found long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("block", "width", "least", "sketch_hashes").agg(*(F.sum(c).alias(c) for c in ("shingles", "under_bound", "looked_up", "found")))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The documents that hold no item, with all their columns; no shuffle."""
     spark = runtime.ship(docs.sparkSession)

@@ -8,7 +8,7 @@ as a longest common subsequence of words. A match reports the covered share of t
 characters from its first to its last matched word. Of overlapping matches that with most words stays.
 
 Defined results: null and empty texts and templates match nothing; a template of fewer words than GRAM + WINDOW - 1 has
-too few for a window, so it is looked up at every word and matched only whole; null document ids stay null; repeated rows give repeated rows; an empty table gives no row; extra columns are ignored.
+too few for a window, so it is looked up at every word and matched only whole, and one of fewer than GRAM is compared at every word; null document ids stay null; repeated rows give repeated rows; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import runtime
@@ -118,6 +118,8 @@ class Scanner:
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         #: Templates that are one run of words shorter than a window, by its hash.
         self.short: dict[int, list[int]] = defaultdict(list)
+        #: Templates shorter than a run, which are compared word for word.
+        self.tiny: list[int] = []
         for name, text in templates:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _words.findall((text or "").lower())], np.int64)
             if not len(ids):
@@ -125,7 +127,8 @@ class Scanner:
             t = len(self.templates)
             self.templates.append((name, ids))
             if len(ids) < GRAM:
-                raise ValueError(f"a template of fewer than {GRAM} words: {name}")
+                self.tiny.append(t)
+                continue
             h = grams(ids)
             if len(ids) < GRAM + WINDOW - 1:
                 self.short[int(h[0])].append(t)
@@ -138,11 +141,16 @@ class Scanner:
     def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, begin, end) in the order of the text."""
         ids = np.fromiter(map(self.vocabulary.get, _words.findall(text.lower()), repeat(0)), np.int64)
-        if len(ids) < GRAM:
-            return []
+        found, spans = [], None
+        for t in self.tiny:
+            name, template = self.templates[t]
+            here = np.ones(max(len(ids) - len(template) + 1, 0), bool)
+            for k, w in enumerate(template):
+                here &= ids[k : k + len(here)] == w
+            found += [(len(template), p, p + len(template) - 1, name, 1.0) for p in np.flatnonzero(here).tolist()]
         known = ids > 0
-        whole = known[:-2] & known[1:-1] & known[2:]
-        if not whole.any():
+        whole = known[:-2] & known[1:-1] & known[2:] if len(ids) >= GRAM else known[:0]
+        if not whole.any() and not found:
             return []
         h = grams(ids)
         # Hashes of runs with a word that no template has are in no window inside a shared passage.
@@ -152,7 +160,6 @@ class Scanner:
         for p in kept[_among(h[kept], self.hashes)].tolist():
             for t, q in self.index[int(h[p])]:
                 votes[t, p - q] += 1
-        found, spans = [], None
         every = np.flatnonzero(whole)
         for p in every[_among(h[every], self.short_hashes)].tolist():
             for t in self.short[int(h[p])]:
@@ -182,6 +189,15 @@ class Scanner:
         return sorted(out, key=lambda x: x[3])
 
 
+def from_folder(spark: SparkSession, path: str, most: int = 20_000_000) -> list[tuple[str, str]]:
+    """Templates of a folder of texts, such as whole licenses: (file name without its ending, text). The texts are broadcast, so their size is checked: over ``most`` characters are refused."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"templates of {size} characters are too many to broadcast")
+    return sorted((r["name"], r["text"]) for r in rows.collect())
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every license notice in every document: doc_id, license, coverage, matched, begin, end."""
     spark = runtime.ship(docs.sparkSession)

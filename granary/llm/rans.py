@@ -14,6 +14,8 @@ nothing but the folder.
 
 Defined results: a null or empty text is the end id alone; null document ids come first; rows of equal
 document id lie in the order of their token ids; an empty table gives no block; extra columns are ignored.
+
+A corpus with more than 2**20 different ids has no table and raises: each id that occurs needs a share of one at least.
 """
 
 from __future__ import annotations

@@ -537,7 +537,12 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int, jo
     """
     sets = [shingle_set(x, width) for x in texts]
     sizes = np.array([len(x) for x in sets], np.int64)
-    sigs = np.frombuffer(b"".join(set_signature(x, COMPARED) for x in sets), "<u8").reshape(-1, COMPARED)
+    # Of any set's first hashes, one more than it may lack, a similar set has one among its own: candidates without loss.
+    fronts = [x[: len(x) - int(np.ceil(JACCARD * len(x) - 1e-9)) + 1] for x in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in fronts])
+    known = np.concatenate(fronts)
+    order = np.argsort(known, kind="stable")
+    known, owner = known[order], owner[order]
     flat, begin = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
     group, out = np.arange(len(sets)), []
     half = int((side == 0).sum())
@@ -545,8 +550,10 @@ def _verify(texts: list[str], reps: np.ndarray, side: np.ndarray, width: int, jo
         group[half:] = half
     for i in range(half if half < len(sets) else 1, len(sets)):
         top = half if half < len(sets) else i
-        near = (np.bitwise_count(sigs[:top] ^ sigs[i]).sum(axis=1) <= APART) | (np.minimum(sizes[:top], sizes[i]) <= SHORT)
-        todo = np.flatnonzero(near & (np.minimum(sizes[:top], sizes[i]) >= JACCARD * np.maximum(sizes[:top], sizes[i])))
+        at = np.searchsorted(known, fronts[i], side="left")
+        near = np.unique(owner[tokens._ranges(at, np.searchsorted(known, fronts[i], side="right") - at)]) if sizes[i] else np.flatnonzero(sizes == 0)
+        near = near[near < top]
+        todo = near[np.minimum(sizes[near], sizes[i]) >= JACCARD * np.maximum(sizes[near], sizes[i])]
         while len(todo := todo[group[todo] != group[i]]):
             some, todo = todo[:SOME], todo[SOME:]
             shared = np.zeros(len(some), np.int64)

@@ -122,7 +122,8 @@ def units(rows: DataFrame, unit: str, rank: str, text_col: str) -> DataFrame:
 
 def spans(rows: DataFrame, unit: str, min_words: int, rank: str, text_col: str) -> DataFrame:
     """Spans to remove: rank, begin, end, words, units, keepers (the ranks of the rows that keep the same units)."""
-    every = units(rows, unit, rank, text_col)
+    # Stored, so that texts are cut into units once.
+    every = runtime.materialize(units(rows, unit, rank, text_col), "units")
     kept = every.groupBy("h1", "h2").agg(F.min("rank").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "keeper")
     # Stored, so that both sides of the join are plain exchanges and a digest with very many occurrences can be split.
     kept = runtime.materialize(kept, "repeated-units")
