@@ -10,7 +10,7 @@ from granary.config import STRATEGIES, ChunkConfig
 from granary.functions import structure as S
 from granary.functions import text as X
 from granary.operators import blocks as B
-from granary.operators import chunking, folds
+from granary.operators import chunking, folds, longdocs
 from granary.operators import segments as G
 
 CONFIG = ChunkConfig()
@@ -172,6 +172,13 @@ def _plain(strategy: str):
     return query
 
 
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy sentence over documents as rows of blocks, as those go that are too large for a row."""
+    docs = B.from_lines(table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("$"), F.lit("S"))))
+    rows = docs.select("doc_id", F.posexplode("blocks").alias("ord", "b")).select("doc_id", "ord", "b.block_type", "b.text", "b.level", "b.image_path")
+    return longdocs.pack_rows(rows, CONFIG).select("doc_id", F.col("part").alias("chunk_no"), F.lit("single").alias("chunk_type"), "char_count", (F.col("parts") > 1).alias("is_split"))
+
+
 # Sentences of each line: ``atoms(doc_id, g, line, k, n)``, where g is the group that the line belongs to.
 _LINE_ATOMS = r"""
 cutl as (select doc_id, g, ord as line, string_split(regexp_replace(regexp_replace(t, '([。；!?])', '\1' || chr(1), 'g'), '\.(\s|$)', '.' || chr(1) || '\1', 'g'), chr(1)) as p from grouped),
@@ -420,7 +427,7 @@ select doc, cast(g + 1 as integer) as chunk_no, count(*) as sentences, min(vec_i
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (greedy_chunks, sentence_atoms, fixed_chunks, sentence_packing, promoted_titles, structure_chunks, markdown_blocks, slugs, fingerprints, duplicate_texts, image_references, derived_tables, segment_payload, segment_attachments, strategies, turn_packing, adjacent_cosine, semantic_breaks)}
+    out = {f.__name__: f for f in (greedy_chunks, sentence_atoms, fixed_chunks, sentence_packing, promoted_titles, structure_chunks, markdown_blocks, slugs, fingerprints, duplicate_texts, image_references, derived_tables, segment_payload, segment_attachments, strategies, turn_packing, adjacent_cosine, semantic_breaks, long_documents)}
     return out | {f"{s}_strategy": _plain(s) for s in ("recursive", "fixed", "sentence", "parent_child")}
 
 
@@ -429,5 +436,5 @@ def oracle_sql() -> dict[str, str]:
         "greedy_chunks": GREEDY_SQL, "sentence_atoms": SENTENCE_SQL, "fixed_chunks": FIXED_SQL, "sentence_packing": PACKING_SQL, "promoted_titles": PROMOTED_SQL, "structure_chunks": STRUCTURE_SQL, "markdown_blocks": MARKDOWN_SQL,
         "slugs": SLUG_SQL, "fingerprints": FINGERPRINT_SQL, "duplicate_texts": DUPLICATE_SQL, "image_references": REFS_SQL, "derived_tables": TABLES_SQL, "segment_payload": SEGMENT_SQL, "segment_attachments": ATTACHMENTS_SQL,
         "strategies": STRATEGY_SQL, "turn_packing": TURNS_SQL, "adjacent_cosine": COSINE_SQL, "semantic_breaks": SEMANTIC_SQL,
-        "recursive_strategy": RECURSIVE_SQL, "parent_child_strategy": PARENT_SQL, "sentence_strategy": SENTENCES_SQL, "fixed_strategy": FIXED_LINES_SQL,
+        "recursive_strategy": RECURSIVE_SQL, "parent_child_strategy": PARENT_SQL, "sentence_strategy": SENTENCES_SQL, "long_documents": SENTENCES_SQL, "fixed_strategy": FIXED_LINES_SQL,
     }

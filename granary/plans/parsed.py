@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import structure as S
 from granary.functions import text as X
 from granary.operators import blocks as B
-from granary.operators import chunking, embeddings, zones
+from granary.operators import chunking, embeddings, longdocs, zones
 from granary.operators import segments as G
 from granary.plans.documents import CONFIG, _lines, table
 
@@ -192,11 +192,31 @@ def _sized(k: int) -> Column:
     return F.concat(F.lit(f"w{k} "), F.repeat(F.md5(F.col("text").cast("binary")), F.when(F.col("doc_id") % 2 == 1, 17).otherwise(1)))
 
 
-def region_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A standard's regions: cover, contents with entries, preface, body, an appendix that is too large in every second document, references."""
+def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the lines of a standard."""
     lines = [_sized(0), "目录", "1 Scope ....... 1", "2 Terms …… 2", "前言", _sized(1), "1 总则", _sized(2), "附录 A 说明", _sized(3), "1.1 first", _sized(4), "1.2 second", _sized(5), "参考文献", _sized(6), _sized(7), _sized(8)]
     text = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
-    chunks = chunking.chunk_documents(B.from_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))), "structure", CONFIG)
+    return B.from_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+def long_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of the same documents, from rows of blocks: their blocks, first and last, and the text in them."""
+    rows = B.exploded(_standard(spark, sf_dir))
+    found = longdocs.with_regions(rows, longdocs.region_intervals(rows))
+    return found.groupBy("doc_id", "region_no", F.col("region_kind").alias("kind"), F.col("region_title").alias("title")).agg(F.count("*").alias("blocks"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.sum(F.length("text")).alias("chars"))
+
+
+LONG_REGIONS_SQL = """
+with d as (select doc_id, repeat(md5(text), case when doc_id % 2 = 1 then 17 else 1 end) as m from documents),
+r as (select * from (values (1, 'cover', '封面', 1, 0, 1, 0), (2, 'toc', '目录', 3, 1, 0, length('目录1 Scope ....... 12 Terms …… 2')), (3, 'preface', '前言', 2, 4, 1, length('前言')), (4, 'body', '', 2, 6, 1, length('1 总则')),
+  (5, 'appendix', '附录 A 说明', 6, 8, 3, length('附录 A 说明1.1 first1.2 second')), (6, 'reference', '参考文献', 4, 14, 3, length('参考文献'))) t(region_no, kind, title, blocks, first, texts, fixed))
+select doc_id, region_no, kind, title, cast(blocks as bigint) as blocks, first, first + blocks - 1 as last, cast(fixed + texts * (3 + length(m)) as bigint) as chars from d cross join r
+"""
+
+
+def region_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standard's regions: cover, contents with entries, preface, body, an appendix that is too large in every second document, references."""
+    chunks = chunking.chunk_documents(_standard(spark, sf_dir), "structure", CONFIG)
     return chunks.select("doc_id", "chunk_no", "region_no", "chunk_type", "title_path", "char_count", "is_split", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
@@ -345,12 +365,12 @@ union all select doc_id, 1, 33, false, md5(chr(10) || 'w' || md5(text) || chr(10
 
 
 def queries() -> dict:
-    found = (parsed_pages, flat_list, text_layers, parse_choice, plain_blocks, protected_zones, zone_packing, region_chunks, repeated_covers, table_chunks, semantic_strategy, late_strategy, answer_pieces)
+    found = (parsed_pages, flat_list, text_layers, parse_choice, plain_blocks, protected_zones, zone_packing, region_chunks, long_regions, repeated_covers, table_chunks, semantic_strategy, late_strategy, answer_pieces)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "parsed_pages": PAGES_SQL, "flat_list": FLAT_SQL, "text_layers": LAYERS_SQL, "parse_choice": CHOICE_SQL, "plain_blocks": PLAIN_SQL, "protected_zones": ZONES_SQL, "zone_packing": ZONE_PACKING_SQL, "region_chunks": REGION_SQL, "repeated_covers": COVERS_SQL,
+        "parsed_pages": PAGES_SQL, "flat_list": FLAT_SQL, "text_layers": LAYERS_SQL, "parse_choice": CHOICE_SQL, "plain_blocks": PLAIN_SQL, "protected_zones": ZONES_SQL, "zone_packing": ZONE_PACKING_SQL, "region_chunks": REGION_SQL, "long_regions": LONG_REGIONS_SQL, "repeated_covers": COVERS_SQL,
         "table_chunks": TABLE_CHUNKS_SQL, "semantic_strategy": SEMANTIC_STRATEGY_SQL, "late_strategy": LATE_STRATEGY_SQL, "answer_pieces": ANSWER_SQL,
     }

@@ -325,6 +325,16 @@ select a.name as a, b.name as b, min(word) as word from n a join n b using (word
 """
 
 
+def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of customers whose names share a keyword, without their pairs."""
+    return L.shared_words(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), ["#0", "7", "99"])
+
+
+SHARED_SQL = """
+select word, count(*) as names, min(name) as first, max(name) as last from (select distinct c_name as name, word from customer join (select unnest(['#0', '7', '99']) as word) on contains(c_name, word)) group by word
+"""
+
+
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations whose names hold, or are held in, part of another name."""
     nation = table(spark, sf_dir, "nation")
@@ -428,7 +438,7 @@ union all select n_nationkey, 'http://b/', '' from nation where n_nationkey % 2
 def queries() -> dict:
     found = (
         upsert_orders, updated_ledger, preserved_upsert, preserved_nulls, ledger_page, recent_runs, latest_per_user, status_histogram, report_rollup, directory_sizes, merged_metadata, metadata_operations, unlabelled, numbered_additions, numbered_rows, near_directories,
-        stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, report_split_all, similar_names, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
+        stage_actions, scan_report, resolved_files, directory_match, directory_match_all, stem_cascade, stage_status, report_split, report_split_all, similar_names, shared_words, contained_names, event_log, nested_tasks, tenant_keys, unique_names, events_per_hour, segment_listing, crawl_landing, profile_entries,
     )
     return {f.__name__: f for f in found}
 
@@ -437,6 +447,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "upsert_orders": UPSERT_SQL, "updated_ledger": UPDATED_SQL, "preserved_upsert": PRESERVED_SQL, "preserved_nulls": PRESERVED_NULLS_SQL, "numbered_rows": NUMBERED_ROWS_SQL, "near_directories": NEAR_SQL, "ledger_page": PAGE_SQL, "recent_runs": RECENT_SQL, "latest_per_user": LATEST_SQL, "status_histogram": HISTOGRAM_SQL, "report_rollup": ROLLUP_SQL,
         "directory_sizes": RETENTION_SQL, "merged_metadata": MERGED_SQL, "metadata_operations": OPERATIONS_SQL, "unlabelled": UNLABELLED_SQL, "numbered_additions": NUMBERED_SQL, "stage_actions": STAGE_SQL, "scan_report": SCAN_SQL,
-        "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "directory_match_all": DIRECTORY_ALL_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "report_split_all": SPLIT_ALL_SQL, "similar_names": SIMILAR_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
+        "resolved_files": RESOLVED_SQL, "directory_match": DIRECTORY_SQL, "directory_match_all": DIRECTORY_ALL_SQL, "stem_cascade": CASCADE_SQL, "stage_status": STATUS_SQL, "report_split": SPLIT_SQL, "report_split_all": SPLIT_ALL_SQL, "similar_names": SIMILAR_SQL, "shared_words": SHARED_SQL, "contained_names": CONTAINED_SQL, "event_log": LOG_SQL,
         "nested_tasks": NESTED_SQL, "tenant_keys": KEYS_SQL, "unique_names": UNIQUE_SQL, "events_per_hour": HOUR_SQL, "segment_listing": LISTING_SQL, "crawl_landing": LANDING_SQL, "profile_entries": ENTRIES_SQL,
     }

@@ -1,10 +1,13 @@
 """Documents as rows of blocks against the array path, and one of very many blocks."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from granary.config import ChunkConfig
 from granary.operators import blocks as B
 from granary.operators import chunking, longdocs
+from granary.operators import regions as R
 
 SMALL = ChunkConfig(split_target=120, overlap=20, max_images=2)
 
@@ -23,6 +26,27 @@ def test_equal_to_the_array_path(spark, sf):
     assert len(want) > 300 and got == want
 
 
+def test_regions_are_those_of_the_array_path(spark):
+    rng = random.Random(7)
+    lines = ["目录", "1 Scope ..... 1", "2 Terms …… 12)", "前言", "1 总则", "2 Terms", "附录 A 说明", "参考文献", "1.1 first", "plain text here.", "more text.", "中国工程建设标准化协会标准", "Abstract", "3"]
+    docs = [(k, "\n".join(rng.choices(lines, k=rng.randint(1, 14)))) for k in range(400)]
+    blocks = B.from_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    want, kinds = {}, set()
+    for r in blocks.collect():
+        held = [b.asDict() | {"at": k} for k, b in enumerate(r["blocks"])]
+        for n, region in enumerate(R.regions(held), 1):
+            kinds.add(region.kind)
+            for b in region.blocks:
+                want.setdefault((r["doc_id"], b["at"]), set()).add((n, region.kind, region.title))
+    rows = exploded(blocks)
+    got = {}
+    for r in longdocs.with_regions(rows, longdocs.region_intervals(rows)).collect():
+        got.setdefault((r["doc_id"], r["ord"]), set()).add((r["region_no"], r["region_kind"], r["region_title"]))
+    assert got == want and kinds >= {"cover", "toc", "preface", "body", "appendix", "reference", "single"}
+    packed = longdocs.pack_rows(longdocs.with_regions(rows, longdocs.region_intervals(rows)), SMALL).collect()
+    assert {(r["doc_id"], r["region_no"]) for r in packed} == {(d, n) for (d, _), regions in want.items() for n, _, _ in regions}
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "paragraph", None, None), (1, 1, "image", "", "a.png"), (1, 2, "image", "", "b.png"), (1, 3, "image", "", "c.png"), (1, 4, "table", "", None), (2, 0, "paragraph", "x. " * 200, None), (None, 0, "paragraph", "no id.", None)]
     got = {}
