@@ -3,7 +3,8 @@
 A language is a smoothed distribution over hashed byte trigrams of lower-case letters, counted over all
 rows the caller trains on. For a document, expectation-maximisation finds the proportions of the
 languages that maximise the likelihood of its trigrams. The set of languages is chosen by likelihood
-less ``penalty * log(trigrams)`` for each further language. The prediction is the language with the
+less ``penalty * log(trigrams)`` for each further language: of all sets, where there are at most ``EVERY_SET`` languages, but for those whose
+size alone rules them out, as no set is likelier than all languages together; of more languages the sets that the languages with the largest shares of the mixture of all make, one by one. The prediction is the language with the
 largest share of the chosen set, its share the score. A document that even the best language explains
 worse than the uniform distribution, by three standard errors, is ``foreign``; a short text with a key
 or a number in it is not.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from granary import runtime
 from granary.llm import tokens
 
 BUCKETS = 1 << 15
+#: Up to so many languages all sets of them are tried.
+EVERY_SET = 8
 #: ASCII other than letters counts as a space.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SCHEMA = "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>, foreign boolean"
@@ -101,15 +105,17 @@ def infer(model: Model, text: str, penalty: float = 3.0) -> tuple[str, float, li
     gain = np.exp(log_p - log_p[best]) @ n / total
     cost = penalty * np.log(total + 1)
     if len(model.languages) > 1 and np.delete(gain, best).max() > 1:
-        everyone, _ = mixture(np.exp(log_p), n)
+        p = np.exp(log_p)
+        everyone, ceiling = mixture(p, n)
         order = np.argsort(-everyone, kind="stable")
         for size in range(2, len(order) + 1):
-            if everyone[order[size - 1]] * total < cost / 4:
+            # Half a unit more than the mixture of all has found, which may stop short of its maximum.
+            if ceiling + 0.5 - cost * (size - 1) <= value - cost * (len(chosen) - 1):
                 break
-            trial = np.sort(order[:size])
-            s, likelihood = mixture(np.exp(log_p[trial]), n)
-            if likelihood - cost * (size - 1) > value - cost * (len(chosen) - 1):
-                chosen, share, value = trial.tolist(), s, likelihood
+            for trial in combinations(range(len(order)), size) if len(order) <= EVERY_SET else [sorted(order[:size].tolist())]:
+                s, likelihood = mixture(p[list(trial)], n)
+                if likelihood - cost * (size - 1) > value - cost * (len(chosen) - 1):
+                    chosen, share, value = list(trial), s, likelihood
     top = int(np.argmax(share))
     ranked = sorted(((model.languages[c], float(x)) for c, x in zip(chosen, share)), key=lambda x: (-x[1], x[0]))
     mean = single[best] / total
