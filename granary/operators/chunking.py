@@ -80,9 +80,9 @@ def render(b: dict) -> str:
     kind = b["block_type"]
     if kind == "title":
         depth = b["level"] if b["level"] and 1 <= b["level"] <= 6 else 2
-        return f"{'#' * depth} {b['text']}\n"
+        return f"{'#' * depth} {b['text'] or ''}\n"
     if kind == "paragraph":
-        return f"{b['text']}\n"
+        return f"{b['text'] or ''}\n"
     if kind == "image":
         return f"![]({b['image_path']})\n" if b["image_path"] else ""
     if kind != "table":
