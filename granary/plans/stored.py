@@ -70,9 +70,8 @@ def chunk_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunk_documents(B.from_lines(docs), "structure")
     path = runtime.scratch_path(spark, "chunks")
     sinks.chunk_files(chunks, path)
-    found = files.text_of(spark, f"{path}/*/*.md")
     parts = F.split("path", "/")
-    return found.select(F.element_at(parts, -2).cast("long").alias("doc_id"), F.element_at(parts, -1).alias("file_name"), F.md5(F.col("text").cast("binary")).alias("body_md5"))
+    return datasource.read_files(spark, path).select(F.element_at(parts, -2).cast("long").alias("doc_id"), F.element_at(parts, -1).alias("file_name"), F.md5("content").alias("body_md5"))
 
 
 FOLDERS_SQL = """
@@ -90,9 +89,8 @@ def copied_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = part.select("doc_id", F.explode(F.array(F.when(id_ % 2 == 0, F.format_string("images/deep/i%d.jpg", id_)).otherwise(F.format_string("./i%d.jpg", id_)), F.when(id_ % 3 == 0, F.format_string("images\\deep\\i%d.jpg", id_)), F.format_string("none%d.png", id_))).alias("ref")).where("ref is not null")
     path = runtime.scratch_path(spark, "images")
     sinks.copied_images(refs, listing, path)
-    found = spark.read.format("binaryFile").load(f"{path}/*/images/*")
     parts = F.split("path", "/")
-    return found.select(F.element_at(parts, -3).cast("long").alias("doc_id"), F.element_at(parts, -1).alias("file_name"), F.col("length").cast("int").alias("size"), F.md5("content").alias("md5"))
+    return datasource.read_files(spark, path).select(F.element_at(parts, -3).cast("long").alias("doc_id"), F.element_at(parts, -1).alias("file_name"), F.length("content").alias("size"), F.md5("content").alias("md5"))
 
 
 IMAGES_SQL = "select p_partkey as doc_id, 'i' || p_partkey || '.jpg' as file_name, cast(length(p_name) + 1 as integer) as size, md5(p_name || '!') as md5 from part"

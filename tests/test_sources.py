@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from granary.sources import datasource, stored
+from granary.sources import datasource, files, stored
 from granary.streaming import progress, tasks
 
 SCHEMA = "tenant_id string, filename string, status string, created_at string"
@@ -101,6 +101,9 @@ def test_files_are_written_one_for_each_row(spark, tmp_path):
     datasource.write_files(spark.createDataFrame(rows, "path string, content binary").repartition(5), (tmp_path / "out").as_uri())
     found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert b'"files": 51' in found.pop("_SUCCESS") and found == {p: c or b"" for p, c in rows}
+    assert {(r["path"], bytes(r["content"])) for r in datasource.read_files(spark, (tmp_path / "out").as_uri()).collect()} == {(p, c or b"") for p, c in rows}
+    assert datasource.read_files(spark, (tmp_path / "none").as_uri()).count() == 0
+    assert {r["text"] for r in files.text_of(spark, (tmp_path / "out/d1").as_uri()).collect()} == {f"text é {k}" for k in range(1, 50, 7)}
     text = spark.createDataFrame([("d0/chunk_000.md", "other"), ("d0/chunk_007.md", "text é 7")], "path string, content string")
     datasource.write_files(text, (tmp_path / "out").as_uri())
     assert (tmp_path / "out/d0/chunk_000.md").read_text() == "other"
