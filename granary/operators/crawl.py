@@ -62,7 +62,7 @@ def visits(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: in
         met, hop = met.unionByName(found), hop + 1
         # Hops before the last are complete: where they reach the cap, the crawl is over.
         over = met.where(F.col("hop") < hop).groupBy("profile").agg(F.count("*").alias("n")).join(counts, "profile").where("n + errors >= cap")
-        level = runtime.materialize(found.where(F.col("hop") == hop).join(over.select("profile"), "profile", "left_anti"), "crawl-level")
+        level = found.where(F.col("hop") == hop).join(over.select("profile"), "profile", "left_anti")
     order = Window.partitionBy("profile").orderBy("hop", "path", "url")
     rows = met.withColumn("ord", F.row_number().over(order).cast("long")).join(counts, "profile")
     late = F.min(F.when(~F.col("is_seed") & (F.col("ord") - 1 + F.col("errors") >= F.col("cap")), F.col("ord"))).over(Window.partitionBy("profile"))
