@@ -334,10 +334,11 @@ def not_persisted(created: DataFrame, current: DataFrame, key: str = "segment_id
     return created.join(current.select(key), key, "left_anti")
 
 
-def landing(items: DataFrame, confirmed: DataFrame, known: DataFrame) -> DataFrame:
-    """Confirmed items of a crawl and what becomes of them: failed, unchanged, or landed."""
-    last = latest(known, ["url"], ["id"]).select("url", F.col("content_hash").alias("prev_hash"))
-    rows = items.join(confirmed.select("url").distinct(), "url", "left_semi").join(last, "url", "left")
+def landing(items: DataFrame, confirmed: DataFrame, known: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Confirmed items of a crawl and what becomes of them: failed, unchanged, or landed. Items are told apart by ``keys``, their URL if there are none."""
+    keys = keys or ["url"]
+    last = latest(known, keys, ["id"]).select(*keys, F.col("content_hash").alias("prev_hash"))
+    rows = items.join(confirmed.select(*keys).distinct(), keys, "left_semi").join(last, keys, "left")
     return rows.withColumn("action", F.when(~F.col("ok"), "FAILED").when(F.col("content_hash") == F.col("prev_hash"), "UNCHANGED").otherwise("LANDED")).drop("prev_hash")
 
 

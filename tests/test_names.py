@@ -99,3 +99,10 @@ def test_upsert_preserving_takes_nulls(spark):
     got = {tuple(r) for r in L.upsert_preserving(base, new, ["id"], []).collect()}
     assert got == {(1, None, "n2"), (2, None, "n3"), (4, "t", None)}
     assert {tuple(r) for r in L.upsert_preserving(base, new, ["id"], ["state"]).collect()} == {(1, "s", "n2"), (2, None, "n3"), (4, "t", None)}
+
+
+def test_landing_of_pages_with_one_url(spark):
+    pages = spark.createDataFrame([(k, None if k == 6 else "u", f"h{k}", True) for k in range(7)], "page_id long, url string, content_hash string, ok boolean")
+    known = spark.createDataFrame([(0, 0, "h0"), (4, 4, "old")], "page_id long, id long, content_hash string")
+    found = L.landing(pages, pages.where("page_id % 2 = 0"), known, ["page_id"]).collect()
+    assert {r["page_id"]: r["action"] for r in found} == {0: "UNCHANGED", 2: "LANDED", 4: "LANDED", 6: "LANDED"}
