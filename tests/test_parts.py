@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import html as H
 from granary.functions import text as X
+from granary.operators import blocks as B
 from granary.operators import crawl, segments
 from granary.operators import ledger as L
 from granary.plans import pipeline as P
@@ -281,3 +282,8 @@ def test_table_parts_are_those_of_the_text_function(spark):
     for most in (1, 5):
         got = {r["k"]: r["p"] for r in frame.select("k", segments.table_parts(F.col("html"), most).alias("p")).collect()}
         assert got == {k: [] if h is None else T.split_rows(h, most) for k, h in enumerate(made)}
+
+
+def test_blocks_of_markdown_keep_the_digits_at_their_ends(spark):
+    docs = spark.createDataFrame([(1, "\n\n".join(f"{k} a {k}" for k in range(12)))], "doc_id long, text string")
+    assert [b["text"] for b in B.from_markdown(docs).first()["blocks"]] == [f"{k} a {k}" for k in range(12)]
