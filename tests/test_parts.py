@@ -287,3 +287,10 @@ def test_table_parts_are_those_of_the_text_function(spark):
 def test_blocks_of_markdown_keep_the_digits_at_their_ends(spark):
     docs = spark.createDataFrame([(1, "\n\n".join(f"{k} a {k}" for k in range(12)))], "doc_id long, text string")
     assert [b["text"] for b in B.from_markdown(docs).first()["blocks"]] == [f"{k} a {k}" for k in range(12)]
+
+
+def test_references_that_are_cut_short_stay():
+    page = "<title>a &amp;&amp</title><body><p>&lt;b &amp;&am</p><p>x &quot <a href='/q?a=1&amp;b=2'>&copy; c&copy</a> R & D &#65; &#65</p>"
+    for rich in (True, False):
+        title, text = H.to_markdown(page, "http://h.example/", rich)
+        assert title == "a &&amp" and text == "<b &&am\n\nx &quot [© c&copy](http://h.example/q?a=1&b=2) R & D A &#65"
