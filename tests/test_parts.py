@@ -294,3 +294,9 @@ def test_references_that_are_cut_short_stay():
     for rich in (True, False):
         title, text = H.to_markdown(page, "http://h.example/", rich)
         assert title == "a &&amp" and text == "<b &&am\n\nx &quot [© c&copy](http://h.example/q?a=1&b=2) R & D A &#65"
+
+
+def test_what_is_no_overlay_stays_as_it_was_written():
+    ad = "<div class='ad'><p>x &amp</p>\n</div>"
+    for page in ("<P>a &b &amp c &#65 &copy2</P >\n{}<br/>&am", "{}\r\n<!-- x -- ><![CDATA[y]]><?z?>\n{}<i>\n</i >{}", "{}", "a{}{}", "<script>a<b && c</script>{}<p"):
+        assert H.without_overlays(page.replace("{}", ad)) == page.replace("{}", "")
