@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.config import STRATEGIES, ChunkConfig
+from granary.functions.structure import let
 
 
 @dataclass(frozen=True)
@@ -86,10 +87,13 @@ def validated(changes: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     number = lambda k, v: F.when(whole(v).isNotNull(), F.greatest(whole(v), F.element_at(_longs(LEAST), k))).cast("string")
     name = lambda v: F.when(v.isin([s for s, _ in STRATEGIES]), v)
     value = lambda k, v: F.when(k.isin(numbers), number(k, v)).when(k == "semantic_threshold", v.try_cast("double").cast("string")).when(k == "strategy", name(v))
-    right = F.map_filter(F.transform_values(changes, value), lambda k, v: v.isNotNull())
-    kept = F.map_filter(settings(config), lambda k, v: ~F.array_contains(F.map_keys(right), k))
-    denied = F.array_sort(F.array_except(F.map_keys(changes), F.map_keys(right)))
-    return F.struct(F.map_concat(kept, right).alias("settings"), denied.alias("denied"))
+
+    def made(right: Column, names: Column) -> Column:
+        kept = F.map_filter(settings(config), lambda k, v: ~F.array_contains(names, k))
+        return F.struct(F.map_concat(kept, right).alias("settings"), F.array_sort(F.array_except(F.map_keys(changes), names)).alias("denied"))
+
+    # Each value once for a row, not once for each parameter.
+    return let(F.map_filter(F.transform_values(changes, value), lambda k, v: v.isNotNull()), lambda right: let(F.map_keys(right), lambda names: made(right, names)))
 
 
 def _longs(values: dict[str, int]) -> Column:
@@ -98,5 +102,12 @@ def _longs(values: dict[str, int]) -> Column:
 
 def scoped(base: Column, override: Column) -> Column:
     """The settings of one run: the override's values for names that the base has; the base is as it was for every other run."""
-    own = F.map_filter(F.coalesce(override, F.create_map().cast("map<string,string>")), lambda k, v: F.array_contains(F.map_keys(base), k) & v.isNotNull())
-    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(own), k)), own)
+    given = F.coalesce(override, F.create_map().cast("map<string,string>"))
+
+    def made(own: Column, base: Column) -> Column:
+        return let(F.map_keys(own), lambda names: F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(names, k)), own))
+
+    def of(base: Column) -> Column:
+        return let(F.map_keys(base), lambda names: let(F.map_filter(given, lambda k, v: F.array_contains(names, k) & v.isNotNull()), lambda own: made(own, base)))
+
+    return let(base, of)

@@ -177,7 +177,7 @@ def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = F.create_map(F.lit("fixed_size"), pick("20", "900", "much"), F.lit("strategy"), pick("fixed", "magic"), F.lit("colour"), F.lit("red"), F.lit("semantic_threshold"), pick("0.5", "x", "0.25", "1"))
     checked = PR.validated(changes)
     override = F.create_map(F.lit("fixed_size"), k.cast("string"), F.lit("other"), F.lit("y"), F.lit("overlap"), F.lit(None).cast("string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", checked.alias("c")).withColumn("run", PR.scoped(F.col("c.settings"), override))
+    rows = runtime.spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", checked.alias("c")).withColumn("run", PR.scoped(F.col("c.settings"), override))
     names = ("fixed_size", "strategy", "semantic_threshold", "overlap")
     return rows.select("c_custkey", *(F.col("c.settings")[n].alias(n) for n in names), F.array_join("c.denied", ",").alias("denied"), F.col("run")["fixed_size"].alias("run_size"), F.col("run")["overlap"].alias("run_overlap"), F.size("run").alias("n"))
 

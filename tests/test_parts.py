@@ -300,3 +300,11 @@ def test_what_is_no_overlay_stays_as_it_was_written():
     ad = "<div class='ad'><p>x &amp</p>\n</div>"
     for page in ("<P>a &b &amp c &#65 &copy2</P >\n{}<br/>&am", "{}\r\n<!-- x -- ><![CDATA[y]]><?z?>\n{}<i>\n</i >{}", "{}", "a{}{}", "<script>a<b && c</script>{}<p"):
         assert H.without_overlays(page.replace("{}", ad)) == page.replace("{}", "")
+
+
+def test_settings_are_checked_once_for_a_row(spark):
+    from granary.operators import profiles
+
+    rows = spark.range(1).select(profiles.validated(F.create_map(F.lit("overlap"), F.lit("7"))).alias("c")).select(profiles.scoped(F.col("c.settings"), F.create_map(F.lit("overlap"), F.lit("8"))).alias("run"), "c.settings")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("transform_values") <= 1
+    assert (rows.first()["run"]["overlap"], rows.first()["settings"]["overlap"]) == ("8", "7")
