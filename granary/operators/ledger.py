@@ -91,11 +91,15 @@ def clean_stem(stem: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.btrim(stem), r"\s*\[[^\]]*\]\s*$", ""), r"\s*[(（]\d+[)）]\s*$", "")
 
 
+#: Names of a key above which it is sent to them: there is at most one such key for as many rows.
+MANY = 20_000
+
+
 def resolve_directories(wanted: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
     """wanted name -> existing directory: exact, without tags, without copy numbers, else 70 % of the shorter clean name (6 at least) as a prefix; the least name of the first rule that has one.
 
     Directories are reduced to the least name for each key, and for the prefix rule for each prefix and length, before they are joined, so a name
-    meets one row for each of its prefixes however many directories share them.
+    meets one row for each of its prefixes however many directories share them. A prefix that many names share is sent to them, so that no task has all of them.
     """
     w, e = wanted.select(F.col(name).alias("wanted")).distinct(), existing.select(F.col(name).alias("found")).distinct()
     tagless = lambda c: F.regexp_replace(F.btrim(c), r"\s*\[[^\]]*\]\s*$", "")
@@ -114,8 +118,19 @@ def resolve_directories(wanted: DataFrame, existing: DataFrame, name: str = "nam
     # For each prefix the least directory of each length: a few rows, whatever the directories.
     lengths = lambda df: df.groupBy("key", "size").agg(F.min("found").alias("found")).groupBy("key").agg(F.collect_list(F.struct("size", "found")).alias("by_size"))
     best = lambda fits: F.array_min(F.transform(F.filter("by_size", fits), lambda x: x["found"])).alias("found")
-    shorter = one(a).join(lengths(every_prefix(b)), "key").select("wanted", best(lambda x: x["size"] >= F.col("size")))
-    longer = every_prefix(a).join(lengths(one(b)), "key").select("wanted", best(lambda x: x["size"] < F.col("size")))
+
+    def met(rows, kept, fits):
+        """Names with what they find, which depends on their key and length alone: looked up once for each of those. Keys of many names, of which there are few, go to the names; only the others are joined by key."""
+        asked = rows.groupBy("key", "size").agg(F.count("*").alias("n")).join(kept, "key", "left").select("key", "size", "n", best(fits))
+        asked = runtime.materialize(asked, "directories")
+        many = F.broadcast(asked.where(F.col("n") > MANY).select("key", "size", "found", F.lit(True).alias("many")))
+        told = rows.join(many, ["key", "size"], "left").where("many is null or found is not null")
+        few = asked.where((F.col("n") <= MANY) & F.col("found").isNotNull()).select("key", "size", F.col("found").alias("other"))
+        found = told.where("many").select("wanted", "found")
+        return found if few.isEmpty() else found.unionByName(told.where("many is null").join(few, ["key", "size"]).select("wanted", F.col("other").alias("found")))
+
+    shorter = met(one(a), lengths(every_prefix(b)), lambda x: x["size"] >= F.col("size"))
+    longer = met(every_prefix(a), lengths(one(b)), lambda x: x["size"] < F.col("size"))
     near = shorter.unionByName(longer).where("found is not null").select("wanted", "found", F.lit(3).alias("rule"))
     every = exact.unionByName(by_key(tagless, 1)).unionByName(by_key(clean_stem, 2)).unionByName(near)
     return every.groupBy("wanted").agg(F.min(F.struct("rule", "found")).alias("m")).select("wanted", F.col("m.found").alias("found"), F.col("m.rule").alias("rule"))

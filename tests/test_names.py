@@ -106,3 +106,14 @@ def test_landing_of_pages_with_one_url(spark):
     known = spark.createDataFrame([(0, 0, "h0"), (4, 4, "old")], "page_id long, id long, content_hash string")
     found = L.landing(pages, pages.where("page_id % 2 = 0"), known, ["page_id"]).collect()
     assert {r["page_id"]: r["action"] for r in found} == {0: "UNCHANGED", 2: "LANDED", 4: "LANDED", 6: "LANDED"}
+
+
+def test_directories_of_keys_that_many_names_share(spark, monkeypatch):
+    base = "annual report of the department for "
+    wanted = names(spark, [f"{base}{k:08d}" for k in range(40)] + ["other things here 1", "other things here 12", "nothing like it"])
+    there = names(spark, [f"{base}{k:08d} long" for k in range(100, 105)] + ["other things here", f"{base}7"])
+    got = []
+    for many in (3, 10**9):
+        monkeypatch.setattr(L, "MANY", many)
+        got.append(sorted(map(tuple, L.resolve_directories(wanted, there).collect())))
+    assert got[0] == got[1] and len(got[0]) == 42
