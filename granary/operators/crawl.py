@@ -45,26 +45,28 @@ def visits(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_pages: in
     bare = lambda c: F.regexp_replace(X.url_path(F.col(c)), "/+$", "")
     free = (bare("url") == bare("from")) if scope == "column" else F.lit(False)
     denied = url_denied(F.col("url"), allowed).isNotNull() if allowed else F.lit(False)
-    lost = lambda rows: rows if failed is None else rows.join(failed.select("url"), "url", "left_anti")
+    # Stored tables are small and unfold to many times their size: no join may take one for small and send it through the driver.
+    far = lambda df: df.hint("merge")
+    lost = lambda rows: rows if failed is None else rows.join(far(failed.select("url")), "url", "left_anti")
     hop = 0
     while True:
         pages = lost(level.where((F.col("depth") < max_depth) & ~attached))
-        steps = pages.alias("f").join(edges.alias("e"), "url").select("f.profile", F.col("e.link").alias("url"), F.col("f.url").alias("from"), "f.depth", "f.seed", F.concat(F.col("f.path"), F.array(F.col("e.ord").cast("long"))).alias("path"))
-        steps = lost(steps.where(X.site_scope(F.col("url"), F.col("seed"), scope) & ~denied).join(met.select("profile", "url"), ["profile", "url"], "left_anti"))
+        steps = far(pages).alias("f").join(far(edges).alias("e"), "url").select("f.profile", F.col("e.link").alias("url"), F.col("f.url").alias("from"), "f.depth", "f.seed", F.concat(F.col("f.path"), F.array(F.col("e.ord").cast("long"))).alias("path"))
+        steps = lost(steps.where(X.site_scope(F.col("url"), F.col("seed"), scope) & ~denied).join(far(met.select("profile", "url")), ["profile", "url"], "left_anti"))
         first = steps.groupBy("profile", "url").agg(F.min(F.struct("path", "from", "depth", "seed")).alias("m")).select("profile", "url", "m.*")
         rows = first.select("profile", "url", (F.col("depth") + F.when(free, 0).otherwise(1)).alias("depth"), "seed", F.lit(False).alias("is_seed"), (F.lit(hop) + F.when(attached, 0).otherwise(1)).alias("hop"), "path")
         # More than the cap of either kind is never visited.
         at = F.row_number().over(Window.partitionBy("profile", "hop").orderBy("path", "url"))
-        found = rows.withColumn("at", at).join(counts, "profile").where("at <= cap").select(*met.columns)
+        found = rows.withColumn("at", at).join(far(counts), "profile").where("at <= cap").select(*met.columns)
         found = runtime.materialize(found, "crawl")
         if found.isEmpty():
             break
         met, hop = met.unionByName(found), hop + 1
         # Hops before the last are complete: where they reach the cap, the crawl is over.
-        over = met.where(F.col("hop") < hop).groupBy("profile").agg(F.count("*").alias("n")).join(counts, "profile").where("n + errors >= cap")
-        level = found.where(F.col("hop") == hop).join(over.select("profile"), "profile", "left_anti")
+        over = met.where(F.col("hop") < hop).groupBy("profile").agg(F.count("*").alias("n")).join(far(counts), "profile").where("n + errors >= cap")
+        level = found.where(F.col("hop") == hop).join(far(over.select("profile")), "profile", "left_anti")
     order = Window.partitionBy("profile").orderBy("hop", "path", "url")
-    rows = met.withColumn("ord", F.row_number().over(order).cast("long")).join(counts, "profile")
+    rows = met.withColumn("ord", F.row_number().over(order).cast("long")).join(far(counts), "profile")
     late = F.min(F.when(~F.col("is_seed") & (F.col("ord") - 1 + F.col("errors") >= F.col("cap")), F.col("ord"))).over(Window.partitionBy("profile"))
     return rows.withColumn("end", late).where("end is null or ord < end").select(*VISIT)
 

@@ -73,3 +73,10 @@ def test_wrong_seeds(spark):
     none = spark.createDataFrame([], "url string, link string, ord int")
     assert [r["url"] for r in crawl.visits(seeds, none, allowed=["x"]).collect()] == ["http://x/a"]
     assert crawl.visits(seeds.limit(0), none).count() == 0
+
+
+def test_no_join_of_a_crawl_goes_through_the_driver(spark):
+    seeds = spark.createDataFrame([("p", "http://x/a", 0)], "profile string, seed string, ord int")
+    edges = spark.createDataFrame([("http://x/a", "http://x/a/b", 0)], "url string, link string, ord long")
+    out = crawl.visits(seeds, edges, max_depth=1, failed=spark.createDataFrame([("http://x/z",)], "url string"))
+    assert [r["url"] for r in out.orderBy("ord").collect()] == ["http://x/a", "http://x/a/b"] and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
