@@ -158,8 +158,8 @@ def listing(files: DataFrame, base: DataFrame) -> DataFrame:
 def missing_files(names: DataFrame, staged: DataFrame, name: str = "name") -> DataFrame:
     """Names without a staged file: none of that name, and none whose name holds theirs or is held by it."""
     left = names.select(F.col(name).alias("wanted")).distinct()
-    rest = left.join(staged.select(F.col(name).alias("wanted")), "wanted", "left_anti")
-    return rest.join(contained_names(rest.withColumnRenamed("wanted", name), staged, name), "wanted", "left_anti")
+    rest = runtime.materialize(left.join(staged.select(F.col(name).alias("wanted")), "wanted", "left_anti"), "names-rest")
+    return rest.join(_contained(rest, staged.select(F.col(name).alias("found"))), "wanted", "left_anti")
 
 
 def metadata_sync(documents: DataFrame, manifest: DataFrame, own: DataFrame, fields: DataFrame, names: list[str], size: int = 50) -> DataFrame:
@@ -175,50 +175,86 @@ def metadata_sync(documents: DataFrame, manifest: DataFrame, own: DataFrame, fie
 NAME_MARKS = r"[\s\-_—（）()\[\]【】《》]"
 
 
-def contained_names(left: DataFrame, right: DataFrame, name: str = "name", often: int = 64) -> DataFrame:
-    """The least name of ``right`` for each left one that contains it or is contained by it, without case or marks; blank names match nothing.
+#: Names that a part is looked up among by its first characters before it is sent: so many characters, and so many fronts at most.
+FRONT, FRONTS = 4, 65_536
 
-    An inverted index of n-grams, n the largest power of two in the contained name, so that one gram covers half of it: a name is looked up by its rarest
-    gram and compared in full. A name whose rarest gram more than ``often`` names have is looked up by all of it instead, in the parts
-    of its length, of which the containing names keep the least for each part. So either way a name makes rows in proportion to its length, however many names share its parts.
-    """
-    norm = lambda c: F.regexp_replace(F.lower(c), NAME_MARKS, "")
-    a = runtime.materialize(left.select(F.col(name).alias("wanted"), norm(F.col(name)).alias("text")).where("text <> ''").distinct(), "names-left")
-    b = runtime.materialize(right.select(F.col(name).alias("found"), norm(F.col(name)).alias("text")).where("text <> ''").groupBy("text").agg(F.min("found").alias("found")), "names-right")
-    # The least name that holds a wanted one, and the least one that each wanted name holds.
-    up = _held(a.select("text").distinct(), b, often, lambda rows, key: rows.groupBy(key).agg(F.min("found").alias("found")))
-    down = _held(b, a.select(F.col("text").alias("whole"), "wanted"), often, None)
-    hit = a.join(up, "text").select("wanted", "found").unionByName(down)
-    return hit.groupBy("wanted").agg(F.min("found").alias("found"))
 
+def contained_names(left: DataFrame, right: DataFrame, name: str = "name", often: int = 64, lengths: int = 8) -> DataFrame:
+    """The least name of ``right`` for each left one that contains it or is contained by it, without case or marks; blank names match nothing.
 
-def _held(short: DataFrame, long: DataFrame, often: int, reduced) -> DataFrame:
-    """Texts of ``short`` in those of ``long``: (text, found) with the least ``found`` of ``long`` if ``reduced`` sums it up, else (wanted, found) with ``found`` of ``short``."""
-    whole = "text" if reduced else "whole"
-    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))
-    grams = short.withColumn("n", F.expr("shiftleft(1, length(bin(length(text))) - 1)"))
+    Names whose lengths lie between the same powers of two are a class. One of at most ``lengths`` lengths is looked up whole, in the parts of those
+    lengths; only parts that begin like a name of their length are sent. Another is looked up by an inverted index of n-grams, n the power of two, so that one
+    gram covers half of a name: by its rarest gram, then in full. A name whose rarest gram more than ``often`` names have is looked up whole too.
+    So each way a name makes rows in proportion to its length, however many names share its parts.
+    """
+    return _contained(left.select(F.col(name).alias("wanted")).distinct(), right.select(F.col(name).alias("found")), often, lengths)
 
-    def parts(df, lengths):
-        """Rows with each part of some lengths; the lengths (one number for each that occurs) come through the driver."""
-        ns = F.array(*(F.lit(r[0]) for r in lengths.distinct().collect())).cast("array<int>")
-        fits = F.filter(ns, lambda n: n <= F.length(whole))
-        return df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda n: cut(whole, n))))).alias("part"))
 
-    held = parts(long, grams.select("n"))
+def _contained(left: DataFrame, right: DataFrame, often: int = 64, lengths: int = 8) -> DataFrame:
+    """(wanted, found) for ``left(wanted)``, which are distinct, and ``right(found)``."""
+    norm = lambda c: F.regexp_replace(F.lower(c), NAME_MARKS, "")
+    a = runtime.materialize(left.select("wanted", norm(F.col("wanted")).alias("text")).where("text <> ''"), "names-left")
+    b = runtime.materialize(right.select("found", norm(F.col("found")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("found").alias("found")), "names-right")
+    # The least name that holds a wanted one, and the least one that each wanted name holds.
+    whole, few, held = _dealt(a.select("text"), b, often, lengths)
+    rare = [held.join(few, "part").where("contains(text, asked)").select(F.col("asked").alias("text"), "found")] if few else []
+    best = [_whole_parts(b, whole).select(F.col("part").alias("text"), "found"), *rare]
+    best = best[0].unionByName(best[1]) if rare else best[0]
+    up = a.join(best.groupBy("text").agg(F.min("found").alias("found")), "text").select("wanted", "found")
+
+    whole, few, held = _dealt(b.select("text"), a, often, lengths)
+    parts = _whole_parts(a, whole)
+    # What is asked for is one row for each part; parts of many names go to those, so that no task has all of them.
+    asked = runtime.materialize(parts.groupBy("part").agg(F.count("*").alias("n")).join(b, F.col("part") == b["text"]).select("part", "n", "found"), "names-asked")
+    down = parts.join(F.broadcast(asked.where(F.col("n") > MANY).select("part", "found")), "part").select("wanted", "found")
+    less = asked.where(F.col("n") <= MANY).select("part", "found")
+    if not less.isEmpty():
+        down = down.unionByName(parts.join(less, "part").select("wanted", "found"))
+    if few:
+        hit = held.join(few, "part").where("contains(text, asked)").select("wanted", F.col("asked").alias("text"))
+        down = down.unionByName(hit.join(b, "text").select("wanted", "found"))
+    return up.unionByName(down).groupBy("wanted").agg(F.min("found").alias("found"))
+
+
+def _cut(n: Column) -> Column:
+    """The parts of n characters of ``text``."""
+    return F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
+
+
+def _parts(long: DataFrame, sizes: list[int]) -> DataFrame:
+    """Rows with each part of some lengths."""
+    fits = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("text"))
+    return long.select("*", F.explode(F.array_distinct(F.flatten(F.transform(fits, _cut)))).alias("part"))
+
+
+def _whole_parts(long: DataFrame, short: DataFrame) -> DataFrame:
+    """Rows of ``long`` with those parts that may be a text of ``short``: they have a length and, unless there are too many of those, a front of one."""
+    front = lambda c: (F.length(c).alias("size"), F.substring(c, 1, FRONT).alias("front"))
+    fronts = runtime.materialize(short.select(*front("text")).distinct(), "names-fronts")
+    # One number for each length that occurs.
+    parts = _parts(long, sorted(r[0] for r in fronts.select("size").distinct().collect()))
+    if fronts.count() > FRONTS:
+        return parts
+    return parts.select("*", *front("part")).join(F.broadcast(fronts), ["size", "front"], "left_semi").drop("size", "front")
+
+
+def _dealt(short: DataFrame, long: DataFrame, often: int, lengths: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The texts of ``short`` that are looked up whole; of the others, if there are any, (asked, part) with their rarest gram in ``long``, and the grams of ``long``."""
+    classes: dict[int, list[int]] = {}
+    # One number for each length that occurs.
+    for r in short.select(F.length("text")).distinct().collect():
+        classes.setdefault(r[0].bit_length(), []).append(r[0])
+    whole = short.where(F.length("text").isin([n for c in classes.values() if len(c) <= lengths for n in c]))
+    other = {k: c for k, c in classes.items() if len(c) > lengths}
+    if not other:
+        return whole, None, None
+    grams = short.where(F.length("text").isin([n for c in other.values() for n in c])).distinct()
+    held = _parts(long, [1 << k - 1 for k in other])
     common = held.groupBy("part").agg(F.count("*").alias("names"))
-    asked = grams.select("text", F.explode(F.array_distinct(cut("text", F.col("n")))).alias("part")).join(common, "part", "left")
+    asked = grams.select("text", F.explode(F.array_distinct(_cut(F.expr("shiftleft(1, length(bin(length(text))) - 1)")))).alias("part")).join(common, "part", "left")
     rarest = asked.groupBy("text").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "part")).alias("r")).select("text", "r.*").where("names > 0")
-    rarest = runtime.materialize(rarest.join(short, "text"), "names-rarest")
-    few = rarest.where(F.col("names") <= often).withColumnRenamed("text", "asked").drop("names")
-    many = rarest.where(F.col("names") > often).drop("names", "part")
-    lengths = many.select(F.length("text"))
-    if reduced:
-        rare = held.select(F.col("text").alias("whole"), "found", "part").join(few, "part").where("contains(whole, asked)").select(F.col("asked").alias("text"), "found")
-        often_held = reduced(parts(long, lengths).select("part", "found"), "part").join(many.select(F.col("text").alias("part")), "part").select(F.col("part").alias("text"), "found")
-        return reduced(rare.unionByName(often_held), "text")
-    rare = held.select("whole", "wanted", "part").join(few, "part").where("contains(whole, asked)").select("wanted", "found")
-    often_held = parts(long, lengths).select("wanted", "part").join(many.select(F.col("text").alias("part"), "found"), "part").select("wanted", "found")
-    return rare.unionByName(often_held)
+    rarest = runtime.materialize(rarest, "names-rarest")
+    return whole.unionByName(rarest.where(F.col("names") > often).select("text")), rarest.where(F.col("names") <= often).select(F.col("text").alias("asked"), "part"), held
 
 
 def similar_names(names: DataFrame, words: list[str], name: str = "name") -> DataFrame:

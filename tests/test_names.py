@@ -117,3 +117,30 @@ def test_directories_of_keys_that_many_names_share(spark, monkeypatch):
         monkeypatch.setattr(L, "MANY", many)
         got.append(sorted(map(tuple, L.resolve_directories(wanted, there).collect())))
     assert got[0] == got[1] and len(got[0]) == 42
+
+
+@pytest.mark.parametrize("lengths, fronts, many", [(0, 65_536, 20_000), (1, 0, 3), (8, 65_536, 3), (99, 0, 20_000)])
+def test_contained_names_however_they_are_looked_up(spark, monkeypatch, lengths, fronts, many):
+    monkeypatch.setattr(L, "FRONTS", fronts)
+    monkeypatch.setattr(L, "MANY", many)
+    rng = random.Random(lengths)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 20)))
+    left, right = {word() for _ in range(150)}, {word() for _ in range(100)}
+    want = {a: min(found) for a in left if (found := [b for b in right if a in b or b in a])}
+    rows = L.contained_names(names(spark, left), names(spark, right), often=3, lengths=lengths).collect()
+    assert len(rows) == len(want) and {r["wanted"]: r["found"] for r in rows} == want
+
+
+def test_few_parts_of_names_are_sent(spark):
+    """Names of few lengths that begin alike: about as many rows are shuffled as there are names, not one for each of their parts."""
+    n, key = 2000, "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        left = names(spark, [f"report of the year {k:06d} final" for k in range(n)])
+        df = L.contained_names(left, names(spark, [f"my report of the year {k:06d} final copy" for k in range(n)]))
+        assert len(df.collect()) == n
+        nodes = [x for x in _nodes(df._jdf.queryExecution().executedPlan()) if x.nodeName() == "Exchange"]
+        assert sum(x.metrics().get("shuffleRecordsWritten").get().value() for x in nodes) < 8 * n
+    finally:
+        spark.conf.set(key, old)
