@@ -14,8 +14,9 @@ Hamming distances of unlike fingerprints are 32 +- 4, so at a radius of 4 about
 level go on to each side: a query meets about N^0.75 of N fingerprints.
 
 ``similar_documents`` finds texts with a Jaccard similarity of 0.8 or more over sets of five-word
-shingles. Such texts differ in about 15 % of the bits of a SimHash, a distance at which triangle bounds rule out
-nothing, so candidates are searched by 1,024 bits: those that agree in one of eighty blocks of 12 bits,
+shingles. Candidates come from the same trees, over the SimHash of a text's shingles: none within the distance of 4 is lost. That holds
+near copies; texts that are just similar by 0.8 differ in about 15 % of the bits, a distance at which triangle bounds rule out
+nothing. So more candidates are added by 1,024 bits, of which the trees' are the first 64: those that agree in one of eighty blocks of 12 bits,
 and differ in 72 of 256 bits at most. By calculation a pair at 0.8 shares no block with a probability of
 1e-5 and is beyond the bound, 5.5 standard deviations above its mean, with less; unlike texts meet the bound with 1e-12. Texts of at most ``SHORT``
 shingles have too few for that (of four and five shingles 19 % of the bits differ), so they, and those a quarter longer, are found by their least hashes instead: as
@@ -452,6 +453,16 @@ def _compare(unit: np.ndarray, side: np.ndarray, rep: np.ndarray, sig: np.ndarra
     return spanning(np.concatenate(found_a), np.concatenate(found_b))
 
 
+def tree_links(points: DataFrame) -> DataFrame:
+    """(a, b) between the ``rep`` of ``points(rep long, fp long)``: by the trees, they group all fingerprints that differ in DISTANCE bits at most."""
+    known = runtime.materialize(points.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "tree-points")
+    found = runtime.materialize(links(known), "tree-links")
+    one, two = known.select(F.col("fp").alias("a"), F.col("first").alias("one")), known.select(F.col("fp").alias("b"), F.col("first").alias("two"))
+    near = found.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    same = points.join(known.where("n > 1"), "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    return near.unionByName(same)
+
+
 def least_hashes(h: np.ndarray) -> list[int]:
     """The least of a short set's sorted hashes, one more than a similar set may lack; none of a longer or an empty set."""
     n = len(h) if len(h) <= SHORT_PARTNER else 0
@@ -634,13 +645,15 @@ def _similar(rows: DataFrame, width: int) -> DataFrame:
         for batch, held in tokens.portions(batches, "text"):
             sets = [shingle_set(x, width) for x in held]
             sigs = [set_signature(x, WORDS) if len(x) > SHORT else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()), pa.array(sigs, pa.binary()), pa.array(map(least_hashes, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "key", "sig", "least"])
+            fps = np.frombuffer(b"".join((s or set_signature(x, 1))[:8] for s, x in zip(sigs, sets)), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_digest, sets), pa.binary()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(map(least_hashes, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "key", "fp", "sig", "least"])
 
-    marked = runtime.materialize(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, sig binary, least array<long>"), "signatures")
+    marked = runtime.materialize(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, fp long, sig binary, least array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     # Equal sets are one point, named by its first row.
-    points = runtime.materialize(marked.groupBy("key").agg(F.min(order).alias("best"), F.first("sig").alias("sig"), F.first("least").alias("least")).select("key", "best", F.col("best.row").alias("rep"), "sig", "least"), "points")
-    found = candidates(points.where("sig is not null")).unionByName(short_links(points))
+    points = runtime.materialize(marked.groupBy("key").agg(F.min(order).alias("best"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("least").alias("least")).select("key", "best", F.col("best.row").alias("rep"), "fp", "sig", "least"), "points")
+    # What the trees find, and what lies beyond their distance.
+    found = tree_links(points).unionByName(candidates(points.where("sig is not null"))).unionByName(short_links(points))
     groups = runtime.materialize(components(runtime.materialize(found, "links")), "groups")
     found = components(runtime.materialize(verified(rows, groups, width), "verified"))
     linked = runtime.materialize(found.join(points.select("rep", "best"), found["node"] == F.col("rep")).select("node", "component", "best"), "linked")

@@ -115,3 +115,23 @@ def test_verification_is_exact():
     a, b = simhash._verify(made, np.arange(n), np.array([0] * half + [1] * (n - half), np.int8), 5, True)
     across = {i for i in range(half) for j in range(half, n) if simhash._similar_sets(sets[i], sets[j])}
     assert {x for pair in zip(a.tolist(), b.tolist()) for x in pair if x < half} == across
+
+
+def test_near_copies_come_from_the_trees(spark, monkeypatch):
+    """Whatever else is found, texts whose fingerprints differ in four bits at most meet by the trees, and are grouped where their similarity is exact."""
+    rng = np.random.default_rng(21)
+    rows = {}
+    for k in range(80):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(100, 300)))]
+        rows[k] = " ".join(words)
+        words[int(rng.integers(len(words)))] = "changed"
+        rows[1000 + k] = " ".join(words)
+    fp = {k: int.from_bytes(simhash.set_signature(simhash.shingle_set(x), 1), "little") for k, x in rows.items()}
+    near = {k for k in range(80) if (fp[k] ^ fp[1000 + k]).bit_count() <= 4}
+    assert 20 < len(near) < 80
+    points = spark.createDataFrame([(k, x - (x >> 63 << 64)) for k, x in fp.items()] + [(5000, fp[0] - (fp[0] >> 63 << 64))], "rep long, fp long")
+    assert {frozenset((r["a"], r["b"])) for r in simhash.tree_links(points).collect()} >= {frozenset((k, 1000 + k)) for k in near} | {frozenset((0, 5000))}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "candidates", lambda points: spark.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in simhash.distinct_documents(docs).collect()}
+    assert kept == rows.keys() - {1000 + k for k in near}
