@@ -22,7 +22,7 @@ def odd(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["answer_pieces", "chunk_listing"])
+@pytest.mark.parametrize("name", ["answer_pieces", "chunk_listing", "parent_child_strategy", "recursive_strategy", "sentence_strategy", "fixed_strategy", "long_documents"])
 def test_blank_lines_against_sql(spark, odd, name):
     (columns, got), (expected_columns, expected) = compare(spark, odd, connect(odd), catalog.queries()[name], catalog.oracle_sql()[name])
     assert columns == expected_columns
