@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from granary import catalog
 
@@ -22,13 +23,24 @@ def odd(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["answer_pieces", "chunk_listing", "parent_child_strategy", "recursive_strategy", "sentence_strategy", "fixed_strategy", "long_documents"])
+@pytest.mark.parametrize("name", ["answer_pieces", "chunk_listing", "parent_child_strategy", "recursive_strategy", "sentence_strategy", "fixed_strategy", "long_documents", "structure_chunks"])
 def test_blank_lines_against_sql(spark, odd, name):
     (columns, got), (expected_columns, expected) = compare(spark, odd, connect(odd), catalog.queries()[name], catalog.oracle_sql()[name])
     assert columns == expected_columns
     assert got == expected
 
 
+def test_one_known_region(spark):
+    from granary.operators import blocks as B
+    from granary.operators import chunking as C
+
+    docs = spark.createDataFrame([(1, "1 "), (2, "1 \n"), (3, "1 \na\n\nb"), (4, "1 \n\n" + "w" * 1600), (5, None), (6, f"目录\n{WORDS}")], "doc_id long, text string")
+    blocks = B.from_every_line(docs, level=lambda k: F.when(k == 0, 1))
+    got = {r["doc_id"]: (r["title_path"], r["chunk_type"], r["char_count"], r["body"]) for r in C.chunk_documents(blocks, region="body").collect()}
+    # A title alone is no chunk; what comes out in one piece keeps its blank lines.
+    assert got == {2: ("1 ", "body", 0, "1\n"), 3: ("1 ", "body", 2, "1 \na\n\n\n\nb\n"), 4: ("1 ", "body", 1600, "1 \n\n\n" + "w" * 1600 + "\n"), 6: ("目录", "body", 2000, f"目录\n{WORDS.rstrip()}\n")}
+
+
 def test_whole_pieces():
     from granary.config import ChunkConfig
     from granary.operators import chunking as C
