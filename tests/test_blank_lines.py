@@ -12,6 +12,7 @@ WORDS, SENTENCES = "word " * 400, "Other thing. " * 200
 TEXTS = [
     "", "\n", "\n\n\n", "a", "\na", "a\n", "a\n\nb", "  a \n   \n b ", "one\r\ntwo.\r\n", "12 a\n3.4 b\nReference", f"\n{WORDS}", f"a\n{WORDS}\n\n{SENTENCES}\n\n", f"{SENTENCES}\n\n{WORDS}end.\ntail",
     f"\n\n{WORDS}x\n\n\n{WORDS}y\n\n\n\nz", "a\n" + "\n" * 20 + "b\n" * 20, f"a\nb\nc\n{SENTENCES}\n\n{SENTENCES}", f"a\nb\n\n\n{WORDS}", "\n".join(["line of words. And more!"] * 120), "\n\n".join(["line of words"] * 200), "cost $5\n\n$6",
+    "ends wide\u3000\nand narrow\u00a0 \nor em\u2003\nor by a tab\t",
 ]
 
 
